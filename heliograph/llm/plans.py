@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heliograph.llm import bpe, garbled, packing
+from heliograph.llm import bpe, garbled, packing, similar
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar.similar_pairs(spark.read.parquet(f"{d}/challenge_data.parquet"))
+
+
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return similar.clusters(spark.read.parquet(f"{d}/challenge_data.parquet"))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -27,5 +35,5 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled.restore(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).where("garbled").drop("garbled")
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_containers, p7_fill, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p6_ids, p7_containers, p7_fill, p8_found, p8_restored)}
 SQL: dict[str, str] = {}
