@@ -60,3 +60,33 @@ def exact_median(df: DataFrame, key: str, value: Column, accuracy: int = 1000) -
     return ranked.groupBy(key).agg(
         ((F.min(F.when(F.col("_to") >= low, F.col("_v"))) + F.min(F.when(F.col("_to") >= high, F.col("_v")))) / 2).alias("median")
     )
+
+
+def with_key_halo(df: DataFrame, order: str, back: int, ahead: int, chunk: int) -> DataFrame:
+    """Like ``with_halo``, by key distance: chunks of ``chunk`` key units, with copies of what lies ``back`` before and ``ahead`` after."""
+    own = F.floor(F.col(order) / chunk).cast("long")
+    low = F.floor((F.col(order) - ahead) / chunk).cast("long")
+    high = F.floor((F.col(order) + back) / chunk).cast("long")
+    return df.withColumn("block", F.explode(F.sequence(low, high))).withColumn("core", F.col("block") == own)
+
+
+def running_sum(df: DataFrame, source: str, order: str, value: Column, chunk: int, to: str) -> DataFrame:
+    """Adds the running sum (inclusive) of ``value`` along a source, chunk by chunk with carried sums."""
+    part = df.withColumn("_chunk", F.floor(F.col(order) / chunk).cast("long")).withColumn("_x", value)
+    upto = Window.partitionBy(source).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = part.groupBy(source, "_chunk").agg(F.sum("_x").alias("_s"))
+    carried = sums.select(source, "_chunk", F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(source, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = part.withColumn("_run", F.sum("_x").over(inside)).join(carried, [source, "_chunk"])
+    return summed.withColumn(to, F.col("_before") + F.coalesce("_run", F.lit(0))).drop("_chunk", "_x", "_run", "_before")
+
+
+def fill_forward(df: DataFrame, source: str, order: str, value: Column, chunk: int, to: str) -> DataFrame:
+    """Adds the last non-null ``value`` up to each row of its source (backward as-of), chunk by chunk with carried values."""
+    part = df.withColumn("_chunk", F.floor(F.col(order) / chunk).cast("long")).withColumn("_x", value)
+    inside = Window.partitionBy(source, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    last = part.groupBy(source, "_chunk").agg(F.max(F.when(F.col("_x").isNotNull(), F.struct(F.col(order).alias("o"), F.col("_x").alias("x")))).alias("_l"))
+    before = Window.partitionBy(source).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(source, "_chunk", F.last("_l", True).over(before)["x"].alias("_c"))
+    filled = part.withColumn("_in", F.last("_x", True).over(inside)).join(carried, [source, "_chunk"])
+    return filled.withColumn(to, F.coalesce("_in", "_c")).drop("_chunk", "_x", "_in", "_c")
