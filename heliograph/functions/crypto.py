@@ -14,6 +14,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def hkdf_sha256(secret: bytes, info: bytes, length: int, salt: bytes = b"") -> bytes:
@@ -26,7 +27,7 @@ def hkdf_sha256(secret: bytes, info: bytes, length: int, salt: bytes = b"") -> b
     return out[:length]
 
 
-@F.pandas_udf("struct<key: binary, nonce: binary>")
+@F.pandas_udf(T.StructType([T.StructField("key", T.BinaryType()), T.StructField("nonce", T.BinaryType())]))
 def key_and_nonce(secret: pd.Series, info: pd.Series) -> pd.DataFrame:
     """32-byte key and 12-byte nonce of each shared secret."""
     okm = [None if s is None or i is None else hkdf_sha256(bytes(s), bytes(i), 44) for s, i in zip(secret, info, strict=True)]
@@ -53,7 +54,7 @@ def legacy_plaintext(text: Column) -> Column:
 def open_envelope(opener: Callable[[str], bytes | None]) -> Callable[[Column], Column]:
     """A vectorised function that opens envelopes; failures become null."""
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(T.BinaryType())
     def opened(envelopes: pd.Series) -> pd.Series:
         def one(e: str | None) -> bytes | None:
             try:

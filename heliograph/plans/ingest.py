@@ -143,7 +143,7 @@ QUERIES = {
     )
 }
 
-from heliograph.plans.series import _TICKERS  # noqa: E402
+from heliograph.plans.series import _TICKERS, zero_is_positive  # noqa: E402
 
 _USABLE = "price IS NOT NULL AND NOT isnan(price) AND price > 0 AND price < 'inf'::DOUBLE"
 _MAPS = "m AS (SELECT ticker, sidx, ts, j.key AS asset, TRY_CAST(j.value AS DOUBLE) AS v FROM challenge_data, json_each(price_data) j WHERE price_data IS NOT NULL AND json_valid(price_data))"
@@ -172,3 +172,4 @@ SQL = {
     "session_windows": "WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 21600000000 THEN 0 ELSE 1 END AS cut FROM events), i AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id, min(epoch_us(ts)) AS start, count(*) AS n, round(sum(value), 6) AS total FROM i GROUP BY user_id, s",
     "scalar_functions": "SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-((l_discount - 0.05e0) * 20))), 6) AS sigmoid, round(ln(1 + exp(-abs((l_discount - 0.05e0) * 20))) + greatest((l_discount - 0.05e0) * 20, 0), 6) AS softplus, round(ln(greatest(least(l_discount, 1 - 1e-6), 1e-6) / (1 - greatest(least(l_discount, 1 - 1e-6), 1e-6))), 6) AS logit, greatest(1, CAST(round_even(l_quantity / 5, 0) AS INT)) AS steps, round(greatest(least((l_discount - 0.05e0) * 30, 1), -1), 6) AS position FROM lineitem",
 }
+SQL = zero_is_positive(SQL)

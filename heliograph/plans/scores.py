@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heliograph.operators import similarity, stats, windows
 from heliograph.operators.prices import readings
-from heliograph.plans.series import BASE
+from heliograph.plans.series import BASE, zero_is_positive
 from heliograph.sources.tables import read_table
 
 R = lambda c, name=None: F.round(c, 6).alias(name or c)
@@ -198,3 +198,4 @@ SQL = {
     "collapse_mass": f"WITH {_SC('O', 's')}, {_REPS} SELECT coalesce(representative, o_custkey) AS o_custkey, round(sum(score), 9) AS score FROM s LEFT JOIN reps ON member = o_custkey GROUP BY ALL",
     "equalise_mass": f"WITH {_SC('O', 's')}, {_REPS}, n AS (SELECT representative, count(*) AS n FROM reps GROUP BY ALL), t AS (SELECT representative, sum(score) AS t FROM s JOIN reps ON member = o_custkey GROUP BY ALL) SELECT member AS o_custkey, round(t / n, 9) AS score FROM reps JOIN t USING (representative) JOIN n USING (representative) WHERE t > 0 UNION ALL SELECT o_custkey, round(score, 9) FROM s ANTI JOIN reps ON member = o_custkey",
 }
+SQL = zero_is_positive(SQL)

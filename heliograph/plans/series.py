@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,6 +135,11 @@ def auc_weights_daily(spark: SparkSession, d: str) -> DataFrame:
     return weight.select("user_id", F.col("n1").cast("long").alias("n1"), F.col("n0").cast("long").alias("n0"), R("auc"), R("weight"))
 
 
+def zero_is_positive(sql: dict[str, str]) -> dict[str, str]:
+    """Rounded results of the SQL as Spark gives them: a small negative value rounds to 0.0, never to -0.0."""
+    return {name: re.sub(r", ([4689])\) AS (?!INT)", r", \1) + 0e0 AS ", text) for name, text in sql.items()}
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -204,3 +211,4 @@ SQL = {
       a AS (SELECT user_id, n1, n0, CASE WHEN n1 > 0 AND n0 > 0 THEN (sr - n1 * (n1 + 1) / 2e0) / (n1 * n0) END AS auc FROM s), g AS (SELECT *, greatest((coalesce(auc, 0.5e0) - 0.5e0) / 0.5e0, 0) AS gain FROM a)
       SELECT user_id, n1, n0, round(auc, 6) AS auc, round(gain / sum(gain) OVER (), 6) AS weight FROM g""",
 }
+SQL = zero_is_positive(SQL)
