@@ -43,8 +43,8 @@ BUCKETS = 1 << 20
 #: Codecs that a wrong decoder may have used, and those that the bytes may have been written in.
 READ_AS = ("cp1252", "latin-1", "cp1251", "cp1250", "cp1254", "cp437", "cp850", "mac_roman", "koi8-r", "cp866", "cp932", "gbk")
 WRITTEN_IN = ("utf-8", "cp1251", "cp1250", "cp1252", "cp1254", "koi8-r", "cp866", "cp932", "euc_jp", "cp850", "mac_roman")
-#: Nats per trigram that a step must win before it counts: UTF-8 leaves a structure that chance hardly makes, other codecs don't.
-STEP_COST = {"utf-8": 0.05, "unescape": 0.1, "lossy": 0.6, "refill": 0.8, "": 1.5}
+#: Nats per trigram that a step must win before it counts. UTF-8 leaves a structure that chance hardly makes (valid bytes are evidence of their own), other codecs don't.
+STEP_COST = {"utf-8": -0.2, "unescape": 0.1, "lossy": 0.6, "refill": 0.8, "": 1.5}
 #: Evidence that one path must collect over a document's different words, without and with UTF-8.
 EVIDENCE, EVIDENCE_UTF8 = 1.5, 0.0
 #: Characters of a word that may give evidence without UTF-8.
