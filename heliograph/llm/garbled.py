@@ -100,7 +100,8 @@ def trigram_counts(documents: DataFrame, text: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            joined = "  ".join(t for t in batch.column(0).to_pylist() if t)
+            # Copies inside a batch count once, so that a text of very many copies doesn't become the rule.
+            joined = "  ".join(sorted({t for t in batch.column(0).to_pylist() if t}))
             total += np.bincount(_hashes(_codes(f"  {joined}  ")), minlength=BUCKETS)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["bucket", "n"])
