@@ -17,7 +17,7 @@ CORRECT = ["┌──┬──┐ │ a │", "Ærø–Ðóra", "λ → ∞, Δp
 
 
 def corpus():
-    return [(i, CLEAN[i % len(CLEAN)], "p", "g") for i in range(350)] + [(1000 + i, c, "p", "g") for i, c in enumerate(CORRECT * 8)]
+    return [(i, f"{CLEAN[i % len(CLEAN)]} {i}", "p", "g") for i in range(350)] + [(1000 + i, f"{c} {i}", "p", "g") for i, c in enumerate(CORRECT * 8)]
 
 
 def garble(text, written, read):
@@ -78,6 +78,12 @@ def test_tables(spark):
     assert found(empty).count() == 0 and restore(empty).count() == 0
 
 
+def test_a_third_of_all_rows_may_be_copies(spark):
+    rows = corpus() + [(7000 + i, GARBLED["utf8 as latin-1"], "p", "g") for i in range(240)] + [(8000 + i, GARBLED["cp1251 as cp1252"], "p", "g") for i in range(60)]
+    ids = {r.doc_id for r in found(spark.createDataFrame(rows, DOC).repartition(3)).collect()}
+    assert ids == {*range(7000, 7240), *range(8000, 8060)}
+
+
 def test_costs_are_finite():
     s = Search(np.zeros((1 << 20) + 1, dtype=np.int64))
     assert np.isfinite(s.cost("é")) and s.best("é")[2] == ()
