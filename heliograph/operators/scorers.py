@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.operators import events, fits, solvers, stats, windows
+from heliograph.operators import events, fits, similarity, solvers, stats, windows
 from heliograph.session import cut
 
 REGISTRY: dict[str, Callable[..., DataFrame]] = {}
@@ -162,6 +162,23 @@ def bucket_votes(rows: DataFrame, classes: int = 5, warm_up: int = 24_000, chunk
     return _shares(windows.top_k(total, [], "s", "hk", top).select("hk", "s"))
 
 
+@scorer("q_path")
+def gated_models(rows: DataFrame, least_rows: int = 100, top: int = 25, replicates: int = 20, block: int = 120, c: float = 0.5, participants: int = 64) -> DataFrame:
+    """Rows (model, hk, pos, x, y): one bootstrapped fit per gated sub-model, each normalised, averaged over the models, top."""
+    rows = cut(rows.where("y IS NOT NULL"))
+    size = rows.groupBy("model").agg(F.countDistinct("pos").alias("n"), F.countDistinct("y").alias("classes")).where((F.col("n") >= least_rows) & (F.col("classes") == 2))
+    kept = rows.join(size.select("model"), "model", "left_semi")
+    busy = windows.top_k(kept.groupBy("hk").agg(F.count("*").cast("double").alias("n")), [], "n", "hk", participants)
+    chosen = [r.hk for r in busy.orderBy("rank").select("hk").collect()]
+    if not chosen:
+        return rows.select("hk", F.lit(0.0).alias("s")).limit(0)
+    panel = _panel(kept, ["model", "pos", "y"], chosen, "x")
+    fitted = fits.bootstrap_importance(panel, ["model"], "pos", [f"v{i}" for i in range(len(chosen))], "y", replicates, block, c)
+    each = stats.normalise(fitted, ["model"], "importance", "share")
+    mean = each.groupBy("feature").agg(F.avg("share").alias("importance"))
+    return _shares(windows.top_k(_names(mean, chosen), [], "s", "hk", top).select("hk", "s"))
+
+
 @scorer("trade_mix")
 def position_evidence(rows: DataFrame, labels: list[str], weights: list[float], least_shift: int = 96, q: float = 0.05, cap: float = 0.2) -> DataFrame:
     """X11: rows (hk, pos, signal, <labels>): circular-shift evidence, discoveries, softplus payment, capped shares."""
@@ -183,6 +200,23 @@ def combined(parts: list[tuple[DataFrame, float]], k: int = 50) -> DataFrame:
     return stats.task_average([p for p, _ in kept], [w for _, w in kept], "hk", "s")
 
 
+def clone_tiers(scores: DataFrame, exact: DataFrame, cohorts: DataFrame) -> DataFrame:
+    """Exact clones (member, representative) collapse into their representative; the other members of soft cohorts share equally."""
+    collapsed = similarity.collapse_mass(scores, "hk", "s", exact)
+    clones = exact.where("member != representative").select("member")
+    return similarity.equalise_mass(collapsed, "hk", "s", cohorts.join(clones, "member", "left_anti"))
+
+
+def final_weights(scores: DataFrame, uids: DataFrame, first_seen: DataFrame, previous: DataFrame, now: int, young_age: int, young_share: float, burn: float, burn_uid: int = 0, alpha: float = 0.3) -> DataFrame:
+    """(uid, w) from (hk, s): known participants only, young ones a fixed share, a burned share, smoothed over ``previous`` (uid, w), sum 1."""
+    known = uids.join(scores, "hk", "left").join(first_seen, "hk", "left")
+    young = F.coalesce(F.lit(now) - F.col("first_seen") < young_age, F.lit(True))
+    per = known.groupBy("uid").agg(F.sum(F.coalesce("s", F.lit(0.0))).alias("s"), F.max(young).alias("young"))
+    shared = stats.compose_shares(per, "uid", "s", F.col("young"), young_share)
+    burned = shared.withColumn("w", F.col("share") * (1 - burn) + F.when(F.col("uid") == burn_uid, F.lit(burn)).otherwise(0.0))
+    return stats.ema(stats.normalise(burned, [], "w", "w1").select("uid", F.col("w1").alias("w")), previous, "uid", "w", alpha)
+
+
 def score(kind: str, rows: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     """The registered scorer of a loss function."""
     if kind not in REGISTRY:

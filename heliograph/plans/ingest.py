@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heliograph.functions import vectors
 from heliograph.functions.json_text import readable
-from heliograph.operators import ingest, stats
+from heliograph.operators import filters, ingest, stats, submissions
 from heliograph.operators.prices import price_rows, usable
 from heliograph.sources.tables import minute_of_block, read_table
 
@@ -135,11 +135,52 @@ def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
     return c.select("l_orderkey", "l_linenumber", R(stats.sigmoid(x * 20), "sigmoid"), R(stats.softplus(x * 20), "softplus"), R(stats.logit(F.col("l_discount")), "logit"), F.greatest(F.lit(1), F.bround(F.col("l_quantity") / 5).cast("int")).alias("steps"), R(vectors.clip(x * 30, -1, 1), "position"))
 
 
+def submission_vectors(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    spec = read_table(spark, d, "task_spec").withColumn("ordinal", F.row_number().over(Window.orderBy("ticker")) - 1)
+    sent = read_table(spark, d, "raw_payloads").select("ts", "hotkey", F.expr("get_json_object(payload, '$.C.ct')").alias("ct")).where("ct IS NOT NULL").distinct()
+    v = submissions.vectors(submissions.entries(sent, "ct", spec, ["ts", "hotkey"]))
+    return v.where(vectors.active(F.col("vec"))).groupBy("ticker").agg(F.count("*").alias("n"), F.max(F.size("vec")).cast("long").alias("width"), F.round(F.sum(vectors.total(F.col("vec"))), 3).alias("total"))
+
+
+def active_participants(spark: SparkSession, d: str) -> DataFrame:
+    e = read_table(spark, d, "events")
+    return filters.active_share(e, ["user_id"], F.col("value") > 50, 0.05).select("user_id", "n", R("active_share"))
+
+
+def unstale_values(spark: SparkSession, d: str) -> DataFrame:
+    li = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")
+    return filters.unstale(li, ["l_orderkey"], "l_discount", 0.0205).select("l_orderkey", "l_linenumber", "fresh")
+
+
+def count_guards(spark: SparkSession, d: str) -> DataFrame:
+    li = read_table(spark, d, "lineitem").where("l_returnflag != 'A'")
+    return filters.enough(li, ["l_orderkey"], "l_discount", "l_returnflag", 3, 2)
+
+
+def price_fallback(spark: SparkSession, d: str) -> DataFrame:
+    asked = read_table(spark, d, "task_spec").where("assets IS NOT NULL").select(F.explode("assets").alias("asset")).distinct()
+    last = price_rows(read_table(spark, d, "challenge_data")).where(usable(F.col("price"))).groupBy("ticker").agg(F.max(F.struct("sidx", "ts", "price"))["price"].alias("price"))
+    return filters.price_fallback(asked, "asset", last, read_table(spark, d, "task_spec"))
+
+
+def classwise_centred(spark: SparkSession, d: str) -> DataFrame:
+    li = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_quantity")
+    return filters.classwise_centred(li, ["l_suppkey"], "l_returnflag", "l_quantity").select("l_orderkey", "l_linenumber", R("centred"))
+
+
+def softmax_shares(spark: SparkSession, d: str) -> DataFrame:
+    s = read_table(spark, d, "lineitem").groupBy("l_suppkey").agg((F.sum("l_quantity") / 1000).alias("x"), F.avg("l_discount").alias("u"))
+    return filters.softmax_shares(s, "x", "u").select("l_suppkey", F.round("share", 9).alias("share"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         upsert_latest, upsert_by_column, merge_upsert, maturity_join, sample_gate, semi_active, anti_processed, default_join, first_seen, dense_index, ingest_counters,
         url_validate, sha_binding, map_flatten, price_vectors, sanitised_vectors, set_operations, hourly_windows, sliding_windows, session_windows, scalar_functions,
+        submission_vectors, active_participants, unstale_values, count_guards, price_fallback, classwise_centred, softmax_shares,
     )
 }
 
@@ -149,6 +190,12 @@ _USABLE = "price IS NOT NULL AND NOT isnan(price) AND price > 0 AND price < 'inf
 _MAPS = "m AS (SELECT ticker, sidx, ts, j.key AS asset, TRY_CAST(j.value AS DOUBLE) AS v FROM challenge_data, json_each(price_data) j WHERE price_data IS NOT NULL AND json_valid(price_data))"
 
 SQL = {
+    "active_participants": "SELECT user_id, count(*) AS n, round(count(*) FILTER (value > 50) / count(*), 6) AS active_share FROM events GROUP BY user_id HAVING count(*) FILTER (value > 50) / count(*) > 0.05e0",
+    "unstale_values": "SELECT l_orderkey, l_linenumber, CASE WHEN stddev_pop(l_discount) OVER (PARTITION BY l_orderkey) < 0.0205e0 THEN 0e0 ELSE l_discount END AS fresh FROM lineitem",
+    "count_guards": "SELECT l_orderkey, count(*) AS n, count(DISTINCT l_discount) FILTER (l_discount != 0) AS n_distinct, count(DISTINCT l_returnflag) AS n_classes FROM lineitem WHERE l_returnflag != 'A' GROUP BY l_orderkey HAVING count(*) >= 3 AND count(DISTINCT l_discount) FILTER (l_discount != 0) >= 2 AND count(DISTINCT l_returnflag) = 2",
+    "price_fallback": f"WITH p AS (SELECT ticker, arg_max(price, (sidx, ts, price)) AS price FROM challenge_data WHERE ticker IN ({_TICKERS}) AND sidx IS NOT NULL AND {_USABLE} GROUP BY ticker), a AS (SELECT DISTINCT unnest(assets) AS asset FROM task_spec), k AS (SELECT price_key, min(ticker) AS via FROM task_spec WHERE price_key IS NOT NULL GROUP BY price_key) SELECT asset, coalesce(o.price, v.price) AS price FROM a LEFT JOIN p o ON o.ticker = asset LEFT JOIN k ON price_key = asset LEFT JOIN p v ON v.ticker = via",
+    "classwise_centred": "SELECT l_orderkey, l_linenumber, round(l_quantity - avg(l_quantity) OVER (PARTITION BY l_suppkey, l_returnflag), 6) AS centred FROM lineitem",
+    "softmax_shares": "WITH s AS (SELECT l_suppkey, sum(l_quantity) / 1000 AS x, avg(l_discount) AS u FROM lineitem GROUP BY ALL), e AS (SELECT l_suppkey, exp(x - max(x) OVER ()) * u AS e FROM s) SELECT l_suppkey, round(e / sum(e) OVER (), 9) AS share FROM e",
     "upsert_latest": f"SELECT ticker, sidx, max(ts) AS ts, arg_max(price, (ts, price)) AS price FROM challenge_data WHERE ticker IN ({_TICKERS}) AND sidx IS NOT NULL AND {_USABLE} GROUP BY ticker, sidx",
     "upsert_by_column": f"SELECT ticker, sidx, arg_max(price, (ts, price)) FILTER ({_USABLE}) AS price, arg_max(price_data, (ts, price_data)) FILTER (price_data IS NOT NULL) AS price_data FROM challenge_data WHERE ticker IS NOT NULL AND sidx IS NOT NULL GROUP BY ticker, sidx",
     "merge_upsert": "WITH f AS (SELECT o_custkey, max(o_orderkey) AS version, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL), o AS (SELECT o_custkey, max(o_orderkey) AS version, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders WHERE o_orderstatus = 'O' GROUP BY ALL) SELECT * FROM o UNION ALL SELECT * FROM f ANTI JOIN o USING (o_custkey)",

@@ -154,3 +154,24 @@ def test_blends(spark):
     assert sum(r.s for r in w) == pytest.approx(1)
     shares = windows.rank_decay(a, [], "s", "k", 3).collect()
     assert sum(r.share for r in shares) == pytest.approx(1)
+
+
+def test_gated_models_and_weights(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for model in ("up", "down", "tiny"):
+        for i in range(300 if model != "tiny" else 20):
+            y = int(rng.integers(0, 2))
+            rows += [(model, "good", i, float(y + rng.normal()), y), (model, "noise", i, float(rng.normal()), y)]
+    s = scorers.score("q_path", spark.createDataFrame(rows, "model string, hk string, pos long, x double, y int"), replicates=4, block=40)
+    got = {r.hk: r.s for r in s.collect()}
+    assert got["good"] > 3 * got["noise"] and sum(got.values()) == pytest.approx(1)
+    exact = spark.createDataFrame([("good", "good"), ("copy", "good")], "member string, representative string")
+    soft = spark.createDataFrame([("noise", "noise"), ("near", "noise"), ("copy", "noise")], "member string, representative string")
+    tiers = {r.hk: r.s for r in scorers.clone_tiers(s.unionByName(spark.createDataFrame([("copy", 0.5)], "hk string, s double")), exact, soft).collect()}
+    assert tiers == pytest.approx({"good": got["good"] + 0.5, "noise": got["noise"] / 2, "near": got["noise"] / 2})
+    uids = spark.createDataFrame([(0, "owner"), (1, "good"), (2, "noise"), (3, "new")], "uid int, hk string")
+    seen = spark.createDataFrame([("owner", 0), ("good", 0), ("noise", 0), ("new", 990)], "hk string, first_seen long")
+    old = spark.createDataFrame([(1, 1.0)], "uid int, w double")
+    w = {r.uid: r.w for r in scorers.final_weights(s, uids, seen, old, 1000, 100, 0.01, 0.35).collect()}
+    assert sum(w.values()) == pytest.approx(1) and w[1] == max(w.values()) and w[3] == pytest.approx(0.3 * 0.01 * 0.65) and w[0] == pytest.approx(0.3 * 0.35)
