@@ -42,10 +42,11 @@ def with_halo(df: DataFrame, halo: int, block: int = 20_000, pos: str = "pos") -
     return df.withColumn("block", F.explode(homes)).withColumn("core", F.col("block") == own)
 
 
-def exact_median(df: DataFrame, key: str, value: Column, accuracy: int = 1000) -> DataFrame:
+def exact_median(df: DataFrame, key: str, value: Column, accuracy: int = 10_000) -> DataFrame:
     """(key, median): the exact median of the non-null values of each key.
 
-    A quantile sketch of bounded size gives a bracket around the middle; values
+    A quantile sketch of bounded size (its rank error is below 1 / accuracy)
+    gives a bracket of 10 / accuracy of the rows around the middle; values
     below it are only counted, values inside it are combined to (value, count)
     and summed up in order. An even count gives the mean of both middles.
     """
