@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -197,6 +198,12 @@ class ByteBpe:
         return offsets, np.array(ids, dtype=np.int32)
 
 
+@lru_cache(maxsize=2)
+def worker_coder(vocabulary: str) -> ByteBpe:
+    """The encoder of a Python worker, kept from task to task with its remembered words and pairs."""
+    return ByteBpe(vocabulary)
+
+
 def encode(documents: DataFrame, text: str = "text", to: str = "ids", vocabulary: str = VOCABULARY, keep: list[str] | None = None) -> DataFrame:
     """The kept columns (all others than ``text`` by default) and ``to``, the texts' token ids (ARRAY<INT>, never null).
 
@@ -210,7 +217,7 @@ def encode(documents: DataFrame, text: str = "text", to: str = "ids", vocabulary
     schema = T.StructType([*fields, T.StructField(to, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ByteBpe(shipped.value)
+        coder = worker_coder(shipped.value)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for start in range(0, batch.num_rows, 256):

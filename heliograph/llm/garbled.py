@@ -29,12 +29,14 @@ import heapq
 import html
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -270,16 +272,27 @@ def _structured(family: tuple[str, ...]) -> bool:
     return family[-1].startswith(("utf-8", "lossy", "refill"))
 
 
+_SEARCHES: dict[str, Search] = {}
+
+
+def _worker_search(token: str, counts: Broadcast) -> Search:
+    """The search of a Python worker, kept from task to task with its remembered words; only the last corpus is kept."""
+    if token not in _SEARCHES:
+        _SEARCHES.clear()
+        _SEARCHES[token] = Search(counts.value)
+    return _SEARCHES[token]
+
+
 def restore(documents: DataFrame, text: str = "text") -> DataFrame:
     """All columns with ``garbled`` BOOLEAN, ``restored`` STRING (the text as far as it can be restored) and ``path`` STRING."""
-    counts = documents.sparkSession.sparkContext.broadcast(trigram_counts(documents, text))
+    counts, token = documents.sparkSession.sparkContext.broadcast(trigram_counts(documents, text)), uuid.uuid4().hex
     kept = [c for c in documents.columns if c.lower() not in ("garbled", "restored", "path") or c == text]
     schema = documents.select(*kept).schema
     for field in ("garbled boolean", "restored string", "path string"):
         schema = schema.add(*field.split())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        search = Search(counts.value)
+        search = _worker_search(token, counts)
         for pdf in batches:
             rows = [judge(t, search, True) for t in pdf[text]]
             yield pdf.assign(garbled=[r[0] for r in rows], restored=[r[1] for r in rows], path=[r[2] for r in rows])
@@ -289,10 +302,10 @@ def restore(documents: DataFrame, text: str = "text") -> DataFrame:
 
 def found(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Distinct ids of documents with at least one garbled passage."""
-    counts = documents.sparkSession.sparkContext.broadcast(trigram_counts(documents, text))
+    counts, token = documents.sparkSession.sparkContext.broadcast(trigram_counts(documents, text)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = Search(counts.value)
+        search = _worker_search(token, counts)
         for batch in batches:
             hit = [judge(t, search)[0] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit, pa.bool_()))], names=[doc_id])

@@ -120,20 +120,6 @@ def pack(sizes: np.ndarray, index: Index, capacity: int) -> list[list[int]]:
     return windows
 
 
-def _items(pdf: pd.DataFrame, capacity: int, label: str) -> tuple[pd.DataFrame, list[tuple]]:
-    """Items to pack, and the rows of containers that pieces of larger texts fill alone."""
-    full: list[tuple] = []
-    rows = []
-    for doc_id, part, terms in zip(pdf["doc_id"], pdf["part"], pdf["terms"], strict=True):
-        terms = np.asarray(terms, dtype=np.int64)
-        for _ in range(len(terms) // capacity):
-            full.append((f"{label}-{len(full)}w", doc_id, part, capacity, None))
-            part, terms = part + 1, terms[capacity:]
-        if len(terms):
-            rows.append((doc_id, part, terms))
-    return pd.DataFrame(rows, columns=["doc_id", "part", "terms"]), full
-
-
 def lexical_packing(encoded: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, merge: int = MERGE) -> DataFrame:
     """(container, doc_id, part, n_tokens) of texts given as (doc_id, ids).
 
@@ -150,14 +136,14 @@ def lexical_packing(encoded: DataFrame, capacity: int = CAPACITY, shard: int = S
     shards = max(1, -(-texts // shard))
 
     def work(pdf: pd.DataFrame, label: str, final: bool) -> pd.DataFrame:
-        items, rows = _items(pdf.sort_values(["doc_id", "part"], kind="stable"), capacity, label)
-        bags = list(items["terms"])
+        pdf = pdf.sort_values(["doc_id", "part"], kind="stable")
+        bags = [np.asarray(t, dtype=np.int64) for t in pdf["terms"]]
         sizes = np.array([len(b) for b in bags], dtype=np.int64)
+        ids, parts, rows = pdf["doc_id"].tolist(), pdf["part"].tolist(), []
         for k, window in enumerate(pack(sizes, Index(bags, weights.value, mean_length), capacity)):
             closed = final or capacity - int(sizes[window].sum()) <= CLOSED
             for i in window:
-                doc_id, part, terms = items.iloc[i]
-                rows.append((f"{label}-{k}" if closed else None, doc_id, part, len(terms), None if closed else terms.astype(np.int32)))
+                rows.append((f"{label}-{k}" if closed else None, ids[i], parts[i], len(bags[i]), None if closed else bags[i].astype(np.int32)))
         return pd.DataFrame(rows, columns=["container", "doc_id", "part", "n_tokens", "terms"])
 
     def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -166,12 +152,16 @@ def lexical_packing(encoded: DataFrame, capacity: int = CAPACITY, shard: int = S
     def again(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return work(pdf, f"b{key[0]}", True)
 
-    spread = filled.select("doc_id", F.lit(0).alias("part"), F.col("ids").alias("terms"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).alias("shard"))
-    once = cut(spread.groupBy("shard").applyInPandas(first, PACKED_SCHEMA))
-    left = once.where("container IS NULL").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, shards // merge))))
+    # Row numbers of the cut table are stable. Whole containers of longer texts never leave the JVM, so a shard holds at most ``shard`` · ``capacity`` tokens.
+    placed = filled.withColumn("row", F.monotonically_increasing_id()).withColumn("whole", F.floor(F.size("ids") / capacity).cast("int"))
+    alone = placed.where("whole > 0").select("doc_id", "row", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("part"))
+    alone = alone.select(F.concat_ws("-", F.lit("w"), "row", "part").alias("container"), "doc_id", "part", F.lit(capacity).alias("n_tokens"))
+    rest = placed.where(F.size("ids") > F.col("whole") * capacity).select("doc_id", F.col("whole").alias("part"), F.slice("ids", F.col("whole") * capacity + 1, F.lit(capacity)).alias("terms"), F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"))
+    once = cut(rest.groupBy("shard").applyInPandas(first, PACKED_SCHEMA))
+    left = once.where("container IS NULL").withColumn("shard", F.pmod(F.xxhash64("doc_id", "part", "n_tokens"), F.lit(max(1, shards // merge))))
     twice = left.groupBy("shard").applyInPandas(again, PACKED_SCHEMA)
     blank = encoded.where(F.size("ids") == 0).select(F.lit(None).cast("string").alias("container"), "doc_id", F.lit(0).alias("part"), F.lit(0).alias("n_tokens"))
-    return once.where("container IS NOT NULL").drop("terms").unionByName(twice.drop("terms")).unionByName(blank)
+    return alone.unionByName(once.where("container IS NOT NULL").drop("terms")).unionByName(twice.drop("terms")).unionByName(blank)
 
 
 def containers(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, **options: int) -> DataFrame:
