@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from heliograph.operators import asof, events, fits, scorers, similarity, windows
 from heliograph.operators.prices import readings
 from heliograph.operators.sequence import numbered
+from heliograph.session import shared_folder
 from heliograph.sources.tables import read_table
 from heliograph.streaming import ingest, tracker
 
@@ -29,21 +30,28 @@ def breakout_replay(spark: SparkSession, d: str) -> DataFrame:
     return events.replay(readings(read_table(spark, d, "challenge_data")), "ticker", "sidx", "price", **_TRACK)
 
 
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    return spark.readStream.schema("ticker string, sidx bigint, price double, ts bigint").parquet(f"{d}/challenge_data.parquet*").where("price > 0 AND price < double('infinity') AND sidx IS NOT NULL")
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder in the place all executors share."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
 def breakout_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The live tracker over the price table read as a stream, run to its end into a memory table."""
-    stream = spark.readStream.schema("ticker string, sidx bigint, price double, ts bigint").parquet(f"{d}/challenge_data.parquet*").where("price > 0 AND price < double('infinity')")
-    name = f"tracked_{abs(hash(d)) % 10**8}"
-    query = tracker.track(stream, "ticker", "sidx", "price", **_TRACK).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    """The live tracker over the price table read as a stream, run to its end into a table of the shared folder."""
+    folder = _folder(spark)
+    events_ = tracker.track(_stream(spark, d), "ticker", "sidx", "price", **_TRACK)
+    writer = events_.writeStream.format("parquet").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint")
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(events_.schema).parquet(f"{folder}/table")
 
 
 def late_upsert_stream(spark: SparkSession, d: str) -> DataFrame:
     """Keyed late upserts through foreachBatch; equal to the batch upsert of the same rows."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heliograph-")
-    folder = f"{shared}/upsert-{spark.sparkContext.applicationId}-{abs(hash(d)) % 10**8}"
-    stream = spark.readStream.schema("ticker string, sidx bigint, price double, ts bigint").parquet(f"{d}/challenge_data.parquet*").where("price > 0 AND price < double('infinity') AND sidx IS NOT NULL")
-    ingest.start_upsert(stream, f"{folder}/table", f"{folder}/checkpoint", ["ticker", "sidx"], "ts", ["price"]).awaitTermination()
+    folder = _folder(spark)
+    ingest.start_upsert(_stream(spark, d), f"{folder}/table", f"{folder}/checkpoint", ["ticker", "sidx"], "ts", ["price"]).awaitTermination()
     return ingest.read_upserted(spark, f"{folder}/table", ["ticker", "sidx"], "ts", ["price"])
 
 

@@ -24,26 +24,28 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
     return builder.getOrCreate()
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``.
+_LOCAL_FOLDERS: dict[str, str] = {}
 
-    Only where neither that setting nor a folder exists (a local session, as in
-    tests) a temporary folder is made; on a cluster a missing shared folder is
-    an error, because a machine-local one would not survive a lost executor.
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``, which all executors share.
+
+    Only where that setting is missing and the session is local (as in tests) a
+    temporary folder is made; on a cluster its absence is an error, because a
+    machine-local folder would not survive a lost executor.
     """
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
     shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="heliograph-"))
-    else:
+        return shared
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _LOCAL_FOLDERS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="heliograph-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    _ensure_checkpoint_dir(df.sparkSession)
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
