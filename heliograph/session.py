@@ -40,7 +40,9 @@ def shared_folder(spark: SparkSession) -> str:
         return shared
     if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _LOCAL_FOLDERS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="heliograph-"))
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="heliograph-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def cut(df: DataFrame) -> DataFrame:
