@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliograph.operators.prices import PRICE_TICKERS, last_delivery, price_rows, usable
+from heliograph.operators.prices import PRICE_TICKERS, last_delivery, usable_rows
 
 #: Minutes per chunk of a source.
 CHUNK = 2880
@@ -41,7 +41,7 @@ def regular_minutes(challenge: DataFrame, blocks: DataFrame, tickers: tuple[str,
     after_sidx.
     """
     grid = hourly_minutes(blocks).select(F.explode(F.array(*map(F.lit, tickers))).alias("ticker"), "sidx", F.lit(None).cast("long").alias("ts"), F.lit(None).cast("double").alias("price"), F.lit(True).alias("wanted"))
-    given = price_rows(challenge, tickers).where(usable(F.col("price"))).withColumn("wanted", F.lit(False))
+    given = usable_rows(challenge, tickers).withColumn("wanted", F.lit(False))
     merged = (
         grid.unionByName(given)
         .groupBy("ticker", F.floor(F.col("sidx") / chunk).cast("long").alias("chunk"), "sidx")

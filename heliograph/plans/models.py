@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.operators import asof, events, fits, scorers, similarity, windows
+from heliograph.operators import asof, builders, events, fits, flatten, scorers, similarity, windows
+from heliograph.operators.ingest import latest, parsed_map, positive_entries
 from heliograph.operators.prices import readings
 from heliograph.operators.sequence import numbered
 from heliograph.session import shared_folder
@@ -97,9 +98,39 @@ def score_cross_section(spark: SparkSession, d: str) -> DataFrame:
     return scorers.score("xsec_rank", _signals(spark, d), chunk=200, lag=2, top=10)
 
 
+def binary_training_rows(spark: SparkSession, d: str) -> DataFrame:
+    return builders.binary_rows(read_table(spark, d, "challenge_data"), "ETH", 300)
+
+
+def score_binary_task(spark: SparkSession, d: str) -> DataFrame:
+    return scorers.score("binary", binary_training_rows(spark, d), chunk=300, lag=60, window=240, refit=240, least_rows=10, least_windows=2, top=12, extra=3, replicates=4, block=60)
+
+
+def bucket_training_rows(spark: SparkSession, d: str) -> DataFrame:
+    return builders.bucket_rows(read_table(spark, d, "challenge_data"), "ETHLBFGS", 30, 120)
+
+
+def score_bucket_task(spark: SparkSession, d: str) -> DataFrame:
+    return scorers.score("lbfgs", bucket_training_rows(spark, d), warm_up=200, chunk=200)
+
+
+def asset_training_rows(spark: SparkSession, d: str) -> DataFrame:
+    flat = flatten.flat_predictions(flatten.payload_branches(read_table(spark, d, "raw_payloads"), flatten.names_of(read_table(spark, d, "task_spec"))))
+    x = F.regexp_extract("value", r"-?[0-9.]+(?:[eE][-+]?[0-9]+)?", 0).try_cast("double")
+    sent = flat.where("branch = 'TRADEMIX' AND value IS NOT NULL").select("ts", F.col("root").alias("hk"), F.col("leaf").alias("asset"), x.alias("x"))
+    maps = read_table(spark, d, "challenge_data").where("ticker = 'TRADEMIX' AND price_data IS NOT NULL").select("sidx", "ts", F.explode(positive_entries(parsed_map(F.col("price_data")))).alias("asset", "price"))
+    prices = latest(maps, ["asset", "sidx"], "ts", ["price"]).select("asset", "sidx", "price")
+    return builders.asset_rows(sent, read_table(spark, d, "blocks"), prices, 12)
+
+
+def same_vector_clusters(spark: SparkSession, d: str) -> DataFrame:
+    rows = builders.vector_rows(read_table(spark, d, "challenge_data"), "ETHLBFGS", 17)
+    return builders.exact_clusters(rows, "sidx", "hk", "vec", eps=0.02, share=0.5, least=2)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (breakout_replay, breakout_stream, late_upsert_stream, univariate_fits, walk_forward_oos, meta_importance, circular_shift_evidence, linked_cohorts, score_binary, score_cross_section)
+    for f in (breakout_replay, breakout_stream, late_upsert_stream, univariate_fits, walk_forward_oos, meta_importance, circular_shift_evidence, linked_cohorts, score_binary, score_cross_section, binary_training_rows, score_binary_task, bucket_training_rows, score_bucket_task, asset_training_rows, same_vector_clusters)
 }
 #: The streamed upsert equals the batch upsert, whose SQL is this.
 SQL = {
