@@ -24,6 +24,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -204,6 +205,19 @@ def worker_coder(vocabulary: str) -> ByteBpe:
     return ByteBpe(vocabulary)
 
 
+def _portions(texts: pa.Array, rows: int = 256, size: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """(start, rows) of portions of at most ``rows`` texts and about ``size`` bytes (one longer text is a portion of its own)."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if i > start and (i - start >= rows or held + n > size):
+            yield start, i - start
+            start, held = i, 0
+        held += int(n)
+    if len(sizes) > start:
+        yield start, len(sizes) - start
+
+
 def encode(documents: DataFrame, text: str = "text", to: str = "ids", vocabulary: str = VOCABULARY, keep: list[str] | None = None) -> DataFrame:
     """The kept columns (all others than ``text`` by default) and ``to``, the texts' token ids (ARRAY<INT>, never null).
 
@@ -220,10 +234,9 @@ def encode(documents: DataFrame, text: str = "text", to: str = "ids", vocabulary
         coder = worker_coder(shipped.value)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            for start in range(0, batch.num_rows, 256):
-                part = texts.slice(start, 256)
-                offsets, ids = coder.encode_batch(part.to_pylist())
+            for start, rows in _portions(texts):
+                offsets, ids = coder.encode_batch(texts.slice(start, rows).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, 256) for i in range(len(kept))), lists], names=[*kept, to])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, rows) for i in range(len(kept))), lists], names=[*kept, to])
 
     return documents.select(*kept, text).mapInArrow(run, schema)

@@ -96,6 +96,21 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+def _parts(texts: list[str], size: int = 1 << 20) -> Iterator[str]:
+    """Texts joined by blanks in parts of about ``size`` characters that overlap by two, so that each trigram is in one part."""
+    held, length = [" "], 1
+    for text in texts:
+        for at in range(0, len(text), size):
+            piece = text[at : at + size] + ("  " if at + size >= len(text) else "")
+            held.append(piece)
+            length += len(piece)
+            if length >= size:
+                joined = "".join(held)
+                yield joined
+                held, length = [joined[-2:]], 2
+    yield "".join(held)
+
+
 def trigram_counts(documents: DataFrame, text: str = "text") -> np.ndarray:
     """Counts of all texts' hashed trigrams (array of ``BUCKETS``; the last place holds the sum)."""
 
@@ -103,8 +118,8 @@ def trigram_counts(documents: DataFrame, text: str = "text") -> np.ndarray:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             # Copies inside a batch count once, so that a text of very many copies doesn't become the rule.
-            joined = "  ".join(sorted({t for t in batch.column(0).to_pylist() if t}))
-            total += np.bincount(_hashes(_codes(f"  {joined}  ")), minlength=BUCKETS)
+            for part in _parts(sorted({t for t in batch.column(0).to_pylist() if t})):
+                total += np.bincount(_hashes(_codes(part)), minlength=BUCKETS)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["bucket", "n"])
 

@@ -47,6 +47,17 @@ def test_memory_is_bounded(coder, reference, monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == reference(many)
 
 
+def test_portions_cover_all_rows():
+    import pyarrow as pa
+
+    from heliograph.llm.bpe import _portions
+
+    texts = pa.array(["a" * n for n in (5, 0, 3, 100, 1)] + [None, "é" * 4])
+    got = list(_portions(texts, 3, 9))
+    assert [i for start, rows in got for i in range(start, start + rows)] == list(range(7)) and all(r <= 3 for _, r in got)
+    assert list(_portions(texts.slice(0, 0))) == []
+
+
 def test_table(spark, reference):
     many = [*texts(300, 3), "x " * 200_000, "x" * 100_000]
     rows = [(i, t, "clash") for i, t in enumerate(many)] + [(None, "a b", "c"), (900, None, "c"), (901, "", "c"), (0, many[0], "clash")]

@@ -84,6 +84,19 @@ def test_a_third_of_all_rows_may_be_copies(spark):
     assert ids == {*range(7000, 7240), *range(8000, 8060)}
 
 
+def test_parts_hold_every_trigram_once():
+    from collections import Counter
+
+    from heliograph.llm.garbled import _parts
+
+    texts = ["abcdefghij", "x", "klmno", "p" * 23]
+    whole = " " + "".join(t + "  " for t in texts)
+    expected = Counter(whole[i : i + 3] for i in range(len(whole) - 2))
+    for size in (3, 4, 7, 100):
+        got = Counter(p[i : i + 3] for p in _parts(texts, size) for i in range(len(p) - 2))
+        assert got == expected
+
+
 def test_costs_are_finite():
     s = Search(np.zeros((1 << 20) + 1, dtype=np.int64))
     assert np.isfinite(s.cost("é")) and s.best("é")[2] == ()
