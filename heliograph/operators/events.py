@@ -130,8 +130,8 @@ def qualified(samples: DataFrame, who: str, score: str, label: str, episode: str
 def episode_weights(samples: DataFrame, episode: str, to: str = "weight") -> DataFrame:
     """1 / rows of the episode, scaled so that all weights sum to the number of rows."""
     n = samples.groupBy(episode).agg(F.count("*").alias("_n"))
-    total = n.agg(F.count("*").alias("_k"), F.sum("_n").alias("_t"))
-    return samples.join(n, episode).join(F.broadcast(total)).withColumn(to, F.col("_t") / (F.col("_n") * F.col("_k"))).drop("_n", "_k", "_t")
+    scale = n.agg(F.sum("_n") / F.count("*")).scalar()
+    return samples.join(n, episode).withColumn(to, scale / F.col("_n")).drop("_n")
 
 
 def latest_state(states: DataFrame, source: str) -> DataFrame:

@@ -53,7 +53,6 @@ def classwise_centred(df: DataFrame, group: list[str], label: str, value: str, t
 
 def softmax_shares(df: DataFrame, log_weight: str, uniqueness: str, to: str = "share") -> DataFrame:
     """exp(x - max)·uniqueness, normalised."""
-    top = df.agg(F.max(log_weight).alias("_x"))
-    raw = df.join(F.broadcast(top)).withColumn("_e", F.exp(F.col(log_weight) - F.col("_x")) * F.col(uniqueness))  # one row
-    total = raw.agg(F.sum("_e").alias("_t"))
-    return raw.join(F.broadcast(total)).withColumn(to, F.when(F.col("_t") > 0, F.col("_e") / F.col("_t")).otherwise(0.0)).drop("_x", "_e", "_t")
+    raw = df.withColumn("_e", F.exp(F.col(log_weight) - df.agg(F.max(log_weight)).scalar()) * F.col(uniqueness))
+    shares = raw.withColumn("_t", raw.agg(F.sum("_e")).scalar())
+    return shares.withColumn(to, F.when(F.col("_t") > 0, F.col("_e") / F.col("_t")).otherwise(0.0)).drop("_e", "_t")

@@ -55,8 +55,8 @@ def selection(rows: DataFrame, segments: DataFrame, window: int, half_life: floa
     scored = fits.walk_forward_scores(rows.where("x IS NOT NULL AND x != 0"), "hk", "pos", "x", "y", segments, c)
     daily = stats.auc(scored.withColumn("w", F.floor(F.col("pos") / window)), ["hk", "w"], "score", F.col("y") == 1)
     enough = daily.where((F.col("n1") + F.col("n0") >= least_rows) & F.col("auc").isNotNull())
-    last = rows.agg(F.floor(F.max("pos") / window).alias("last"))
-    mean = stats.recency_mean(enough.join(F.broadcast(last)), ["hk"], F.col("last") - F.col("w"), "auc", half_life, least_windows)
+    last = rows.agg(F.floor(F.max("pos") / window)).scalar()
+    mean = stats.recency_mean(enough.withColumn("last", last), ["hk"], F.col("last") - F.col("w"), "auc", half_life, least_windows)
     return mean.select("hk", "n", F.coalesce("recency_mean", F.lit(0.5)).alias("score"))
 
 
@@ -96,9 +96,9 @@ def cross_section(rows: DataFrame, chunk: int = 8000, lag: int = 60, top: int =
     chosen = windows.top_k(gains.where("auc IS NOT NULL"), ["segment"], "auc", "hk", top).withColumn("gain", stats.auc_scale(F.col("auc")))
     fitted = fits.univariate(usable.join(segs.select("segment", "fit_end"), F.col("pos") < F.col("fit_end")).join(chosen.select("segment", "hk"), ["segment", "hk"], "left_semi"), ["segment", "hk"], "x", "y")
     weighted = chosen.join(fitted.select("segment", "hk", F.abs("coef").alias("coef")), ["segment", "hk"])
-    last = segs.agg(F.max("segment").alias("last"))
+    last = segs.agg(F.max("segment")).scalar()
     g = F.pow(F.lit(0.5), (F.col("last") - F.col("segment")) / half_life)
-    total = weighted.join(F.broadcast(last)).groupBy("hk").agg(F.sum(g * F.col("coef") * F.col("gain")).alias("s"))
+    total = weighted.withColumn("last", last).groupBy("hk").agg(F.sum(g * F.col("coef") * F.col("gain")).alias("s"))
     return _shares(total, 1e-9)
 
 
@@ -152,13 +152,13 @@ def bucket_votes(rows: DataFrame, classes: int = 5, warm_up: int = 24_000, chunk
     if end is None:
         return rows.select("hk", F.lit(0.0).alias("s")).limit(0)
     segs = windows.segments(rows.sparkSession, warm_up, end + 1, chunk, 0)
-    placed = rows.join(F.broadcast(segs.select("segment", "start", "end")), (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
+    placed = rows.where(F.col("pos") >= warm_up).withColumn("segment", F.floor((F.col("pos") - warm_up) / chunk).cast("long"))
     lift = stats.balanced_accuracy(placed, ["segment", "hk"], "truth", "guess", classes).withColumn("lift", F.greatest(F.col("ba_all") - 1.0 / classes, F.lit(0.0))).where("lift > 0")
     voted = stats.weighted_vote(placed.join(lift, ["segment", "hk"]), ["segment", "pos", "truth"], "guess", "lift")
     won = stats.balanced_accuracy(voted, ["segment"], "truth", "vote", classes).where(F.col("ba_present") > 1.0 / classes)
-    last = segs.agg(F.max("segment").alias("last"))
+    last = segs.agg(F.max("segment")).scalar()
     w = F.pow(F.lit(gamma), F.col("last") - F.col("segment"))
-    total = lift.join(won.select("segment"), "segment", "left_semi").join(F.broadcast(last)).groupBy("hk").agg((F.sum(w * F.col("lift"))).alias("s"))
+    total = lift.join(won.select("segment"), "segment", "left_semi").withColumn("last", last).groupBy("hk").agg((F.sum(w * F.col("lift"))).alias("s"))
     return _shares(windows.top_k(total, [], "s", "hk", top).select("hk", "s"))
 
 

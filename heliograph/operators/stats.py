@@ -36,8 +36,7 @@ def auc_scale(auc_: Column) -> Column:
 def normalise(df: DataFrame, group: list[str], value: str, to: str) -> DataFrame:
     """Value / total per group; 0 where the total is 0."""
     if not group:
-        total = df.agg(F.sum(value).alias("_t"))
-        joined = df.join(F.broadcast(total))  # one row
+        joined = df.withColumn("_t", df.agg(F.sum(value)).scalar())
     else:
         joined = df.join(df.groupBy(*group).agg(F.sum(value).alias("_t")), group)
     return joined.withColumn(to, F.when(F.col("_t") > 0, F.col(value) / F.col("_t")).otherwise(0.0)).drop("_t")
@@ -82,8 +81,11 @@ def discoveries(df: DataFrame, group: list[str], p: str, key: str, q: float) ->
 def cap_shares(df: DataFrame, group: list[str], share: str, cap: float, to: str = "capped") -> DataFrame:
     """Shares above ``cap`` are cut; the excess is offered once to the others in proportion, each up to its room."""
     over = F.greatest(F.col(share) - cap, F.lit(0.0))
-    totals = df.groupBy(*group).agg(F.sum(over).alias("_x"), F.sum(F.when(F.col(share) < cap, F.col(share)).otherwise(0.0)).alias("_u"))
-    joined = df.join(totals, group) if group else df.join(F.broadcast(totals))
+    sums = {"_x": F.sum(over), "_u": F.sum(F.when(F.col(share) < cap, F.col(share)).otherwise(0.0))}
+    if group:
+        joined = df.join(df.groupBy(*group).agg(*(s.alias(c) for c, s in sums.items())), group)
+    else:
+        joined = df.withColumns({c: df.agg(s).scalar() for c, s in sums.items()})
     offered = F.when(F.col("_u") > 0, F.col("_x") * F.col(share) / F.col("_u")).otherwise(0.0)
     return joined.withColumn(to, F.when(F.col(share) >= cap, F.lit(float(cap))).otherwise(F.col(share) + F.least(offered, F.lit(cap) - F.col(share)))).drop("_x", "_u")
 
@@ -124,10 +126,10 @@ def task_average(parts: list[DataFrame], weights: list[float], key: str, value:
 
 def compose_shares(df: DataFrame, key: str, value: str, young: Column, fixed: float) -> DataFrame:
     """Young keys get ``fixed`` each; the others share the rest in proportion."""
-    totals = df.agg(F.count_if(young).alias("_y"), F.sum(F.when(~young, F.col(value)).otherwise(0.0)).alias("_m"))
+    totals = {"_y": df.agg(F.count_if(young)).scalar(), "_m": df.agg(F.sum(F.when(~young, F.col(value)).otherwise(0.0))).scalar()}
     rest = 1 - F.lit(fixed) * F.col("_y")
     share = F.when(young, F.lit(fixed)).when(F.col("_m") > 0, rest * F.col(value) / F.col("_m")).otherwise(0.0)
-    return df.join(F.broadcast(totals)).select(key, share.alias("share"))  # one row
+    return df.withColumns(totals).select(key, share.alias("share"))
 
 
 def uniform_guard(df: DataFrame, group: list[str], value: str, least: float = 0.01) -> DataFrame:

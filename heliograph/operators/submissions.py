@@ -30,8 +30,9 @@ def entries(submissions: DataFrame, text: str, spec: DataFrame, keep: list[str])
     read = submissions.select(*keep, readable(text).alias("v")).where("v IS NOT NULL")
     listed = F.expr(f"CASE WHEN cardinality(try_variant_get(v, '$', 'array<variant>')) = {n} THEN try_variant_get(v, '$', 'array<variant>') END")
     keyed = read.select(*keep, listed.alias("l"), F.expr("try_variant_get(v, '$', 'map<string,variant>')").alias("m"))
+    keyed = keyed.withColumn("ordinal", F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n else F.lit(None).cast("int"))
     value = F.expr("coalesce(try_element_at(l, CAST(ordinal + 1 AS INT)), try_element_at(m, ticker), try_element_at(m, name))")
-    return keyed.join(F.broadcast(tasks)).select(*keep, "ordinal", "ticker", "loss_func", "dim", "assets", value.alias("value"))  # a few tasks per submission
+    return keyed.join(F.broadcast(tasks), "ordinal").select(*keep, "ordinal", "ticker", "loss_func", "dim", "assets", value.alias("value"))
 
 
 def _number(v: str) -> str:

@@ -35,8 +35,8 @@ def merge_upsert(spark: SparkSession, d: str) -> DataFrame:
 def maturity_join(spark: SparkSession, d: str) -> DataFrame:
     blocks = read_table(spark, d, "blocks")
     now = ingest.last_block(blocks)
-    joined = read_table(spark, d, "raw_payloads").select("ts", "hotkey").join(blocks.select(F.col("idx").alias("ts"), "block"), "ts").join(F.broadcast(now.select(F.col("block").alias("now"))))
-    return joined.where(F.col("now") - F.col("block") >= 300).groupBy("hotkey").agg(F.count("*").alias("n"), F.max("block").alias("last_block"))
+    joined = read_table(spark, d, "raw_payloads").select("ts", "hotkey").join(blocks.select(F.col("idx").alias("ts"), "block"), "ts")
+    return joined.where(now.scalar() - F.col("block") >= 300).groupBy("hotkey").agg(F.count("*").alias("n"), F.max("block").alias("last_block"))
 
 
 def sample_gate(spark: SparkSession, d: str) -> DataFrame:

@@ -23,8 +23,7 @@ def _signals(spark: SparkSession, d: str) -> DataFrame:
     e = read_table(spark, d, "events").select("user_id", "event_type", "value", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).cast("long").alias("hour"))
     level = e.groupBy("event_type", "hour").agg(F.avg("value").alias("level"))
     up = asof.offset_join(level, "event_type", "hour", "level", 1, "later").where("later IS NOT NULL").select("event_type", "hour", (F.col("later") > F.col("level")).cast("int").alias("y"))
-    first = e.agg(F.min("hour").alias("first"))
-    return e.join(up, ["event_type", "hour"]).join(F.broadcast(first)).groupBy(F.col("user_id").cast("string").alias("hk"), (F.col("hour") - F.col("first")).alias("pos"), F.col("event_type").alias("asset")).agg(F.avg("value").alias("x"), F.max("y").alias("y"))
+    return e.join(up, ["event_type", "hour"]).withColumn("first", e.agg(F.min("hour")).scalar()).groupBy(F.col("user_id").cast("string").alias("hk"), (F.col("hour") - F.col("first")).alias("pos"), F.col("event_type").alias("asset")).agg(F.avg("value").alias("x"), F.max("y").alias("y"))
 
 
 def breakout_replay(spark: SparkSession, d: str) -> DataFrame:

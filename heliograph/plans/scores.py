@@ -41,8 +41,7 @@ def median_of_means(spark: SparkSession, d: str) -> DataFrame:
 
 def recency_mean(spark: SparkSession, d: str) -> DataFrame:
     daily = _events(spark, d).groupBy("event_type", "day").agg(F.avg("value").alias("level"))
-    last = daily.agg(F.max("day").alias("last"))
-    aged = daily.join(F.broadcast(last))
+    aged = daily.withColumn("last", daily.agg(F.max("day")).scalar())
     return stats.recency_mean(aged, ["event_type"], F.col("last") - F.col("day"), "level", 15.0, 5).select("event_type", "n", R("recency_mean"))
 
 
