@@ -85,7 +85,7 @@ def cap_shares(df: DataFrame, group: list[str], share: str, cap: float, to: str
     if group:
         joined = df.join(df.groupBy(*group).agg(*(s.alias(c) for c, s in sums.items())), group)
     else:
-        joined = df.withColumns({c: df.agg(s).scalar() for c, s in sums.items()})
+        joined = df.withColumn("_s", df.agg(F.struct(*(s.alias(c) for c, s in sums.items()))).scalar()).withColumns({c: F.col("_s")[c] for c in sums}).drop("_s")
     offered = F.when(F.col("_u") > 0, F.col("_x") * F.col(share) / F.col("_u")).otherwise(0.0)
     return joined.withColumn(to, F.when(F.col(share) >= cap, F.lit(float(cap))).otherwise(F.col(share) + F.least(offered, F.lit(cap) - F.col(share)))).drop("_x", "_u")
 
@@ -126,10 +126,11 @@ def task_average(parts: list[DataFrame], weights: list[float], key: str, value:
 
 def compose_shares(df: DataFrame, key: str, value: str, young: Column, fixed: float) -> DataFrame:
     """Young keys get ``fixed`` each; the others share the rest in proportion."""
-    totals = {"_y": df.agg(F.count_if(young)).scalar(), "_m": df.agg(F.sum(F.when(~young, F.col(value)).otherwise(0.0))).scalar()}
+    # One subquery for both sums: several over the same rows, nested in another, are merged wrongly by the optimizer.
+    totals = df.agg(F.struct(F.count_if(young).alias("_y"), F.sum(F.when(~young, F.col(value)).otherwise(0.0)).alias("_m"))).scalar()
     rest = 1 - F.lit(fixed) * F.col("_y")
     share = F.when(young, F.lit(fixed)).when(F.col("_m") > 0, rest * F.col(value) / F.col("_m")).otherwise(0.0)
-    return df.withColumns(totals).select(key, share.alias("share"))
+    return df.withColumn("_t", totals).select("*", "_t.*").select(key, share.alias("share"))
 
 
 def uniform_guard(df: DataFrame, group: list[str], value: str, least: float = 0.01) -> DataFrame:
