@@ -67,6 +67,23 @@ WITH {_GRID},
            WINDOW b AS (PARTITION BY ticker ORDER BY sidx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY ticker ORDER BY sidx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
   judged AS (SELECT *, CASE WHEN price IS NOT NULL THEN 'observed' WHEN bs IS NULL AND ns IS NULL THEN 'missing' WHEN bs IS NULL OR ns IS NULL THEN 'edge' WHEN ns - bs > 30 THEN 'gap' ELSE 'interpolated' END AS status FROM near WHERE wanted)
 SELECT ticker, sidx, CASE status WHEN 'observed' THEN price WHEN 'interpolated' THEN bp + (np - bp) * (CAST(sidx - bs AS DOUBLE) / CAST(ns - bs AS DOUBLE)) END AS price, status, bs AS before_sidx, ns AS after_sidx FROM judged""",
+    "p3_found": """
+WITH names AS (SELECT ticker, unnest([ticker, name]) AS k FROM task_spec WHERE assets IS NOT NULL),
+  pay AS (SELECT ts, hotkey, CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[0]') ELSE j END AS j FROM (SELECT ts, hotkey, TRY_CAST(payload AS JSON) AS j FROM raw_payloads WHERE json_valid(payload))),
+  sent AS (SELECT ts, hotkey, CASE WHEN json_type(j, '$.C.ct') = 'VARCHAR' THEN TRY_CAST(json_extract_string(j, '$.C.ct') AS JSON) ELSE json_extract(j, '$.C.ct') END AS ct FROM pay),
+  tasks AS (SELECT ts, hotkey, ticker, CASE WHEN json_type(e.value, '$.assets') = 'OBJECT' THEN json_extract(e.value, '$.assets') ELSE e.value END AS v FROM sent, json_each(ct) e JOIN names ON e.key = k WHERE json_type(ct) = 'OBJECT'),
+  raw AS (SELECT ts, hotkey, ticker, e.key AS leaf FROM tasks, json_each(v) e WHERE json_type(v) = 'OBJECT' AND e.type != 'NULL'
+    UNION ALL SELECT ts, hotkey, ticker, json_extract_string(e.value, '$.asset') FROM tasks, json_each(v) e WHERE json_type(v) = 'ARRAY' AND coalesce(json_type(e.value, '$.val'), 'NULL') != 'NULL'),
+  st AS (SELECT ts, asset, CASE WHEN json_type(j) = 'VARCHAR' THEN TRY_CAST(json_extract_string(j, '$') AS JSON) ELSE j END AS j FROM (SELECT ts, asset, TRY_CAST(state_json AS JSON) AS j FROM breakout_state WHERE json_valid(state_json))),
+  state AS (SELECT ts, asset, CASE WHEN json_type(j, '$.state') = 'OBJECT' THEN json_extract(j, '$.state') ELSE j END AS j FROM st),
+  samples AS (SELECT ts, asset, slot, json_extract(j, '$.' || slot) AS s FROM state, (SELECT unnest(['pending_high', 'pending_low']) AS slot)
+    UNION ALL SELECT ts, asset, 'completed', e.value FROM state, json_each(json_extract(j, '$.completed')) e WHERE json_type(j, '$.completed') = 'ARRAY'
+    UNION ALL SELECT ts, asset, 'completed', f.value FROM state, json_each(json_extract(j, '$.completed')) e, json_each(e.value) f WHERE json_type(j, '$.completed') = 'OBJECT' AND e.type = 'ARRAY'),
+  emb AS (SELECT ts, asset, slot || ':' || json_extract_string(s, '$.trigger_sidx') AS branch, CASE WHEN json_type(s, '$.embeddings.miners') = 'OBJECT' THEN json_extract(s, '$.embeddings.miners') ELSE json_extract(s, '$.embeddings') END AS v FROM samples WHERE json_type(s) = 'OBJECT'),
+  leaves AS (SELECT ts, asset, branch, e.key AS leaf FROM emb, json_each(v) e WHERE json_type(v) = 'OBJECT' AND e.type != 'NULL'
+    UNION ALL SELECT ts, asset, branch, json_extract_string(e.value, '$.hotkey') FROM emb, json_each(v) e WHERE json_type(v) = 'ARRAY' AND coalesce(json_type(e.value, '$.vec'), 'NULL') != 'NULL')
+SELECT DISTINCT 'raw_payloads' AS src, ts, hotkey AS root, ticker AS branch, leaf FROM raw
+UNION ALL SELECT DISTINCT 'breakout_state', ts, asset, branch, leaf FROM leaves""",
     "p4_found": f"""
 WITH {_GRID.split("grid AS")[0].split("hours")[0]}
   usable AS (SELECT ticker, sidx, arg_max(price, (ts, price)) AS x FROM challenge_data WHERE ticker IN ({_TICKERS}) AND sidx IS NOT NULL AND {_USABLE} GROUP BY ticker, sidx),
