@@ -9,16 +9,13 @@ from heliograph.functions import vectors
 from heliograph.operators import asof, ingest, similarity, windows
 from heliograph.operators.prices import readings
 from heliograph.operators.sequence import numbered
-from heliograph.sources.legacy import blob_rows
+from heliograph.sources.legacy import unpacked
 
 
 def vector_rows(challenge: DataFrame, ticker: str, width: int) -> DataFrame:
     """(sidx, hk, vec) of a ticker; of repeated deliveries the last. Column and ticker filters reach the scan."""
-    spark = challenge.sparkSession
-    spark.udtf.register("heliograph_blob_rows", blob_rows())
     rows = challenge.where((F.col("ticker") == ticker) & (F.length("embeddings") > 0) & F.col("sidx").isNotNull()).select("sidx", "ts", "embeddings")
-    rows.createOrReplaceTempView("heliograph_blobs")
-    flat = spark.sql(f"SELECT sidx, ts, b.hotkey AS hk, b.vec FROM heliograph_blobs, LATERAL heliograph_blob_rows(embeddings, {width}) b")
+    flat = unpacked(rows, "embeddings", width)
     return ingest.latest(flat, ["sidx", "hk"], "ts", ["vec"]).select("sidx", "hk", "vec").where(~F.exists("vec", lambda x: F.isnan(x)))
 
 

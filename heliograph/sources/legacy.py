@@ -7,6 +7,7 @@ import sqlite3
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,6 +94,38 @@ def blob_rows() -> UserDefinedTableFunction:
     return F.udtf(BlobRows, returnType="hotkey string, vec array<float>")
 
 
+def unpacked(rows: DataFrame, blob: str, width: int) -> DataFrame:
+    """S19 for whole tables: all columns but ``blob``, hk and vec, one row per vector.
+
+    Only a blob's header is parsed as text; all vectors of an Arrow batch are
+    one buffer, and the other columns follow by ``take``.
+    """
+    kept = [c for c in rows.columns if c not in (blob, "hk", "vec")]
+    schema = rows.select(*kept).schema.add("hk", T.StringType()).add("vec", T.ArrayType(T.FloatType(), False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, names, parts = [], [], []
+            for i, raw in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                at = raw.find(b"\0") if raw else -1
+                if at < 0:
+                    continue
+                try:
+                    hotkeys = json.loads(raw[:at])
+                except ValueError:
+                    continue
+                if isinstance(hotkeys, list) and len(raw) - at - 1 == len(hotkeys) * width * 2 and all(isinstance(h, str) for h in hotkeys):
+                    owner += [i] * len(hotkeys)
+                    names += hotkeys
+                    parts.append(raw[at + 1 :])
+            values = pa.array(np.frombuffer(b"".join(parts), dtype="<f2").astype(np.float32))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(owner) + 1) * width, width, dtype=np.int32)), values)
+            index = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(index) for c in range(len(kept))), pa.array(names, pa.string()), lists], names=[*kept, "hk", "vec"])
+
+    return rows.select(*kept, blob).mapInArrow(run, schema)
+
+
 def landed_objects(spark: SparkSession, folder: str, largest: int = 25 * 1024 * 1024) -> DataFrame:
     """Files of a folder with path, length and content as text; larger ones are rejected by size before their content is read."""
     files = spark.read.format("binaryFile").load(folder)

@@ -111,6 +111,8 @@ def test_sqlite_and_blobs(spark, tmp_path):
     df.createOrReplaceTempView("old")
     got = spark.sql("SELECT sidx, b.hotkey, b.vec FROM old, LATERAL blob_rows(embeddings, 2) b").collect()
     assert len(got) == 20 and {(r.hotkey, tuple(r.vec)) for r in got} == {("a", (0.0, 1.0)), ("b", (2.0, 3.0))}
+    flat = legacy.unpacked(df.select("sidx", "embeddings"), "embeddings", 2).collect()
+    assert {(r.sidx, r.hk, tuple(r.vec)) for r in flat} == {(r.sidx, r.hotkey, tuple(r.vec)) for r in got}
     again = sinks.packed(spark.createDataFrame([(1, "b", [2.0, 3.0]), (1, "a", [0.0, 1.0])], "k long, h string, v array<double>"), ["k"], "h", "v").first()
     assert bytes(again.embeddings) == blob
 
