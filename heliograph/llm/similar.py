@@ -12,8 +12,8 @@ each of hundreds of thousands of small groups.
    A vector is in its own cell and in those that its tolerance reaches upwards,
    so a cell with all of a group always exists. In a cell tight components are
    separated along every element; whatever is still wider than the tolerance is
-   split by a mixture whose covariance has a floor of the tolerance's variance,
-   while the criterion falls. An exact check of the tolerance follows.
+   grouped by the tolerance itself, in overlapping halves that part no group
+   (a mixture's borders would). An exact check of the tolerance follows.
 
 A cell may see a part of a group only; the smallest record any cell names is
 that of the whole group. Records with the highest density under their group's
@@ -54,6 +54,8 @@ TOLERANCE = 0.02 + 1e-9
 REDUCED, BOXES, PER_CELL, PER_BUCKET = 6, 3, 160, 8000
 #: Vectors of one cell in one batch from which they are grouped before the shuffle.
 CROWDED = 64
+#: Rows up to which wide parts are compared directly, without halving.
+DIRECT = 192
 #: Positions per minute in a record id.
 POSITIONS = 1 << 20
 
@@ -247,8 +249,7 @@ def tight_groups(x: np.ndarray, start: np.ndarray) -> np.ndarray:
     for rows in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
         if not len(rows):
             continue
-        parts = mixture.split_by_criterion(np.nan_to_num(x[rows], posinf=1e6, neginf=-1e6), TOLERANCE / 12**0.5)
-        label[rows] = used + _checked(x[rows], parts)
+        label[rows] = used + _near_groups(x[rows])
         used += len(rows) + 1
     return label
 
@@ -264,11 +265,50 @@ def _wide(x: np.ndarray, label: np.ndarray) -> np.ndarray:
     return wide
 
 
+def _near_groups(x: np.ndarray) -> np.ndarray:
+    """Groups by the tolerance alone: found in overlapping pieces, joined where pieces share a vector, checked exactly."""
+    low, high, queue = [], [], [np.arange(len(x))]
+    while queue:
+        rows = queue.pop()
+        halves = _halves(x[rows]) if len(rows) > DIRECT else None
+        if halves is not None:
+            queue += [rows[half] for half in halves]
+            continue
+        label = _checked(x[rows], np.zeros(len(rows), dtype=np.int64))
+        low.append(rows[np.unique(label, return_index=True)[1]][label])
+        high.append(rows)
+    a, b = np.concatenate(low), np.concatenate(high)
+    root = np.arange(len(x))
+    while (root[a] != root[b]).any():
+        least = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], least)
+        np.minimum.at(root, root[b], least)
+        while (root != root[root]).any():
+            root = root[root]
+    return _checked(x, root)
+
+
+def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Rows on both sides of a border across one element, those within the tolerance of it on both; None where all borders leave too much on both."""
+    best, n = None, len(x)
+    values = np.sort(x, axis=0)
+    for d in range(x.shape[1]):
+        for border in values[[n // 3, n // 2, 2 * n // 3], d]:
+            left = int(np.searchsorted(values[:, d], border, side="right"))
+            right = n - int(np.searchsorted(values[:, d], border - TOLERANCE, side="left"))
+            if max(left, right) <= 0.75 * n and left + right <= 1.3 * n and (best is None or left + right < best[0]):
+                best = left + right, d, border
+    if best is None:
+        return None
+    _, d, border = best
+    return np.flatnonzero(x[:, d] <= border), np.flatnonzero(x[:, d] >= border - TOLERANCE)
+
+
 def _checked(x: np.ndarray, parts: np.ndarray) -> np.ndarray:
     """Exact check: vectors of a part join the first of its vectors that they are similar to."""
     out, used = np.full(len(x), -1), 0
-    for part in np.unique(parts):
-        rest = np.flatnonzero(parts == part)
+    order = np.argsort(parts, kind="stable")
+    for rest in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1):
         while len(rest):
             with np.errstate(invalid="ignore"):
                 near = np.nan_to_num(np.abs(x[rest] - x[rest[0]]), nan=0.0).max(axis=1) <= TOLERANCE

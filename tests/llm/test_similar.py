@@ -96,6 +96,17 @@ def test_tight_groups_split_chains():
         assert np.ptp(x[label == k, 0]) <= 0.02 + 1e-9
 
 
+def test_tight_groups_in_a_crowded_cell():
+    rng = np.random.default_rng(5)
+    truth = np.repeat(np.arange(1500), 3)
+    x = rng.uniform(0.3, 0.46, (1500, W))[truth] + rng.uniform(-0.009, 0.009, (4500, W))
+    x = np.asarray(x, dtype="<f2").astype(float)
+    order = rng.permutation(4500)
+    label = tight_groups(x[order], np.zeros(4500, dtype=int))
+    pairs = {(t, k) for t, k in zip(truth[order].tolist(), label.tolist(), strict=True)}
+    assert len(pairs) == 1500 and len(np.unique(label)) == 1500
+
+
 def test_criterion_finds_the_components():
     rng = np.random.default_rng(0)
     z = np.concatenate([rng.normal(m, 0.3, (400, 2)) for m in ((0, 0), (4, 0), (0, 4))])
