@@ -16,8 +16,10 @@ each of hundreds of thousands of small groups.
    (a mixture's borders would). An exact check of the tolerance follows.
 
 A cell may see a part of a group only; the smallest record any cell names is
-that of the whole group. Records with the highest density under their group's
-component are its most typical members.
+that of the whole group. Records with the highest density under the mean and
+variances of all their group's vectors are its most typical members; where some
+of these didn't travel, a second pass fetches them. Groups of one are groups too
+where the caller asks for them.
 
 Scale: work is split by (ticker, component, bucket of cells), never by
 component alone. Where a batch holds many vectors of one cell, they are grouped
@@ -319,7 +321,7 @@ def _checked(x: np.ndarray, parts: np.ndarray) -> np.ndarray:
 
 
 _SENT = "ticker string, component int, bucket int, cell int, record bigint, vector binary, others array<bigint>"
-_NAMED = "ticker string, record bigint, first bigint, size bigint, density double, component int"
+_NAMED = "ticker string, record bigint, first bigint, size bigint, hidden boolean, density double, component int"
 
 
 def _sent(batches: Iterator[pa.RecordBatch], width: int, grids: dict[str, Grid]) -> Iterator[pa.RecordBatch]:
@@ -361,8 +363,11 @@ def _sent(batches: Iterator[pa.RecordBatch], width: int, grids: dict[str, Grid])
             )
 
 
-def _named(key: tuple, table: pa.Table, width: int) -> pa.Table:
-    """Groups inside the cells of one bucket: every member with the smallest record its cell sees."""
+def _named(key: tuple, table: pa.Table, width: int, least: int) -> pa.Table:
+    """Groups inside the cells of one bucket: every member with the smallest record its cell sees.
+
+    The density holds for groups without hidden members only.
+    """
     table = table.combine_chunks()
     ids = table.column("record").to_numpy()
     x = np.frombuffer(b"".join(table.column("vector").to_pylist()), dtype="<f2").reshape(-1, width).astype(np.float64)
@@ -376,10 +381,11 @@ def _named(key: tuple, table: pa.Table, width: int) -> pa.Table:
     weight = np.add.reduceat(1 + behind[order], starts)
     mean = np.add.reduceat(x[order], starts) / counts[:, None]
     with np.errstate(invalid="ignore"):
-        var = np.maximum(np.add.reduceat((x[order] - np.repeat(mean, counts, axis=0)) ** 2, starts) / counts[:, None], TOLERANCE**2 / 12)
-        density = -0.5 * ((x[order] - np.repeat(mean, counts, axis=0)) ** 2 / np.repeat(var, counts, axis=0)).sum(axis=1)
+        away = (x[order] - np.repeat(mean, counts, axis=0)) ** 2
+        var = np.maximum(np.add.reduceat(away, starts) / counts[:, None], TOLERANCE**2 / 12)
+        density = -0.5 * np.nan_to_num(away / np.repeat(var, counts, axis=0)).sum(axis=1)
     first, size = np.repeat(ids[order][starts], counts), np.repeat(weight, counts)
-    member, named = ids[order], size > 1
+    member, named = ids[order], size >= least
     hidden = np.repeat(np.arange(len(order)), behind[order])
     flat = lists.take(pa.array(order)).flatten().to_numpy(zero_copy_only=False)
     rows = np.concatenate((np.flatnonzero(named), hidden))
@@ -390,7 +396,8 @@ def _named(key: tuple, table: pa.Table, width: int) -> pa.Table:
             "record": pa.array(member),
             "first": pa.array(first[rows]),
             "size": pa.array(size[rows]),
-            "density": pa.array(np.nan_to_num(density[rows])),
+            "hidden": pa.array((size > np.repeat(counts, counts))[rows]),
+            "density": pa.array(density[rows].round(9)),
             "component": pa.array(np.full(len(rows), key[1].as_py(), dtype=np.int32)),
         }
     )
@@ -422,17 +429,42 @@ def _grids(found: DataFrame, width: int) -> dict[str, Grid]:
     return grids
 
 
-def _memberships(found: DataFrame, width: int) -> DataFrame:
-    """Per cell and group seen there: member, smallest record, size, density, component."""
+def _memberships(found: DataFrame, width: int, least: int = 2) -> DataFrame:
+    """Per cell and group of ``least`` or more seen there: member, smallest record, size, whether members are hidden, density, component."""
     grids = _grids(found, width)
     sent = found.where(F.col("ticker").isin(*grids) if grids else F.lit(False)).mapInArrow(partial(_sent, width=width, grids=grids), _SENT)
 
     def named(key, table):  # noqa: ANN001, ANN202
-        return _named(key, table, width)
+        return _named(key, table, width, least)
 
     return sent.groupBy("ticker", "component", "bucket").applyInArrow(named, _NAMED)
 
 
+def _picked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The vectors of the records that ``wanted`` lists."""
+    for batch in batches:
+        first, record, x = [], [], []
+        for blob, wanted in zip(batch.column("data").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+            first += [w["first"] for w in wanted]
+            record += [w["record"] for w in wanted]
+            x.append(np.frombuffer(blob, dtype="<f2").reshape(-1, width)[[w["record"] % POSITIONS for w in wanted]])
+        flat = np.concatenate(x).astype(np.float32).ravel() if x else np.zeros(0, dtype=np.float32)
+        tickers = np.repeat(np.array(batch.column("ticker").to_pylist(), dtype=object), [len(v) for v in x])
+        vector = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([pa.array(tickers, pa.string()), pa.array(first, pa.int64()), pa.array(record, pa.int64()), vector], names=["ticker", "first", "record", "vector"])
+
+
+def _densities(found: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(ticker, first, record, density) of ``members`` under the mean and variances of all vectors of their group; infinite elements have no say."""
+    wanted = members.groupBy("ticker", F.floor(F.col("record") / POSITIONS).cast("long").alias("sidx")).agg(F.collect_list(F.struct("first", "record")).alias("wanted"))
+    picked = found.join(wanted, ["ticker", "sidx"]).select("ticker", "data", "wanted")
+    vectors = cut(picked.mapInArrow(partial(_picked, width=width), "ticker string, first bigint, record bigint, vector array<float>"))
+    at = [F.col("vector")[i].cast("double") for i in range(width)]
+    whole = vectors.groupBy("ticker", "first").agg(F.array(*(F.avg(x) for x in at)).alias("mean"), F.array(*(F.var_pop(x) for x in at)).alias("var"))
+    terms = [F.nanvl((x - F.col("mean")[i]) ** 2 / F.greatest(F.col("var")[i], F.lit(TOLERANCE**2 / 12)), F.lit(0.0)) for i, x in enumerate(at)]
+    return vectors.join(whole, ["ticker", "first"]).select("ticker", "first", "record", F.round(-0.5 * sum(terms[1:], terms[0]), 9).alias("density"))
+
+
 def _with_hotkey(pairs: DataFrame, found: DataFrame, record: str, suffix: str) -> DataFrame:
     """Replaces a record id by sidx and hotkey (columns with the suffix)."""
     names = found.select("ticker", F.col("sidx").alias(f"sidx{suffix}"), F.col("hotkeys").alias("_names"))
@@ -449,17 +481,20 @@ def similar_pairs(challenge: DataFrame, tickers: tuple[str, ...] = VECTOR_TICKER
     return named.select("ticker", "sidx_a", "hotkey_a", "sidx_b", "hotkey_b")
 
 
-def clusters(challenge: DataFrame, tickers: tuple[str, ...] = VECTOR_TICKERS, width: int = WIDTH, typical: int = 3) -> DataFrame:
-    """One row per group of two or more: its smallest record (sidx, hotkey), component, size and most typical members.
+def clusters(challenge: DataFrame, tickers: tuple[str, ...] = VECTOR_TICKERS, width: int = WIDTH, typical: int = 3, least: int = 2) -> DataFrame:
+    """One row per group of ``least`` or more: its smallest record (sidx, hotkey), component, size and most typical members.
 
-    ``typical`` lists up to that many (sidx, hotkey), by density, then by record.
+    ``typical`` lists up to that many (sidx, hotkey), by density (to nine
+    decimals, so that the order of sums doesn't decide), then by record.
     """
     found = cut(records(challenge, tickers, width))
-    seen = _memberships(found, width)
-    whole = cut(seen.groupBy("ticker", "record").agg(F.min("first").alias("first"), F.max(F.struct("size", F.col("first") * -1, "density", "component")).alias("at")))
+    seen = _memberships(found, width, least)
+    whole = cut(seen.groupBy("ticker", "record").agg(F.min("first").alias("first"), F.max(F.struct("size", F.col("first") * -1, "hidden", "density", "component")).alias("at")))
     sizes = whole.groupBy("ticker", "first").agg(F.count("*").alias("size"), F.min("at.component").alias("component"))
-    rank = Window.partitionBy("ticker", "first").orderBy(F.desc("at.density"), "record")
-    top = whole.select("ticker", "first", "record", F.row_number().over(rank).alias("rank")).where(F.col("rank") <= typical)
+    known = whole.where("NOT at.hidden").select("ticker", "first", "record", "at.density")
+    scored = known.unionByName(_densities(found, whole.where("at.hidden"), width))
+    rank = Window.partitionBy("ticker", "first").orderBy(F.desc("density"), "record")
+    top = scored.select("ticker", "first", "record", F.row_number().over(rank).alias("rank")).where(F.col("rank") <= typical)
     shown = _with_hotkey(top, found, "record", "_m").groupBy("ticker", "first").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("sidx_m").alias("sidx"), F.col("hotkey_m").alias("hotkey")))).alias("typical"))
     both = _with_hotkey(sizes.join(shown, ["ticker", "first"]), found, "first", "")
     return both.select("ticker", "sidx", "hotkey", "component", "size", F.transform("typical", lambda t: F.struct(t["sidx"].alias("sidx"), t["hotkey"].alias("hotkey"))).alias("typical"))

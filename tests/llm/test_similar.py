@@ -67,6 +67,24 @@ def test_clusters_describe_groups(spark):
     assert all(1 <= len(r.typical) <= 2 for r in got)
 
 
+def test_typical_members_of_hot_groups_and_groups_of_one(spark):
+    records, rows = data(6, hot=900)
+    groups = {}
+    for _, *key in brute(records):
+        groups.setdefault(tuple(key[:2]), {tuple(key[:2])}).add(tuple(key[2:]))
+    for key in records.keys() - {m for g in groups.values() for m in g}:
+        groups[key] = {key}
+    wanted = {}
+    for first, members in groups.items():
+        keys = sorted(members, key=lambda k: (k[0], k[1].encode()))
+        x = np.stack([records[k] for k in keys])
+        density = (-0.5 * (x - x.mean(axis=0)) ** 2 / np.maximum(x.var(axis=0), 0.02**2 / 12)).sum(axis=1)
+        wanted[first] = (len(keys), [keys[i] for i in np.argsort(-density.round(8), kind="stable")[:3]])
+    for parts in (1, 3):
+        got = clusters(spark.createDataFrame(rows, CH).repartition(parts), least=1).collect()
+        assert {(r.sidx, r.hotkey): (r["size"], [tuple(t) for t in r.typical]) for r in got} == wanted
+
+
 def test_unusable_vectors_and_late_deliveries(spark):
     one, two = np.full(W, 0.3), np.full(W, 0.7)
     nan, inf = one.copy(), two.copy()
