@@ -13,7 +13,7 @@ Vectors are the same content when they belong to the same task.
 The scan aggregates map-side to one row per (feed, file, path, kind, width);
 all later work is on that summary. ``consistent_payloads`` returns every
 payload in one table: renamed paths under one name, conflicting kinds in typed
-branches beside one canonical text.
+branches beside one canonical text, and no member of an envelope left out.
 
 Defined cases: unreadable payloads and rows without feed or file number belong
 to no file; a file without any readable payload is skipped; a null value counts
@@ -46,10 +46,29 @@ def _envelopes(payloads: DataFrame, *keep: str) -> DataFrame:
     """Readable payloads: kept columns, the envelope and the opened submission."""
     allow_repeated_keys(payloads.sparkSession)
     read = payloads.select(*keep, readable("payload").alias("v")).where("v IS NOT NULL")
-    env = read.select(*keep, F.expr("CASE WHEN startswith(schema_of_variant(v), 'ARRAY') THEN try_variant_get(v, '$[0]', 'variant') ELSE v END").alias("env"))
+    env = read.select(*keep, "v", F.expr("CASE WHEN startswith(schema_of_variant(v), 'ARRAY') THEN try_variant_get(v, '$[0]', 'variant') ELSE v END").alias("env"))
     return env.withColumn("ct", F.expr("try_variant_get(env, '$.C.ct', 'variant')")).withColumn("ct", opened("ct"))
 
 
+_MEMBERS = "try_variant_get({}, '$', 'map<string,variant>')"
+
+
+def _every_path() -> str:
+    """SQL: all (path, value) pairs of a payload; objects C, W_owner and C.ct by their members, whatever else they are as it is.
+
+    ``$`` is a whole payload that is no object, or a list of other than one envelope.
+    """
+    entries = lambda m: f"coalesce(map_entries({_MEMBERS.format(m)}), array())"
+    under = lambda m, p: f"transform({entries(m)}, e -> named_struct('key', concat('{p}', e.key), 'value', e.value))"
+    split = lambda m: f"coalesce(cardinality({_MEMBERS.format(m)}), 0) > 0"
+    inner = lambda path: f"try_variant_get(env, '$.{path}', 'variant')"
+    return (
+        f"concat(filter({entries('env')}, e -> NOT (e.key IN ('C', 'W_owner') AND {split('e.value')})), {under(inner('W_owner'), 'W_owner.')}, "
+        f"filter({under(inner('C'), 'C.')}, e -> NOT (e.key = 'C.ct' AND {split('ct')})), {under('ct', 'C.ct.')}, "
+        f"filter(array(named_struct('key', '$', 'value', v)), e -> {_MEMBERS.format('env')} IS NULL OR cardinality(try_variant_get(v, '$', 'array<variant>')) != 1))"
+    )
+
+
 def _paths(multi: tuple[str, ...]) -> str:
     """SQL: all (path, value) pairs of an envelope."""
     entries = lambda m: f"coalesce(map_entries(try_variant_get({m}, '$', 'map<string,variant>')), array())"
@@ -261,22 +280,36 @@ def canonical_names(changes: DataFrame) -> dict[str, str]:
     return {x: find(x) for x in parent}
 
 
-def consistent_payloads(payloads: DataFrame, names: dict[str, str], multi: tuple[str, ...] = tuple(MULTI_ASSET)) -> DataFrame:
+def consistent_payloads(payloads: DataFrame, names: dict[str, str], multi: dict[str, str] = MULTI_ASSET) -> DataFrame:
     """Every readable payload in one schema: ts, hotkey, feed, file_no, fields.
 
     ``fields`` maps the canonical path to a tagged union: ``kind``, one typed
-    branch per kind (the others null) and ``canonical``, the value as text.
+    branch per kind (the others null), ``canonical``, the value as text, and
+    ``written``, the path as the payload has it. Further values of a payload
+    that come under the same canonical path are unions in ``others``.
     """
     env = _envelopes(payloads, "ts", "hotkey", "feed", "file_no")
-    known = "map(" + ", ".join(f"'{a}', '{b}'" for a, b in sorted(names.items())) + ")" if names else "CAST(map() AS map<string,string>)"
-    tagged = (
-        "named_struct('kind', k.kind, 'number', CASE WHEN k.kind = 'number' THEN try_variant_get(k.v, '$', 'double') END, "
-        "'string', CASE WHEN k.kind = 'string' THEN try_variant_get(k.v, '$', 'string') END, "
-        "'boolean', CASE WHEN k.kind = 'boolean' THEN try_variant_get(k.v, '$', 'boolean') END, "
-        "'array', CASE WHEN k.kind = 'array' THEN try_variant_get(k.v, '$', 'array<string>') END, "
-        "'object', CASE WHEN k.kind = 'object' THEN try_variant_get(k.v, '$', 'map<string,string>') END, "
-        "'canonical', CASE WHEN k.kind = 'object' THEN concat_ws('/', map_values(try_variant_get(k.v, '$', 'map<string,string>'))) ELSE try_variant_get(k.v, '$', 'string') END)"
+    same = {f"C.ct.{a}": f"C.ct.{b}" for a, b in multi.items() if a != b} | names
+    known = "map(" + ", ".join(f"'{a}', '{b}'" for a, b in sorted(same.items())) + ")" if same else "CAST(map() AS map<string,string>)"
+    branches = {
+        "kind": "k.kind",
+        "number": "CASE WHEN k.kind = 'number' THEN try_variant_get(k.v, '$', 'double') END",
+        "string": "CASE WHEN k.kind = 'string' THEN try_variant_get(k.v, '$', 'string') END",
+        "boolean": "CASE WHEN k.kind = 'boolean' THEN try_variant_get(k.v, '$', 'boolean') END",
+        "array": "CASE WHEN k.kind = 'array' THEN try_variant_get(k.v, '$', 'array<string>') END",
+        "object": "CASE WHEN k.kind = 'object' THEN try_variant_get(k.v, '$', 'map<string,string>') END",
+        "canonical": "CASE WHEN k.kind = 'object' THEN concat_ws('/', map_values(try_variant_get(k.v, '$', 'map<string,string>'))) ELSE try_variant_get(k.v, '$', 'string') END",
+        "written": "k.written",
+    }
+    struct = lambda values, others: "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in values.items()) + f"{others})"
+    union = struct(branches, "")
+    several = struct({name: f"u[0].{name}" for name in branches}, ", 'others', slice(u, 2, cardinality(u))")
+    kinds = f"transform({_every_path()}, e -> transform(array(schema_of_variant(e.value)), s -> named_struct('path', coalesce({known}[e.key], e.key), 'written', e.key, 'v', e.value, 'kind', {_KIND}))[0])"
+    # Nearly all payloads have each path once; the rest look through all their values for each path.
+    alone = f"transform(ks, k -> named_struct('key', k.path, 'value', transform(array(array({union})), u -> {several})[0]))"
+    shared = f"transform(array_distinct(ks.path), p -> named_struct('key', p, 'value', transform(array(transform(filter(ks, k -> k.path = p), k -> {union})), u -> {several})[0]))"
+    once = (
+        f"transform(array({kinds}), ks -> map_from_entries(array_sort(CASE WHEN cardinality(array_distinct(ks.path)) = cardinality(ks) THEN {alone} ELSE {shared} END, "
+        "(a, b) -> CASE WHEN a.key < b.key THEN -1 WHEN a.key > b.key THEN 1 ELSE 0 END)))[0]"
     )
-    kinds = f"transform({_paths(multi)}, e -> transform(array(schema_of_variant(e.value)), s -> named_struct('path', coalesce({known}[e.key], e.key), 'v', e.value, 'kind', {_KIND}))[0])"
-    once = f"map_from_entries(array_sort(transform(aggregate({kinds}, CAST(array() AS array<struct<path: string, v: variant, kind: string>>), (acc, k) -> CASE WHEN exists(acc, o -> o.path = k.path) THEN acc ELSE concat(acc, array(k)) END), k -> named_struct('key', k.path, 'value', {tagged})), (a, b) -> CASE WHEN a.key < b.key THEN -1 WHEN a.key > b.key THEN 1 ELSE 0 END))"
     return env.select("ts", "hotkey", "feed", "file_no", F.expr(once).alias("fields"))

@@ -61,6 +61,30 @@ def test_the_kind_is_chosen_before_the_width(spark):
     assert payload_changes(spark.createDataFrame(rows, RAW), TASKS).collect() == []
 
 
+def test_the_consistent_table_keeps_every_value(spark):
+    sent = [
+        {"round": 7, "rnd": "8", "C": {"nonce": "n", "ct": {"hotkey": "x", "ETH": [0.1], "MULTI-BREAKOUT": {"TON": [0.5, 0.8]}, "TRADEMIX": {"BTC": 1, "TAO": None}}}, "W_owner": {"ct": "a"}},
+        {"C": "plain", "W_owner": [1, 2]},
+        {"C": {"ct": "not JSON"}, "W_owner": {}},
+        {"C": {"ct": json.dumps({"ETH": [0.2]})}, "W_owner": None},
+        [{"v": 1}, {"v": 2}],
+        [{"v": 1}],
+        5,
+    ]
+    rows = [(i, "h", json.dumps(p), "a", 0, "x") for i, p in enumerate(sent)]
+    got = {r.ts: r.fields for r in consistent_payloads(spark.createDataFrame(rows, RAW), {"rnd": "rnd", "round": "rnd"}).collect()}
+    assert {k: set(v) for k, v in got.items()} == {
+        0: {"rnd", "C.nonce", "C.ct.hotkey", "C.ct.ETH", "C.ct.MULTIBREAKOUT", "C.ct.TRADEMIX", "W_owner.ct"},
+        1: {"C", "W_owner"}, 2: {"C.ct", "W_owner"}, 3: {"C.ct.ETH", "W_owner"}, 4: {"v", "$"}, 5: {"v"}, 6: {"$"},
+    }
+    both = [got[0]["rnd"], *got[0]["rnd"].others]
+    assert {(u.written, u.kind, u.canonical) for u in both} == {("round", "number", "7"), ("rnd", "string", "8")}
+    assert got[0]["C.ct.TRADEMIX"].object == {"BTC": "1", "TAO": None} and got[0]["C.ct.MULTIBREAKOUT"].written == "C.ct.MULTI-BREAKOUT"
+    assert got[0]["C.nonce"].string == "n" and got[0]["C.nonce"].others == []
+    assert got[1]["C"].string == "plain" and got[1]["W_owner"].array == ["1", "2"] and got[2]["C.ct"].string == "not JSON" and got[3]["W_owner"].kind == "null"
+    assert got[4]["$"].array == ['{"v":1}', '{"v":2}'] and got[6]["$"].number == 5
+
+
 def test_listing(spark):
     rows = [("A", 2, 1, 0), ("B", 3, 1, 0), ("A", 2, 9, 1), ("A", 2, 9, 1), ("B", 4, None, 1), ("C", 1, 1, 1), ("A", None, 1, 2), ("C", 1, 1, 2), (None, 1, 1, 2), ("D", 1, 1, None)]
     got = {tuple(r) for r in listing_changes(spark.createDataFrame(rows, META)).collect()}
