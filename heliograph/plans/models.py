@@ -11,7 +11,7 @@ from heliograph.operators import asof, builders, events, fits, flatten, scorers,
 from heliograph.operators.ingest import latest, parsed_map, positive_entries
 from heliograph.operators.prices import readings
 from heliograph.operators.sequence import numbered
-from heliograph.session import shared_folder
+from heliograph.session import cut, shared_folder
 from heliograph.sources.tables import read_table
 from heliograph.streaming import ingest, tracker
 
@@ -60,7 +60,9 @@ def univariate_fits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def walk_forward_oos(spark: SparkSession, d: str) -> DataFrame:
-    return fits.walk_forward_scores(_signals(spark, d), "hk", "pos", "x", "y", windows.segments(spark, 200, 100_000, 200, 2), least=20)
+    s = cut(_signals(spark, d))
+    last = s.agg(F.max("pos")).first()[0]
+    return fits.walk_forward_scores(s, "hk", "pos", "x", "y", windows.segments(spark, 200, 200 if last is None else last + 1, 200, 2), least=20)
 
 
 def meta_importance(spark: SparkSession, d: str) -> DataFrame:

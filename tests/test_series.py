@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from heliograph.operators import asof, windows
 from heliograph.operators.sequence import fill_forward, numbered, running_sum
+from heliograph.plans import models, series
 
 
 @pytest.fixture(scope="module")
@@ -122,3 +123,21 @@ def test_rolling_beta_mixes_the_divisors(spark):
     assert got[20].beta_used == pytest.approx(0.7 * np.cov(x[10:20], m[10:20])[0, 1] / (m[10:20].var() + 1e-12) + 0.3)
     assert got[21].beta_used == got[23].beta_used == got[20].beta_used != got[24].beta_used
     assert got[9].beta_used is None
+
+
+def test_walk_forward_segments_reach_the_last_reading(spark, tmp_path):
+    n = 2_000_301
+    spark.range(n).select(F.lit("ETH").alias("ticker"), F.col("id").alias("sidx"), F.lit(1.5).alias("price"), F.col("id").alias("ts")).write.parquet(f"{tmp_path}/challenge_data.parquet")
+    got = series.walk_forward_segments(spark, str(tmp_path))
+    last = got.orderBy(F.desc("segment")).first()
+    assert got.agg(F.sum("n")).first()[0] == n - 200
+    assert (last.segment, last.from_sidx, last.fit_end) == ((n - 201) // 150, 200 + (n - 201) // 150 * 150, 140 + (n - 201) // 150 * 150)
+
+
+def test_walk_forward_scores_reach_the_last_hour(spark, tmp_path):
+    rnd = random.Random(1)
+    hours = [*range(300), *range(100_400, 100_460)]
+    e = spark.createDataFrame([(i, 7, "a", rnd.random(), h * 3600) for i, h in enumerate(hours)], "event_id long, user_id long, event_type string, value double, second long")
+    e.withColumn("ts", F.timestamp_seconds("second")).drop("second").write.parquet(f"{tmp_path}/events.parquet")
+    got = models.walk_forward_oos(spark, str(tmp_path))
+    assert got.where("pos >= 100400").count() == 59
