@@ -1,32 +1,35 @@
 """Clusters of mutually similar vectors, each with its size and most typical members.
 
 Method: Gaussian mixtures fitted by expectation-maximisation with regularised
-covariance, on two levels, because a flat mixture would need a component for
-each of hundreds of thousands of small groups.
-
-1. Over all vectors of a ticker, standardised and reduced to principal axes, a
-   mixture is fitted to cell statistics (every vector counts; the number of
-   cells is bounded) and its components are chosen by the Bayesian information
-   criterion. Components route the data: they are the clusters' regions.
-2. Inside a component vectors meet in cells of a grid over the widest elements.
-   A vector is in its own cell and in those that its tolerance reaches upwards,
-   so a cell with all of a group always exists. In a cell tight components are
-   separated along every element; whatever is still wider than the tolerance is
-   grouped by the tolerance itself, in overlapping halves that part no group
-   (a mixture's borders would). An exact check of the tolerance follows.
-
-A cell may see a part of a group only; the smallest record any cell names is
-that of the whole group. Records with the highest density under the mean and
-variances of all their group's vectors are its most typical members; where some
-of these didn't travel, a second pass fetches them. Groups of one are groups too
-where the caller asks for them.
+covariance on standardised, reduced features, on two levels, because a flat
+mixture would need a component for each of hundreds of thousands of small
+groups.
+
+1. Over all vectors of a ticker a mixture is fitted to cell statistics (every
+   vector counts; the number of cells is bounded). Its components route the
+   data: they are the clusters' regions.
+2. Inside a component vectors meet in cells of a grid over the widest elements,
+   each in its own cell and in those that its tolerance reaches upwards, so a
+   cell with all of a group always exists. In each cell a mixture is fitted
+   whose components are the groups: the information criterion chooses their
+   number, posteriors assign the vectors, and the tolerance is checked exactly
+   (``mixture.local_components``). Cells of very many vectors are fitted in
+   overlapping halves, and components that share a vector are one.
+
+A vector that no component holds within the tolerance is in no group with
+others. A cell may see a part of a group only; the smallest record any cell
+names is that of the whole group. A group's most typical members are those of
+the highest density under its component: mean and variances (regularised by
+the tolerance's) of all its vectors.
 
 Scale: work is split by (ticker, component, bucket of cells), never by
-component alone. Where a batch holds many vectors of one cell, they are grouped
-before the shuffle and only their smallest record travels, with the others'
-ids; a group that holds a third of all rows thus arrives as one row per batch.
-Records travel as (minute, position) in one integer that orders like (sidx,
-hotkey); hotkeys are joined to the final pairs.
+component alone. Where a batch holds many vectors of one cell, those similar to
+each other travel as one weighted point (count, sum, sum of squares, extremes)
+under their smallest record; the others behind it find their group by a join
+on that record, of which there is one per batch and group, so a group that
+holds a third of all rows meets nowhere as a whole. Records travel as (minute,
+position) in one integer that orders like (sidx, hotkey); hotkeys are joined to
+the final pairs.
 
 Defined cases: null, empty or unusable blobs hold no vectors; all-zero vectors
 and those with NaN are no records; of repeated deliveries of (ticker, sidx,
@@ -42,6 +45,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,10 +58,10 @@ VECTOR_TICKERS, WIDTH = ("ETHLBFGS", "BTCLBFGS"), 17
 TOLERANCE = 0.02 + 1e-9
 #: Reduced features; boxes per feature of the cell statistics; vectors per grid cell aimed at; rows per bucket aimed at.
 REDUCED, BOXES, PER_CELL, PER_BUCKET = 6, 3, 160, 8000
-#: Vectors of one cell in one batch from which they are grouped before the shuffle.
+#: Vectors of one cell in one batch from which similar ones travel as one point (the result is the same).
 CROWDED = 64
-#: Rows up to which wide parts are compared directly, without halving.
-DIRECT = 192
+#: Points up to which a cell is fitted as a whole, without halving.
+DIRECT = 600
 #: Positions per minute in a record id.
 POSITIONS = 1 << 20
 
@@ -98,6 +102,8 @@ def _merged(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             kept = {h: v for h, v in records.items() if not np.isnan(v).any() and v.any()}
             if kept:
                 order = sorted(kept, key=str.encode)
+                if len(order) > POSITIONS:
+                    raise ValueError(f"more than {POSITIONS} hotkeys in minute {sidx} of {ticker}")
                 tickers.append(ticker)
                 minutes.append(sidx)
                 names.append(order)
@@ -128,18 +134,14 @@ def _vectors(batch: pa.RecordBatch, width: int) -> Iterator[tuple[str, np.ndarra
 
 
 def _moments(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    sums: dict[str, list] = {}
+    """Count (at -1), sums (0, 1, ...) and sums of products of the elements, one row each."""
+    sums: dict[str, np.ndarray] = {}
     for batch in batches:
         for ticker, _, x in _vectors(batch, width):
             x = x[np.isfinite(x).all(axis=1)]
-            s = sums.setdefault(ticker, [0.0, np.zeros(width), np.zeros((width, width))])
-            s[0] += len(x)
-            s[1] += x.sum(axis=0)
-            s[2] += x.T @ x
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(sums), pa.string()), pa.array([float(s[0]) for s in sums.values()], pa.float64()), pa.array([s[1].tolist() for s in sums.values()], pa.list_(pa.float64())), pa.array([s[2].ravel().tolist() for s in sums.values()], pa.list_(pa.float64()))],
-        names=["ticker", "n", "total", "scatter"],
-    )
+            sums[ticker] = sums.get(ticker, 0.0) + np.concatenate(([len(x)], x.sum(axis=0), (x.T @ x).ravel()))
+    for ticker, total in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([ticker] * len(total), pa.string()), pa.array(np.arange(-1, len(total) - 1, dtype=np.int32)), pa.array(total)], names=["ticker", "at", "total"])
 
 
 def _boxes(batches: Iterator[pa.RecordBatch], width: int, features: dict[str, mixture.Features], boxes: int) -> Iterator[pa.RecordBatch]:
@@ -213,206 +215,204 @@ class Grid:
         return self.model.log_densities(self.features(centre)).argmax(axis=1)
 
 
-def tight_groups(x: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Labels of groups inside the parts that ``start`` labels: no element of a group spans more than the tolerance.
-
-    Parts are cut wherever sorted values of an element leave a gap above the
-    tolerance (two similar vectors never end on different sides), element by
-    element until nothing changes; parts that are still wider go through
-    ``mixture.split_by_criterion``, and an exact check separates what isn't
-    mutually similar.
-    """
-    label = np.unique(start, return_inverse=True)[1].astype(np.int64)
-    if len(x) < 2:
-        return label
-    active, quiet, d = np.arange(len(x)), 0, 0
-    used = int(label.max()) + 1
-    while len(active) and quiet < x.shape[1]:
-        part, value = label[active], x[active, d]
-        order = np.lexsort((value, part))
-        p, v = part[order], value[order]
-        with np.errstate(invalid="ignore"):
-            new = np.r_[True, (p[1:] != p[:-1]) | (v[1:] - v[:-1] > TOLERANCE)]
-        pieces = np.cumsum(new) - 1
-        if pieces[-1] + 1 == len(np.unique(p)):
-            quiet += 1
-        else:
-            quiet = 0
-            label[active[order]] = used + pieces
-            used += int(pieces[-1]) + 1
-            sizes = np.bincount(pieces)
-            active = active[order][sizes[pieces] > 1]
-        d = (d + 1) % x.shape[1]
-        if d == 0 and len(active):
-            active = active[_wide(x[active], label[active])]
-    if len(active):
-        active = active[_wide(x[active], label[active])]
-    order = active[np.argsort(label[active], kind="stable")]
-    for rows in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
-        if not len(rows):
-            continue
-        label[rows] = used + _near_groups(x[rows])
-        used += len(rows) + 1
+def cell_groups(points: mixture.Points, cells: np.ndarray, reduced: int = REDUCED) -> np.ndarray:
+    """Labels of the groups inside the cells that ``cells`` labels: no element of a group spans more than the tolerance."""
+    label, used = np.empty(len(points), dtype=np.int64), 0
+    if np.isinf(points.low).any():
+        # An infinite element only equals itself: such points meet those infinite in the same places, in what is finite.
+        signs = np.where(np.isinf(points.low), np.sign(points.low), 0.0)
+        cells = np.unique(np.column_stack((cells, signs)), axis=0, return_inverse=True)[1].ravel()
+        zeroed = np.where(signs != 0, 0.0, points.low), np.where(signs != 0, 0.0, points.high)
+        plain = lambda v: np.where(signs != 0, 0.0, v)
+        points = mixture.Points(points.count, plain(points.total), plain(points.square), *zeroed)
+    order = np.argsort(cells, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1) if len(order) else ():
+        found = _fitted(points[rows], reduced)
+        alone = np.flatnonzero(found < 0)
+        found[alone] = len(rows) + alone
+        label[rows] = used + found
+        used += 2 * len(rows)
     return label
 
 
-def _wide(x: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Which rows belong to a part that some element spans by more than the tolerance."""
-    order = np.argsort(label, kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(label[order]) != 0])
-    with np.errstate(invalid="ignore"):
-        spread = (np.maximum.reduceat(x[order], starts) - np.minimum.reduceat(x[order], starts)).max(axis=1)
-    wide = np.empty(len(x), dtype=bool)
-    wide[order] = np.repeat(~(spread <= TOLERANCE), np.diff(np.r_[starts, len(x)]))
-    return wide
-
-
-def _near_groups(x: np.ndarray) -> np.ndarray:
-    """Groups by the tolerance alone: found in overlapping pieces, joined where pieces share a vector, checked exactly."""
-    low, high, queue = [], [], [np.arange(len(x))]
+def _fitted(points: mixture.Points, reduced: int) -> np.ndarray:
+    """Components of one cell's points (-1: in none), fitted in overlapping pieces, joined where pieces share a point, checked exactly."""
+    if len(points) <= DIRECT:
+        return mixture.local_components(points, TOLERANCE, reduced)
+    low, high, queue = [], [], [np.arange(len(points))]
     while queue:
         rows = queue.pop()
-        halves = _halves(x[rows]) if len(rows) > DIRECT else None
+        halves = _halves(points[rows]) if len(rows) > DIRECT else None
         if halves is not None:
             queue += [rows[half] for half in halves]
             continue
-        label = _checked(x[rows], np.zeros(len(rows), dtype=np.int64))
-        low.append(rows[np.unique(label, return_index=True)[1]][label])
-        high.append(rows)
+        label = mixture.local_components(points[rows], TOLERANCE, reduced)
+        held = np.flatnonzero(label >= 0)
+        if len(held):
+            _, first, own = np.unique(label[held], return_index=True, return_inverse=True)
+            low.append(rows[held[first]][own])
+            high.append(rows[held])
+    root = np.arange(len(points))
+    if not low:
+        return np.full(len(points), -1)
     a, b = np.concatenate(low), np.concatenate(high)
-    root = np.arange(len(x))
     while (root[a] != root[b]).any():
         least = np.minimum(root[a], root[b])
         np.minimum.at(root, root[a], least)
         np.minimum.at(root, root[b], least)
         while (root != root[root]).any():
             root = root[root]
-    return _checked(x, root)
-
-
-def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """Rows on both sides of a border across one element, those within the tolerance of it on both; None where all borders leave too much on both."""
-    best, n = None, len(x)
-    values = np.sort(x, axis=0)
-    for d in range(x.shape[1]):
-        for border in values[[n // 3, n // 2, 2 * n // 3], d]:
-            left = int(np.searchsorted(values[:, d], border, side="right"))
-            right = n - int(np.searchsorted(values[:, d], border - TOLERANCE, side="left"))
+    joined = np.unique(root, return_inverse=True)[1]
+    wide = mixture.spans(points, joined)[joined] > TOLERANCE
+    joined[wide] = -1
+    return joined
+
+
+def _halves(points: mixture.Points) -> tuple[np.ndarray, np.ndarray] | None:
+    """Points on both sides of a border across one element, those within the tolerance of it on both; None where all borders leave too much on both."""
+    best, n = None, len(points)
+    lows, highs = np.sort(points.low, axis=0), np.sort(points.high, axis=0)
+    for d in range(points.low.shape[1]):
+        for border in lows[[n // 3, n // 2, 2 * n // 3], d]:
+            left = int(np.searchsorted(lows[:, d], border, side="right"))
+            right = n - int(np.searchsorted(highs[:, d], border - TOLERANCE, side="left"))
             if max(left, right) <= 0.75 * n and left + right <= 1.3 * n and (best is None or left + right < best[0]):
                 best = left + right, d, border
     if best is None:
         return None
     _, d, border = best
-    return np.flatnonzero(x[:, d] <= border), np.flatnonzero(x[:, d] >= border - TOLERANCE)
+    return np.flatnonzero(points.low[:, d] <= border), np.flatnonzero(points.high[:, d] >= border - TOLERANCE)
 
 
-def _checked(x: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """Exact check: vectors of a part join the first of its vectors that they are similar to."""
-    out, used = np.full(len(x), -1), 0
-    order = np.argsort(parts, kind="stable")
-    for rest in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1):
+def _crowds(ids: np.ndarray, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Row of the smallest record of each vector's crowd: vectors of a crowded cell that are all similar to each other."""
+    behind = np.arange(len(x))
+    _, inverse, counts = np.unique(cell, return_inverse=True, return_counts=True)
+    crowded = np.flatnonzero(counts[inverse] > CROWDED)
+    crowded = crowded[np.lexsort((ids[crowded], inverse[crowded]))]
+    for rest in np.split(crowded, np.flatnonzero(np.diff(inverse[crowded])) + 1) if len(crowded) else ():
         while len(rest):
             with np.errstate(invalid="ignore"):
-                near = np.nan_to_num(np.abs(x[rest] - x[rest[0]]), nan=0.0).max(axis=1) <= TOLERANCE
-            out[rest[near]] = used
-            used += 1
+                near = np.abs(x[rest] - x[rest[0]]).max(axis=1) <= TOLERANCE
+            near[0] = True
+            rows = rest[near]
+            if len(rows) > 1 and np.ptp(x[rows], axis=0).max() <= TOLERANCE:
+                behind[rows] = rows[0]
             rest = rest[~near]
-    return out
+    return behind
+
 
+_SENT = "ticker string, component int, bucket int, cell int, record bigint, vector binary, count bigint, crowd binary"
+_NAMED = "ticker string, record bigint, first bigint, size bigint, crowd boolean, density double, component int, mean array<double>, var array<double>"
+_BEHIND = "ticker string, record bigint, before bigint, vector array<float>"
 
-_SENT = "ticker string, component int, bucket int, cell int, record bigint, vector binary, others array<bigint>"
-_NAMED = "ticker string, record bigint, first bigint, size bigint, hidden boolean, density double, component int"
+
+def _rows_of(x: np.ndarray, kind: str) -> pa.Array:
+    """Rows of a matrix as a binary column."""
+    size = x.shape[1] * np.dtype(kind).itemsize
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, (len(x) + 1) * size, size, dtype=np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(x, dtype=kind).tobytes())])
 
 
 def _sent(batches: Iterator[pa.RecordBatch], width: int, grids: dict[str, Grid]) -> Iterator[pa.RecordBatch]:
-    """Vectors with their cells; crowds of one cell are grouped first and sent as their smallest records."""
+    """Vectors with the cells they reach; crowds as one point under their smallest record."""
     for batch in batches:
         for ticker, ids, x in _vectors(batch, width):
             grid = grids[ticker]
-            home = grid.key(grid.corners(x)[0])
-            kinds, inverse, crowd = np.unique(home, return_inverse=True, return_counts=True)
-            crowded = np.flatnonzero(crowd[inverse] > CROWDED)
-            others: dict[int, np.ndarray] = {}
-            keep = np.ones(len(x), dtype=bool)
-            if len(crowded):
-                label = tight_groups(x[crowded], inverse[crowded])
-                order = np.lexsort((ids[crowded], label))
-                starts = np.flatnonzero(np.r_[True, np.diff(label[order]) != 0])
-                for at, rows in zip(starts, np.split(crowded[order], starts[1:]), strict=True):
-                    if len(rows) > 1:
-                        others[int(crowded[order[at]])] = ids[rows[1:]]
-                        keep[rows[1:]] = False
-            rows = np.flatnonzero(keep)
+            behind = _crowds(ids, x, grid.key(grid.corners(x)[0]))
+            rows, home, counts = np.unique(behind, return_inverse=True, return_counts=True)
             row, cell = grid.reached(x[rows])
-            row = rows[row]
             key = grid.key(cell)
-            raw = x[row].astype("<f2").tobytes()
-            size = 2 * width
-            lists = [others.get(int(r)) for r in row] if others else [None] * len(row)
+            crowd = pa.nulls(len(row), pa.binary())
+            several = np.flatnonzero(counts[row] > 1)
+            if len(several):
+                order = np.argsort(home, kind="stable")
+                starts = np.searchsorted(home[order], np.arange(len(rows)))
+                part = x[order]
+                whole = np.concatenate([f.reduceat(v, starts) for f, v in ((np.add, part), (np.add, part * part), (np.minimum, part), (np.maximum, part))], axis=1)
+                crowd = pc.replace_with_mask(crowd, pa.array(counts[row] > 1), _rows_of(whole[row[several]], "<f8"))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([ticker] * len(row), pa.string()),
                     pa.array(grid.component(cell), pa.int32()),
                     pa.array(((key.view(np.uint64) >> np.uint64(20)) % np.uint64(grid.buckets)).astype(np.int32)),
                     pa.array(key.astype(np.int32)),
-                    pa.array(ids[row]),
-                    pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.arange(0, (len(row) + 1) * size, size, dtype=np.int32).tobytes()), pa.py_buffer(raw)]),
-                    pa.array(lists, pa.list_(pa.int64())),
+                    pa.array(ids[rows[row]]),
+                    _rows_of(x[rows[row]], "<f2"),
+                    pa.array(counts[row]),
+                    crowd,
                 ],
-                names=["ticker", "component", "bucket", "cell", "record", "vector", "others"],
+                names=["ticker", "component", "bucket", "cell", "record", "vector", "count", "crowd"],
             )
 
 
+def _behind(batches: Iterator[pa.RecordBatch], width: int, grids: dict[str, Grid], vectors: bool) -> Iterator[pa.RecordBatch]:
+    """Records that don't travel and the record of their crowd that does (the batches are those of ``_sent``)."""
+    for batch in batches:
+        for ticker, ids, x in _vectors(batch, width):
+            grid = grids[ticker]
+            behind = _crowds(ids, x, grid.key(grid.corners(x)[0]))
+            rows = np.flatnonzero(behind != np.arange(len(x)))
+            flat = x[rows].astype(np.float32).ravel() if vectors else np.zeros(0, dtype=np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), pa.array(flat)) if vectors else pa.nulls(len(rows), pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array([ticker] * len(rows), pa.string()), pa.array(ids[rows]), pa.array(ids[behind[rows]]), lists], names=["ticker", "record", "before", "vector"])
+
+
 def _named(key: tuple, table: pa.Table, width: int, least: int) -> pa.Table:
-    """Groups inside the cells of one bucket: every member with the smallest record its cell sees.
+    """Groups inside the cells of one bucket: every record that travelled with the smallest record its cell sees, and its density.
 
-    The density holds for groups without hidden members only.
+    Records of crowds also bring their component's mean and variances, for those behind them.
     """
     table = table.combine_chunks()
-    ids = table.column("record").to_numpy()
+    ids, count = table.column("record").to_numpy(), table.column("count").to_numpy().astype(np.float64)
     x = np.frombuffer(b"".join(table.column("vector").to_pylist()), dtype="<f2").reshape(-1, width).astype(np.float64)
-    label = tight_groups(x, table.column("cell").to_numpy())
-    others = table.column("others").combine_chunks()
-    lists = others if isinstance(others, pa.ListArray) else others.chunk(0)
-    behind = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    points = mixture.Points.of(x)
+    crowd = count > 1
+    if crowd.any():
+        total, square, low, high = np.frombuffer(b"".join(table.column("crowd").drop_null().to_pylist()), dtype="<f8").reshape(-1, 4, width).transpose(1, 0, 2)
+        put = lambda v, w: np.where(crowd[:, None], w[np.maximum(np.cumsum(crowd) - 1, 0)], v)
+        points = mixture.Points(count, put(x, total), put(x * x, square), put(x, low), put(x, high))
+    label = cell_groups(points, table.column("cell").to_numpy(), min(REDUCED, width))
     order = np.lexsort((ids, label))
     starts = np.flatnonzero(np.r_[True, np.diff(label[order]) != 0])
-    counts = np.diff(np.r_[starts, len(order)])
-    weight = np.add.reduceat(1 + behind[order], starts)
-    mean = np.add.reduceat(x[order], starts) / counts[:, None]
+    members = np.diff(np.r_[starts, len(order)])
+    weight = np.add.reduceat(count[order], starts)
     with np.errstate(invalid="ignore"):
-        away = (x[order] - np.repeat(mean, counts, axis=0)) ** 2
-        var = np.maximum(np.add.reduceat(away, starts) / counts[:, None], TOLERANCE**2 / 12)
-        density = -0.5 * np.nan_to_num(away / np.repeat(var, counts, axis=0)).sum(axis=1)
-    first, size = np.repeat(ids[order][starts], counts), np.repeat(weight, counts)
-    member, named = ids[order], size >= least
-    hidden = np.repeat(np.arange(len(order)), behind[order])
-    flat = lists.take(pa.array(order)).flatten().to_numpy(zero_copy_only=False)
-    rows = np.concatenate((np.flatnonzero(named), hidden))
-    member = np.concatenate((member[named], flat.astype(np.int64)))
+        mean = np.add.reduceat(points.total[order], starts) / weight[:, None]
+        var = np.maximum(np.add.reduceat(points.square[order], starts) / weight[:, None] - mean**2, TOLERANCE**2 / 12)
+        density = -0.5 * np.nan_to_num((x[order] - np.repeat(mean, members, axis=0)) ** 2 / np.repeat(var, members, axis=0)).sum(axis=1)
+    group, size = np.repeat(np.arange(len(starts)), members), np.repeat(weight, members).astype(np.int64)
+    keep = np.flatnonzero(size >= least)
+    crowds = crowd[order][keep]
+
+    def shown(v: np.ndarray) -> pa.Array:
+        lengths = np.where(crowds, width, 0)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(v[group[keep][crowds]].ravel()))
+
     return pa.table(
         {
-            "ticker": pa.array([key[0].as_py()] * len(rows), pa.string()),
-            "record": pa.array(member),
-            "first": pa.array(first[rows]),
-            "size": pa.array(size[rows]),
-            "hidden": pa.array((size > np.repeat(counts, counts))[rows]),
-            "density": pa.array(density[rows].round(9)),
-            "component": pa.array(np.full(len(rows), key[1].as_py(), dtype=np.int32)),
+            "ticker": pa.array([key[0].as_py()] * len(keep), pa.string()),
+            "record": pa.array(ids[order][keep]),
+            "first": pa.array(ids[order][starts][group[keep]]),
+            "size": pa.array(size[keep]),
+            "crowd": pa.array(crowds),
+            "density": pa.array(density[keep].round(9)),
+            "component": pa.array(np.full(len(keep), key[1].as_py(), dtype=np.int32)),
+            "mean": shown(mean),
+            "var": shown(var),
         }
     )
 
 
 def _grids(found: DataFrame, width: int) -> dict[str, Grid]:
     """Features, mixture and grid per ticker, from sums over all vectors."""
-    sums: dict[str, list] = {}
-    for r in found.mapInArrow(partial(_moments, width=width), "ticker string, n double, total array<double>, scatter array<double>").toLocalIterator():
-        s = sums.setdefault(r.ticker, [0.0, np.zeros(width), np.zeros(width * width)])
-        s[0] += r.n
-        s[1] += r.total
-        s[2] += r.scatter
-    usable = {t: s for t, s in sums.items() if s[0] > 0}
-    features = {t: mixture.Features.fit(s[0], s[1], s[2].reshape(width, width), min(REDUCED, width)) for t, s in usable.items()}
+    shape = "ticker string, at int, total double"
+    # Two tickers' sums of 1 + 17 + 17² numbers reach the driver.
+    sums = found.mapInArrow(partial(_moments, width=width), shape).groupBy("ticker", "at").agg(F.sum("total").alias("total")).toPandas()
+    features = {}
+    for ticker, part in sums.sort_values(["ticker", "at"]).groupby("ticker"):
+        s = part["total"].to_numpy()
+        if s[0] > 0:
+            features[ticker] = mixture.Features.fit(s[0], s[1 : width + 1], s[width + 1 :].reshape(width, width), min(REDUCED, width))
     if not features:
         return {}
     shape = "ticker string, cell bigint, n double, total array<double>, scatter array<double>"
@@ -429,40 +429,16 @@ def _grids(found: DataFrame, width: int) -> dict[str, Grid]:
     return grids
 
 
-def _memberships(found: DataFrame, width: int, least: int = 2) -> DataFrame:
-    """Per cell and group of ``least`` or more seen there: member, smallest record, size, whether members are hidden, density, component."""
+def _memberships(found: DataFrame, width: int, least: int, vectors: bool) -> tuple[DataFrame, DataFrame]:
+    """What ``_named`` says of the records that travelled, per cell; and (ticker, record, before, vector) of those behind them."""
     grids = _grids(found, width)
-    sent = found.where(F.col("ticker").isin(*grids) if grids else F.lit(False)).mapInArrow(partial(_sent, width=width, grids=grids), _SENT)
+    usable = found.where(F.col("ticker").isin(*grids) if grids else F.lit(False))
+    sent = usable.mapInArrow(partial(_sent, width=width, grids=grids), _SENT)
 
     def named(key, table):  # noqa: ANN001, ANN202
         return _named(key, table, width, least)
 
-    return sent.groupBy("ticker", "component", "bucket").applyInArrow(named, _NAMED)
-
-
-def _picked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """The vectors of the records that ``wanted`` lists."""
-    for batch in batches:
-        first, record, x = [], [], []
-        for blob, wanted in zip(batch.column("data").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            first += [w["first"] for w in wanted]
-            record += [w["record"] for w in wanted]
-            x.append(np.frombuffer(blob, dtype="<f2").reshape(-1, width)[[w["record"] % POSITIONS for w in wanted]])
-        flat = np.concatenate(x).astype(np.float32).ravel() if x else np.zeros(0, dtype=np.float32)
-        tickers = np.repeat(np.array(batch.column("ticker").to_pylist(), dtype=object), [len(v) for v in x])
-        vector = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([pa.array(tickers, pa.string()), pa.array(first, pa.int64()), pa.array(record, pa.int64()), vector], names=["ticker", "first", "record", "vector"])
-
-
-def _densities(found: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """(ticker, first, record, density) of ``members`` under the mean and variances of all vectors of their group; infinite elements have no say."""
-    wanted = members.groupBy("ticker", F.floor(F.col("record") / POSITIONS).cast("long").alias("sidx")).agg(F.collect_list(F.struct("first", "record")).alias("wanted"))
-    picked = found.join(wanted, ["ticker", "sidx"]).select("ticker", "data", "wanted")
-    vectors = cut(picked.mapInArrow(partial(_picked, width=width), "ticker string, first bigint, record bigint, vector array<float>"))
-    at = [F.col("vector")[i].cast("double") for i in range(width)]
-    whole = vectors.groupBy("ticker", "first").agg(F.array(*(F.avg(x) for x in at)).alias("mean"), F.array(*(F.var_pop(x) for x in at)).alias("var"))
-    terms = [F.nanvl((x - F.col("mean")[i]) ** 2 / F.greatest(F.col("var")[i], F.lit(TOLERANCE**2 / 12)), F.lit(0.0)) for i, x in enumerate(at)]
-    return vectors.join(whole, ["ticker", "first"]).select("ticker", "first", "record", F.round(-0.5 * sum(terms[1:], terms[0]), 9).alias("density"))
+    return sent.groupBy("ticker", "component", "bucket").applyInArrow(named, _NAMED), usable.mapInArrow(partial(_behind, width=width, grids=grids, vectors=vectors), _BEHIND)
 
 
 def _with_hotkey(pairs: DataFrame, found: DataFrame, record: str, suffix: str) -> DataFrame:
@@ -476,8 +452,11 @@ def _with_hotkey(pairs: DataFrame, found: DataFrame, record: str, suffix: str) -
 def similar_pairs(challenge: DataFrame, tickers: tuple[str, ...] = VECTOR_TICKERS, width: int = WIDTH) -> DataFrame:
     """(ticker, sidx_a, hotkey_a, sidx_b, hotkey_b): every record of a group of two or more beside its smallest record."""
     found = cut(records(challenge, tickers, width))
-    first = _memberships(found, width).groupBy("ticker", "record").agg(F.min("first").alias("first")).where("first < record")
-    named = _with_hotkey(_with_hotkey(first, found, "first", "_a"), found, "record", "_b")
+    seen, behind = _memberships(found, width, 2, False)
+    first = cut(seen.groupBy("ticker", "record").agg(F.min("first").alias("first"), F.max("crowd").alias("crowd")))
+    hidden = behind.join(first.where("crowd").select("ticker", F.col("record").alias("before"), "first"), ["ticker", "before"]).select("ticker", "record", "first")
+    pairs = first.select("ticker", "record", "first").where("first < record").unionByName(hidden)
+    named = _with_hotkey(_with_hotkey(pairs, found, "first", "_a"), found, "record", "_b")
     return named.select("ticker", "sidx_a", "hotkey_a", "sidx_b", "hotkey_b")
 
 
@@ -488,13 +467,16 @@ def clusters(challenge: DataFrame, tickers: tuple[str, ...] = VECTOR_TICKERS, wi
     decimals, so that the order of sums doesn't decide), then by record.
     """
     found = cut(records(challenge, tickers, width))
-    seen = _memberships(found, width, least)
-    whole = cut(seen.groupBy("ticker", "record").agg(F.min("first").alias("first"), F.max(F.struct("size", F.col("first") * -1, "hidden", "density", "component")).alias("at")))
-    sizes = whole.groupBy("ticker", "first").agg(F.count("*").alias("size"), F.min("at.component").alias("component"))
-    known = whole.where("NOT at.hidden").select("ticker", "first", "record", "at.density")
-    scored = known.unionByName(_densities(found, whole.where("at.hidden"), width))
+    seen, behind = _memberships(found, width, least, True)
+    # The cell that sees most of a group sees all of it.
+    whole = cut(seen.groupBy("ticker", "record").agg(F.min("first").alias("first"), F.max(F.struct("size", F.col("first") * -1, "crowd", "density", "component", "mean", "var")).alias("at")))
+    crowd = whole.where("at.crowd").select("ticker", F.col("record").alias("before"), "first", "at.size", "at.component", "at.mean", "at.var")
+    terms = [F.nanvl((F.col("vector")[i] - F.col("mean")[i]) ** 2 / F.col("var")[i], F.lit(0.0)) for i in range(width)]
+    hidden = behind.join(crowd, ["ticker", "before"]).select("ticker", "record", "first", "size", "component", F.round(-0.5 * sum(terms[1:], terms[0]), 9).alias("density"))
+    scored = whole.select("ticker", "record", "first", "at.size", "at.component", "at.density").unionByName(hidden)
     rank = Window.partitionBy("ticker", "first").orderBy(F.desc("density"), "record")
-    top = scored.select("ticker", "first", "record", F.row_number().over(rank).alias("rank")).where(F.col("rank") <= typical)
-    shown = _with_hotkey(top, found, "record", "_m").groupBy("ticker", "first").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("sidx_m").alias("sidx"), F.col("hotkey_m").alias("hotkey")))).alias("typical"))
-    both = _with_hotkey(sizes.join(shown, ["ticker", "first"]), found, "first", "")
+    # The limit on the rank is applied before the shuffle, too, so that no task holds a whole group.
+    top = scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= typical)
+    shown = _with_hotkey(top, found, "record", "_m").groupBy("ticker", "first").agg(F.max("size").alias("size"), F.min("component").alias("component"), F.sort_array(F.collect_list(F.struct("rank", F.col("sidx_m").alias("sidx"), F.col("hotkey_m").alias("hotkey")))).alias("typical"))
+    both = _with_hotkey(shown, found, "first", "")
     return both.select("ticker", "sidx", "hotkey", "component", "size", F.transform("typical", lambda t: F.struct(t["sidx"].alias("sidx"), t["hotkey"].alias("hotkey"))).alias("typical"))

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from heliograph.llm import mixture
-from heliograph.llm.similar import clusters, similar_pairs, tight_groups, unpack
+from heliograph.llm import similar
+from heliograph.llm.similar import cell_groups, clusters, similar_pairs, unpack
 
 CH = "ticker string, sidx long, embeddings binary, ts long, cell long, component int, bucket int"
 W = 17
@@ -106,21 +107,21 @@ def test_empty(spark):
     assert similar_pairs(df).count() == 0 and clusters(df).count() == 0
 
 
-def test_tight_groups_split_chains():
+def test_groups_split_chains():
     x = np.zeros((40, W))
     x[:, 0] = np.arange(40) * 0.015
-    label = tight_groups(x, np.zeros(40, dtype=int))
+    label = cell_groups(mixture.Points.of(x), np.zeros(40, dtype=int))
     for k in np.unique(label):
         assert np.ptp(x[label == k, 0]) <= 0.02 + 1e-9
 
 
-def test_tight_groups_in_a_crowded_cell():
+def test_groups_in_a_crowded_cell():
     rng = np.random.default_rng(5)
     truth = np.repeat(np.arange(1500), 3)
     x = rng.uniform(0.3, 0.46, (1500, W))[truth] + rng.uniform(-0.009, 0.009, (4500, W))
     x = np.asarray(x, dtype="<f2").astype(float)
     order = rng.permutation(4500)
-    label = tight_groups(x[order], np.zeros(4500, dtype=int))
+    label = cell_groups(mixture.Points.of(x[order]), np.zeros(4500, dtype=int))
     pairs = {(t, k) for t, k in zip(truth[order].tolist(), label.tolist(), strict=True)}
     assert len(pairs) == 1500 and len(np.unique(label)) == 1500
 
@@ -137,4 +138,43 @@ def test_criterion_finds_the_components():
     assert len(model.weights) >= 3
     near = [np.abs(model.means - np.array(m)).sum(axis=1).min() for m in ((0, 0), (4, 0), (0, 4))]
     assert max(near) < 0.3
-    assert len(np.unique(mixture.split_by_criterion(z[::4], 0.05))) >= 3
+
+
+def test_groups_that_the_reduced_features_hide():
+    rng = np.random.default_rng(6)
+    base = np.full((40, W), 0.5)
+    for i in range(40):
+        base[i, i % 17] += 0.05 * (1 + i // 17)
+    truth = np.repeat(np.arange(40), np.r_[3000, np.ones(39, dtype=int)])
+    x = base[truth] + rng.uniform(-0.009, 0.009, (len(truth), W))
+    label = cell_groups(mixture.Points.of(x), np.zeros(len(x), dtype=int))
+    assert len(set(zip(truth.tolist(), label.tolist(), strict=True))) == 40 == len(np.unique(label))
+
+
+def test_groups_come_from_the_fit(spark, monkeypatch):
+    """Without the mixture's components there are no groups: the check alone finds none."""
+    records, rows = data(1)
+    x = np.stack(list(records.values()))
+    assert len(np.unique(cell_groups(mixture.Points.of(x), np.zeros(len(x), dtype=int)))) < len(x)
+    monkeypatch.setattr(mixture, "fit_local", lambda points, *_: np.zeros(len(points), dtype=np.int64))
+    assert len(np.unique(cell_groups(mixture.Points.of(x), np.zeros(len(x), dtype=int)))) == len(x)
+
+
+def test_batches_do_not_matter(spark):
+    _, rows = data(6, hot=900)
+    df = spark.createDataFrame(rows, CH).repartition(2)
+    every = []
+    for size in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        every.append(sorted(map(str, clusters(df.drop("component"), least=1).drop("component").collect())))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert every[0] == every[1]
+
+
+def test_crowds_are_mutually_similar():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([0.5 + rng.uniform(-0.009, 0.009, (500, W)), rng.uniform(0.4, 0.6, (200, W))])
+    behind = similar._crowds(np.arange(700), x, np.zeros(700, dtype=int))
+    for k in np.unique(behind):
+        assert np.ptp(x[behind == k], axis=0).max() <= 0.02 + 1e-9
+    assert len(np.unique(behind[:500])) == 1
