@@ -92,3 +92,42 @@ def test_exact_median(spark):
     for k in "abc":
         assert got[k] == pytest.approx(np.median([v for x, v in rows if x == k and v is not None]))
     assert "d" not in got
+
+
+def walk(phi, n, seed):
+    rng = np.random.default_rng(seed)
+    y = np.zeros(n)
+    for i in range(1, n):
+        y[i] = phi * y[i - 1] + rng.normal(0, 1.0)
+    return 5000 + np.cumsum(y)
+
+
+def test_autoregression_decides_what_neighbours_cannot(spark):
+    """An outlier below the exact rule's size, and a shift, in changes that follow each other; without the tests there is not even a spike."""
+    x = walk(0.7, 3000, 4)
+    x[700] += 14.0
+    x[1500:1502] -= 16.0
+    x[2100:] += 25.0
+    x[2500] += 200.0
+    rows = [("ETH", s, float(v), s, 1, 1, True) for s, v in enumerate(x)]
+    df = spark.createDataFrame(rows, CH)
+    flags = {(r.sidx, r.flag) for r in flag_readings(df, block=700).collect()}
+    assert flags == {(700, "outlier"), (1500, "outlier"), (1501, "outlier"), (2100, "level_shift"), (2500, "spike")}
+    by = {r.sidx: r for r in flag_readings(df, block=700).collect()}
+    assert abs(by[2500].statistic) > 50 and by[2500].residual == pytest.approx(200, abs=10)
+    assert flag_readings(df, critical=1e9).count() == 0
+
+
+@pytest.mark.parametrize("phi", [-0.5, 0.0, 0.8])
+def test_coefficient_is_that_of_the_clean_series(spark, phi):
+    from heliograph.operators.sequence import numbered, with_halo
+    from heliograph.operators.spikes import autoregressions
+    from pyspark.sql import functions as F
+
+    x = walk(phi, 6000, 9)
+    x[::60] += 80.0
+    df = spark.createDataFrame([("ETH", s, float(v)) for s, v in enumerate(x)], "ticker string, sidx long, price double")
+    blocks = with_halo(numbered(df, "ticker", "sidx", 1000), 24, 1500).groupBy("ticker", "block").agg(F.array_sort(F.collect_list(F.struct("pos", "sidx", "price"))).alias("readings"))
+    usual, fits = autoregressions(blocks, 1500, 3.0, 6.0)
+    assert usual["ETH"] == pytest.approx(np.median(np.abs(np.diff(x))))
+    assert fits["ETH"] == pytest.approx(phi, abs=0.05)
