@@ -235,11 +235,12 @@ def fit_local(points: Points, tolerance: float, reduced: int, steps: int = 6) ->
 
 def _spread(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Points of which each is the farthest (by its widest axis) from those before, until all are within 1 of one; the distances they had; each point's nearest."""
+    z = np.ascontiguousarray(z.T, dtype=np.float32)
     seeds, radii = [0], []
-    distance = np.abs(z - z[0]).max(axis=1)
-    nearest = np.zeros(len(z), dtype=np.int64)
-    while (far := distance[at := int(distance.argmax())]) > 1.0:
-        new = np.abs(z - z[at]).max(axis=1)
+    distance = np.abs(z - z[:, :1]).max(axis=0)
+    nearest = np.zeros(z.shape[1], dtype=np.int64)
+    while (far := distance[at := int(distance.argmax())]) > 1.0001:
+        new = np.abs(z - z[:, at, None]).max(axis=0)
         closer = new < distance
         nearest[closer] = len(seeds)
         np.minimum(distance, new, out=distance)
@@ -255,23 +256,27 @@ def _closest(z: np.ndarray, to: np.ndarray) -> np.ndarray:
 def _tied(z: np.ndarray, n: np.ndarray, within: np.ndarray, start: np.ndarray, count: int, floor: np.ndarray, steps: int) -> tuple[float, np.ndarray]:
     """(criterion, component of highest posterior) after EM of ``count`` components with one shared, regularised variance per axis."""
     total, axes = float(n.sum()), z.shape[1]
-    shares = np.zeros((len(z), count))
+    shares = np.zeros((len(z), count), dtype=np.float32)
     shares[np.arange(len(z)), start] = 1.0
-    likelihood, inner = -np.inf, n @ within
+    likelihood, inner, now = -np.inf, n @ within, 0.0
+    # What is as large as points times components is kept in single precision: far more exact than posteriors need.
+    weight, plain = n.astype(np.float32)[:, None], bool((n == 1).all())
     for _ in range(steps):
-        mass = shares * n[:, None]
-        sums = np.maximum(mass.sum(axis=0), 1e-9)
-        means = (mass.T @ z) / sums[:, None]
+        mass = shares if plain else shares * weight
+        sums = np.maximum(mass.sum(axis=0, dtype=np.float64), 1e-9)
+        means = (mass.T @ z.astype(np.float32)) / sums[:, None]
         spread = np.maximum(n @ z**2 - sums @ means**2, 0.0) + inner
         var = spread / total + floor
         a, m = z / np.sqrt(var), means / np.sqrt(var)
-        logs = a @ m.T - 0.5 * (m**2).sum(axis=1) + np.log(sums / total)
+        logs = a.astype(np.float32) @ m.T.astype(np.float32)
+        logs += (np.log(sums / total) - 0.5 * (m**2).sum(axis=1)).astype(np.float32)
         top = logs.max(axis=1)
-        shares = np.exp(logs - top[:, None])
+        logs -= top[:, None]
+        shares = np.exp(logs, out=logs)
         mixed = shares.sum(axis=1)
         shares /= mixed[:, None]
         now = float(n @ (top + np.log(mixed) - 0.5 * (a**2).sum(axis=1))) - 0.5 * total * np.log(2 * np.pi * var).sum() - 0.5 * float((inner / var).sum())
-        if now - likelihood < 1e-6 * abs(now):
+        if now - likelihood < 1e-4 * abs(now):
             break
         likelihood = now
     return -2 * now + (count * (axes + 1) - 1 + axes) * np.log(max(total, 2.0)), shares.argmax(axis=1)

@@ -322,6 +322,7 @@ def _sent(batches: Iterator[pa.RecordBatch], width: int, grids: dict[str, Grid])
             rows, home, counts = np.unique(behind, return_inverse=True, return_counts=True)
             row, cell = grid.reached(x[rows])
             key = grid.key(cell)
+            _, once, again = np.unique(key, return_index=True, return_inverse=True)
             crowd = pa.nulls(len(row), pa.binary())
             several = np.flatnonzero(counts[row] > 1)
             if len(several):
@@ -333,7 +334,7 @@ def _sent(batches: Iterator[pa.RecordBatch], width: int, grids: dict[str, Grid])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([ticker] * len(row), pa.string()),
-                    pa.array(grid.component(cell), pa.int32()),
+                    pa.array(grid.component(cell[once])[again], pa.int32()),
                     pa.array(((key.view(np.uint64) >> np.uint64(20)) % np.uint64(grid.buckets)).astype(np.int32)),
                     pa.array(key.astype(np.int32)),
                     pa.array(ids[rows[row]]),
