@@ -11,10 +11,17 @@ passage when its words' gains under one path add up to clear evidence, or when
 it holds U+FFFD, the mark of bytes that a decoder couldn't read (such passages
 are found, though what was lost can't be restored).
 
-The cost comes from trigram counts of *all* texts, hashed into a table of fixed
-size (``BUCKETS`` counters, 4 MB), which is what is sent to the executors.
+The cost comes from trigram counts of all *different* texts, hashed into a table
+of fixed size (``BUCKETS`` counters, 8 MB), which is sent to the executors.
 Garbled text is part of those counts, but rarer than what it stands for, and
-longer; only differences of costs are used.
+longer; only differences of costs are used. Texts of which there are copies are
+told by their hashes and are the only ones that are shuffled to count once.
+
+A word is searched once, not once per text or worker: the ``REMEMBERED`` words
+of most texts are searched first, in parallel, and their results travel to all
+executors; what is rarer is searched where it occurs. A path has at most
+``DEPTH`` steps, a word at most ``EXPANSIONS`` expanded states of a price up to
+``SLACK`` above the word's; README has the cases found under wider bounds.
 
 Defined cases: null, empty and blank texts are never garbled; texts of any
 length are read as a whole; repeated rows are judged alike; correct text in
@@ -30,7 +37,8 @@ import html
 import math
 import re
 import uuid
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -40,6 +48,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heliograph.session import cut
+
 #: Size of the hashed trigram table.
 BUCKETS = 1 << 20
 #: Codecs that a wrong decoder may have used, and those that the bytes may have been written in.
@@ -51,6 +61,8 @@ STEP_COST = {"utf-8": -0.2, "unescape": 0.1, "lossy": 0.6, "refill": 0.8, "": 1.
 EVIDENCE, EVIDENCE_UTF8 = 1.5, 0.0
 #: Characters of a word that may give evidence without UTF-8.
 LEAST = 3
+#: Words whose results are sent to all executors (a bound of memory: others are searched where they occur).
+REMEMBERED = 1 << 16
 #: Steps of the search: depth of a path, states expanded per word, and how much dearer than the start a state may be.
 DEPTH, EXPANSIONS, SLACK = 3, 12, 1.0
 
@@ -58,6 +70,7 @@ DEPTH, EXPANSIONS, SLACK = 3, 12, 1.0
 _BLANK = " \t\n\r\x0b\x0c"
 _CJK = "ᄀ-ᇿ⺀-꓏가-퟿豈-﫿︰-﹏！-￯\U00020000-\U0003ffff"
 _WORD = re.compile(rf"[{_CJK}]+|[^{_BLANK}{_CJK}]+")
+_BLANKS = str.maketrans(dict.fromkeys(_BLANK, " "))
 _DIGITS = re.compile("[0-9]")
 _ENTITY = re.compile(r"&#?\w+;")
 #: U+FFFD and C1 controls: what a decoder couldn't read, or read as the wrong single-byte set.
@@ -97,8 +110,8 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _parts(texts: list[str], size: int = 1 << 20) -> Iterator[str]:
-    """Texts joined by blanks in parts of about ``size`` characters that overlap by two, so that each trigram is in one part."""
-    held, length = [" "], 1
+    """Texts joined by blanks in parts of about ``size`` characters that overlap by two: each trigram is in one part, and a text has the same trigrams wherever it stands."""
+    held, length = ["  "], 2
     for text in texts:
         for at in range(0, len(text), size):
             piece = text[at : at + size] + ("  " if at + size >= len(text) else "")
@@ -111,36 +124,95 @@ def _parts(texts: list[str], size: int = 1 << 20) -> Iterator[str]:
     yield "".join(held)
 
 
-def trigram_counts(documents: DataFrame, text: str = "text") -> np.ndarray:
-    """Counts of all texts' hashed trigrams (array of ``BUCKETS``; the last place holds the sum)."""
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.astype(np.uint64) >> np.uint64(64 - 20)).astype(np.int64)
+
+
+def _copied(documents: DataFrame, text: str) -> np.ndarray:
+    """Which of 2^20 classes of text hashes have texts of several copies (all those texts, and few others)."""
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bits(batch.column(0).to_numpy())))], names=["bit"])
+
+    twice = documents.where(F.length(text) > 0).groupBy(F.xxhash64(text).alias("h")).agg(F.count("*").alias("n")).where("n > 1").select("h")
+    found = np.zeros(1 << 20, dtype=bool)
+    found[twice.mapInArrow(classes, "bit bigint").distinct().toPandas()["bit"].to_numpy(dtype=np.int64)] = True
+    return found
+
+
+def statistics(documents: DataFrame, text: str = "text") -> tuple[np.ndarray, list[str]]:
+    """Counts of all different texts' hashed trigrams (array of ``BUCKETS``; the last place holds the sum), and the words of most texts.
+
+    One pass over the texts, after one over their hashes; texts in a class of
+    copied ones meet by their text and count there.
+    """
+    copied = documents.sparkSession.sparkContext.broadcast(_copied(documents, text))
+    hashed = documents.where(F.length(text) > 0).select(F.col(text).alias("text"), F.xxhash64(text).alias("h"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            # Copies inside a batch count once, so that a text of very many copies doesn't become the rule.
-            for part in _parts(sorted({t for t in batch.column(0).to_pylist() if t})):
+            texts = batch.column(0).to_pylist()
+            words: Counter[str] = Counter()
+            for t in texts:
+                words.update({_core(w) for w in suspects(t)})
+            again = copied.value[_bits(batch.column(1).to_numpy())] if batch.num_columns > 1 else np.zeros(len(texts), dtype=bool)
+            for part in _parts([t for t, twice in zip(texts, again.tolist(), strict=True) if not twice]):
                 total += np.bincount(_hashes(_codes(part)), minlength=BUCKETS)
+            if batch.num_columns > 1:
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["bucket", "word", "n"])
         hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.nulls(len(hit), pa.string()), pa.array(total[hit])], names=["bucket", "word", "n"])
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(copied.value[_bits(batch.column(1).to_numpy())]))], names=["text"])
 
-    sums = documents.select(text).mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    shape = "bucket bigint, word string, n bigint"
+    once = hashed.mapInArrow(kept, "text string").distinct().mapInArrow(count, shape)
+    sums = cut(hashed.mapInArrow(count, shape).unionByName(once).groupBy("bucket", "word").agg(F.sum("n").alias("n")))
+    counts = sums.where("bucket IS NOT NULL").select("bucket", "n").toPandas()
     table = np.zeros(BUCKETS + 1, dtype=np.int64)
-    table[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
+    table[counts["bucket"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=np.int64)
     table[BUCKETS] = table[:BUCKETS].sum()
-    return table
+    frequent = sums.where("word IS NOT NULL AND n > 1").orderBy(F.desc("n"), "word").limit(REMEMBERED).select("word")
+    return table, [r.word for r in frequent.collect()]
+
+
+def suspects(text: str | None) -> list[str]:
+    """The different words of a text that have characters beyond ASCII or entities, in order."""
+    if not text or (text.isascii() and "&" not in text):
+        return []
+    runs = dict.fromkeys(r for r in text.translate(_BLANKS).split(" ") if not r.isascii() or "&" in r)
+    return list(dict.fromkeys(w for r in runs for w in _WORD.findall(r) if not w.isascii() or _ENTITY.search(w)))
 
 
 class Search:
     """Best-first search for the most plausible earlier state of a word."""
 
-    def __init__(self, counts: np.ndarray) -> None:
+    def __init__(self, counts: np.ndarray, known: dict[str, tuple[float, tuple[str, ...]]] | None = None) -> None:
         total = max(int(counts[-1]), 1)
-        self.costs = (math.log(total + 1.0) - np.log(counts[:-1] + 0.5)).astype(np.float32)
-        self.best = lru_cache(maxsize=1 << 17)(self._best)
+        self.table = math.log(total + 1.0) - np.log(counts[:-1] + 0.5)
+        self.known = known or {}
+        self._searched = lru_cache(maxsize=1 << 16)(self._best)
+
+    def best(self, word: str) -> tuple[float, tuple[str, ...]]:
+        """(gain, operations) of the cheapest reachable state of a word."""
+        found = self.known.get(word)
+        return found if found is not None else self._searched(word)
+
+    def costs(self, words: list[str]) -> np.ndarray:
+        """Per word the mean over the trigrams of the word and a blank on both sides."""
+        sizes = np.array([len(w) for w in words])
+        each = self.table[_hashes(_codes(f" {' '.join(words)} "))]
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        # The trigram across two words' border belongs to neither.
+        each[starts[1:] - 1] = 0.0
+        return np.add.reduceat(each, starts) / sizes
 
     def cost(self, word: str) -> float:
-        """Mean over the trigrams of the word and a blank on both sides."""
-        return float(self.costs[_hashes(_codes(f" {word} "))].mean())
+        return float(self.costs([word])[0])
 
     @staticmethod
     def moves(word: str) -> Iterator[tuple[str, str]]:
@@ -169,30 +241,34 @@ class Search:
             for char in _FORMS[form]:
                 yield f"refill:{form}:{char}", word.replace(form, char)
 
-    def _best(self, word: str) -> tuple[float, str, tuple[str, ...]]:
-        """(gain, path family, operations) of the cheapest reachable state of a word."""
+    def _best(self, word: str) -> tuple[float, tuple[str, ...]]:
         start = self.cost(word)
         heap: list[tuple[float, int, str, tuple[str, ...]]] = [(start, 0, word, ())]
-        visited, found, expanded, order = {word}, (start, word, ()), 0, 0
+        visited, found, expanded, order = {word}, (start, ()), 0, 0
         while heap and expanded < EXPANSIONS:
             at, _, state, path = heapq.heappop(heap)
             if at < found[0] and _family(path):
-                found = (at, state, path)
+                found = (at, path)
             if len(path) >= DEPTH or state.isascii() and "&" not in state:
                 continue
             expanded += 1
             paid = sum(_step_cost(op) for op in path)
+            fresh: dict[str, str] = {}
             for op, earlier in self.moves(state):
-                if earlier in visited:
-                    continue
-                visited.add(earlier)
-                price = self.cost(earlier) + paid + _step_cost(op)
+                if earlier and earlier not in visited:
+                    visited.add(earlier)
+                    fresh[earlier] = op
+            if not fresh:
+                continue
+            for (earlier, op), cost in zip(fresh.items(), self.costs(list(fresh)).tolist(), strict=True):
+                price = cost + paid + _step_cost(op)
                 if price < start + SLACK:
                     order += 1
                     heapq.heappush(heap, (price, order, earlier, (*path, op)))
-        return start - found[0], found[1], found[2]
+        return start - found[0], found[1]
 
 
+@lru_cache(maxsize=1 << 12)
 def _step_cost(op: str) -> float:
     return STEP_COST.get(re.split("[>:]", op)[0], STEP_COST[""])
 
@@ -244,10 +320,8 @@ def judge(text: str | None, search: Search, restore: bool = False) -> tuple[bool
     lost = _LOST.search(text) is not None
     evidence: dict[tuple[str, ...], float] = {}
     fixes: dict[str, tuple[str, ...]] = {}
-    for word in _WORD.findall(text):
-        if word in fixes or word.isascii() and not _ENTITY.search(word):
-            continue
-        gain, _, path = search.best(_core(word))
+    for word in suspects(text):
+        gain, path = search.best(_core(word))
         family = _family(path)
         if family and (len(word) >= LEAST or _structured(family)):
             evidence[family] = evidence.get(family, 0.0) + gain
@@ -290,24 +364,46 @@ def _structured(family: tuple[str, ...]) -> bool:
 _SEARCHES: dict[str, Search] = {}
 
 
-def _worker_search(token: str, counts: Broadcast) -> Search:
+def _worker_search(token: str, counts: Broadcast, known: Broadcast | None) -> Search:
     """The search of a Python worker, kept from task to task with its remembered words; only the last corpus is kept."""
     if token not in _SEARCHES:
         _SEARCHES.clear()
-        _SEARCHES[token] = Search(counts.value)
+        _SEARCHES[token] = Search(counts.value, known.value if known else None)
     return _SEARCHES[token]
 
 
+def prepared(documents: DataFrame, text: str = "text") -> Callable[[], Search]:
+    """What a worker calls for its search: trigram counts of all texts, and the results for the words of most texts."""
+    spark = documents.sparkSession
+    table, frequent = statistics(documents, text)
+    counts, early = spark.sparkContext.broadcast(table), uuid.uuid4().hex
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker = _worker_search(early, counts, None)
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            found = [worker.best(w) for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([list(f[1]) for f in found], pa.list_(pa.string()))], names=["word", "gain", "path"])
+
+    found: dict[str, tuple[float, tuple[str, ...]]] = {}
+    if frequent:
+        slices = max(1, min(len(frequent) // 64, 4 * spark.sparkContext.defaultParallelism))
+        words = spark.createDataFrame([(w,) for w in frequent], "word string").repartition(slices)
+        found = {r.word: (r.gain, tuple(r.path)) for r in words.mapInArrow(search, "word string, gain double, path array<string>").collect()}
+    known, token = spark.sparkContext.broadcast(found), uuid.uuid4().hex
+    return lambda: _worker_search(token, counts, known)
+
+
 def restore(documents: DataFrame, text: str = "text") -> DataFrame:
     """All columns with ``garbled`` BOOLEAN, ``restored`` STRING (the text as far as it can be restored) and ``path`` STRING."""
-    counts, token = documents.sparkSession.sparkContext.broadcast(trigram_counts(documents, text)), uuid.uuid4().hex
+    searcher = prepared(documents, text)
     kept = [c for c in documents.columns if c.lower() not in ("garbled", "restored", "path") or c == text]
     schema = documents.select(*kept).schema
     for field in ("garbled boolean", "restored string", "path string"):
         schema = schema.add(*field.split())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        search = _worker_search(token, counts)
+        search = searcher()
         for pdf in batches:
             rows = [judge(t, search, True) for t in pdf[text]]
             yield pdf.assign(garbled=[r[0] for r in rows], restored=[r[1] for r in rows], path=[r[2] for r in rows])
@@ -317,10 +413,10 @@ def restore(documents: DataFrame, text: str = "text") -> DataFrame:
 
 def found(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Distinct ids of documents with at least one garbled passage."""
-    counts, token = documents.sparkSession.sparkContext.broadcast(trigram_counts(documents, text)), uuid.uuid4().hex
+    searcher = prepared(documents, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = _worker_search(token, counts)
+        search = searcher()
         for batch in batches:
             hit = [judge(t, search)[0] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit, pa.bool_()))], names=[doc_id])

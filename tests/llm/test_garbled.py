@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from heliograph.llm.garbled import Search, found, judge, restore, trigram_counts
+from heliograph.llm.garbled import Search, found, judge, restore, statistics, suspects
 
 DOC = "doc_id long, text string, path string, garbled string"
 CLEAN = [
@@ -40,7 +40,7 @@ GARBLED = {
 
 @pytest.fixture(scope="module")
 def search(spark):
-    return Search(trigram_counts(spark.createDataFrame(corpus(), DOC)))
+    return Search(statistics(spark.createDataFrame(corpus(), DOC))[0])
 
 
 @pytest.mark.parametrize("name", GARBLED)
@@ -90,7 +90,7 @@ def test_parts_hold_every_trigram_once():
     from heliograph.llm.garbled import _parts
 
     texts = ["abcdefghij", "x", "klmno", "p" * 23]
-    whole = " " + "".join(t + "  " for t in texts)
+    whole = "  " + "".join(t + "  " for t in texts)
     expected = Counter(whole[i : i + 3] for i in range(len(whole) - 2))
     for size in (3, 4, 7, 100):
         got = Counter(p[i : i + 3] for p in _parts(texts, size) for i in range(len(p) - 2))
@@ -99,4 +99,31 @@ def test_parts_hold_every_trigram_once():
 
 def test_costs_are_finite():
     s = Search(np.zeros((1 << 20) + 1, dtype=np.int64))
-    assert np.isfinite(s.cost("é")) and s.best("é")[2] == ()
+    assert np.isfinite(s.cost("é")) and s.best("é")[1] == ()
+
+
+def test_statistics_do_not_depend_on_partitions_or_copies(spark):
+    rows = corpus()
+    df = spark.createDataFrame(rows, DOC)
+    table, words = statistics(df.repartition(1))
+    more = spark.createDataFrame(rows + rows[:200] * 3, DOC).repartition(5)
+    again, others = statistics(more)
+    assert (table == again).all() and set(words) == set(others) and len(words) > 20
+    from heliograph.llm.garbled import _codes, _hashes
+
+    whole = np.zeros(1 << 20, dtype=np.int64)
+    for t in {t for _, t, *_ in rows}:
+        whole += np.bincount(_hashes(_codes(f"  {t}  ")), minlength=1 << 20)
+    assert (table[:-1] == whole).all() and table[-1] == whole.sum()
+
+
+def test_words_searched_before_are_not_searched_again(search):
+    other = Search(np.zeros((1 << 20) + 1, dtype=np.int64), {"caf\u00c3\u00a9": (9.0, ("utf-8>latin-1",))})
+    assert other.best("caf\u00c3\u00a9") == (9.0, ("utf-8>latin-1",))
+    words = ["caf\u00e9", "\U00020001", "na\u00efve", "\u65e5\u672c"]
+    assert search.costs(words) == pytest.approx([search.cost(w) for w in words])
+
+
+def test_suspects():
+    assert suspects("na\u00efve plain\u65e5\u672cx &amp; caf\u00e9\tcaf\u00e9") == ["na\u00efve", "\u65e5\u672c", "&amp;", "caf\u00e9"]
+    assert suspects(None) == suspects("plain text") == []
