@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from heliograph.llm.packing import Index, _finish, containers, fill, lexical_packing
+from heliograph.llm.packing import Index, _finish, containers, corpus, fill, lexical_packing, pack_sizes, retrieved
 
 DOC = "doc_id long, ids array<int>, container string, part int"
 
@@ -49,7 +50,7 @@ def test_one_shard_is_nearly_full(spark):
 
 
 def test_many_shards_don_t_waste(spark):
-    n, least = check(spark, docs(900, 2, 100), 100, shard=60, merge=8)
+    n, least = check(spark, docs(900, 2, 100), 100, shard=60)
     assert n <= least * 1.02 + 2
 
 
@@ -68,7 +69,7 @@ def test_null_empty_and_whole_texts(spark):
 
 def test_neighbours_share_words():
     bags = [np.array(b) for b in ([1, 2, 3], [1, 2, 9], [7, 8], [1, 2, 3, 3])]
-    s = Index(bags, np.ones(10), 3.0).scores(0)
+    s = Index(bags, np.ones(10), 3.0).scores(np.array([1, 2, 3]))
     assert s[3] > s[1] > s[2] == 0
 
 
@@ -77,3 +78,62 @@ def test_finish_takes_the_best_fit():
     assert _finish(9, np.array([0, 1, 2, 3, 4]), sizes) == [4]
     assert sorted(_finish(8, np.array([1, 2, 3]), sizes)) == [2, 3]
     assert _finish(2, np.array([0, 1]), sizes) == []
+
+
+def topics(n, seed):
+    """Texts of 12 topics that share common words; some topics are much larger than others."""
+    rng = np.random.default_rng(seed)
+    common = 1 / np.arange(1, 61)
+    rows = []
+    for i in range(n):
+        topic, size = int(12 * rng.random() ** 2), int(rng.integers(4, 70))
+        own = 60 + topic * 80 + rng.choice(80, size=size // 2 + 1, p=(w := 1 / np.arange(2, 82)) / w.sum())
+        rows.append((i, [int(t) for t in np.concatenate((rng.choice(60, size=size // 2, p=common / common.sum()), own))], "x", 9))
+    return rows
+
+
+def test_retrieval_recalls_the_neighbours_of_brute_force(spark):
+    rows, cap, k = topics(1200, 3), 100, 10
+    made = corpus(spark.createDataFrame(rows, DOC).repartition(4), cap, 120)
+    assert made.placed.select("shard").distinct().count() >= 8
+    placed = made.placed.select("row", "doc_id", "n_tokens", "asks").toPandas()
+    bags = {r[0]: np.array(r[1]) for r in rows}
+    docs_, seeds = placed["doc_id"].tolist(), [len(a) > 0 for a in placed["asks"]]
+    index = Index([bags[i] for i in docs_], made.idf.value, made.mean_length)
+    size = placed["n_tokens"].to_numpy()
+    got = retrieved(made, cap).toPandas().sort_values("score", ascending=False).groupby("seed")["doc_id"].apply(list).to_dict()
+    recall = []
+    for i, row in enumerate(placed["row"].tolist()):
+        if seeds[i]:
+            score = np.where(np.array(seeds) | (size > cap - size[i]), -1.0, index.scores(np.unique(bags[docs_[i]])))
+            best = [docs_[j] for j in np.argsort(-score, kind="stable")[:k] if score[j] > 0]
+            if len(best) == k:
+                recall.append(len(set(best) & set(got.get(row, [])[:k])) / k)
+    assert len(recall) > 100 and np.mean(recall) >= 0.9
+
+
+def test_hot_topic_and_copies_are_split(spark):
+    rows = topics(300, 4) + [(1000 + i, [5, 6, 7, 8], "x", 1) for i in range(300)]
+    made = corpus(spark.createDataFrame(rows, DOC), 100, 40)
+    assert made.placed.groupBy("shard").count().agg({"count": "max"}).first()[0] <= 120
+    n, least = check(spark, rows, 100, shard=40)
+    assert n <= least * 1.02 + 2
+
+
+def test_texts_just_over_half_a_container(spark):
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1030, 1300, 60_000)
+    window = pack_sizes(sizes, 2048)
+    assert len(np.unique(window)) == 60_000
+    rows = [(i, [int(x) for x in rng.integers(0, 30, int(rng.integers(52, 60)))], "x", 1) for i in range(500)]
+    n, _ = check(spark, rows, 100, shard=50)
+    assert n == 500
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_packing_by_size_is_nearly_full(seed):
+    rng = np.random.default_rng(seed)
+    sizes = np.concatenate([rng.integers(1, 100, 2000), rng.integers(20, 60, 500)])
+    window = pack_sizes(sizes, 100)
+    used = np.bincount(window, weights=sizes)
+    assert used.max() <= 100 and len(used) <= np.ceil(sizes.sum() / 100) * 1.01 + 1
