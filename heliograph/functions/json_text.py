@@ -40,5 +40,9 @@ def as_array(variant: str) -> Column:
 
 
 def opened(variant: str) -> Column:
-    """A string value that contains JSON, parsed; any other value as it is."""
-    return F.expr(f"CASE WHEN schema_of_variant({variant}) = 'STRING' THEN try_parse_json(variant_get({variant}, '$', 'string')) ELSE {variant} END")
+    """A string value that contains JSON, parsed; any other value as it is.
+
+    The shallow look for an object comes first: ``schema_of_variant`` walks all of a value.
+    """
+    text = f"CASE WHEN schema_of_variant({variant}) = 'STRING' THEN try_parse_json(variant_get({variant}, '$', 'string')) ELSE {variant} END"
+    return F.expr(f"CASE WHEN try_variant_get({variant}, '$', 'map<string,variant>') IS NOT NULL THEN {variant} ELSE {text} END")

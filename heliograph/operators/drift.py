@@ -6,7 +6,7 @@ counts (number, string, boolean, array, object; width for vectors); the kind
 most payloads use is the path's type there. Successive files of a feed are
 compared union by union. A path that disappears and one that appears in the
 same file are one renamed field when their *content* agrees: either their value
-sets overlap (24 minimum hashes per path), or both carry values that never
+sets overlap (40 minimum hashes per path), or both carry values that never
 repeat and have the same form (digits or hexadecimal digits of one length).
 Vectors are the same content when they belong to the same task.
 
@@ -34,7 +34,7 @@ from heliograph.operators.flatten import MULTI_ASSET
 from heliograph.session import cut
 
 #: Number of minimum hashes that stand for a path's value set.
-SKETCH = 24
+SKETCH = 40
 CHANGE_SCHEMA = "feed string, file_no bigint, change_kind string, field_before string, field_after string"
 _KIND = (
     "CASE WHEN s = 'VOID' THEN 'null' WHEN s = 'STRING' THEN 'string' WHEN s = 'BOOLEAN' THEN 'boolean' "
@@ -46,7 +46,7 @@ def _envelopes(payloads: DataFrame, *keep: str) -> DataFrame:
     """Readable payloads: kept columns, the envelope and the opened submission."""
     allow_repeated_keys(payloads.sparkSession)
     read = payloads.select(*keep, readable("payload").alias("v")).where("v IS NOT NULL")
-    env = read.select(*keep, "v", F.expr("CASE WHEN startswith(schema_of_variant(v), 'ARRAY') THEN try_variant_get(v, '$[0]', 'variant') ELSE v END").alias("env"))
+    env = read.select(*keep, "v", F.expr("coalesce(try_variant_get(v, '$[0]', 'variant'), v)").alias("env"))
     return env.withColumn("ct", F.expr("try_variant_get(env, '$.C.ct', 'variant')")).withColumn("ct", opened("ct"))
 
 
@@ -89,17 +89,19 @@ def _permutations() -> list[int]:
     return masks
 
 
-def path_unions(payloads: DataFrame, multi: tuple[str, ...] = tuple(MULTI_ASSET)) -> DataFrame:
-    """One row per (feed, file_no, path, kind, width): counts, form of the values and a sketch of the value set."""
+def path_unions(payloads: DataFrame, multi: tuple[str, ...] = tuple(MULTI_ASSET), sketches: bool = True) -> DataFrame:
+    """One row per (feed, file_no, path, kind, width): counts, and (``sketches``) form of the values and a sketch of the value set."""
     env = _envelopes(payloads.where(F.col("feed").isNotNull() & F.col("file_no").isNotNull()), "feed", "file_no")
     flat = env.select("feed", "file_no", F.explode(F.expr(f"concat({_paths(multi)}, array(named_struct('key', '', 'value', parse_json('null'))))")).alias("e"))
     typed = flat.select("feed", "file_no", F.col("e.key").alias("path"), F.col("e.value").alias("v"), F.expr("schema_of_variant(e.value)").alias("s"))
     typed = typed.select("feed", "file_no", "path", "v", F.expr(_KIND).alias("kind"))
+    width = "CASE WHEN kind = 'array' AND startswith(path, 'C.ct.') THEN cardinality(try_variant_get(v, '$', 'array<variant>')) ELSE -1 END"
+    if not sketches:
+        return typed.withColumn("width", F.expr(width)).groupBy("feed", "file_no", "path", "kind", "width").agg(F.count("*").alias("n"))
     content = (
         "CASE WHEN startswith(path, 'C.ct.') OR path = '' THEN NULL WHEN kind = 'object' THEN concat_ws('/', map_values(try_variant_get(v, '$', 'map<string,string>'))) "
         "WHEN kind = 'array' THEN concat_ws(',', try_variant_get(v, '$', 'array<string>')) ELSE try_variant_get(v, '$', 'string') END"
     )
-    width = "CASE WHEN kind = 'array' AND startswith(path, 'C.ct.') THEN cardinality(try_variant_get(v, '$', 'array<variant>')) ELSE -1 END"
     said = typed.select("feed", "file_no", "path", "kind", F.expr(width).alias("width"), F.expr(content).alias("content"))
     said = said.withColumn("h", F.when(F.col("content").isNotNull(), F.xxhash64("content")))
     return said.groupBy("feed", "file_no", "path", "kind", "width").agg(
@@ -177,12 +179,13 @@ def same_content(gone, new, tasks: dict[str, str]) -> float:  # noqa: ANN001
     if a.startswith("C.ct.") or b.startswith("C.ct."):
         x, y = tasks.get(a[5:], a[5:]), tasks.get(b[5:], b[5:])
         return 3.0 if a[:5] == b[:5] and x == y else 0.0
-    shared = _overlap(gone["upto"], new["onward"])
-    if shared >= 2 / SKETCH:
+    shared, form, other = _overlap(gone["upto"], new["onward"]), _form(gone), _form(new)
+    # One common value may be chance where the values look different.
+    alike = form[0] == other[0] and abs(form[1] - other[1]) <= max(1, 0.2 * max(form[1], other[1]))
+    if shared >= (1 if alike else 3) / SKETCH:
         return 2.0 + shared
     repeats = max(_overlap(gone["own"], gone["past"]), _overlap(new["own"], new["next"]))
-    form, other = _form(gone), _form(new)
-    if repeats >= 2 / SKETCH or not form[0] or form[0] != other[0]:
+    if repeats > 0 or not form[0] or form[0] != other[0]:
         return 0.0
     near = abs(form[1] - other[1]) <= (1 if form[0] == "digits" and form[1] > 4 else 0)
     return 1.0 if near else 0.0
@@ -225,6 +228,28 @@ def payload_changes(payloads: DataFrame, tasks: dict[str, str], share: float = 0
     return rows.mapInPandas(compare, CHANGE_SCHEMA)
 
 
+def alternatives(unions: DataFrame) -> DataFrame:
+    """Alternatives of a path that appear in a file: feed, file_no, path, kind, width, n, share, seen.
+
+    An alternative is a kind (of a vector also a width) that payloads of the
+    file give to a path, however few; it appears when the feed's file before
+    hadn't got it. ``share`` is that of the path's values, ``seen`` whether an
+    older file had it. A feed's first file is what others are compared with.
+    """
+    files = unions.where("path = ''").select("feed", "file_no").distinct().withColumn("ordinal", F.row_number().over(Window.partitionBy("feed").orderBy("file_no")))
+    given = unions.where("path != ''").groupBy("feed", "file_no", "path", "kind", "width").agg(F.sum("n").alias("n"))
+    total = given.groupBy("feed", "file_no", "path").agg(F.sum("n").alias("total"))
+    placed = given.join(total, ["feed", "file_no", "path"]).join(files, ["feed", "file_no"])
+    before = F.lag("ordinal").over(Window.partitionBy("feed", "path", "kind", "width").orderBy("ordinal"))
+    told = placed.withColumn("before", before).where((F.col("ordinal") > 1) & (F.coalesce("before", F.lit(0)) < F.col("ordinal") - 1))
+    return told.select("feed", "file_no", "path", "kind", "width", "n", (F.col("n") / F.col("total")).alias("share"), F.col("before").isNotNull().alias("seen"))
+
+
+def payload_alternatives(payloads: DataFrame) -> DataFrame:
+    """``alternatives`` of the payloads' paths."""
+    return alternatives(cut(path_unions(payloads, sketches=False)))
+
+
 def listing_changes(meta: DataFrame, name: str = "challenge_meta") -> DataFrame:
     """Changes between successive releases of a listing: tickers added, removed, resized.
 

@@ -70,13 +70,15 @@ def payload_branches(payloads: DataFrame, names: dict[str, str] | None = None) -
     return sent.select(F.lit("raw_payloads").alias("src"), "ts", "root", "row_id", F.expr(branches).alias("branches")).where("cardinality(branches) > 0")
 
 
-def state_branches(states: DataFrame) -> DataFrame:
-    """src, ts, root, row_id and the uniform branches (slot and trigger) of each readable state."""
+def state_branches(states: DataFrame, own: bool = False) -> DataFrame:
+    """src, ts, root, row_id and the uniform branches (slot and trigger) of each readable state; with ``own`` the samples' scalars instead of their leaves."""
     allow_repeated_keys(states.sparkSession)
     found = states.select("ts", F.col("asset").alias("root"), F.xxhash64("ts", "asset", "state_json").alias("row_id"), readable("state_json").alias("v"))
     found = found.where("v IS NOT NULL").withColumn("v", opened("v"))
     found = found.withColumn("v", F.expr("coalesce(try_variant_get(v, '$.state', 'variant'), v)")).withColumn("v", opened("v")).withColumn("m", as_map("v"))
-    sample = lambda slot, s: f"named_struct('branch', concat('{slot}:', coalesce(try_variant_get({s}, '$.trigger_sidx', 'string'), '')), 'leaves', {_leaves(f'''try_variant_get({s}, '$.embeddings', 'variant')''', 'miners', 'hotkey', 'vec')})"
+    leaves = lambda s: f"'leaves', {_leaves(f'''try_variant_get({s}, '$.embeddings', 'variant')''', 'miners', 'hotkey', 'vec')}"
+    inside = (lambda s: f"'scalars', {_scalars(f'''try_variant_get({s}, '$', 'map<string,variant>')''')}") if own else leaves
+    sample = lambda slot, s: f"named_struct('branch', concat('{slot}:', coalesce(try_variant_get({s}, '$.trigger_sidx', 'string'), '')), {inside(s)})"
     pending = lambda slot: f"transform(filter(array(m['{slot}']), s -> try_variant_get(s, '$', 'map<string,variant>') IS NOT NULL), s -> {sample(slot, 's')})"
     halves = "flatten(transform(map_values(try_variant_get(c, '$', 'map<string,variant>')), h -> coalesce(try_variant_get(h, '$', 'array<variant>'), array())))"
     completed = f"transform(flatten(transform(filter(array(m['completed']), c -> c IS NOT NULL), c -> coalesce(try_variant_get(c, '$', 'array<variant>'), {halves}, array()))), s -> {sample('completed', 's')})"
@@ -139,3 +141,27 @@ def present_predictions(flat: DataFrame) -> DataFrame:
 def branch_table(branches: DataFrame) -> DataFrame:
     """The middle level: one row per (row, branch) with the number of its predictions."""
     return branches.select("src", "ts", "root", "row_id", F.posexplode("branches").alias("branch_no", "b")).select("src", "ts", "root", "row_id", "branch_no", F.col("b.branch").alias("branch"), F.size("b.leaves").alias("n_leaves"))
+
+
+def _scalars(members: str) -> str:
+    """SQL: the members of a map<string,variant> that are neither objects nor arrays nor null, as map<string,string>."""
+    plain = "NOT is_variant_null(e.value) AND try_variant_get(e.value, '$', 'map<string,variant>') IS NULL AND try_variant_get(e.value, '$', 'array<variant>') IS NULL"
+    return f"map_from_entries(transform(filter(map_entries({members}), e -> {plain}), e -> named_struct('key', e.key, 'value', try_variant_get(e.value, '$', 'string'))))"
+
+
+def payload_roots(payloads: DataFrame) -> DataFrame:
+    """The top level: src, ts, root, row_id, ``scalars`` of the envelope, ``owner`` (those of W_owner) and ``vectors`` of the tasks with one asset."""
+    allow_repeated_keys(payloads.sparkSession)
+    found = payloads.select("ts", F.col("hotkey").alias("root"), F.xxhash64("ts", "hotkey", "payload").alias("row_id"), readable("payload").alias("v")).where("v IS NOT NULL")
+    env = found.withColumn("env", F.expr("coalesce(try_variant_get(v, '$[0]', 'variant'), v)")).withColumn("ct", F.expr("try_variant_get(env, '$.C.ct', 'variant')"))
+    maps = env.withColumn("ct", opened("ct")).withColumn("m", as_map("env")).withColumn("c", as_map("ct")).where("m IS NOT NULL")
+    multi = ", ".join(f"'{a}'" for a in MULTI_ASSET)
+    vectors = f"map_from_entries(filter(transform(filter(map_entries(c), e -> e.key NOT IN ({multi})), e -> named_struct('key', e.key, 'value', try_variant_get(e.value, '$', 'array<double>'))), e -> e.value IS NOT NULL))"
+    owner = _scalars("try_variant_get(env, '$.W_owner', 'map<string,variant>')")
+    return maps.select(F.lit("raw_payloads").alias("src"), "ts", "root", "row_id", F.expr(_scalars("m")).alias("scalars"), F.expr(owner).alias("owner"), F.expr(vectors).alias("vectors"))
+
+
+def state_samples(states: DataFrame) -> DataFrame:
+    """The middle level of states: src, ts, root, row_id, branch_no, branch and the sample's own ``scalars``; (row_id, branch_no) as in ``flat_predictions``."""
+    samples = state_branches(states, True)
+    return samples.select("src", "ts", "root", "row_id", F.posexplode("branches").alias("branch_no", "b")).select("src", "ts", "root", "row_id", "branch_no", F.col("b.branch").alias("branch"), F.col("b.scalars").alias("scalars"))
