@@ -196,12 +196,19 @@ class Search:
         self.table = math.log(total + 1.0) - np.log(counts[:-1] + 0.5)
         self.known = known or {}
         self._searched = lru_cache(maxsize=1 << 16)(self._best)
+        self.judged = lru_cache(maxsize=1 << 17)(self._judged)
 
     def best(self, word: str) -> tuple[float, tuple[str, ...]]:
         """(gain, operations) of the cheapest reachable state of a word."""
         found = self.known.get(word)
         return found if found is not None else self._searched(word)
 
+    def _judged(self, word: str) -> tuple[float, tuple[str, ...], tuple[str, ...]]:
+        """(gain, operations, family; () where the word is no evidence) of a word by its core."""
+        gain, path = self.best(_core(word))
+        family = _family(path)
+        return gain, path, family if family and (len(word) >= LEAST or _structured(family)) else ()
+
     def costs(self, words: list[str]) -> np.ndarray:
         """Per word the mean over the trigrams of the word and a blank on both sides."""
         sizes = np.array([len(w) for w in words])
@@ -304,6 +311,7 @@ def _one(char: str, codec: str) -> bytes:
         raise
 
 
+@lru_cache(maxsize=1 << 16)
 def _core(word: str) -> str:
     """A word's characters beyond ASCII with what lies between and up to two around them; digits become 0."""
     first = next((i for i, c in enumerate(word) if c > "\x7f"), 0)
@@ -321,9 +329,8 @@ def judge(text: str | None, search: Search, restore: bool = False) -> tuple[bool
     evidence: dict[tuple[str, ...], float] = {}
     fixes: dict[str, tuple[str, ...]] = {}
     for word in suspects(text):
-        gain, path = search.best(_core(word))
-        family = _family(path)
-        if family and (len(word) >= LEAST or _structured(family)):
+        gain, path, family = search.judged(word)
+        if family:
             evidence[family] = evidence.get(family, 0.0) + gain
         fixes[word] = path
     sure = {family for family, total in evidence.items() if total >= (EVIDENCE_UTF8 if _structured(family) else EVIDENCE)}

@@ -69,7 +69,7 @@ def _weights(counts: np.ndarray, idf: np.ndarray, length: np.ndarray | float, me
 
 
 class Index:
-    """BM25 inverted index of one shard: postings by term, weights ready to be summed."""
+    """BM25 inverted index of one shard: postings by term, weights ready to be summed; terms of many texts as dense rows."""
 
     def __init__(self, bags: list[np.ndarray], idf: np.ndarray, mean_length: float) -> None:
         terms, counts = zip(*(np.unique(b, return_counts=True) for b in bags), strict=True) if bags else ((), ())
@@ -79,17 +79,33 @@ class Index:
         tf = np.concatenate(counts).astype(np.float64) if bags else np.zeros(0)
         doc = np.repeat(np.arange(len(bags)), [len(t) for t in terms])
         length = np.array([len(b) for b in bags], dtype=np.float64)
-        weight = _weights(tf, idf[term], length[doc], mean_length)
+        weight = _weights(tf, idf[term], length[doc], mean_length).astype(np.float32)
+        texts = np.bincount(term, minlength=len(idf))
+        common = np.flatnonzero(texts > max(self.size // 16, 8))
+        self.slot = np.full(len(idf), -1)
+        self.slot[common] = np.arange(len(common))
+        dense = self.slot[term] >= 0
+        self.dense = np.zeros((len(common), self.size), dtype=np.float32)
+        self.dense[self.slot[term[dense]], doc[dense]] = weight[dense]
+        term, doc, weight = term[~dense], doc[~dense], weight[~dense]
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.start = np.searchsorted(term[order], np.arange(len(idf) + 1))
 
-    def scores(self, terms: np.ndarray) -> np.ndarray:
-        """BM25 score of every text of the shard for the distinct ``terms`` of a query."""
-        begin, sizes = self.start[terms], self.start[terms + 1] - self.start[terms]
-        total = int(sizes.sum())
-        at = np.arange(total) + np.repeat(begin - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
-        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.size)
+    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
+        """BM25 score of every text of the shard (columns) for the distinct terms of each query (rows)."""
+        asked = np.zeros((len(queries), len(self.dense)), dtype=np.float32)
+        for i, terms in enumerate(queries):
+            slots = self.slot[terms]
+            asked[i, slots[slots >= 0]] = 1.0
+        out = asked @ self.dense
+        for i, terms in enumerate(queries):
+            begin, sizes = self.start[terms], self.start[terms + 1] - self.start[terms]
+            total = int(sizes.sum())
+            if total:
+                at = np.arange(total) + np.repeat(begin - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
+                out[i] += np.bincount(self.doc[at], weights=self.weight[at], minlength=self.size)
+        return out
 
 
 def _finish(room: int, candidates: np.ndarray, sizes: np.ndarray) -> list[int]:
@@ -137,7 +153,7 @@ def pack(sizes: np.ndarray, index: Index, capacity: int, begun: np.ndarray | Non
         unused[seed] = False
         free = np.flatnonzero(unused & (sizes <= room)) if room else ()
         if len(free):
-            score = index.scores(index.terms[seed])
+            score = index.scores([index.terms[seed]])[0]
             near = free[np.lexsort((free, -score[free]))]
             while room and len(near):
                 near = near[sizes[near] <= room]
@@ -356,18 +372,22 @@ def retrieved(placed: Corpus, capacity: int = CAPACITY, near: int = NEAR) -> Dat
         left, right = left.sort_by("row").combine_chunks(), right.combine_chunks()
         index, sizes = _index(left, idf.value, mean_length)
         seeds, found, scores = [], [], []
-        for i, (raw, count, room) in enumerate(zip(right.column("terms").to_pylist(), right.column("n_terms").to_pylist(), right.column("room").to_pylist(), strict=True)):
-            terms = _tokens(raw, count)
-            score = np.where(sizes <= room, index.scores(terms), 0.0) if len(sizes) else np.zeros(0)
-            best = np.argpartition(-score, near - 1)[:near] if len(score) > near else np.arange(len(score))
-            best = best[score[best] > 0]
-            seeds.append(np.full(len(best), i))
-            found.append(best)
+        queries = [_tokens(raw, z) for raw, z in zip(right.column("terms").to_pylist(), right.column("n_terms").to_pylist(), strict=True)]
+        rooms = right.column("room").to_numpy()
+        for at in range(0, len(queries) if len(sizes) else 0, 256):
+            block = queries[at : at + 256]
+            score = index.scores(block)
+            score[sizes[None, :] > rooms[at : at + 256, None]] = 0.0
+            best = np.argpartition(-score, near - 1, axis=1)[:, :near] if len(sizes) > near else np.tile(np.arange(len(sizes)), (len(block), 1))
+            value = np.take_along_axis(score, best, axis=1)
+            i, j = np.nonzero(value > 0)
+            seeds.append(at + i)
+            found.append(best[i, j])
             # Long seeds score higher with everybody; what counts for a text is which seed it is nearest to.
-            scores.append(score[best] / np.sqrt(max(count, 1)))
+            scores.append(value[i, j] / np.sqrt([max(len(q), 1) for q in block])[i])
         who, what = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (seeds, found))
         parts = [left.select(["row", "doc_id", "part", "n_tokens", "shard"]).take(pa.array(what)), right.select(["seed", "seed_shard", "room"]).take(pa.array(who))]
-        return pa.Table.from_arrays([*parts[0].columns, *parts[1].columns, pa.array(np.concatenate(scores).round(9) if scores else np.zeros(0))], names=["row", "doc_id", "part", "n_tokens", "shard", "seed", "seed_shard", "room", "score"])
+        return pa.Table.from_arrays([*parts[0].columns, *parts[1].columns, pa.array(np.concatenate(scores).astype(np.float64).round(4) if scores else np.zeros(0))], names=["row", "doc_id", "part", "n_tokens", "shard", "seed", "seed_shard", "room", "score"])
 
     return offered.groupBy("shard").cogroup(asked.groupBy("asked")).applyInArrow(answer, NEAR_SCHEMA)
 

@@ -69,7 +69,7 @@ def test_null_empty_and_whole_texts(spark):
 
 def test_neighbours_share_words():
     bags = [np.array(b) for b in ([1, 2, 3], [1, 2, 9], [7, 8], [1, 2, 3, 3])]
-    s = Index(bags, np.ones(10), 3.0).scores(np.array([1, 2, 3]))
+    s = Index(bags, np.ones(10), 3.0).scores([np.array([1, 2, 3])])[0]
     assert s[3] > s[1] > s[2] == 0
 
 
@@ -105,7 +105,7 @@ def test_retrieval_recalls_the_neighbours_of_brute_force(spark):
     recall = []
     for i, row in enumerate(placed["row"].tolist()):
         if seeds[i]:
-            score = np.where(np.array(seeds) | (size > cap - size[i]), -1.0, index.scores(np.unique(bags[docs_[i]])))
+            score = np.where(np.array(seeds) | (size > cap - size[i]), -1.0, index.scores([np.unique(bags[docs_[i]])])[0])
             best = [docs_[j] for j in np.argsort(-score, kind="stable")[:k] if score[j] > 0]
             if len(best) == k:
                 recall.append(len(set(best) & set(got.get(row, [])[:k])) / k)
@@ -137,3 +137,12 @@ def test_packing_by_size_is_nearly_full(seed):
     window = pack_sizes(sizes, 100)
     used = np.bincount(window, weights=sizes)
     assert used.max() <= 100 and len(used) <= np.ceil(sizes.sum() / 100) * 1.01 + 1
+
+
+def test_index_scores_are_bm25():
+    rng = np.random.default_rng(8)
+    bags = [np.sort(rng.integers(0, 40, int(rng.integers(1, 30)))) for _ in range(90)]
+    idf, mean = rng.uniform(0.1, 3, 40), 14.0
+    query = np.unique(bags[3])
+    want = [sum(idf[t] * (tf := (b == t).sum()) * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(b) / mean)) for t in query) for b in bags]
+    assert Index(bags, idf, mean).scores([np.array([], dtype=int), query])[1] == pytest.approx(want, rel=1e-5)
