@@ -64,7 +64,7 @@ LEAST = 3
 #: Words whose results are sent to all executors (a bound of memory: others are searched where they occur).
 REMEMBERED = 1 << 16
 #: Steps of the search: depth of a path, states expanded per word, and how much dearer than the start a state may be.
-DEPTH, EXPANSIONS, SLACK = 3, 12, 1.0
+DEPTH, EXPANSIONS, SLACK = 3, 24, 3.0
 
 #: Blanks that end a word; NO-BREAK SPACE and NEXT LINE may be bytes of a garbled word.
 _BLANK = " \t\n\r\x0b\x0c"
@@ -364,8 +364,8 @@ def _family(path: tuple[str, ...]) -> tuple[str, ...]:
 
 
 def _structured(family: tuple[str, ...]) -> bool:
-    """Whether the path ends in the structure that UTF-8 leaves."""
-    return family[-1].startswith(("utf-8", "lossy", "refill"))
+    """Whether every step of the path undoes the structure that UTF-8 leaves."""
+    return all(op.startswith(("utf-8", "lossy", "refill")) for op in family)
 
 
 _SEARCHES: dict[str, Search] = {}
