@@ -1,17 +1,31 @@
-"""Grouped fits: one task per (participant, segment) or replicate, with the solvers inside.
-
-Groups are bounded by construction (a segment's rows of a participant, one
-replicate of a panel), so ``applyInPandas`` never holds more than that.
+"""Fits: one participant's models in one task, and regularised logistic fits of many participants over all executors.
+
+A participant's walk-forward models need its own rows only, which the scorers
+trim to the tasks' history (W14), so ``applyInArrow`` per participant is
+bounded. A meta fit has all rows of a task and up to some hundred columns; its
+Newton steps need sums only (gradient and Hessian), which every executor forms
+over its own rows, for all replicates of a bootstrap at once: a replicate is
+how often each row counts. What reaches the driver is one Hessian per group
+and replicate, whatever the number of rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.operators import solvers
+from heliograph.operators.sequence import numbered
+from heliograph.session import cut
+
+SUMS_SCHEMA = "g string, b int, part binary"
 
 
 def _kinds(df: DataFrame, columns: list[str]) -> str:
@@ -19,7 +33,7 @@ def _kinds(df: DataFrame, columns: list[str]) -> str:
 
 
 def univariate(df: DataFrame, group: list[str], feature: str, label: str, c: float = 0.5, least: int = 50) -> DataFrame:
-    """L2 logistic fit of one feature per group: group, n, coef, intercept (no row below ``least`` rows or with one class).
+    """L2 logistic fit of one feature per group: group, n, coef, intercept (no row below ``least`` rows or with one class).
 
     A Newton iteration of one feature needs a handful of sums; rows are first
     combined to (feature, label) counts.
@@ -36,83 +50,246 @@ def univariate(df: DataFrame, group: list[str], feature: str, label: str, c: flo
     return counted.groupBy(*group).applyInPandas(fit, f"{_kinds(df, group)}, n bigint, coef double, intercept double")
 
 
+@dataclass(frozen=True)
+class Segment:
+    """Rows of [start, end) are scored by a model of the rows in [fit_start, fit_end)."""
+
+    number: int
+    start: int
+    end: int
+    fit_start: int
+    fit_end: int
+
+
+def out_of_sample(df: DataFrame, who: str, pos: str, features: list[str], label: str, segments: list[Segment], c: float = 0.5, least: int = 50, keep: list[str] | None = None, balanced: bool = False, weight: str | None = None, least_distinct: int = 0) -> DataFrame:
+    """(who, segment, pos, keep, label, z): decision values of each participant's models outside their fit.
+
+    Every participant's rows are sorted once; a model starts from the last one.
+    No model where there are fewer than ``least`` rows or one class, or a first
+    feature of fewer than ``least_distinct`` values.
+    """
+    keep, columns = keep or [], [who, pos, *(keep or []), label, *features, *([weight] if weight else [])]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([pos, *keep], kind="stable")
+        at, x, y = pdf[pos].to_numpy(), pdf[features].to_numpy(dtype=float), pdf[label].to_numpy(dtype=float)
+        w = pdf[weight].to_numpy(dtype=float) if weight else np.ones(len(y))
+        out, last = [], None
+        for s in segments:
+            low, high = np.searchsorted(at, [s.start, s.end])
+            a, b = np.searchsorted(at, [s.fit_start, s.fit_end])
+            if high <= low or b - a < least or not 0 < y[a:b].sum() < b - a or (least_distinct and len(np.unique(x[a:b, 0])) < least_distinct):
+                continue
+            last = solvers.logistic_l2(x[a:b], y[a:b], c, solvers.class_weights(y[a:b], w[a:b]) if balanced else w[a:b], start=last)
+            part = pdf.iloc[low:high]
+            out.append(part[[who, pos, *keep, label]].assign(segment=s.number, z=x[low:high] @ last[0] + last[1]))
+        return pd.concat(out)[[who, "segment", pos, *keep, label, "z"]] if out else pd.DataFrame(columns=[who, "segment", pos, *keep, label, "z"])
+
+    more = f", {_kinds(df, keep)}" if keep else ""
+    return df.select(*columns).groupBy(who).applyInPandas(run, f"{_kinds(df, [who])}, segment bigint, {_kinds(df, [pos])}{more}, {_kinds(df, [label])}, z double")
+
+
 def walk_forward_scores(df: DataFrame, who: str, pos: str, feature: str, label: str, segments: DataFrame, c: float = 0.5, least: int = 50) -> DataFrame:
-    """Out-of-sample scores: per (participant, segment) fitted on rows before ``fit_end``, applied to the segment's rows.
+    """Out-of-sample probabilities: per (participant, segment) fitted on rows before ``fit_end``, applied to the segment's rows.
 
-    (start, end, fit_end) of the segments come from ``windows.segments``; a row
-    serves as fit data of every later segment, as the walk-forward asks.
+    (segment, start, end, fit_end) come from ``windows.segments``, of which
+    there are as many as chunks of the history.
     """
-    rows = df.select(who, pos, feature, label)
-    now = rows.join(segments.select("segment", "start", "end"), (F.col(pos) >= F.col("start")) & (F.col(pos) < F.col("end"))).drop("start", "end")
-    held = segments.join(now.select("segment").distinct(), "segment", "left_semi").select("segment", "fit_end")
-    past = rows.join(held, F.col(pos) < F.col("fit_end")).select(who, "segment", feature, label)
-    model = univariate(past, [who, "segment"], feature, label, c, least)
-    scored = now.join(model, [who, "segment"])
-    return scored.select(who, "segment", pos, label, (1 / (1 + F.exp(-(F.col("coef") * F.col(feature) + F.col("intercept"))))).alias("score"))
+    listed = [Segment(r.segment, r.start, r.end, 0, r.fit_end) for r in segments.orderBy("segment").collect()]
+    rows = df.where(F.col(feature).isNotNull() & F.col(label).isNotNull())
+    scored = out_of_sample(rows, who, pos, [feature], label, listed, c, least)
+    return scored.select(who, "segment", pos, label, (1 / (1 + F.exp(-F.col("z")))).alias("score"))
 
 
-def bootstrap_importance(panel: DataFrame, group: list[str], pos: str, features: list[str], label: str, replicates: int = 10, block: int = 120, c: float = 1.0, l1_ratio: float | None = None, seed: int = 42) -> DataFrame:
-    """Block-bootstrap meta fit per group: feature, importance (median of means of |coef|), signed mean.
+@dataclass(frozen=True)
+class Resampling:
+    """How often a replicate counts each row of a timeline of n rows.
 
-    ``panel`` has one column per participant (bounded by the participants of a
-    task). Each replicate is a task of its own; l1_ratio None fits L2.
+    ``replicates`` block bootstraps: n // block sorted starts, each counting
+    ``block`` rows (one plain fit below two blocks of rows); or ``left_out``
+    fits that each leave one contiguous part out.
     """
-    copies = panel.select(*group, pos, label, *features, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_replicate"))
 
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
-        x, y = np.nan_to_num(pdf[features].to_numpy(dtype=float)), pdf[label].to_numpy(dtype=float)
-        rows = solvers.block_sample(len(y), block, seed + int(key[-1])) if replicates > 1 else np.arange(len(y))
-        b = np.zeros(len(features))
-        if 0 < y[rows].sum() < len(rows):
-            w = solvers.class_weights(y[rows])
-            b, _ = solvers.logistic_l2(x[rows], y[rows], c, w) if l1_ratio is None else solvers.logistic_elastic_net(x[rows], y[rows], c, l1_ratio, w)
-        return pd.DataFrame({**{g: k for g, k in zip([*group, "_replicate"], key, strict=True)}, "feature": features, "coef": b})
-
-    kinds = f"{_kinds(panel, group)}, " if group else ""
-    coefs = copies.groupBy(*group, "_replicate").applyInPandas(fit, f"{kinds}_replicate int, feature string, coef double")
-    size = max(replicates // 4, 1)
-    means = coefs.where(F.col("_replicate") < size * 4).groupBy(*group, "feature", F.floor(F.col("_replicate") / size).alias("_b")).agg(F.avg(F.abs("coef")).alias("_m"))
-    signed = coefs.groupBy(*group, "feature").agg(F.avg("coef").alias("signed_mean"))
-    return means.groupBy(*group, "feature").agg(F.median("_m").alias("importance")).join(signed, [*group, "feature"])
+    replicates: int = 1
+    block: int = 120
+    left_out: int = 0
+    seed: int = 42
+
+    def number(self, n: int) -> int:
+        if self.left_out > 1:
+            return self.left_out if n >= 2 * self.left_out else 1
+        return self.replicates if n >= 2 * self.block else 1
+
+    def counts(self, rows: np.ndarray, n: int, b: int, salt: int) -> np.ndarray:
+        if self.number(n) == 1:
+            return np.ones(len(rows))
+        if self.left_out > 1:
+            low, high = np.linspace(0, n, self.left_out + 1).astype(int)[b : b + 2]
+            return ((rows < low) | (rows >= high)).astype(float)
+        starts = solvers.block_starts(n, self.block, self.seed + salt + b)
+        return (np.searchsorted(starts, rows, side="right") - np.searchsorted(starts, rows - self.block, side="right")).astype(float)
+
+
+def panel(cells: DataFrame, values: DataFrame) -> DataFrame:
+    """Rows of meta fits: ``cells`` (g, at, y, w) are all rows of a group in the order of ``at``, ``values`` (g, at, slot, x) what participants had there."""
+    listed = values.groupBy("g", "at").agg(F.collect_list(F.struct(F.col("slot").cast("int").alias("slot"), F.col("x").cast("double").alias("x"))).alias("xs"))
+    return numbered(cells.select("g", "at", "y", "w"), "g", "at", 1 << 16, "row").join(listed, ["g", "at"], "left").select("g", "row", "y", "w", F.coalesce("xs", F.array()).alias("xs"))
+
+
+def _dense(batch: pa.RecordBatch, width: dict[str, int], fill: float) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(group, row, y, w, matrix with a last column of ones) of a batch of a panel."""
+    groups = batch.column("g").dictionary_encode()
+    codes, lists = groups.indices.to_numpy(), batch.column("xs")
+    owner = np.repeat(np.arange(len(codes)), np.diff(lists.offsets.to_numpy()))
+    flat = lists.flatten()
+    slot, x = flat.field("slot").to_numpy(), flat.field("x").to_numpy()
+    row, y, w = (batch.column(c).to_numpy().astype(float) for c in ("row", "y", "w"))
+    place = np.empty(len(codes), dtype=np.int64)
+    for code, g in enumerate(groups.dictionary.to_pylist()):
+        if g in width:
+            rows = np.flatnonzero(codes == code)
+            place[rows] = np.arange(len(rows))
+            mine = codes[owner] == code
+            m = np.full((len(rows), width[g] + 1), fill)
+            m[:, -1] = 1.0
+            m[place[owner[mine]], slot[mine]] = x[mine]
+            yield g, row[rows].astype(np.int64), y[rows], w[rows], m
+
+
+def _newton_sums(batches: Iterator[pa.RecordBatch], resampling: Resampling, sizes: dict, trials: dict, classes: dict | None, fill: float) -> Iterator[pa.RecordBatch]:
+    """Per (group, replicate) class counts, or loss, gradient and Hessian of the log-loss at the trial coefficients."""
+    width = {g: k for g, (_, k, _) in sizes.items() if any(key[0] == g for key in trials)}
+    sums: dict[tuple[str, int], np.ndarray] = {}
+    for batch in batches:
+        for g, row, y, w, m in _dense(batch, width, fill):
+            n, _, salt = sizes[g]
+            for b in range(resampling.number(n)):
+                if (g, b) not in trials:
+                    continue
+                often = resampling.counts(row, n, b, salt)
+                if classes is None:
+                    part = np.array([often @ (y > 0), often @ (y <= 0)])
+                else:
+                    used = np.flatnonzero(often)
+                    x, t = m[used], y[used] > 0
+                    weight = often[used] * w[used] * np.where(t, classes[g, b][0], classes[g, b][1])
+                    score = x @ trials[g, b]
+                    p = 1 / (1 + np.exp(-np.clip(score, -500, 500)))
+                    loss = weight @ np.logaddexp(0, np.where(t, -score, score))
+                    part = np.concatenate(([loss], x.T @ (weight * (p - t)), ((x * (weight * np.maximum(p * (1 - p), 1e-12))[:, None]).T @ x).ravel()))
+                sums[g, b] = sums[g, b] + part if (g, b) in sums else part
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["g", "b", "part"])
+
+
+def _added(key: tuple, table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(raw) for raw in sorted(table.column("part").to_pylist()))
+    return pa.table({"g": [key[0].as_py()], "b": pa.array([key[1].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
+
+
+def logistic(rows: DataFrame, width: dict[str, int], resampling: Resampling, c: float, l1_ratio: float | None = None, penalise_intercept: bool = False, fill: float = 0.0, salt: dict[str, int] | None = None, steps: int = 60, tol: float = 1e-7) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Balanced logistic fits of every group and replicate of a panel: (coefficients, intercepts), one row per replicate with both classes.
+
+    Minimises R(b) + C·Σ w·log-loss, R being ½‖b‖² or the elastic net's
+    l1_ratio·‖b‖₁ + ½(1 - l1_ratio)·‖b‖², by damped (proximal) Newton steps.
+    ``rows`` is read once per step and should be cut.
+    """
+    counted = {r.g: r.n for r in rows.groupBy("g").agg(F.count("*").alias("n")).collect()}
+    sizes = {g: (counted[g], k, (salt or {}).get(g, 0)) for g, k in width.items() if counted.get(g) and k}
+    trials = {(g, b): np.zeros(k + 1) for g, (n, k, _) in sizes.items() for b in range(resampling.number(n))}
+
+    def sums(at: dict, classes: dict | None) -> dict[tuple[str, int], np.ndarray]:
+        if not at:
+            return {}
+        parts = rows.mapInArrow(partial(_newton_sums, resampling=resampling, sizes=sizes, trials=at, classes=classes, fill=fill), SUMS_SCHEMA)
+        return {(r.g, r.b): np.frombuffer(r.part) for r in parts.groupBy("g", "b").applyInArrow(_added, SUMS_SCHEMA).collect()}
+
+    classes = {k: (sum(v) / (2 * v[0]), sum(v) / (2 * v[1])) for k, v in sums(trials, None).items() if v[0] > 0 and v[1] > 0}
+    trials = {k: v for k, v in trials.items() if k in classes}
+    held: dict[tuple[str, int], tuple[float, np.ndarray]] = {}
+    done: dict[tuple[str, int], np.ndarray] = {}
+    for _ in range(steps):
+        for key, part in sums(trials, classes).items():
+            b, k = trials[key], len(trials[key])
+            ridge = np.full(k, 1.0 if l1_ratio is None else 1 - l1_ratio)
+            ridge[-1] = 1.0 if penalise_intercept else 0.0
+            l1 = np.append(np.full(k - 1, l1_ratio or 0.0), 0.0)
+            value = c * part[0] + 0.5 * ridge @ b**2 + l1 @ np.abs(b)
+            if key in held and value > held[key][0] + 1e-10 * abs(held[key][0]):
+                # Too far: half the step.
+                trials[key] = (held[key][1] + b) / 2
+                if np.abs(trials[key] - held[key][1]).max() < tol:
+                    done[key] = held[key][1]
+                continue
+            held[key] = (value, b)
+            gradient, hessian = c * part[1 : k + 1] + ridge * b, c * part[k + 1 :].reshape(k, k) + np.diag(ridge + 1e-10)
+            new = b - np.linalg.solve(hessian, gradient) if l1_ratio is None else solvers.descend(b, gradient, hessian, l1)
+            if np.abs(new - b).max() < tol * max(1.0, np.abs(b).max()):
+                done[key] = new
+            trials[key] = new
+        trials = {k: v for k, v in trials.items() if k not in done}
+        if not trials:
+            break
+    done |= {k: held[k][1] for k in trials if k in held}
+    out = {}
+    for g in sizes:
+        found = [done[k] for k in sorted(done) if k[0] == g]
+        if found:
+            out[g] = (np.stack(found)[:, :-1], np.stack(found)[:, -1])
+    return out
+
+
+def _fits_per_group(panel_: DataFrame, group: list[str], pos: str, features: list[str], label: str, resampling: Resampling, c: float, l1_ratio: float | None) -> DataFrame:
+    """(group, feature, importance, signed_mean) of a panel with one column per participant."""
+    g: Column = F.to_json(F.struct(*(F.col(k) for k in group))) if group else F.lit("all")
+    cells = panel_.select(g.alias("g"), F.col(pos).alias("at"), F.col(label).alias("y"), F.lit(1.0).alias("w"), F.array(*(F.struct(F.lit(i).alias("slot"), F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias("x")) for i, f in enumerate(features))).alias("xs"))
+    rows = cut(numbered(cells, "g", "at", 1 << 16, "row").select("g", "row", "y", "w", "xs"))
+    keys = cut(panel_.select(g.alias("g"), *group).distinct())
+    found = logistic(rows, {r.g: len(features) for r in keys.select("g").distinct().collect()}, resampling, c, l1_ratio)
+    told = [(k, f, float(i), float(m)) for k, (coefs, _) in found.items() for f, i, m in zip(features, solvers.median_of_means(np.abs(coefs), min(4, len(coefs))) if resampling.left_out < 2 else np.abs(coefs).mean(axis=0), coefs.mean(axis=0), strict=True)]
+    return keys.join(panel_.sparkSession.createDataFrame(told, "g string, feature string, importance double, signed_mean double"), "g").drop("g")
 
 
-def leave_block_out(panel: DataFrame, group: list[str], pos: str, features: list[str], label: str, blocks: int = 4) -> DataFrame:
-    """Feature, importance per group."""
+def bootstrap_importance(panel: DataFrame, group: list[str], pos: str, features: list[str], label: str, replicates: int = 10, block: int = 120, c: float = 1.0, l1_ratio: float | None = None, seed: int = 42) -> DataFrame:
+    """Block-bootstrap meta fit per group: feature, importance (median of means of |coef|), signed mean. ``pos`` is unique inside a group."""
+    return _fits_per_group(panel, group, pos, features, label, Resampling(replicates, block, 0, seed), c, l1_ratio)
 
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
-        b = solvers.leave_block_out(np.nan_to_num(pdf[features].to_numpy(dtype=float)), pdf[label].to_numpy(dtype=float), blocks)
-        return pd.DataFrame({**{g: k for g, k in zip(group, key, strict=True)}, "feature": features, "importance": b})
 
-    kinds = f"{_kinds(panel, group)}, " if group else ""
-    return panel.groupBy(*group).applyInPandas(fit, f"{kinds}feature string, importance double")
+def leave_block_out(panel: DataFrame, group: list[str], pos: str, features: list[str], label: str, blocks: int = 4) -> DataFrame:
+    """Feature, importance per group: mean |coef| of fits that each leave a part of the timeline out."""
+    return _fits_per_group(panel, group, pos, features, label, Resampling(left_out=blocks), 1.0, None).drop("signed_mean")
 
 
-def shift_evidence(df: DataFrame, who: str, pos: str, signal: str, labels: list[str], weights: list[float], least_shift: int) -> DataFrame:
-    """Participant, t, p of its series (one group per participant)."""
+def shift_evidence(df: DataFrame, who: str, pos: str, signal: str, labels: list[str], weights: list[float], least_shift: int, asset: str | None = None) -> DataFrame:
+    """Participant, t, p of its series, or with ``asset`` of all its assets' series shifted together (one group per participant: an hourly panel)."""
 
     def test(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
-        t, p = solvers.shift_evidence(pdf[signal].to_numpy(dtype=float), [pdf[c].to_numpy(dtype=float) for c in labels], weights, least_shift)
+        if asset is None:
+            pdf = pdf.sort_values(pos)
+            x, ys = pdf[signal].to_numpy(dtype=float), [pdf[c].to_numpy(dtype=float) for c in labels]
+        else:
+            wide = lambda c: pdf.pivot(index=pos, columns=asset, values=c).to_numpy(dtype=float)
+            x, ys = wide(signal), [wide(c) for c in labels]
+        t, p = solvers.shift_evidence(x, ys, weights, least_shift)
         return pd.DataFrame([[key[0], t, p]], columns=[who, "t", "p"])
 
-    return df.select(who, pos, signal, *labels).groupBy(who).applyInPandas(test, f"{_kinds(df, [who])}, t double, p double")
+    return df.select(who, pos, signal, *labels, *([asset] if asset else [])).groupBy(who).applyInPandas(test, f"{_kinds(df, [who])}, t double, p double")
 
 
-def linked_clusters(pairs: DataFrame, a: str, b: str, similarity: str, component: str, cut: float) -> DataFrame:
+def linked_clusters(pairs: DataFrame, a: str, b: str, similarity: str, component: str, cut: float, most: int = 4096) -> DataFrame:
     """Complete-linkage clusters inside each connected component of similar pairs: component, member, cluster (its smallest member).
 
     Members whose similarity is not listed count as fully dissimilar, so
-    components are independent of each other.
+    components are independent of each other. Linkage is sequential: a
+    component of more than ``most`` members is refused rather than cut short.
     """
 
     def link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         members = np.unique(np.concatenate((pdf[a].to_numpy(), pdf[b].to_numpy())))
-        at = {m: i for i, m in enumerate(members)}
+        if len(members) > most:
+            raise ValueError(f"a component of {len(members)} members exceeds {most}")
+        i, j = np.searchsorted(members, pdf[a].to_numpy()), np.searchsorted(members, pdf[b].to_numpy())
         d = np.ones((len(members), len(members)))
-        for x, y, s in zip(pdf[a], pdf[b], pdf[similarity], strict=True):
-            d[at[x], at[y]] = d[at[y], at[x]] = 1 - s
+        d[i, j] = d[j, i] = 1 - pdf[similarity].to_numpy(dtype=float)
         label = solvers.complete_linkage(d, cut)
         least = {k: members[label == k].min() for k in np.unique(label)}
         return pd.DataFrame({component: key[0], "member": members, "cluster": [least[k] for k in label]})

@@ -6,8 +6,12 @@ quantised value, a link), never from pairing everybody with everybody.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,33 +76,137 @@ def match_share(df: DataFrame, moment: list[str], who: str, cell: Column, least_
     return both.join(counts.withColumnsRenamed({who: "a", "n": "n_a"}), "a").join(counts.withColumnsRenamed({who: "b", "n": "n_b"}), "b").select("a", "b", "n_a", "n_b", "n_joint", "n_match", (F.col("n_match") / F.col("n_joint")).alias("share"))
 
 
+def _products(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Per pair of slots: joint rows and sums of x, y, x², y², xy over these, summed as matrices."""
+    total = None
+    for batch in batches:
+        lists = batch.column(0)
+        n = len(lists)
+        owner = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+        flat = lists.flatten()
+        slot, value = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+        size = int(slot.max()) + 1 if len(slot) else 0
+        if size > most:
+            raise ValueError(f"{size} participants exceed the {most} of a dense pair table")
+        x, there = np.zeros((n, size)), np.zeros((n, size))
+        x[owner, slot], there[owner, slot] = value, 1.0
+        part = np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+        if total is None or total.shape[1] < size:
+            wider = np.zeros((4, size, size))
+            if total is not None:
+                wider[:, : total.shape[1], : total.shape[1]] = total
+            total = wider
+        total[:, :size, :size] += part
+    if total is not None:
+        i, j = np.nonzero(np.triu(total[0], 0))
+        both = total[0], total[1], total[1].T, total[2], total[2].T, total[3]
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *(pa.array(m[i, j]) for m in both)], names=["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+
+def pair_sums(df: DataFrame, moment: list[str], slot: str, value: str, most: int = 4096) -> DataFrame:
+    """(i, j, n, x, y, xx, yy, xy) for i <= j: sums over the moments that both slots have; pairs are summed as matrices, never listed per moment."""
+    listed = df.where(F.col(value).isNotNull()).groupBy(*moment).agg(F.collect_list(F.struct(F.col(slot).cast("int").alias("s"), F.col(value).cast("double").alias("v"))).alias("l")).select("l")
+    shape = "i int, j int, n double, x double, y double, xx double, yy double, xy double"
+    return listed.mapInArrow(partial(_products, most=most), shape).groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")))
+
+
+def gram(df: DataFrame, moment: list[str], slot: str, value: str, size: int) -> np.ndarray:
+    """Inner products of all slots' values (absent ones are 0), size x size on the driver."""
+    out = np.zeros((size, size))
+    for r in pair_sums(df, moment, slot, value).select("i", "j", "xy").collect():
+        out[r.i, r.j] = out[r.j, r.i] = r.xy
+    return out
+
+
+def _slots(df: DataFrame, who: str) -> DataFrame:
+    return df.select(who).distinct().withColumn("_slot", F.row_number().over(Window.orderBy(who)) - 1)
+
+
 def joint_correlation(df: DataFrame, moment: str, who: str, value: str, least_joint: int) -> DataFrame:
-    """Correlation of two participants over joint moments; for dimensions of few participants (the pairs of a moment are its participants')."""
-    listed = df.where(F.col(value).isNotNull()).groupBy(moment).agg(F.sort_array(F.collect_list(F.struct(F.col(who).alias("w"), F.col(value).alias("v")))).alias("_l"))
-    pairs = listed.select(F.explode(F.expr("flatten(transform(_l, (x, i) -> transform(slice(_l, i + 2, size(_l)), y -> struct(x.w as a, y.w as b, x.v as va, y.v as vb))))")).alias("p")).select("p.*")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n_joint"), F.corr("va", "vb").alias("corr")).where(F.col("n_joint") >= least_joint)
+    """Correlation of two participants over joint moments, from pair sums."""
+    named = cut(_slots(df.where(F.col(value).isNotNull()), who))
+    sums = pair_sums(df.join(named, who), [moment], "_slot", value).where((F.col("i") < F.col("j")) & (F.col("n") >= least_joint))
+    a, b = named.select(F.col(who).alias("a"), F.col("_slot").alias("i")), named.select(F.col(who).alias("b"), F.col("_slot").alias("j"))
+    spread = lambda s, q: F.greatest(F.col("n") * F.col(q) - F.col(s) ** 2, F.lit(0.0))
+    corr = (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(spread("x", "xx") * spread("y", "yy"))
+    return sums.join(a, "i").join(b, "j").select("a", "b", F.col("n").cast("long").alias("n_joint"), F.when(F.isnan(corr), None).otherwise(corr).alias("corr"))
+
 
+def centred_similarity(df: DataFrame, moment: str, who: str, vec: str, least_joint: int = 1, joint: bool = True) -> DataFrame:
+    """(a, b, n_joint, similarity): |cosine| of two participants' vectors over all moments and elements, after the mean of the participants (A10) or each one's own mean (``joint``, A11: over the moments both have) is taken out.
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+    A row of the pair sums is a (moment, element); so nothing is as long as a history.
+    """
+    flat = df.select(moment, who, F.posexplode(vec).alias("_d", "_v")).withColumn("_v", F.col("_v").cast("double"))
+    centre = [who, "_d"] if joint else [moment, "_d"]
+    if joint:
+        mean = flat.groupBy(*centre).agg(F.avg("_v").alias("_m"))
+    else:
+        # Those absent count as zeros in the mean of a moment.
+        mean = flat.groupBy(*centre).agg((F.sum("_v") / df.agg(F.countDistinct(who)).scalar()).alias("_m"))
+    free = flat.join(mean, centre).withColumn("_v", F.col("_v") - F.col("_m"))
+    if not joint:
+        grid = mean.select(moment, "_d", F.explode(df.agg(F.collect_set(who).alias("w")).scalar()).alias(who), (-F.col("_m")).alias("_z"))
+        free = grid.join(free.select(moment, "_d", who, "_v"), [moment, "_d", who], "left").withColumn("_v", F.coalesce("_v", "_z"))
+    named = cut(_slots(free, who))
+    width = df.agg(F.max(F.size(vec))).scalar()
+    sums = pair_sums(free.join(named, who), [moment, "_d"], "_slot", "_v").where("i < j").withColumn("n_joint", F.round(F.col("n") / width).cast("long"))
+    a, b = named.select(F.col(who).alias("a"), F.col("_slot").alias("i")), named.select(F.col(who).alias("b"), F.col("_slot").alias("j"))
+    cosine = F.abs(F.col("xy")) / F.sqrt(F.col("xx") * F.col("yy"))
+    return sums.where(F.col("n_joint") >= least_joint).join(a, "i").join(b, "j").select("a", "b", "n_joint", F.when(F.col("xx") * F.col("yy") > 0, cosine).otherwise(0.0).alias("similarity"))
+
+
+def _equal(batches: Iterator[pa.RecordBatch], classes: int, size: int) -> Iterator[pa.RecordBatch]:
+    """How often two slots have the same choice, absent ones having choice 0."""
+    total = np.zeros((size, size))
+    for batch in batches:
+        lists = batch.column(0)
+        choice = np.zeros((len(lists), size), dtype=np.int64)
+        flat = lists.flatten()
+        choice[np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), flat.field(0).to_numpy()] = flat.field(1).to_numpy()
+        for k in range(classes):
+            same = (choice == k).astype(np.float32)
+            total += same.T @ same
+    i, j = np.nonzero(np.triu(total, 1))
+    yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], names=["i", "j", "n"])
+
+
+def agreement(moments: DataFrame, df: DataFrame, moment: str, who: str, rank: str, choice: str, classes: int) -> DataFrame:
+    """(who, overlap, uniqueness): the largest share of the ``moments`` in which a participant of better rank (1, 2, ...) made the same choice; absent ones have choice 0. Summed as matrices."""
+    names = df.select(who, rank).distinct()
+    size = int(names.agg(F.max(rank)).first()[0] or 0)
+    listed = df.groupBy(moment).agg(F.collect_list(F.struct((F.col(rank) - 1).cast("int").alias("s"), F.col(choice).cast("int").alias("c"))).alias("l"))
+    rows = moments.join(listed, moment, "left").select(F.coalesce("l", F.array()).alias("l"))
+    same = rows.mapInArrow(partial(_equal, classes=classes, size=size), "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    most = same.groupBy((F.col("j") + 1).alias(rank)).agg(F.max("n").alias("n"))
+    overlap = F.coalesce(F.col("n") / moments.agg(F.count("*").cast("double")).scalar(), F.lit(0.0))
+    return names.join(most, rank, "left").select(who, overlap.alias("overlap"), F.pow(1 - overlap, 2).alias("uniqueness"))
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(member, representative): connected components, each under its smallest member.
 
-    Alternating large-star and small-star steps; all joins are on one node's
-    links and every round is cut in the shared checkpoint folder. The number of
-    rounds grows with the logarithm of the longest path.
+    Alternating large-star and small-star steps to the fixed point; all joins
+    are on one node's links and every round is cut in the shared checkpoint
+    folder. The number of rounds grows with the logarithm of the longest path.
+    A round without effect leaves the links as they were, which their count
+    and a sum of their hashes tell.
     """
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
-    for _ in range(rounds):
+    told = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("v", "u", F.lit(1)).cast("decimal(20,0)"))).first())
+    before = told(edges)
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        nxt = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
-        same = nxt.count() == edges.count() and nxt.join(edges, ["u", "v"], "left_anti").isEmpty()
-        edges = nxt
-        if same:
+        edges = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+        now = told(edges)
+        if now == before:
             break
+        before = now
     return edges.select(F.col("u").alias("member"), F.col("v").alias("representative")).unionByName(edges.select(F.col("v").alias("member"), F.col("v").alias("representative"))).distinct()
 
 
@@ -118,12 +226,14 @@ def equalise_mass(df: DataFrame, key: str, value: str, representatives: DataFram
 
 
 def overlap_with_seniors(df: DataFrame, moment: str, who: str, choice: str, rank: str) -> DataFrame:
-    """The largest share of a participant's moments in which one higher-ranked participant made the same choice, and (1 - overlap)²."""
-    acts = df.select(moment, who, choice, rank)
-    a = acts.select(moment, F.col(who).alias("junior"), F.col(choice).alias("_c"), F.col(rank).alias("_ra"))
-    b = acts.select(moment, F.col(who).alias("senior"), F.col(choice).alias("_c"), F.col(rank).alias("_rb"))
-    same = a.join(b, [moment, "_c"]).where("_rb < _ra").groupBy("junior", "senior").agg(F.count("*").alias("_m"))
-    n = acts.groupBy(who).agg(F.count("*").alias("n")).withColumnRenamed(who, "junior")
-    most = same.groupBy("junior").agg(F.max("_m").alias("_m"))
-    overlap = F.coalesce(F.col("_m"), F.lit(0)) / F.col("n")
-    return n.join(most, "junior", "left").select(F.col("junior").alias(who), "n", overlap.alias("overlap"), F.pow(1 - overlap, 2).alias("uniqueness"))
+    """The largest share of a participant's own moments in which one higher-ranked participant made the same choice, and (1 - overlap)².
+
+    Slots are ordered by rank; a row of the pair sums is a (moment, choice).
+    """
+    named = cut(df.select(who, rank).distinct().withColumn("_slot", F.row_number().over(Window.orderBy(rank, who)) - 1))
+    same = pair_sums(df.join(named.select(who, "_slot"), who).withColumn("_one", F.lit(1.0)), [moment, choice], "_slot", "_one").where("i < j")
+    ranks = lambda slot, to: named.select(F.col("_slot").alias(slot), F.col(rank).alias(to))
+    most = same.join(ranks("i", "_ri"), "i").join(ranks("j", "_rj"), "j").where("_ri < _rj").groupBy(F.col("j").alias("_slot")).agg(F.max("n").alias("_m"))
+    n = df.groupBy(who).agg(F.count("*").alias("n")).join(named.select(who, "_slot"), who)
+    overlap = F.coalesce(F.col("_m"), F.lit(0.0)) / F.col("n")
+    return n.join(most, "_slot", "left").select(who, "n", overlap.alias("overlap"), F.pow(1 - overlap, 2).alias("uniqueness"))

@@ -23,12 +23,12 @@ def _standard(x: np.ndarray) -> np.ndarray:
     return np.column_stack((x, np.ones(len(x))))
 
 
-def logistic_l2(x: np.ndarray, y: np.ndarray, c: float, weights: np.ndarray | None = None, steps: int = 100, tol: float = 1e-8, penalise_intercept: bool = False) -> tuple[np.ndarray, float]:
+def logistic_l2(x: np.ndarray, y: np.ndarray, c: float, weights: np.ndarray | None = None, steps: int = 100, tol: float = 1e-10, penalise_intercept: bool = False, start: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, float]:
     """(coefficients, intercept) minimising ½‖b‖² + C·Σ w·log-loss by damped Newton steps."""
     a, w = _standard(np.asarray(x, dtype=np.float64)), np.ones(len(y)) if weights is None else weights
     sign, ridge = np.where(y > 0, 1.0, -1.0), np.ones(a.shape[1])
     ridge[-1] = 1.0 if penalise_intercept else 1e-12
-    b = np.zeros(a.shape[1])
+    b = np.zeros(a.shape[1]) if start is None else np.append(start[0], start[1])
 
     def loss(b: np.ndarray) -> float:
         return 0.5 * float((ridge * b * b).sum()) + c * float((w * np.logaddexp(0, -sign * (a @ b))).sum())
@@ -69,24 +69,26 @@ def logistic_elastic_net(x: np.ndarray, y: np.ndarray, c: float, l1_ratio: float
     return b[:-1], float(b[-1])
 
 
-def block_sample(n: int, block: int, seed: int) -> np.ndarray:
-    """Rows of one block bootstrap: sorted random block starts, blocks of ``block`` rows, about n rows."""
-    rng = np.random.default_rng(seed)
-    block = min(block, n)
-    starts = np.sort(rng.integers(0, n - block + 1, size=max(1, -(-n // block))))
-    return (starts[:, None] + np.arange(block)).ravel()[:n]
+def block_starts(n: int, block: int, seed: int) -> np.ndarray:
+    """Sorted starts of the n // block blocks of one block bootstrap of n rows."""
+    return np.sort(np.random.default_rng(seed).integers(0, n - block + 1, size=max(1, n // block)))
 
 
-def leave_block_out(x: np.ndarray, y: np.ndarray, blocks: int, c: float = 1.0) -> np.ndarray:
-    """Mean absolute coefficient over fits that each leave one of ``blocks`` contiguous parts out."""
-    edges = np.linspace(0, len(x), blocks + 1).astype(int)
-    total, fits = np.zeros(x.shape[1]), 0
-    for low, high in zip(edges[:-1], edges[1:], strict=True):
-        keep = np.r_[0:low, high : len(x)]
-        if len(keep) and 0 < y[keep].sum() < len(keep):
-            b, _ = logistic_l2(x[keep], y[keep], c, class_weights(y[keep]))
-            total, fits = total + np.abs(b), fits + 1
-    return total / max(fits, 1)
+def descend(b: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, l1: np.ndarray, sweeps: int = 200, tol: float = 1e-10) -> np.ndarray:
+    """Minimum of the quadratic model at ``b`` plus Σ l1·|b|, by coordinate descent."""
+    out, step = b.copy(), np.zeros(len(b))
+    for _ in range(sweeps):
+        moved = 0.0
+        for j in range(len(b)):
+            h = hessian[j, j]
+            free = out[j] - (gradient[j] + hessian[j] @ step) / h
+            new = np.sign(free) * max(abs(free) - l1[j] / h, 0.0)
+            step[j] += new - out[j]
+            moved = max(moved, abs(new - out[j]))
+            out[j] = new
+        if moved < tol:
+            break
+    return out
 
 
 def complete_linkage(distance: np.ndarray, cut: float) -> np.ndarray:
@@ -118,26 +120,45 @@ def greedy_clusters(similarity: np.ndarray, least: float, priority: np.ndarray)
     return label
 
 
-def residualise(q: np.ndarray, similarity: np.ndarray, order: np.ndarray, least: float) -> np.ndarray:
-    """In order of seniority each row loses its projections on the already residualised rows it resembles (|similarity| >= least)."""
-    out = q.astype(np.float64).copy()
-    for k, i in enumerate(order):
-        basis: list[np.ndarray] = []
-        for j in order[:k]:
-            if abs(similarity[i, j]) >= least:
-                v = out[j].copy()
-                for u in basis:
-                    v -= (v @ u) * u
-                size = np.linalg.norm(v)
-                if size > 1e-12:
-                    basis.append(v / size)
-        for u in basis:
-            out[i] -= (out[i] @ u) * u
-    return out
+def residualise(gram: np.ndarray, order: np.ndarray, least: float, cosine: np.ndarray | None = None) -> np.ndarray:
+    """Rows of coefficients that make each book of the originals, in order of seniority, lose its projection on every senior it resembles.
+
+    ``gram`` holds the books' inner products; a book resembles another from
+    |cosine| ``least`` on, as they were (or as ``cosine`` says). Seniors (already without their own
+    seniors' parts) are projected off one after the other. Everything stays a
+    combination of the originals, so inner products are enough.
+    """
+    size = np.sqrt(np.diag(gram)) + 1e-12
+    alike = np.abs(gram / np.outer(size, size) if cosine is None else cosine) >= least
+    made = np.eye(len(gram))
+    for k, j in enumerate(order):
+        for i in order[:k]:
+            own = made[i] @ gram @ made[i]
+            if alike[i, j] and own > 1e-12:
+                made[j] -= (made[j] @ gram @ made[i]) / own * made[i]
+    return made
+
+
+def capped_credit(raw: np.ndarray, clusters: np.ndarray, cap: float) -> np.ndarray:
+    """Members with credit get their cluster's total / n² each; normalised; what exceeds ``cap`` is offered once to the others."""
+    raw = raw.astype(float).copy()
+    for k in np.unique(clusters):
+        rows = np.flatnonzero((clusters == k) & (raw > 0))
+        if len(rows) > 1:
+            raw[rows] = raw[rows].sum() / len(rows) ** 2
+    if raw.sum() <= 0:
+        return np.zeros(len(raw))
+    shares = raw / raw.sum()
+    over = shares > cap
+    excess, under = float((shares[over] - cap).sum()), ~over & (shares > 0)
+    shares[over] = cap
+    if excess and under.any():
+        shares[under] += np.minimum(cap - shares[under], excess * shares[under] / shares[under].sum())
+    return shares
 
 
 def shift_evidence(x: np.ndarray, labels: list[np.ndarray], weights: list[float], least_shift: int, least_offsets: int = 50) -> tuple[float, float]:
-    """(t, p) of a signal against labels, with circular shifts of the signal as the null.
+    """(t, p) of a signal (T, or T x assets) against labels, with circular shifts of the signal as the null.
 
     All shifts at once by FFT; per label the statistic is standardised by its
     own null, the labels are blended by weight and standardised again. p is the
@@ -150,10 +171,11 @@ def shift_evidence(x: np.ndarray, labels: list[np.ndarray], weights: list[float]
     offsets = np.arange(least_shift, n - least_shift + 1)
     if n < 3 * least_shift or len(offsets) < least_offsets:
         return 0.0, 1.0
-    fx = np.fft.rfft(np.nan_to_num(x))
+    columns = lambda v: np.nan_to_num(v).reshape(n, -1)
+    fx = np.fft.rfft(columns(x), axis=0)
     now, null = 0.0, np.zeros(len(offsets))
     for y, w in zip(labels, weights, strict=True):
-        s = np.fft.irfft(np.conj(fx) * np.fft.rfft(np.nan_to_num(y)), n)
+        s = np.fft.irfft(np.conj(fx) * np.fft.rfft(columns(y), axis=0), n, axis=0).sum(axis=1)
         spread = s[offsets].std()
         if spread > 0:
             now += w * (s[0] - s[offsets].mean()) / spread

@@ -79,9 +79,19 @@ def test_linkage_clusters_and_residuals():
     label = solvers.complete_linkage(d, 0.08)
     assert label[0] == label[1] != label[2] and label[3] not in label[:3]
     assert solvers.greedy_clusters(1 - d, 0.9, np.array([2, 0, 1, 3])).tolist() == [0, 2, 2, 3]
-    q = np.array([[1.0, 0, 0], [1.0, 1, 0], [1.0, 1, 1]])
-    r = solvers.residualise(q, np.ones((3, 3)), np.arange(3), 0.2)
-    assert np.allclose(r @ r.T - np.diag(np.diag(r @ r.T)), 0)
+    q = np.random.default_rng(1).normal(size=(5, 40))
+    q[3] += 2 * q[0] + q[1]
+    q[1] -= 0.8 * q[0]
+    order = np.array([4, 0, 1, 3, 2])
+    made = solvers.residualise(q @ q.T, order, 0.2) @ q
+    size = np.linalg.norm(q, axis=1)
+    wanted, cosine = q.copy(), q @ q.T / np.outer(size, size)
+    for k, j in enumerate(order):
+        for i in order[:k]:
+            if abs(cosine[i, j]) >= 0.2:
+                wanted[j] -= wanted[j] @ wanted[i] / (wanted[i] @ wanted[i]) * wanted[i]
+    assert np.allclose(made, wanted) and not np.allclose(made, q)
+    assert solvers.capped_credit(np.array([3.0, 1.0, 4.0, 0.0]), np.array([0, 0, 1, 2]), 0.6).tolist() == pytest.approx([0.2, 0.2, 0.6, 0.0])
 
 
 def test_evidence_finds_the_signal():
@@ -101,12 +111,12 @@ def test_informative_participants_earn_more(spark):
     kinds = {"good": lambda i: y[i] - 0.5 + rng.normal() * 0.6, "fair": lambda i: y[i] - 0.5 + rng.normal() * 1.5, "noise": lambda i: rng.normal(), "constant": lambda i: 0.3, "silent": lambda i: 0.0}
     rows = [(k, i, float(f(i)), int(y[i]), "x") for k, f in kinds.items() for i in range(n) if rng.random() < 0.95]
     df = spark.createDataFrame(rows, "hk string, pos long, x double, y int, asset string")
-    s = {r.hk: r.s for r in scorers.score("binary", df, chunk=150, lag=5, window=60, refit=120, least_rows=20, least_windows=3, top=3, extra=1, replicates=4, block=40).collect()}
+    s = {r.hk: r.s for r in scorers.score("binary", df, chunk=150, lag=5, window=60, refit=120, fit_rows=600, per_day=60, least_rows=20, least_windows=3, top=3, extra=1, replicates=4, block=40).collect()}
     assert s["good"] > s.get("fair", 0) and s["good"] > 2 * s.get("noise", 0) and "silent" not in s and sum(s.values()) == pytest.approx(1)
-    c = {r.hk: r.s for r in scorers.score("xsec_rank", df, chunk=150, lag=5, top=3, least_distinct=2).collect()}
-    assert c["good"] > c.get("fair", 0) and "constant" not in c and sum(c.values()) == pytest.approx(1)
-    g = df.where("hk != 'silent'").select("hk", "pos", (F.col("x") > 0).cast("int").alias("guess"), F.col("y").alias("truth"))
-    v = {r.hk: r.s for r in scorers.score("lbfgs", g, classes=2, warm_up=200, chunk=200).collect()}
+    c = {r.hk: r.s for r in scorers.score("xsec_rank", df, chunk=150, lag=5, top=3, least_distinct=2, least_rows=50, block=40).collect()}
+    assert c["good"] > c.get("fair", 0) and c.get("constant", 0) < 0.1 and sum(c.values()) == pytest.approx(1)
+    g = df.where("hk != 'silent'").select("hk", "pos", (F.col("x") > 0).cast("int").alias("guess"), F.col("y").alias("truth")).withColumn("p", F.when(F.col("guess") == 1, F.array(F.lit(0.3), F.lit(0.7))).otherwise(F.array(F.lit(0.7), F.lit(0.3))))
+    v = {r.hk: r.s for r in scorers.score("lbfgs", g, classes=2, warm_up=200, chunk=200, least_rows=50, block=40).collect()}
     assert v["good"] == max(v.values())
     h = df.select("hk", "pos", F.col("x").alias("up"), (-F.col("x")).alias("down"), F.when(F.col("y") == 1, 0).otherwise(1).alias("hit"))
     f = {r.hk: r.s for r in scorers.score("hitfirst", h).collect()}
@@ -114,7 +124,7 @@ def test_informative_participants_earn_more(spark):
     t = df.where("hk != 'silent'").withColumn("signal", F.col("x")).withColumn("ahead", F.col("y") - F.lit(0.5))
     e = {r.hk: r.s for r in scorers.score("trade_mix", t, labels=["ahead"], weights=[1.0]).collect()}
     assert "good" in e and "noise" not in e
-    both = {r.hk: r.s for r in scorers.combined([(scorers.score("lbfgs", g, classes=2, warm_up=200, chunk=200), 1.0)]).collect()}
+    both = {r.hk: r.s for r in scorers.combined([(scorers.score("lbfgs", g, classes=2, warm_up=200, chunk=200, least_rows=50, block=40), 1.0)]).collect()}
     assert both["good"] == max(both.values()) and sum(both.values()) == pytest.approx(1)
     for kind in ("binary", "xsec_rank"):
         assert scorers.score(kind, df.limit(0)).count() == 0
@@ -143,6 +153,114 @@ def test_bootstrap_importance(spark):
     assert left["v0"] > left["v1"]
 
 
+@pytest.mark.parametrize("l1", [None, 0.5])
+def test_distributed_fit_equals_the_fit_of_each_replicate(spark, l1):
+    rng = np.random.default_rng(4)
+    n, k = 500, 3
+    x = np.round(rng.normal(size=(n, k)), 3)
+    y = (x @ [1, -0.5, 0] + rng.normal(size=n) > 0).astype(int)
+    w = np.round(rng.uniform(0.5, 1.5, n), 3)
+    cells = spark.createDataFrame([("g", 10 * i, int(y[i]), float(w[i])) for i in range(n)], "g string, at long, y int, w double").repartition(5)
+    values = spark.createDataFrame([("g", 10 * i, j, float(x[i, j])) for i in range(n) for j in range(k) if (i + j) % 4], "g string, at long, slot int, x double")
+    given = np.where([[(i + j) % 4 > 0 for j in range(k)] for i in range(n)], x, 0.25)
+    for how in (fits.Resampling(5, 60, 0, 7), fits.Resampling(left_out=4)):
+        coefs, intercepts = fits.logistic(fits.panel(cells, values), {"g": k}, how, 0.3, l1, penalise_intercept=l1 is None, fill=0.25, salt={"g": 3})["g"]
+        for b in range(how.number(n)):
+            often = how.counts(np.arange(n), n, b, 3)
+            rows = np.repeat(np.arange(n), often.astype(int))
+            weight = solvers.class_weights(y[rows], w[rows])
+            if l1 is None:
+                want, a = solvers.logistic_l2(given[rows], y[rows], 0.3, weight, penalise_intercept=True)
+            else:
+                want, a = solvers.logistic_elastic_net(given[rows], y[rows], 0.3, l1, weight, steps=20_000, tol=1e-12)
+            assert coefs[b] == pytest.approx(want, abs=1e-5) and intercepts[b] == pytest.approx(a, abs=1e-5)
+
+
+def test_resampled_blocks():
+    how = fits.Resampling(3, 10, 0, 1)
+    assert how.counts(np.arange(95), 95, 0, 0).sum() == 90 and how.number(19) == 1 and how.number(20) == 3
+    out = fits.Resampling(left_out=4)
+    assert sum(out.counts(np.arange(10), 10, b, 0) for b in range(4)).tolist() == [3.0] * 10 and out.number(7) == 1
+
+
+def test_meta_fit_parts_copies_and_ignores_the_scored_segment(spark):
+    """Two copies of one participant share what it earns alone; one that is good in the last segment only earns nothing from segments before."""
+    rng = np.random.default_rng(8)
+    n = 1200
+    y = rng.integers(0, 2, n)
+    signal = y - 0.5 + rng.normal(size=n)
+    other = y - 0.5 + rng.normal(size=n)
+    kinds = {"a": signal, "b": other, "late": np.where(np.arange(n) >= 900, (y - 0.5) * 3 + rng.normal(size=n), rng.normal(size=n))}
+    options = dict(chunk=300, lag=5, top=10, least_rows=50, block=40, replicates=4)
+
+    def shares(kinds):
+        rows = [(k, i, "x", float(v[i]), int(y[i])) for k, v in kinds.items() for i in range(n)]
+        return {r.hk: r.s for r in scorers.score("xsec_rank", spark.createDataFrame(rows, "hk string, pos long, asset string, x double, y int"), **options).collect()}
+
+    alone, twice = shares(kinds), shares(kinds | {"a2": signal})
+    assert twice["a"] == pytest.approx(twice["a2"], rel=1e-6) and twice["a"] + twice["a2"] < 1.3 * alone["a"]
+    assert alone["late"] < 0.8 * min(alone["a"], alone["b"])
+    f = {r.hk: r.s for r in scorers.score("funding_xsec", spark.createDataFrame([(k, i, "x", float(v[i]), int(y[i])) for k, v in kinds.items() for i in range(n)], "hk string, pos long, asset string, x double, y int"), ahead=20, **options).collect()}
+    assert sum(f.values()) == pytest.approx(1) and f["a"] > f.get("late", 0)
+
+
+def test_copies_of_votes_are_penalised(spark):
+    rng = np.random.default_rng(9)
+    n, rows = 900, []
+    truth = rng.integers(0, 3, n)
+    for who, right in (("a", 0.7), ("b", 0.65), ("noise", 0.33)):
+        guess = np.where(rng.random(n) < right, truth, rng.integers(0, 3, n))
+        p = [[0.8 if k == g else 0.1 for k in range(3)] for g in guess]
+        rows += [(w, i, int(guess[i]), int(truth[i]), p[i]) for i in range(n) for w in ((who, "copy") if who == "a" else (who,))]
+    df = spark.createDataFrame(rows, "hk string, pos long, guess int, truth int, p array<double>")
+    s = {r.hk: r.s for r in scorers.score("lbfgs", df, classes=3, warm_up=300, chunk=300, longest=600, replicates=4, block=40).collect()}
+    assert s["a"] > 0 and s.get("copy", 0) == 0 and s["b"] > 2 * s.get("noise", 0)
+
+
+def test_more_participants_than_any_former_bound(spark):
+    rng = np.random.default_rng(10)
+    n, many = 300, 90
+    y = rng.integers(0, 2, n)
+    rows = [(f"h{j:03d}", i, float(rng.normal() + (2 * (y[i] - 0.5) if j == many - 1 else 0)), int(y[i])) for j in range(many) for i in range(n) if j < many - 1 or i % 2]
+    df = spark.createDataFrame(rows, "hk string, pos long, up double, y int").select("hk", "pos", "up", (-F.col("up")).alias("down"), (1 - F.col("y")).alias("hit"))
+    s = {r.hk: r.s for r in scorers.score("hitfirst", df).collect()}
+    assert len(s) == many and s[f"h{many - 1:03d}"] == max(s.values())
+
+
+def test_positions_are_paid_for_evidence_after_cost(spark):
+    rng = np.random.default_rng(11)
+    hours, assets = 700, ["A", "B", "C"]
+    r = rng.normal(size=(hours, 3)) * 0.01
+    factors = spark.createDataFrame([(h, a, 1 / 3, 1.0, float(r[h, k])) for h in range(hours) for k, a in enumerate(assets)], "h long, asset string, weight double, beta double, r double")
+    ahead = np.vstack([r[1:], np.zeros((1, 3))])
+    books = {"good": np.sign(ahead - ahead.mean(axis=1, keepdims=True)) * 0.5, "copy": np.sign(ahead - ahead.mean(axis=1, keepdims=True)) * 0.5, "noise": rng.uniform(-1, 1, (hours, 3)), "market": np.repeat(np.sign(ahead.mean(axis=1, keepdims=True)), 3, axis=1) * 0.5}
+    rows = [(h, who, a, float(v[h, k])) for who, v in books.items() for h in range(hours) for k, a in enumerate(assets) if who != "copy" or h >= 100]
+    s = {x.hk: x.s for x in scorers.score("trade_mix_panel", spark.createDataFrame(rows, "h long, hk string, asset string, pos double"), factors=factors, horizons=(1, 2), blend=(0.7, 0.3), beta_horizon=1, fee=0.0, cap=1.0).collect()}
+    assert s["good"] == pytest.approx(0.8) and s["market"] == pytest.approx(0.2) and set(s) == {"good", "market"}
+
+
+def test_centred_similarity(spark):
+    rng = np.random.default_rng(12)
+    t, w = 60, 3
+    base = rng.normal(size=(t, w))
+    v = {"a": base, "b": 2 * base + 1, "c": rng.normal(size=(t, w))}
+    df = spark.createDataFrame([(i, k, [float(z) for z in x[i]]) for k, x in v.items() for i in range(t) if k != "c" or i % 2], "t long, hk string, v array<double>")
+    got = {(r.a, r.b): (r.n_joint, r.similarity) for r in similarity.centred_similarity(df, "t", "hk", "v").collect()}
+    assert got["a", "b"] == (t, pytest.approx(1.0)) and got["a", "c"][0] == t // 2 and got["a", "c"][1] < 0.5
+    full = np.stack([np.where((np.arange(t) % 2 == 0)[:, None], 0, v["c"]) if k == "c" else v[k] for k in "abc"])
+    centred = (full - full.mean(axis=0)).reshape(3, -1)
+    unit = centred / np.linalg.norm(centred, axis=1, keepdims=True)
+    whole = {(r.a, r.b): r.similarity for r in similarity.centred_similarity(df, "t", "hk", "v", joint=False).collect()}
+    assert whole["a", "c"] == pytest.approx(abs(unit[0] @ unit[2])) and whole["a", "b"] == pytest.approx(abs(unit[0] @ unit[1]))
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
+    got = {r.member: r.representative for r in similarity.components(links).collect()}
+    assert got == dict.fromkeys(range(301), 0) | {1000: 1000, 1001: 1000}
+    assert similarity.components(links.limit(0)).count() == 0
+
+
 def test_blends(spark):
     a = spark.createDataFrame([("x", 0.6), ("y", 0.4)], "k string, s double")
     b = spark.createDataFrame([("y", 0.5), ("z", 0.5)], "k string, s double")
