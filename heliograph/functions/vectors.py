@@ -57,3 +57,10 @@ def logits(v: Column, eps: float = 1e-6) -> Column:
 def zero_vector(width: int) -> Column:
     """P14."""
     return F.array_repeat(F.lit(0.0), width)
+
+
+def hit_logits(v: Column, at: int, eps: float = 1e-12) -> Column:
+    """Logit of the ``at``-th of a row's probabilities, clipped and normalised over the row; 0 where nothing was submitted or a value is missing."""
+    kept = F.transform(v, lambda x: F.greatest(F.least(x.cast("double"), F.lit(1 - eps)), F.lit(eps)))
+    rest = total(F.transform(kept, lambda x, i: F.when(i == at, 0.0).otherwise(x)))
+    return F.coalesce(F.when(F.exists(v, lambda x: x != 0), F.log(kept[at] / rest)), F.lit(0.0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heliograph.functions.json_text import allow_repeated_keys, readable
+
 #: The keys that a version 2 envelope must have.
 ENVELOPE_KEYS = ("v", "round", "hk", "owner_pk", "C", "W_owner", "W_time", "binding", "alg")
 
@@ -72,8 +74,43 @@ def is_envelope(variant: str = "v") -> Column:
 
 
 def binding(hotkey: Column, round_: Column, owner: Column, pke: Column) -> Column:
-    """SHA-256 in hex of hotkey:round:owner:pke as bytes."""
-    return F.sha2(F.concat_ws(":", hotkey, round_.cast("string"), owner, pke).cast("binary"), 256)
+    """SHA-256 in hex of hotkey:round:owner:pke as bytes (``owner`` and ``pke`` binary or text)."""
+    colon = F.lit(b":")
+    return F.sha2(F.concat(hotkey.cast("binary"), colon, round_.cast("string").cast("binary"), colon, owner.cast("binary"), colon, pke.cast("binary")), 256)
+
+
+def envelope_checks(payloads: DataFrame, text: str, hotkey: str, owner_keys: list[str] | None = None) -> DataFrame:
+    """All columns of readable payloads, and whether they are complete, name the row's hotkey, have an accepted owner key (any where none is listed) and the hash that binds them."""
+    allow_repeated_keys(payloads.sparkSession)
+    v = payloads.withColumn("_v", readable(text)).where("_v IS NOT NULL").withColumn("_e", F.expr("coalesce(try_variant_get(_v, '$[0]', 'variant'), _v)"))
+    at = lambda path: F.expr(f"try_variant_get(_e, '$.{path}', 'string')")
+    raw = lambda path: F.expr(f"try_to_binary(try_variant_get(_e, '$.{path}', 'string'), 'hex')")
+    owned = F.lower(at("owner_pk")).isin(*(k.lower() for k in owner_keys)) if owner_keys else F.lit(True)
+    tied = binding(at("hk"), at("round"), raw("owner_pk"), raw("W_owner.pke")) == F.lower(at("binding"))
+    told = {"complete": is_envelope("_e"), "own": at("hk") == F.col(hotkey), "owned": owned, "bound": tied}
+    return v.withColumns({k: F.coalesce(c, F.lit(False)) for k, c in told.items()}).drop("_v", "_e")
+
+
+def due(blocks: DataFrame, every: int, column: str = "block") -> DataFrame:
+    """Of a clock's blocks those at which a job of period ``every`` starts: the first in each period."""
+    return blocks.groupBy(F.floor(F.col(column) / every).cast("long").alias("period")).agg(F.min(column).alias(column))
+
+
+def enough_history(blocks: DataFrame, lag: int) -> DataFrame:
+    """one row: recorded blocks, and whether they are at least 2·lag + 1."""
+    return blocks.agg(F.count("*").alias("n")).withColumn("ready", F.col("n") >= 2 * lag + 1)
+
+
+def newest(df: DataFrame, key: str, keep: int) -> DataFrame:
+    """The rows of the ``keep`` largest distinct keys (eviction of the oldest)."""
+    top = df.select(key).distinct().orderBy(F.desc(key)).limit(keep)
+    return df.join(top, key, "left_semi")
+
+
+def snapshot(participants: DataFrame, uid: str, version: str) -> DataFrame:
+    """Of every uid its newest row, in the order of uids."""
+    rest = [c for c in participants.columns if c not in (uid, version)]
+    return latest(participants, [uid], version, rest).orderBy(uid)
 
 
 def parsed_map(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heliograph.functions import vectors
 from heliograph.functions.json_text import readable
-from heliograph.operators import filters, ingest, stats, submissions
+from heliograph.operators import drift, filters, ingest, stats, submissions
 from heliograph.operators.prices import price_rows, usable
 from heliograph.sources.tables import minute_of_block, read_table
 
@@ -28,8 +28,8 @@ def upsert_by_column(spark: SparkSession, d: str) -> DataFrame:
 
 def merge_upsert(spark: SparkSession, d: str) -> DataFrame:
     o = read_table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("version"), "o_totalprice")
-    per = lambda status: ingest.latest(o.join(read_table(spark, d, "orders").where(F.col("o_orderstatus") == status).select(F.col("o_orderkey").alias("version")), "version", "left_semi"), ["o_custkey"], "version", ["o_totalprice"])
-    return ingest.merge_upsert(per("F"), per("O"), ["o_custkey"], "version")
+    per = lambda *status: ingest.latest(o.join(read_table(spark, d, "orders").where(F.col("o_orderstatus").isin(*status)).select(F.col("o_orderkey").alias("version")), "version", "left_semi"), ["o_custkey"], "version", ["o_totalprice"])
+    return ingest.merge_upsert(per("F"), per("O", "P"), ["o_custkey"], "version")
 
 
 def maturity_join(spark: SparkSession, d: str) -> DataFrame:
@@ -136,10 +136,11 @@ def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def submission_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Positional submissions follow the specification's rows in their order."""
     from pyspark.sql import Window
 
-    spec = read_table(spark, d, "task_spec").withColumn("ordinal", F.row_number().over(Window.orderBy("ticker")) - 1)
-    sent = read_table(spark, d, "raw_payloads").select("ts", "hotkey", F.expr("get_json_object(payload, '$.C.ct')").alias("ct")).where("ct IS NOT NULL").distinct()
+    spec = read_table(spark, d, "task_spec").withColumn("ordinal", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1)
+    sent = drift._envelopes(read_table(spark, d, "raw_payloads"), "ts", "hotkey").select("ts", "hotkey", F.expr("to_json(ct)").alias("ct")).where("ct IS NOT NULL").distinct()
     v = submissions.vectors(submissions.entries(sent, "ct", spec, ["ts", "hotkey"]))
     return v.where(vectors.active(F.col("vec"))).groupBy("ticker").agg(F.count("*").alias("n"), F.max(F.size("vec")).cast("long").alias("width"), F.round(F.sum(vectors.total(F.col("vec"))), 3).alias("total"))
 
@@ -155,8 +156,8 @@ def unstale_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def count_guards(spark: SparkSession, d: str) -> DataFrame:
-    li = read_table(spark, d, "lineitem").where("l_returnflag != 'A'")
-    return filters.enough(li, ["l_orderkey"], "l_discount", "l_returnflag", 3, 2)
+    li = read_table(spark, d, "lineitem").withColumn("returned", F.col("l_returnflag") == "R")
+    return filters.enough(li, ["l_orderkey"], "l_discount", "returned", 3, 2)
 
 
 def price_fallback(spark: SparkSession, d: str) -> DataFrame:
@@ -192,13 +193,13 @@ _MAPS = "m AS (SELECT ticker, sidx, ts, j.key AS asset, TRY_CAST(j.value AS DOUB
 SQL = {
     "active_participants": "SELECT user_id, count(*) AS n, round(count(*) FILTER (value > 50) / count(*), 6) AS active_share FROM events GROUP BY user_id HAVING count(*) FILTER (value > 50) / count(*) > 0.05e0",
     "unstale_values": "SELECT l_orderkey, l_linenumber, CASE WHEN stddev_pop(l_discount) OVER (PARTITION BY l_orderkey) < 0.0205e0 THEN 0e0 ELSE l_discount END AS fresh FROM lineitem",
-    "count_guards": "SELECT l_orderkey, count(*) AS n, count(DISTINCT l_discount) FILTER (l_discount != 0) AS n_distinct, count(DISTINCT l_returnflag) AS n_classes FROM lineitem WHERE l_returnflag != 'A' GROUP BY l_orderkey HAVING count(*) >= 3 AND count(DISTINCT l_discount) FILTER (l_discount != 0) >= 2 AND count(DISTINCT l_returnflag) = 2",
+    "count_guards": "SELECT l_orderkey, count(*) AS n, count(DISTINCT l_discount) FILTER (l_discount != 0) AS n_distinct, count(DISTINCT l_returnflag = 'R') AS n_classes FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 3 AND count(DISTINCT l_discount) FILTER (l_discount != 0) >= 2 AND count(DISTINCT l_returnflag = 'R') = 2",
     "price_fallback": f"WITH p AS (SELECT ticker, arg_max(price, (sidx, ts, price)) AS price FROM challenge_data WHERE ticker IN ({_TICKERS}) AND sidx IS NOT NULL AND {_USABLE} GROUP BY ticker), a AS (SELECT DISTINCT unnest(assets) AS asset FROM task_spec), k AS (SELECT price_key, min(ticker) AS via FROM task_spec WHERE price_key IS NOT NULL GROUP BY price_key) SELECT asset, coalesce(o.price, v.price) AS price FROM a LEFT JOIN p o ON o.ticker = asset LEFT JOIN k ON price_key = asset LEFT JOIN p v ON v.ticker = via",
     "classwise_centred": "SELECT l_orderkey, l_linenumber, round(l_quantity - avg(l_quantity) OVER (PARTITION BY l_suppkey, l_returnflag), 6) AS centred FROM lineitem",
     "softmax_shares": "WITH s AS (SELECT l_suppkey, sum(l_quantity) / 1000 AS x, avg(l_discount) AS u FROM lineitem GROUP BY ALL), e AS (SELECT l_suppkey, exp(x - max(x) OVER ()) * u AS e FROM s) SELECT l_suppkey, round(e / sum(e) OVER (), 9) AS share FROM e",
     "upsert_latest": f"SELECT ticker, sidx, max(ts) AS ts, arg_max(price, (ts, price)) AS price FROM challenge_data WHERE ticker IN ({_TICKERS}) AND sidx IS NOT NULL AND {_USABLE} GROUP BY ticker, sidx",
     "upsert_by_column": f"SELECT ticker, sidx, arg_max(price, (ts, price)) FILTER ({_USABLE}) AS price, arg_max(price_data, (ts, price_data)) FILTER (price_data IS NOT NULL) AS price_data FROM challenge_data WHERE ticker IS NOT NULL AND sidx IS NOT NULL GROUP BY ticker, sidx",
-    "merge_upsert": "WITH f AS (SELECT o_custkey, max(o_orderkey) AS version, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL), o AS (SELECT o_custkey, max(o_orderkey) AS version, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders WHERE o_orderstatus = 'O' GROUP BY ALL) SELECT * FROM o UNION ALL SELECT * FROM f ANTI JOIN o USING (o_custkey)",
+    "merge_upsert": "WITH f AS (SELECT o_custkey, max(o_orderkey) AS version, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL), o AS (SELECT o_custkey, max(o_orderkey) AS version, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY ALL) SELECT * FROM o UNION ALL SELECT * FROM f ANTI JOIN o USING (o_custkey)",
     "maturity_join": "SELECT hotkey, count(*) AS n, max(block) AS last_block FROM raw_payloads p JOIN blocks b ON p.ts = b.idx WHERE (SELECT arg_max(block, idx) FROM blocks) - block >= 300 GROUP BY hotkey",
     "sample_gate": "SELECT idx, block, block // 5 AS sidx, block // 5 * 5 AS minute_block FROM blocks WHERE block % 5 = 0",
     "semi_active": "SELECT hotkey, doc_id FROM documents WHERE hotkey IN (SELECT hotkey FROM raw_payloads GROUP BY hotkey HAVING count(*) >= 50)",

@@ -88,8 +88,8 @@ def first_barrier_hit(spark: SparkSession, d: str) -> DataFrame:
 
 def episodes_gap(spark: SparkSession, d: str) -> DataFrame:
     e = read_table(spark, d, "events").select("user_id", "event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long").alias("second"))
-    e = e.groupBy("user_id", "second").agg(F.min("event_id").alias("event_id"))
-    e = windows.episodes(e, "user_id", "second", 86_400)
+    # Episodes are those of the different seconds; all events of a second are in its episode.
+    e = e.join(windows.episodes(e.select("user_id", "second").distinct(), "user_id", "second", 86_400), ["user_id", "second"])
     n = e.groupBy("user_id", "episode").agg(F.count("*").alias("n"))
     t = n.groupBy("user_id").agg(F.sum("n").alias("rows"), F.count("*").alias("episodes"))
     return e.join(n, ["user_id", "episode"]).join(t, "user_id").select("user_id", "event_id", F.col("episode").cast("long").alias("episode"), R(F.col("rows") / (F.col("n") * F.col("episodes")), "weight"))
@@ -195,14 +195,14 @@ SQL = {
     "first_barrier_hit": f"""WITH {BASE}, {_SIGMA}, n AS (SELECT ticker, sidx, lp, round(sn, 6) AS b, {_NUM} AS k, count(*) OVER (PARTITION BY ticker) AS total FROM s),
       h AS (SELECT a.ticker, a.k, min(CASE WHEN c.lp - a.lp >= a.b THEN c.k END) AS u, min(CASE WHEN c.lp - a.lp <= -a.b THEN c.k END) AS d FROM n a JOIN n c ON a.ticker = c.ticker AND c.k BETWEEN a.k + 1 AND a.k + 40 WHERE a.b IS NOT NULL GROUP BY a.ticker, a.k)
       SELECT n.ticker, n.sidx, CASE WHEN b IS NULL OR n.k + 40 > total THEN NULL WHEN u IS NOT NULL AND (d IS NULL OR u < d) THEN 0 WHEN d IS NOT NULL AND (u IS NULL OR d < u) THEN 1 ELSE 2 END AS first_hit FROM n LEFT JOIN h ON n.ticker = h.ticker AND n.k = h.k""",
-    "episodes_gap": """WITH e AS (SELECT user_id, epoch_us(ts) // 1000000 AS s, min(event_id) AS event_id FROM events GROUP BY ALL), g AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s) > 86400 THEN 1 ELSE 0 END AS cut FROM e),
-      i AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY user_id ORDER BY s) AS BIGINT) AS episode FROM g), t AS (SELECT user_id, count(*) AS n, max(episode) + 1 AS k FROM i GROUP BY user_id)
+    "episodes_gap": """WITH e AS (SELECT user_id, epoch_us(ts) // 1000000 AS s, event_id FROM events), g AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id) > 86400 THEN 1 ELSE 0 END AS cut FROM e),
+      i AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY user_id ORDER BY s, event_id) AS BIGINT) AS episode FROM g), t AS (SELECT user_id, count(*) AS n, max(episode) + 1 AS k FROM i GROUP BY user_id)
       SELECT i.user_id, event_id, episode, round(t.n / (count(*) OVER (PARTITION BY i.user_id, episode) * t.k), 6) AS weight FROM i JOIN t ON i.user_id = t.user_id""",
     "time_decay_weights": f"WITH {BASE}, a AS (SELECT ticker, sidx, exp(-ln(2e0) * (count(*) OVER (PARTITION BY ticker) - {_NUM} + 1) / (1440e0 * 15)) AS w FROM r) SELECT ticker, sidx, round(w / avg(w) OVER (PARTITION BY ticker), 6) AS weight FROM a",
     "recent_mass_weights": f"""WITH {BASE}, a AS (SELECT *, sidx >= max(sidx) OVER (PARTITION BY ticker) - 1999 AS recent FROM r), c AS (SELECT *, count(*) FILTER (recent) OVER (PARTITION BY ticker) AS nr, count(*) FILTER (NOT recent) OVER (PARTITION BY ticker) AS n_old FROM a),
       w AS (SELECT ticker, sidx, CASE WHEN recent AND n_old > 0 THEN 0.5e0 * n_old / (0.5e0 * nr) ELSE 1e0 END AS w FROM c) SELECT ticker, sidx, round(w / avg(w) OVER (PARTITION BY ticker), 6) AS weight FROM w""",
     "trailing_and_day_windows": f"WITH {BASE}, a AS (SELECT ticker, sidx, row_number() OVER (PARTITION BY ticker ORDER BY sidx DESC) AS k FROM r), b AS (SELECT ticker, sidx, ({_NUM} - 1) // 1440 AS window_no FROM a WHERE k <= 5000) SELECT ticker, window_no, count(*) AS n, min(sidx) AS first_sidx, max(sidx) AS last_sidx FROM b GROUP BY ALL",
-    "walk_forward_segments": f"WITH {BASE}, a AS (SELECT ticker, sidx, {_NUM} - 1 AS pos FROM r) SELECT ticker, (pos - 200) // 150 AS segment, count(*) AS n, min(sidx) AS from_sidx, max(200 + (pos - 200) // 150 * 150 - 60) AS fit_end FROM a WHERE pos >= 200 AND pos < 2000000 GROUP BY ALL",
+    "walk_forward_segments": f"WITH {BASE}, a AS (SELECT ticker, sidx, {_NUM} - 1 AS pos FROM r) SELECT ticker, (pos - 200) // 150 AS segment, count(*) AS n, min(sidx) AS from_sidx, max(200 + (pos - 200) // 150 * 150 - 60) AS fit_end FROM a WHERE pos >= 200 GROUP BY ALL",
     "beta_mixed_ddof": f"""WITH {BASE}, x AS (SELECT a.ticker, a.sidx, ln(b.price / a.price) AS own FROM r a JOIN r b ON a.ticker = b.ticker AND b.sidx = a.sidx + 1), y AS (SELECT *, avg(own) OVER (PARTITION BY sidx) AS market FROM x)
       SELECT ticker, sidx, round(CASE WHEN count(*) OVER w = 240 THEN 0.7e0 * covar_samp(own, market) OVER w / (var_pop(market) OVER w + 1e-12) + 0.3e0 END, 4) AS beta, round(CASE WHEN count(*) OVER w = 240 THEN stddev_pop(own) OVER w END, 8) AS vol FROM y WINDOW w AS (PARTITION BY ticker ORDER BY sidx ROWS BETWEEN 240 PRECEDING AND 1 PRECEDING)""",
     "auc_weights_daily": """WITH e AS (SELECT user_id, event_type, value, epoch_us(ts) // 86400000000 AS day FROM events), p AS (SELECT event_type, day, avg(value) AS level FROM e GROUP BY ALL),

@@ -65,5 +65,23 @@ def start_upsert(stream: DataFrame, table: str, checkpoint: str, keys: list[str]
 
 
 def opened_by_round(payloads: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Payloads beside their round's signature; a missing one leaves it null, other versions are left out."""
+    """Payloads of version 2 beside their round's signature (null where none has come yet); T06: other versions are left out."""
     return payloads.where(F.col("version") == 2).join(signatures, "round", "left")
+
+
+def settled(payloads: DataFrame, signatures: DataFrame, tries: str = "tries", most: int = 3) -> DataFrame:
+    """Rows that are done with: opened ones, and those without a signature after ``most`` tries, ``lost``, whose vectors are zeros; the rest wait for another try."""
+    beside = opened_by_round(payloads, signatures)
+    return beside.withColumn("lost", F.col("signature").isNull()).where(~F.col("lost") | (F.col(tries) >= most))
+
+
+def with_defaults(rows: DataFrame, aliases: dict[str, str], numbers: list[str], default: float = 0.0) -> DataFrame:
+    """A fetched snapshot: keys under their own or an alias' name, missing or unreadable numbers as ``default``."""
+    found = {c: [k for k in (c, *(a for a, to in aliases.items() if to == c)) if k in rows.columns] for c in numbers}
+    given = {c: F.coalesce(*(F.col(k).try_cast("double") for k in ks), F.lit(default)) if ks else F.lit(default) for c, ks in found.items()}
+    return rows.select(*(c for c in rows.columns if c not in aliases and c not in numbers), *(v.alias(c) for c, v in given.items()))
+
+
+def clock(spark: SparkSession, per_second: int = 1) -> DataFrame:
+    """A clock as a stream: (timestamp, block), one block per row; a restart continues from the checkpoint, so a missed poll is caught up."""
+    return spark.readStream.format("rate").option("rowsPerSecond", per_second).load().withColumnRenamed("value", "block")
