@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from heliograph.operators import drift, flatten, regular_grid, spikes
 from heliograph.operators.prices import PRICE_TICKERS
@@ -29,6 +30,20 @@ def p3_branches(spark: SparkSession, d: str) -> DataFrame:
     return flatten.branch_table(both).distinct()
 
 
+def p3_roots(spark: SparkSession, d: str) -> DataFrame:
+    """The payloads' own scalars, one row per member: the root level beside the branches and leaves."""
+    roots = flatten.payload_roots(read_table(spark, d, "raw_payloads"))
+    scalars = F.map_concat("scalars", F.transform_keys("owner", lambda k, _: F.concat(F.lit("W_owner."), k)))
+    return roots.select("ts", "root", F.explode(scalars).alias("path", "value")).distinct()
+
+
+def p3_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The states' samples with their own scalars, one row per member, numbers as such: the middle level."""
+    samples = flatten.state_samples(read_table(spark, d, "breakout_state")).select("ts", "root", "branch", F.explode("scalars").alias("path", "value"))
+    number = F.col("value").try_cast("double")
+    return samples.select("ts", "root", "branch", "path", number.alias("number"), F.when(number.isNull(), F.col("value")).alias("text")).distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible(read_table(spark, d, "challenge_data"))
 
@@ -42,13 +57,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.all_changes(read_table(spark, d, "raw_payloads"), read_table(spark, d, "challenge_meta"), tasks)
 
 
+def p5_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    return drift.payload_alternatives(read_table(spark, d, "raw_payloads")).withColumn("share", F.round("share", 6))
+
+
 def p5_consistent(spark: SparkSession, d: str) -> DataFrame:
     tasks = drift.task_names(read_table(spark, d, "task_spec"))
     payloads = read_table(spark, d, "raw_payloads")
     return drift.consistent_payloads(payloads, drift.canonical_names(drift.payload_changes(payloads, tasks)))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_minutes, p3_found, p3_branches, p4_found, p4_flags, p5_found, p5_consistent)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_minutes, p3_found, p3_branches, p3_roots, p3_samples, p4_found, p4_flags, p5_found, p5_alternatives, p5_consistent)}
 
 _TICKERS = ", ".join(f"'{t}'" for t in PRICE_TICKERS)
 _USABLE = "price IS NOT NULL AND NOT isnan(price) AND price > 0 AND price < 'inf'::DOUBLE"
@@ -84,6 +103,18 @@ WITH names AS (SELECT ticker, unnest([ticker, name]) AS k FROM task_spec WHERE a
     UNION ALL SELECT ts, asset, branch, json_extract_string(e.value, '$.hotkey') FROM emb, json_each(v) e WHERE json_type(v) = 'ARRAY' AND coalesce(json_type(e.value, '$.vec'), 'NULL') != 'NULL')
 SELECT DISTINCT 'raw_payloads' AS src, ts, hotkey AS root, ticker AS branch, leaf FROM raw
 UNION ALL SELECT DISTINCT 'breakout_state', ts, asset, branch, leaf FROM leaves""",
+    "p3_roots": """
+WITH pay AS (SELECT ts, hotkey, CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[0]') ELSE j END AS j FROM (SELECT ts, hotkey, TRY_CAST(payload AS JSON) AS j FROM raw_payloads WHERE json_valid(payload))),
+  m AS (SELECT ts, hotkey, e.key AS path, e.value AS v, e.type AS t FROM pay, json_each(j) e WHERE json_type(j) = 'OBJECT'
+    UNION ALL SELECT ts, hotkey, 'W_owner.' || e.key, e.value, e.type FROM pay, json_each(json_extract(j, '$.W_owner')) e WHERE json_type(j, '$.W_owner') = 'OBJECT')
+SELECT DISTINCT ts, hotkey AS root, path, json_extract_string(v, '$') AS value FROM m WHERE t NOT IN ('OBJECT', 'ARRAY', 'NULL')""",
+    "p3_samples": """
+WITH st AS (SELECT ts, asset, CASE WHEN json_type(j) = 'VARCHAR' THEN TRY_CAST(json_extract_string(j, '$') AS JSON) ELSE j END AS j FROM (SELECT ts, asset, TRY_CAST(state_json AS JSON) AS j FROM breakout_state WHERE json_valid(state_json))),
+  state AS (SELECT ts, asset, CASE WHEN json_type(j, '$.state') = 'OBJECT' THEN json_extract(j, '$.state') ELSE j END AS j FROM st),
+  samples AS (SELECT ts, asset, slot, json_extract(j, '$.' || slot) AS s FROM state, (SELECT unnest(['pending_high', 'pending_low']) AS slot)
+    UNION ALL SELECT ts, asset, 'completed', e.value FROM state, json_each(json_extract(j, '$.completed')) e WHERE json_type(j, '$.completed') = 'ARRAY'
+    UNION ALL SELECT ts, asset, 'completed', f.value FROM state, json_each(json_extract(j, '$.completed')) e, json_each(e.value) f WHERE json_type(j, '$.completed') = 'OBJECT' AND e.type = 'ARRAY')
+SELECT DISTINCT ts, asset AS root, slot || ':' || coalesce(json_extract_string(s, '$.trigger_sidx'), '') AS branch, e.key AS path, TRY_CAST(json_extract_string(e.value, '$') AS DOUBLE) AS number, CASE WHEN TRY_CAST(json_extract_string(e.value, '$') AS DOUBLE) IS NULL THEN json_extract_string(e.value, '$') END AS text FROM samples, json_each(s) e WHERE json_type(s) = 'OBJECT' AND e.type NOT IN ('OBJECT', 'ARRAY', 'NULL')""",
     "p4_found": f"""
 WITH {_GRID.split("grid AS")[0].split("hours")[0]}
   usable AS (SELECT ticker, sidx, arg_max(price, (ts, price)) AS x FROM challenge_data WHERE ticker IN ({_TICKERS}) AND sidx IS NOT NULL AND {_USABLE} GROUP BY ticker, sidx),

@@ -1,7 +1,7 @@
 import json
 import random
 
-from heliograph.operators.drift import all_changes, canonical_names, consistent_payloads, listing_changes, payload_changes
+from heliograph.operators.drift import all_changes, canonical_names, consistent_payloads, listing_changes, payload_alternatives, payload_changes
 
 RAW = "ts long, hotkey string, payload string, feed string, file_no long, path string"
 META = "ticker string, dim int, blocks_ahead int, release_no int"
@@ -94,3 +94,18 @@ def test_listing(spark):
 def test_empty(spark):
     assert all_changes(spark.createDataFrame([], RAW), spark.createDataFrame([], META), {}).count() == 0
     assert consistent_payloads(spark.createDataFrame([], RAW), {}).count() == 0
+
+
+def test_alternatives_that_appear(spark):
+    sent = {0: [1, 1, 1], 3: [1, "1", 1], 5: [1, 1, 1], 9: ["1", 1, None]}
+    rows = [(i, "h", json.dumps({"a": v, "C": {"ct": {"ETH": [0.1] * (3 if f == 5 and i == 0 else 2)}}}), "f", f, "x") for f, vs in sent.items() for i, v in enumerate(vs)]
+    got = {(r.file_no, r.path, r.kind, r.width, r.n, round(r.share, 3), r.seen) for r in payload_alternatives(spark.createDataFrame(rows, RAW)).collect()}
+    assert got == {(3, "a", "string", -1, 1, 0.333, False), (5, "C.ct.ETH", "array", 3, 1, 0.333, False), (9, "a", "string", -1, 1, 0.333, True), (9, "a", "null", -1, 1, 0.333, False)}
+
+
+def test_fields_that_share_few_values_are_still_one(spark):
+    """Names of many clients: two files share about a fifth of them."""
+    rnd = random.Random(1)
+    rows = [(i, "h", json.dumps({("client" if f < 8 else "agent"): f"app{rnd.randrange(1000):03d}/1.{rnd.randrange(3)}", ("one" if f < 8 else "two"): "".join(rnd.choice("0123456789abcdef") for _ in range(12)), "x": 1}), "f", f, "x") for f in range(16) for i in range(100)]
+    got = {tuple(r) for r in payload_changes(spark.createDataFrame(rows, RAW), TASKS).collect()}
+    assert got == {("f", 8, "renamed", "client", "agent"), ("f", 8, "renamed", "one", "two")}

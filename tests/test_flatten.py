@@ -1,7 +1,7 @@
 import json
 
 from heliograph.functions.json_text import allow_repeated_keys, readable
-from heliograph.operators.flatten import all_predictions, branch_table, payload_branches, present_predictions, state_branches
+from heliograph.operators.flatten import all_predictions, branch_table, payload_branches, payload_roots, present_predictions, state_branches, state_samples
 
 RAW = "ts long, hotkey string, payload string, feed string, branches string"
 STATE = "asset string, state_json string, ts long, src string"
@@ -61,3 +61,16 @@ def test_shapes_of_states(spark):
         (1, "BTC", "pending_high:1", "a"), (1, "BTC", "completed:2", "c"), (2, "ETH", "completed:4", "e"), (3, "SOL", "pending_low:6", "f"), (4, "TAO", "pending_low:7", "g"),
     }
     assert state_branches(spark.createDataFrame([], STATE)).count() == 0
+
+
+def test_roots_and_samples_link_to_their_children(spark):
+    rows = [(1, "h", env({"ETH": [0.1, 0.2], "MULTIXSEC": {"BTC": 1}, "hotkey": "h"}, round=7, W_owner={"pke": "a", "x": None, "y": {}}, tags=[1]), "f", "x"), (2, "k", "[" + env(json.dumps({"CAD": [1]})) + "]", "f", "x"), (3, "z", "5", "f", "x"), (4, "z", "{", "f", "x"), (5, None, None, None, "x")]
+    df = spark.createDataFrame(rows, RAW)
+    got = {r.ts: r for r in payload_roots(df).collect()}
+    assert set(got) == {1, 2} and got[1].scalars == {"v": "2", "round": "7"} and got[1].owner == {"pke": "a"} and got[1].vectors == {"ETH": [0.1, 0.2]} and got[2].vectors == {"CAD": [1.0]}
+    assert {r.row_id for r in payload_branches(df).collect()} == {got[1].row_id}
+    states = spark.createDataFrame([("BTC", json.dumps({"pending_high": {"trigger_sidx": 1, "price": 2.5, "embeddings": {"a": [1]}}, "completed": [{"trigger_sidx": 3, "label": None}]}), 1, "x"), ("ETH", "{", 2, "x")], STATE)
+    samples = {(r.branch_no, r.branch): r.scalars for r in state_samples(states).collect()}
+    assert samples == {(0, "pending_high:1"): {"trigger_sidx": "1", "price": "2.5"}, (1, "completed:3"): {"trigger_sidx": "3"}}
+    assert {(r.branch_no, r.branch) for r in branch_table(state_branches(states)).collect()} == set(samples)
+    assert payload_roots(df.limit(0)).count() == state_samples(states.limit(0)).count() == 0

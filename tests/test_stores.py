@@ -159,3 +159,47 @@ def test_bytes_and_keys(spark):
     df = spark.createDataFrame([(bytearray([1, 1, 0, 0, 0, 0, 0, 0, 9]), "a:::b:::hk")], "b binary, t string")
     r = df.select(crypto.little_endian_u64(F.col("b")).alias("n"), crypto.legacy_plaintext(F.col("t")).alias("p"), crypto.bytes_between(F.col("b"), 8, 1).alias("s"), crypto.key_and_nonce("b", "b").alias("k"), crypto.open_envelope(lambda e: e.encode() if e == "x" else 1 / 0)(F.col("t")).alias("o")).first()
     assert int(r.n) == 257 and (r.p.payload, r.p.hotkey) == ("a:::b", "hk") and bytes(r.s) == b"\x09" and len(r.k.key) == 32 and len(r.k.nonce) == 12 and r.o is None
+
+
+def test_key_exchange_and_authenticated_encryption():
+    """The examples of RFC 7748 and RFC 8439."""
+    scalar, u = bytes.fromhex("a546e36bf0527c9d3b16154b82465edd62144c0ac1fc5a18506a2244ba449ac4"), bytes.fromhex("e6db6867583030db3594c1a424b15f7c726624ec26b3353b10a903a6d0ab1c4c")
+    assert crypto.x25519(scalar, u).hex() == "c3da55379de9c6908e94ea4df28d084f32eccf03491c71f754b4075577a28552"
+    key, nonce, aad = bytes(range(0x80, 0xA0)), bytes.fromhex("070000004041424344454647"), bytes.fromhex("50515253c0c1c2c3c4c5c6c7")
+    plain = b"Ladies and Gentlemen of the class of '99: If I could offer you only one tip for the future, sunscreen would be it."
+    sealed = crypto.seal(key, nonce, plain, aad)
+    assert sealed[:16].hex() == "d31a8d34648e60db7b86afbc53ef7ec2" and sealed[-16:].hex() == "1ae10b594f09e26a7e902ecbd0600691"
+    assert crypto.unseal(key, nonce, sealed, aad) == plain
+    for wrong in (sealed[:-1] + b"x", b"x" + sealed[1:], sealed[:10], b""):
+        assert crypto.unseal(key, nonce, wrong, aad) is None
+    assert crypto.unseal(key, nonce, sealed, aad + b"x") is None and crypto.unseal(key, nonce, crypto.seal(key, nonce, b"")) == b""
+
+
+def test_envelopes_are_sealed_checked_and_opened(spark):
+    owner, ske, key = bytes(range(32)), bytes(range(40, 72)), bytes(range(100, 132))
+    lock = lambda round_, raw: bytes(b ^ (round_ % 256) for b in raw)
+    made = crypto.sealed_envelope("hk1", 77, crypto.public_key(owner), {"ETH": [0.1, 0.2]}, b"wrap", lock, ske, key, (bytes(12), bytes(range(12))), "x")
+    text = json.dumps(made)
+    # The owner's shared secret is that of the sender.
+    assert crypto.x25519(owner, crypto.public_key(ske)) == crypto.x25519(ske, crypto.public_key(owner))
+    opened = crypto.open_envelope(crypto.opener(crypto.public_key(owner), b"wrap", lock))
+    bad = [json.dumps({**made, **change}) for change in ({"round": 78}, {"hk": "hk2"}, {"owner_pk": "00" * 32}, {"binding": "00"}, {"C": {"nonce": "00" * 12, "ct": made["C"]["ct"][:-2] + "zz"}})]
+    df = spark.createDataFrame([("hk1", t) for t in [text, f"[{text}]", *bad, None, "{"]] + [("other", text)], "hotkey string, payload string")
+    got = [r[0] for r in df.select(opened(F.col("payload"))).collect()]
+    assert json.loads(bytes(got[0])) == {"ETH": [0.1, 0.2], "hotkey": "hk1"} and bytes(got[-1]) == bytes(got[0]) and got[1:-1] == [None] * 8
+    told = [(r.hotkey, r.complete, r.own, r.owned, r.bound) for r in ingest.envelope_checks(df, "payload", "hotkey", [crypto.public_key(owner).hex().upper()]).collect()]
+    assert told[0] == told[1] == ("hk1", True, True, True, True) and told[-1] == ("other", True, False, True, True)
+    assert [t[1:] for t in told[2:7]] == [(True, True, True, False), (True, False, True, False), (True, True, False, False), (True, True, True, False), (True, True, True, True)]
+    prefix = (32).to_bytes(8, "little")
+    old = bytes(range(96)) + prefix + b"v" * 32 + prefix + b"w" * 32 + b"r" * 196
+    rows = spark.createDataFrame([(bytearray(old),), (bytearray(old[:-1]),), (bytearray(b"x" * 372),)], "b binary").select(crypto.converted(F.col("b")).alias("c")).collect()
+    assert [bytes(r.c) for r in rows] == [bytes(range(96)) + b"v" * 32 + b"w" * 32 + b"r" * 196, old[:-1], b"x" * 372]
+
+
+def test_clock_and_tries(spark):
+    from heliograph.streaming.ingest import clock, settled
+
+    assert clock(spark).isStreaming and set(clock(spark).columns) == {"timestamp", "block"}
+    p = spark.createDataFrame([(1, 2, 0), (2, 2, 3), (3, 2, 1), (4, 1, 9)], "round int, version int, tries int")
+    s = spark.createDataFrame([(1, "s")], "round int, signature string")
+    assert {(r.round, r.lost) for r in settled(p, s).collect()} == {(1, False), (2, True)}
