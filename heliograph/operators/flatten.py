@@ -140,7 +140,7 @@ def present_predictions(flat: DataFrame) -> DataFrame:
 
 def branch_table(branches: DataFrame) -> DataFrame:
     """The middle level: one row per (row, branch) with the number of its predictions."""
-    return branches.select("src", "ts", "root", "row_id", F.posexplode("branches").alias("branch_no", "b")).select("src", "ts", "root", "row_id", "branch_no", F.col("b.branch").alias("branch"), F.size("b.leaves").alias("n_leaves"))
+    return branches.select("src", "ts", "root", "row_id", F.posexplode("branches").alias("branch_no", "b")).select("src", "ts", "root", "row_id", "branch_no", F.col("b.branch").alias("branch"), F.greatest(F.coalesce(F.size("b.leaves"), F.lit(0)), F.lit(0)).alias("n_leaves"))
 
 
 def _scalars(members: str) -> str:
