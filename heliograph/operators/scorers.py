@@ -390,6 +390,12 @@ def _profit(book: DataFrame, moves: DataFrame, keys: list[str], value: str, move
     return earned.join(turned, "hk", "full_outer").select("hk", (F.coalesce("pnl", F.lit(0.0)) - fee * F.coalesce("turn", F.lit(0.0))).alias("gain"))
 
 
+def cohort_score(kind: str, rows: DataFrame, cohorts: DataFrame, **options) -> DataFrame:  # noqa: ANN003
+    """The score of a task of which only cohorts' representatives take part (member, representative); members share their cohort's equally."""
+    others = cohorts.where("member != representative").select(F.col("member").alias("hk"))
+    return similarity.equalise_mass(score(kind, rows.join(others, "hk", "left_anti"), **options), "hk", "s", cohorts)
+
+
 def combined(parts: list[tuple[DataFrame, float]], k: int = 50) -> DataFrame:
     """Near-uniform maps dropped, each decayed by rank, weighted over the tasks that gave a score, normalised."""
     kept = []

@@ -48,7 +48,8 @@ def exact_median(df: DataFrame, key: str, value: Column, accuracy: int = 10_000)
     A quantile sketch of bounded size (its rank error is below 1 / accuracy)
     gives a bracket of 10 / accuracy of the rows around the middle; values
     below it are only counted, values inside it are combined to (value, count)
-    and summed up in order. An even count gives the mean of both middles.
+    and summed up in order. An even count gives the mean of both middles. That
+    both middles are inside the bracket is checked; the query fails otherwise.
     """
     slack = 5.0 / accuracy
     rows = df.select(key, value.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
@@ -58,9 +59,13 @@ def exact_median(df: DataFrame, key: str, value: Column, accuracy: int = 10_000)
     run = Window.partitionBy(key).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     ranked = folded.withColumn("_to", F.sum("_c").over(run))
     low, high = F.floor((F.col("_n") - 1) / 2) + 1, F.floor(F.col("_n") / 2) + 1
-    return ranked.groupBy(key).agg(
-        ((F.min(F.when(F.col("_to") >= low, F.col("_v"))) + F.min(F.when(F.col("_to") >= high, F.col("_v")))) / 2).alias("median")
+    middles = ranked.groupBy(key).agg(
+        F.min(F.when(F.col("_to") >= low, F.col("_v"))).alias("_low"),
+        F.min(F.when(F.col("_to") >= high, F.col("_v"))).alias("_high"),
+        F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_to") < low)), F.lit(True)).alias("_above"),
     )
+    missed = F.raise_error(F.lit("the median is outside its bracket")).cast("double")
+    return middles.select(key, F.when(F.col("_above") & F.col("_high").isNotNull(), (F.col("_low") + F.col("_high")) / 2).otherwise(missed).alias("median"))
 
 
 def with_key_halo(df: DataFrame, order: str, back: int, ahead: int, chunk: int) -> DataFrame:

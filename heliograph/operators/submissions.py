@@ -6,7 +6,7 @@ fixed size; it is joined, never looped over.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.functions.json_text import allow_repeated_keys, readable
@@ -66,3 +66,14 @@ def vectors(found: DataFrame) -> DataFrame:
     checked = F.when(whole & F.forall(numbers, lambda x: (x >= -1) & (x <= 1)), numbers)
     vec = F.when(pairs, asset_pairs()).when(F.col("loss_func").isin(*PER_ASSET), asset_scalars()).when(F.col("loss_func") == "lbfgs", F.when(whole, sanitised(numbers))).otherwise(checked)
     return found.withColumn("vec", F.coalesce(vec, F.array_repeat(F.lit(0.0), width.cast("int")))).drop("value")
+
+
+def random_submissions(spark: SparkSession, spec: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """(row, payload) of ``n`` made-up submissions keyed by ticker: random numbers in [0, 1) of every task's width, per asset where it has assets."""
+    vec = F.transform(F.sequence(F.lit(1), F.col("dim")), lambda i: F.round(F.pmod(F.xxhash64("row", "ticker", i, F.lit(seed)), F.lit(10_000)) / 10_000, 4))
+    per = lambda a: F.transform(F.sequence(F.lit(1), F.col("dim")), lambda i: F.round(F.pmod(F.xxhash64("row", "ticker", a, i, F.lit(seed)), F.lit(10_000)) / 10_000, 4))
+    value = F.when(F.col("assets").isNull(), F.to_json(vec)).otherwise(F.to_json(F.map_from_arrays("assets", F.transform("assets", per))))
+    listed = spec.agg(F.collect_list(F.struct("ticker", "dim", "assets")).alias("l"))
+    rows = spark.range(n).select(F.col("id").alias("row"), F.explode(listed.scalar()).alias("t")).select("row", "t.*")
+    members = rows.groupBy("row").agg(F.array_sort(F.collect_list(F.concat(F.lit('"'), "ticker", F.lit('":'), value))).alias("m"))
+    return members.select("row", F.concat(F.lit("{"), F.array_join("m", ","), F.lit("}")).alias("payload"))

@@ -7,8 +7,11 @@ Unbounded running values are carried from chunk to chunk.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from heliograph.operators.sequence import fill_forward, numbered, running_sum, with_halo, with_key_halo
 
@@ -113,17 +116,31 @@ def episodes(df: DataFrame, source: str, order: str, gap: int, to: str = "episod
 def first_barrier(df: DataFrame, source: str, order: str, price: str, barrier: str, ahead: int) -> DataFrame:
     """Which of ±``barrier`` (log move) is hit first in the next ``ahead`` rows: 0 up, 1 down, 2 neither; null where the barrier is.
 
-    The next log prices are one array per row; positions of the first hits are
-    found by array functions, so the work stays in the JVM.
+    Blocks of equal row count with a halo of ``ahead`` rows are searched as
+    vectors, step by step for all rows that haven't hit yet.
     """
-    w = over(source)
-    placed = blocks(df, source, order, ahead).withColumn("lp", log_price(F.col(price)))
-    path = placed.withColumn("_path", F.collect_list("lp").over(w.rowsBetween(1, ahead)))
-    hit = lambda test: F.array_position(F.transform("_path", test), True)
-    up = hit(lambda p: p - F.col("lp") >= F.col(barrier))
-    down = hit(lambda p: p - F.col("lp") <= -F.col(barrier))
-    label = F.when(F.col(barrier).isNull() | (F.size("_path") < ahead), None).when((up > 0) & ((down == 0) | (up < down)), 0).when((down > 0) & ((up == 0) | (down < up)), 1).otherwise(2)
-    return core(path.withColumn("first_hit", label).drop("_path"))
+    placed = blocks(df, source, order, ahead)
+    schema = StructType([*placed.schema.fields, StructField("first_hit", IntegerType())])
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", ignore_index=True)
+        lp, far = np.log(pdf[price].to_numpy(dtype=float) + EPS), pdf[barrier].to_numpy(dtype=float, na_value=np.nan)
+        n = len(lp)
+        label = np.full(n, 2)
+        open_ = np.flatnonzero((np.arange(n) + ahead < n) & ~np.isnan(far))
+        whole = open_.copy()
+        for k in range(1, ahead + 1):
+            move = lp[open_ + k] - lp[open_]
+            up, down = move >= far[open_], move <= -far[open_]
+            label[open_[up & ~down]], label[open_[down & ~up]] = 0, 1
+            open_ = open_[~(up | down)]
+            if not len(open_):
+                break
+        told = pd.array([pd.NA] * n, dtype="Int32")
+        told[whole] = label[whole]
+        return pdf.assign(first_hit=told)[pdf["core"].to_numpy(dtype=bool)]
+
+    return placed.groupBy(source, "block").applyInPandas(search, schema).drop("block", "core")
 
 
 def decay_weights(df: DataFrame, source: str, order: str, per_day: float, half_life_days: float, to: str = "weight") -> DataFrame:

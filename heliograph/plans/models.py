@@ -33,7 +33,7 @@ def breakout_replay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
-    return spark.readStream.schema("ticker string, sidx bigint, price double, ts bigint").parquet(f"{d}/challenge_data.parquet*").where("price > 0 AND price < double('infinity') AND sidx IS NOT NULL")
+    return spark.readStream.schema("ticker string, sidx bigint, price double, ts bigint").option("maxFilesPerTrigger", 64).parquet(f"{d}/challenge_data.parquet*").where("price > 0 AND price < double('infinity') AND sidx IS NOT NULL")
 
 
 def _folder(spark: SparkSession) -> str:

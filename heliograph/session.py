@@ -18,6 +18,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # One thread per Python worker, so that sums don't depend on the machine; seeds are arguments of what draws.
+        .config("spark.executorEnv.OMP_NUM_THREADS", "1")
+        .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

@@ -293,3 +293,12 @@ def test_gated_models_and_weights(spark):
     old = spark.createDataFrame([(1, 1.0)], "uid int, w double")
     w = {r.uid: r.w for r in scorers.final_weights(s, uids, seen, old, 1000, 100, 0.01, 0.35).collect()}
     assert sum(w.values()) == pytest.approx(1) and w[1] == max(w.values()) and w[3] == pytest.approx(0.3 * 0.01 * 0.65) and w[0] == pytest.approx(0.3 * 0.35)
+
+
+def test_cohorts_are_scored_by_their_representatives(spark):
+    rng = np.random.default_rng(13)
+    y = rng.integers(0, 2, 300)
+    rows = [("m", who, i, float(s * (y[i] - 0.5) + rng.normal()), int(y[i])) for who, s in (("a", 3), ("b", 3), ("c", 1)) for i in range(300)]
+    cohorts = spark.createDataFrame([("a", "a"), ("b", "a")], "member string, representative string")
+    got = {r.hk: r.s for r in scorers.cohort_score("q_path", spark.createDataFrame(rows, "model string, hk string, pos long, x double, y int"), cohorts, replicates=4, block=40).collect()}
+    assert got["a"] == pytest.approx(got["b"]) and got["a"] > got["c"] / 2 and sum(got.values()) == pytest.approx(1)

@@ -46,3 +46,15 @@ def test_filters(spark):
     sent = spark.createDataFrame([(h, p, h == "old" or p > 95) for h in ("old", "new") for p in range(100)], "h string, p int, s boolean")
     assert [r.h for r in filters.probation(sent, "h", "p", "s", 99, 50, 10, 0.9).collect()] == ["old"]
     assert filters.active_share(df, ["k"], F.col("y") == 1, 0.9).count() == 1
+
+
+def test_made_up_submissions_are_valid(spark):
+    import json
+
+    from heliograph.operators.submissions import random_submissions
+
+    spec = spark.createDataFrame([("A", 2, None), ("B", 2, ["x", "y"])], "ticker string, dim int, assets array<string>")
+    rows = random_submissions(spark, spec, 5).collect()
+    sent = [json.loads(r.payload) for r in rows]
+    assert len(sent) == 5 and all(len(p["A"]) == 2 and set(p["B"]) == {"x", "y"} and all(0 <= v < 1 for v in [*p["A"], *p["B"]["x"], *p["B"]["y"]]) for p in sent)
+    assert len({r.payload for r in rows}) == 5 and [r.payload for r in random_submissions(spark, spec, 5).orderBy("row").collect()] == [r.payload for r in sorted(rows)]
