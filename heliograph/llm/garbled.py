@@ -70,7 +70,6 @@ DEPTH, EXPANSIONS, SLACK = 3, 24, 3.0
 _BLANK = " \t\n\r\x0b\x0c"
 _CJK = "ᄀ-ᇿ⺀-꓏가-퟿豈-﫿︰-﹏！-￯\U00020000-\U0003ffff"
 _WORD = re.compile(rf"[{_CJK}]+|[^{_BLANK}{_CJK}]+")
-_BLANKS = str.maketrans(dict.fromkeys(_BLANK, " "))
 _DIGITS = re.compile("[0-9]")
 _ENTITY = re.compile(r"&#?\w+;")
 #: U+FFFD and C1 controls: what a decoder couldn't read, or read as the wrong single-byte set.
@@ -184,7 +183,10 @@ def suspects(text: str | None) -> list[str]:
     """The different words of a text that have characters beyond ASCII or entities, in order."""
     if not text or (text.isascii() and "&" not in text):
         return []
-    runs = dict.fromkeys(r for r in text.translate(_BLANKS).split(" ") if not r.isascii() or "&" in r)
+    for blank in _BLANK[1:]:
+        if blank in text:
+            text = text.replace(blank, " ")
+    runs = [r for r in dict.fromkeys(text.split(" ")) if not r.isascii() or "&" in r]
     return list(dict.fromkeys(w for r in runs for w in _WORD.findall(r) if not w.isascii() or _ENTITY.search(w)))
 
 

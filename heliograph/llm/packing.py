@@ -50,6 +50,8 @@ from heliograph.session import cut
 CAPACITY, SHARD, BY_SIZE = 2048, 4000, 1 << 16
 #: Shards a seed asks; neighbours it asks of each.
 PROBES, NEAR = 5, 24
+#: Seeds that one task answers from a shard; a shard that more seeds ask is given to several tasks.
+ASKS = 16_384
 #: Axes of a signature; signatures that centroids are fitted to (a bounded sample; every text is placed and indexed); most centroids.
 WIDTH, SAMPLE, CENTROIDS = 64, 16_384, 4096
 #: Seeds per container that the tokens make.
@@ -366,6 +368,11 @@ def retrieved(placed: Corpus, capacity: int = CAPACITY, near: int = NEAR) -> Dat
     """The ``near`` best texts, by BM25, of each shard that a seed asks, for every seed: rows of ``NEAR_SCHEMA``; texts that are no seeds and fit beside the seed."""
     offered = placed.placed.where("cardinality(asks) = 0").select("row", "doc_id", "part", "n_tokens", "bag", "shard")
     asked = placed.placed.where("cardinality(asks) > 0").select(F.explode("asks").alias("asked"), F.col("row").alias("seed"), F.col("shard").alias("seed_shard"), (capacity - F.col("n_tokens")).alias("room"), "terms", "n_terms")
+    # Few shards are asked by very many seeds (at most as many as there are shards are listed).
+    busy = {r.asked: -(-r.n // ASKS) for r in asked.groupBy("asked").agg(F.count("*").alias("n")).where(F.col("n") > ASKS).collect()}
+    tasks = F.coalesce(F.create_map(*(F.lit(v) for pair in busy.items() for v in pair))[F.col("s")], F.lit(1)) if busy else F.lit(1)
+    asked = asked.withColumn("s", F.col("asked")).withColumn("task", F.pmod(F.xxhash64("seed"), tasks).cast("int")).drop("s")
+    offered = offered.withColumn("s", F.col("shard")).withColumn("task", F.explode(F.sequence(F.lit(0), (tasks - 1).cast("int")))).drop("s")
     idf, mean_length = placed.idf, placed.mean_length
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -389,7 +396,7 @@ def retrieved(placed: Corpus, capacity: int = CAPACITY, near: int = NEAR) -> Dat
         parts = [left.select(["row", "doc_id", "part", "n_tokens", "shard"]).take(pa.array(what)), right.select(["seed", "seed_shard", "room"]).take(pa.array(who))]
         return pa.Table.from_arrays([*parts[0].columns, *parts[1].columns, pa.array(np.concatenate(scores).astype(np.float64).round(4) if scores else np.zeros(0))], names=["row", "doc_id", "part", "n_tokens", "shard", "seed", "seed_shard", "room", "score"])
 
-    return offered.groupBy("shard").cogroup(asked.groupBy("asked")).applyInArrow(answer, NEAR_SCHEMA)
+    return offered.groupBy("shard", "task").cogroup(asked.groupBy("asked", "task")).applyInArrow(answer, NEAR_SCHEMA)
 
 
 def lexical_packing(encoded: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:

@@ -112,6 +112,13 @@ def test_retrieval_recalls_the_neighbours_of_brute_force(spark):
     assert len(recall) > 100 and np.mean(recall) >= 0.9
 
 
+def test_shards_that_many_seeds_ask_go_to_several_tasks(spark, monkeypatch):
+    made = corpus(spark.createDataFrame(topics(400, 5), DOC).repartition(3), 100, 60)
+    whole = sorted(map(str, retrieved(made, 100).select("row", "seed", "score").collect()))
+    monkeypatch.setattr("heliograph.llm.packing.ASKS", 7)
+    assert sorted(map(str, retrieved(made, 100).select("row", "seed", "score").collect())) == whole and whole
+
+
 def test_hot_topic_and_copies_are_split(spark):
     rows = topics(300, 4) + [(1000 + i, [5, 6, 7, 8], "x", 1) for i in range(300)]
     made = corpus(spark.createDataFrame(rows, DOC), 100, 40)
