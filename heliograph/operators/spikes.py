@@ -103,6 +103,20 @@ def interventions(e: np.ndarray, phi: float, sigma: float, critical: float) -> t
     return parts[0], parts[1], parts[2], parts[3], left
 
 
+def clean_changes(x: np.ndarray, phi: float, sigma: float, critical: float) -> np.ndarray:
+    """Changes (0 for the first reading) without what the interventions add to them; an innovation fades by the coefficient."""
+    y = np.diff(x, prepend=x[:1])
+    t, kind, size, _, _ = interventions(residuals(x, phi), phi, sigma, critical)
+    gone = [(t, size)]
+    gone += [(t[kind == n - 1] + n, -size[kind == n - 1]) for n in range(1, LONGEST + 1)]
+    fading = kind == LONGEST + 1
+    gone += [(t[fading] + k, size[fading] * phi**k) for k in range(1, 2 * APART)]
+    for at, what in gone:
+        inside = at < len(y)
+        np.subtract.at(y, at[inside], what[inside])
+    return y
+
+
 def spike_readings(x: np.ndarray, candidate: np.ndarray, limit: float) -> np.ndarray:
     """Exact check of the candidates that open a spike: which readings are one of one to three that leave both neighbours by ``limit``."""
     out = np.zeros(len(x), dtype=bool)
@@ -138,15 +152,7 @@ def _sums(batches: Iterator[pa.RecordBatch], block: int, usual: dict[str, float]
         if fits is None:
             y = np.clip(y, -clip * m, clip * m)
         else:
-            phi = fits[ticker]
-            left = interventions(residuals(x, phi), phi, spread(m, phi), critical)[-1]
-            y = np.empty(len(left))
-            held = 0.0
-            # Changes that the clean residuals make: a recursion of one multiplication a reading.
-            for i, v in enumerate(left.tolist()):
-                held = v + phi * held
-                y[i] = held
-            y = y[1:]
+            y = clean_changes(x, fits[ticker], spread(m, fits[ticker]), critical)[1:]
         now, before = y[1:][core[2:]], y[:-1][core[2:]]
         tickers.append(ticker)
         sums.append((float(now @ before), float(before @ before)))
