@@ -283,8 +283,11 @@ def _bagged(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.Rec
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             rest = np.sort(ids[b - (b - a) % capacity : b])
             bags.append(_raw(rest) if len(rest) else None)
-            seen.append(np.unique(ids[a:b]))
-        term, texts = np.unique(np.concatenate(seen), return_counts=True)
+            every = rest if b - a == len(rest) else np.sort(ids[a:b])
+            seen.append(every[np.append(True, every[1:] != every[:-1])] if len(every) else every)
+        texts = np.bincount(np.concatenate(seen))
+        term = np.flatnonzero(texts)
+        texts = texts[term]
         names, k = ["doc_id", "n", "bag", "term", "texts"], len(term)
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n.astype(np.int32)), pa.array(bags, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())], names=names)
         yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(term.astype(np.int32)), pa.array(texts.astype(np.int64))], names=names)
