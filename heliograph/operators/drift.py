@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliograph.functions.json_text import allow_repeated_keys, opened, readable
+from heliograph.functions.json_text import allow_repeated_keys, only_readable, opened
 from heliograph.operators.flatten import MULTI_ASSET
 from heliograph.session import cut
 
@@ -45,7 +45,7 @@ _KIND = (
 def _envelopes(payloads: DataFrame, *keep: str) -> DataFrame:
     """Readable payloads: kept columns, the envelope and the opened submission."""
     allow_repeated_keys(payloads.sparkSession)
-    read = payloads.select(*keep, readable("payload").alias("v")).where("v IS NOT NULL")
+    read = only_readable(payloads, "payload", *keep)
     env = read.select(*keep, "v", F.expr("coalesce(try_variant_get(v, '$[0]', 'variant'), v)").alias("env"))
     return env.withColumn("ct", F.expr("try_variant_get(env, '$.C.ct', 'variant')")).withColumn("ct", opened("ct"))
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.functions.json_text import allow_repeated_keys, as_map, opened, readable
+from heliograph.functions.json_text import allow_repeated_keys, as_map, only_readable, opened, opened_map
 
 #: The multi-asset tickers by the names that payloads may use for them.
 MULTI_ASSET = {
@@ -58,23 +58,22 @@ def _leaves(value: str, inside: str, key: str, item: str) -> str:
 
 
 def payload_branches(payloads: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
-    """src, ts, root, row_id and the uniform branches of each readable payload."""
+    """src, ts, root, row_id and the uniform branches (which may be none) of each readable payload."""
     names = MULTI_ASSET if names is None else names
     allow_repeated_keys(payloads.sparkSession)
-    found = payloads.select("ts", F.col("hotkey").alias("root"), F.xxhash64("ts", "hotkey", "payload").alias("row_id"), readable("payload").alias("v"))
+    found = only_readable(payloads, "payload", "ts", F.col("hotkey").alias("root"), F.xxhash64("ts", "hotkey", "payload").alias("row_id"))
     sent = found.select("ts", "root", "row_id", F.expr("coalesce(try_variant_get(v, '$.C.ct', 'variant'), try_variant_get(v, '$[0].C.ct', 'variant'))").alias("ct"))
-    sent = sent.where("ct IS NOT NULL").withColumn("ct", opened("ct")).withColumn("m", as_map("ct"))
+    sent = sent.select("ts", "root", "row_id", opened_map("ct").alias("m"))
     known = "map(" + ", ".join(f"'{a}', '{b}'" for a, b in names.items()) + ")"
     listed = ", ".join(f"'{a}'" for a in names)
     branches = f"transform(filter(map_entries(m), e -> e.key IN ({listed})), e -> named_struct('branch', {known}[e.key], 'leaves', {_leaves('e.value', 'assets', 'asset', 'val')}))"
-    return sent.select(F.lit("raw_payloads").alias("src"), "ts", "root", "row_id", F.expr(branches).alias("branches")).where("cardinality(branches) > 0")
+    return sent.select(F.lit("raw_payloads").alias("src"), "ts", "root", "row_id", F.coalesce(F.expr(branches), F.array()).alias("branches"))
 
 
 def state_branches(states: DataFrame, own: bool = False) -> DataFrame:
     """src, ts, root, row_id and the uniform branches (slot and trigger) of each readable state; with ``own`` the samples' scalars instead of their leaves."""
     allow_repeated_keys(states.sparkSession)
-    found = states.select("ts", F.col("asset").alias("root"), F.xxhash64("ts", "asset", "state_json").alias("row_id"), readable("state_json").alias("v"))
-    found = found.where("v IS NOT NULL").withColumn("v", opened("v"))
+    found = only_readable(states, "state_json", "ts", F.col("asset").alias("root"), F.xxhash64("ts", "asset", "state_json").alias("row_id")).withColumn("v", opened("v"))
     found = found.withColumn("v", F.expr("coalesce(try_variant_get(v, '$.state', 'variant'), v)")).withColumn("v", opened("v")).withColumn("m", as_map("v"))
     leaves = lambda s: f"'leaves', {_leaves(f'''try_variant_get({s}, '$.embeddings', 'variant')''', 'miners', 'hotkey', 'vec')}"
     inside = (lambda s: f"'scalars', {_scalars(f'''try_variant_get({s}, '$', 'map<string,variant>')''')}") if own else leaves
@@ -83,7 +82,7 @@ def state_branches(states: DataFrame, own: bool = False) -> DataFrame:
     halves = "flatten(transform(map_values(try_variant_get(c, '$', 'map<string,variant>')), h -> coalesce(try_variant_get(h, '$', 'array<variant>'), array())))"
     completed = f"transform(flatten(transform(filter(array(m['completed']), c -> c IS NOT NULL), c -> coalesce(try_variant_get(c, '$', 'array<variant>'), {halves}, array()))), s -> {sample('completed', 's')})"
     branches = f"concat({pending('pending_high')}, {pending('pending_low')}, {completed})"
-    return found.where("m IS NOT NULL").select(F.lit("breakout_state").alias("src"), "ts", "root", "row_id", F.expr(branches).alias("branches")).where("cardinality(branches) > 0")
+    return found.select(F.lit("breakout_state").alias("src"), "ts", "root", "row_id", F.coalesce(F.expr(f"CASE WHEN m IS NOT NULL THEN {branches} END"), F.array()).alias("branches"))
 
 
 def _children(lists: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -152,7 +151,7 @@ def _scalars(members: str) -> str:
 def payload_roots(payloads: DataFrame) -> DataFrame:
     """The top level: src, ts, root, row_id, ``scalars`` of the envelope, ``owner`` (those of W_owner) and ``vectors`` of the tasks with one asset."""
     allow_repeated_keys(payloads.sparkSession)
-    found = payloads.select("ts", F.col("hotkey").alias("root"), F.xxhash64("ts", "hotkey", "payload").alias("row_id"), readable("payload").alias("v")).where("v IS NOT NULL")
+    found = only_readable(payloads, "payload", "ts", F.col("hotkey").alias("root"), F.xxhash64("ts", "hotkey", "payload").alias("row_id"))
     env = found.withColumn("env", F.expr("coalesce(try_variant_get(v, '$[0]', 'variant'), v)")).withColumn("ct", F.expr("try_variant_get(env, '$.C.ct', 'variant')"))
     maps = env.withColumn("ct", opened("ct")).withColumn("m", as_map("env")).withColumn("c", as_map("ct")).where("m IS NOT NULL")
     multi = ", ".join(f"'{a}'" for a in MULTI_ASSET)

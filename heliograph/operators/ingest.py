@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliograph.functions.json_text import allow_repeated_keys, readable
+from heliograph.functions.json_text import allow_repeated_keys, only_readable
 
 #: The keys that a version 2 envelope must have.
 ENVELOPE_KEYS = ("v", "round", "hk", "owner_pk", "C", "W_owner", "W_time", "binding", "alg")
@@ -82,7 +82,7 @@ def binding(hotkey: Column, round_: Column, owner: Column, pke: Column) -> Colum
 def envelope_checks(payloads: DataFrame, text: str, hotkey: str, owner_keys: list[str] | None = None) -> DataFrame:
     """All columns of readable payloads, and whether they are complete, name the row's hotkey, have an accepted owner key (any where none is listed) and the hash that binds them."""
     allow_repeated_keys(payloads.sparkSession)
-    v = payloads.withColumn("_v", readable(text)).where("_v IS NOT NULL").withColumn("_e", F.expr("coalesce(try_variant_get(_v, '$[0]', 'variant'), _v)"))
+    v = only_readable(payloads, text, *payloads.columns, to="_v").withColumn("_e", F.expr("coalesce(try_variant_get(_v, '$[0]', 'variant'), _v)"))
     at = lambda path: F.expr(f"try_variant_get(_e, '$.{path}', 'string')")
     raw = lambda path: F.expr(f"try_to_binary(try_variant_get(_e, '$.{path}', 'string'), 'hex')")
     owned = F.lower(at("owner_pk")).isin(*(k.lower() for k in owner_keys)) if owner_keys else F.lit(True)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.functions.json_text import allow_repeated_keys, readable
+from heliograph.functions.json_text import allow_repeated_keys, only_readable
 from heliograph.functions.vectors import sanitised
 
 #: Loss functions whose value is an object per asset, and how many elements an asset has.
@@ -27,7 +27,7 @@ def entries(submissions: DataFrame, text: str, spec: DataFrame, keep: list[str])
     allow_repeated_keys(submissions.sparkSession)
     tasks = spec.select("ordinal", "ticker", "name", "loss_func", "dim", "assets")
     n = tasks.count()  # the specification's size is fixed
-    read = submissions.select(*keep, readable(text).alias("v")).where("v IS NOT NULL")
+    read = only_readable(submissions, text, *keep)
     listed = F.expr(f"CASE WHEN cardinality(try_variant_get(v, '$', 'array<variant>')) = {n} THEN try_variant_get(v, '$', 'array<variant>') END")
     keyed = read.select(*keep, listed.alias("l"), F.expr("try_variant_get(v, '$', 'map<string,variant>')").alias("m"))
     keyed = keyed.withColumn("ordinal", F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n else F.lit(None).cast("int"))
