@@ -331,10 +331,9 @@ def consistent_payloads(payloads: DataFrame, names: dict[str, str], multi: dict[
     several = struct({name: f"u[0].{name}" for name in branches}, ", 'others', slice(u, 2, cardinality(u))")
     kinds = f"transform({_every_path()}, e -> transform(array(schema_of_variant(e.value)), s -> named_struct('path', coalesce({known}[e.key], e.key), 'written', e.key, 'v', e.value, 'kind', {_KIND}))[0])"
     # Nearly all payloads have each path once; the rest look through all their values for each path.
-    alone = f"transform(ks, k -> named_struct('key', k.path, 'value', transform(array(array({union})), u -> {several})[0]))"
+    fields = "kind: string, number: double, string: string, boolean: boolean, array: array<string>, object: map<string,string>, canonical: string, written: string"
+    nothing = f"CAST(array() AS array<struct<{fields}>>)"
+    alone = f"transform(ks, k -> named_struct('key', k.path, 'value', {struct(branches, f', {chr(39)}others{chr(39)}, {nothing}')}))"
     shared = f"transform(array_distinct(ks.path), p -> named_struct('key', p, 'value', transform(array(transform(filter(ks, k -> k.path = p), k -> {union})), u -> {several})[0]))"
-    once = (
-        f"transform(array({kinds}), ks -> map_from_entries(array_sort(CASE WHEN cardinality(array_distinct(ks.path)) = cardinality(ks) THEN {alone} ELSE {shared} END, "
-        "(a, b) -> CASE WHEN a.key < b.key THEN -1 WHEN a.key > b.key THEN 1 ELSE 0 END)))[0]"
-    )
+    once = f"transform(array({kinds}), ks -> map_from_entries(CASE WHEN cardinality(array_distinct(ks.path)) = cardinality(ks) THEN {alone} ELSE {shared} END))[0]"
     return env.select("ts", "hotkey", "feed", "file_no", F.expr(once).alias("fields"))
