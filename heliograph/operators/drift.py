@@ -118,9 +118,8 @@ def file_schemas(unions: DataFrame, share: float = 0.2, reach: int = 4) -> DataF
 
     A field has path, kind, width, counts and form. Only where it ends or
     begins (it is absent from the next or the previous file) it also has the
-    sketches of its values: ``own``, of up to ``reach`` of its files before
-    (``past``) and after (``next``), and of those with its own (``upto``,
-    ``onward``).
+    sketches of its values: ``own``, and of up to ``reach`` of its files before
+    (``past``) and after (``next``).
     """
     smallest = lambda c: F.array(*(F.min(F.col(c)[i]) for i in range(SKETCH))).alias(c)
     # The kind that most payloads use, then that kind's most frequent width.
@@ -149,11 +148,9 @@ def file_schemas(unions: DataFrame, share: float = 0.2, reach: int = 4) -> DataF
         ((F.coalesce(F.lag("ordinal").over(w), F.lit(-1)) != F.col("ordinal") - 1) | (F.coalesce(F.lead("ordinal").over(w), F.lit(-1)) != F.col("ordinal") + 1)).alias("edge"),
         union(-reach, -1).alias("past"),
         union(1, reach).alias("next"),
-        union(1 - reach, 0).alias("upto"),
-        union(0, reach - 1).alias("onward"),
     )
     shown = lambda c, name: F.when(F.col("edge"), F.col(c)).alias(name)
-    field = F.struct("path", F.col("most.kind").alias("kind"), F.col("most.width").alias("width"), "n", "n_digits", "n_hex", "length", shown("sketch", "own"), *(shown(c, c) for c in ("past", "next", "upto", "onward")))
+    field = F.struct("path", F.col("most.kind").alias("kind"), F.col("most.width").alias("width"), "n", "n_digits", "n_hex", "length", shown("sketch", "own"), *(shown(c, c) for c in ("past", "next")))
     listed = fields.groupBy("feed", "file_no").agg(F.collect_list(field).alias("fields"))
     return readable_files.join(listed, ["feed", "file_no"], "left").select("feed", "file_no", "ordinal", F.coalesce("fields", F.array()).alias("fields"))
 
@@ -165,6 +162,13 @@ def _overlap(a, b) -> float:  # noqa: ANN001
     return sum(x is not None and x == y for x, y in zip(a, b, strict=True)) / SKETCH
 
 
+def _united(a, b) -> list | None:  # noqa: ANN001
+    """The sketch of two value sets together."""
+    if a is None or b is None:
+        return b if a is None else a
+    return [y if x is None else x if y is None else min(x, y) for x, y in zip(a, b, strict=True)]
+
+
 def _form(f) -> tuple[str, int]:  # noqa: ANN001
     """Form of values that look alike: digits or hexadecimal digits, and their usual length."""
     half, size = f["n"] / 2, round(f["length"] or 0)
@@ -179,7 +183,9 @@ def same_content(gone, new, tasks: dict[str, str]) -> float:  # noqa: ANN001
     if a.startswith("C.ct.") or b.startswith("C.ct."):
         x, y = tasks.get(a[5:], a[5:]), tasks.get(b[5:], b[5:])
         return 3.0 if a[:5] == b[:5] and x == y else 0.0
-    shared, form, other = _overlap(gone["upto"], new["onward"]), _form(gone), _form(new)
+    # The file alone, and with its neighbours: a set of one file is small beside one of several, as at a feed's begin.
+    shared = max(_overlap(x, y) for x in (gone["own"], _united(gone["past"], gone["own"])) for y in (new["own"], _united(new["own"], new["next"])))
+    form, other = _form(gone), _form(new)
     # One common value may be chance where the values look different.
     alike = form[0] == other[0] and abs(form[1] - other[1]) <= max(1, 0.2 * max(form[1], other[1]))
     if shared >= (1 if alike else 3) / SKETCH:

@@ -109,3 +109,11 @@ def test_fields_that_share_few_values_are_still_one(spark):
     rows = [(i, "h", json.dumps({("client" if f < 8 else "agent"): f"app{rnd.randrange(1000):03d}/1.{rnd.randrange(3)}", ("one" if f < 8 else "two"): "".join(rnd.choice("0123456789abcdef") for _ in range(12)), "x": 1}), "f", f, "x") for f in range(16) for i in range(100)]
     got = {tuple(r) for r in payload_changes(spark.createDataFrame(rows, RAW), TASKS).collect()}
     assert got == {("f", 8, "renamed", "client", "agent"), ("f", 8, "renamed", "one", "two")}
+
+
+def test_a_rename_in_the_second_file_of_a_feed(spark):
+    """One file of values before, many after: the files beside the change are compared, too."""
+    rnd = random.Random(2)
+    rows = [(i, "h", json.dumps({("who" if f == 0 else "miner"): f"5x{rnd.randrange(300):04d}q", "x": 1}), "f", f, "x") for f in range(8) for i in range(90)]
+    got = {tuple(r) for r in payload_changes(spark.createDataFrame(rows, RAW), TASKS).collect()}
+    assert got == {("f", 1, "renamed", "who", "miner")}
