@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.functions import vectors
-from heliograph.operators import asof, ingest, similarity, windows
+from heliograph.operators import asof, ingest, pairs, similarity, windows
 from heliograph.operators.prices import readings
 from heliograph.operators.sequence import numbered
 from heliograph.session import cut
@@ -135,20 +138,17 @@ def active_by_spread(q: DataFrame, least: float = 1e-4) -> DataFrame:
 def close_pairs(rows: DataFrame, moment: str, who: str, vec: str, eps: float = 1e-3, share: float = 0.99, least: int = 200) -> DataFrame:
     """Pairs of participants whose vectors differ by less than ``eps`` in every element in at least ceil(``share``·joint) of their joint active moments.
 
-    Both need ``least`` active moments, alone and jointly. Candidates meet by
-    moment and by the cell of their first element (and its neighbour), so
-    participants that never agree are never paired.
+    Both need ``least`` active moments, alone and jointly. Counts are summed as
+    matrices, block by block; only pairs that are close are listed.
     """
-    live = rows.where(vectors.active(F.col(vec))).select(moment, who, vec, F.floor(F.col(vec)[0].cast("double") / eps).cast("long").alias("_c"))
+    live = rows.where(vectors.active(F.col(vec))).select(moment, who, F.col(vec).cast("array<double>").alias("_v"))
     busy = live.groupBy(who).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(who)
-    live = live.join(busy, who, "left_semi")
-    a = live.select(moment, F.col(who).alias("a"), F.col(vec).alias("_va"), F.explode(F.array(F.col("_c") - 1, F.col("_c"), F.col("_c") + 1)).alias("_c"))
-    b = live.select(moment, F.col(who).alias("b"), F.col(vec).alias("_vb"), "_c")
-    near = F.forall(F.zip_with("_va", "_vb", lambda x, y: F.abs(x.cast("double") - y.cast("double")) < eps), lambda t: t)
-    match = a.join(b, [moment, "_c"]).where((F.col("a") < F.col("b")) & near).groupBy("a", "b").agg(F.count("*").alias("n_match"))
-    there = live.select(moment, who)
-    joint = match.select("a", "b").join(there.withColumnRenamed(who, "a"), "a").join(there.withColumnRenamed(who, "b"), [moment, "b"]).groupBy("a", "b").agg(F.count("*").alias("n_joint"))
-    return match.join(joint, ["a", "b"]).where((F.col("n_joint") >= least) & (F.col("n_match") >= F.ceil(F.lit(share) * F.col("n_joint"))))
+    named = cut(pairs.slots(busy, who))
+    test = lambda t: (t["n_match"] > 0) & (t["n"] >= least) & (t["n_match"] >= np.ceil(share * t["n"]))
+    both = pairs.pairwise(live.join(F.broadcast(named), who), [moment], "_slot", F.col("_v"), named.count(), partial(pairs.add_close, eps=eps), ["n", "n_match"], test)
+    kept = both.where((F.col("n_match") > 0) & (F.col("n") >= least) & (F.col("n_match") >= F.ceil(F.lit(share) * F.col("n"))))
+    a, b = named.select(F.col(who).alias("a"), F.col("_slot").alias("i")), named.select(F.col(who).alias("b"), F.col("_slot").alias("j"))
+    return kept.join(F.broadcast(a), "i").join(F.broadcast(b), "j").select("a", "b", F.col("n_match").cast("long").alias("n_match"), F.col("n").cast("long").alias("n_joint"))
 
 
 def exact_clusters(rows: DataFrame, moment: str, who: str, vec: str, **options: float) -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heliograph.operators import pairs
 from heliograph.session import cut
 
 
@@ -61,71 +62,38 @@ def cosine_search(df: DataFrame, key: str, vector: str, queries: Column, k: int,
 def match_share(df: DataFrame, moment: list[str], who: str, cell: Column, least_joint: int) -> DataFrame:
     """For pairs that agree at least once: moments both were active in, moments in which they agree, and the share.
 
-    ``cell`` is the value at the precision that counts as equal. Candidates
-    come from equal (moment, cell); joint moments are counted for these pairs
-    only.
+    ``cell`` is the value at the precision that counts as equal. Both counts
+    are summed as matrices, block by block; only pairs that agree are listed.
     """
     acts = df.select(*moment, who, cell.alias("_cell")).distinct()
-    a, b = acts.withColumnRenamed(who, "a"), acts.withColumnRenamed(who, "b")
-    agree = a.join(b, [*moment, "_cell"]).where("a < b").select(*moment, "a", "b").distinct().groupBy("a", "b").agg(F.count("*").alias("n_match"))
-    there = df.select(*moment, who).distinct()
-    counts = there.groupBy(who).agg(F.count("*").alias("n"))
-    firsts = agree.select("a", "b").join(there.withColumnRenamed(who, "a"), "a")
-    joint = firsts.join(there.withColumnRenamed(who, "b"), [*moment, "b"]).groupBy("a", "b").agg(F.count("*").alias("n_joint"))
-    both = agree.join(joint, ["a", "b"]).where(F.col("n_joint") >= least_joint)
-    return both.join(counts.withColumnsRenamed({who: "a", "n": "n_a"}), "a").join(counts.withColumnsRenamed({who: "b", "n": "n_b"}), "b").select("a", "b", "n_a", "n_b", "n_joint", "n_match", (F.col("n_match") / F.col("n_joint")).alias("share"))
-
-
-def _products(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Per pair of slots: joint rows and sums of x, y, x², y², xy over these, summed as matrices."""
-    total = None
-    for batch in batches:
-        lists = batch.column(0)
-        n = len(lists)
-        owner = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-        flat = lists.flatten()
-        slot, value = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-        size = int(slot.max()) + 1 if len(slot) else 0
-        if size > most:
-            raise ValueError(f"{size} participants exceed the {most} of a dense pair table")
-        x, there = np.zeros((n, size)), np.zeros((n, size))
-        x[owner, slot], there[owner, slot] = value, 1.0
-        part = np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
-        if total is None or total.shape[1] < size:
-            wider = np.zeros((4, size, size))
-            if total is not None:
-                wider[:, : total.shape[1], : total.shape[1]] = total
-            total = wider
-        total[:, :size, :size] += part
-    if total is not None:
-        i, j = np.nonzero(np.triu(total[0], 0))
-        both = total[0], total[1], total[1].T, total[2], total[2].T, total[3]
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *(pa.array(m[i, j]) for m in both)], names=["i", "j", "n", "x", "y", "xx", "yy", "xy"])
-
-
-def pair_sums(df: DataFrame, moment: list[str], slot: str, value: str, most: int = 4096) -> DataFrame:
-    """(i, j, n, x, y, xx, yy, xy) for i <= j: sums over the moments that both slots have; pairs are summed as matrices, never listed per moment."""
-    listed = df.where(F.col(value).isNotNull()).groupBy(*moment).agg(F.collect_list(F.struct(F.col(slot).cast("int").alias("s"), F.col(value).cast("double").alias("v"))).alias("l")).select("l")
-    shape = "i int, j int, n double, x double, y double, xx double, yy double, xy double"
-    return listed.mapInArrow(partial(_products, most=most), shape).groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")))
+    counts = df.select(*moment, who).distinct().groupBy(who).agg(F.count("*").alias("_n"))
+    named = cut(pairs.slots(df, who).join(counts, who))
+    test = lambda t: (t["n_match"] > 0) & (t["n"] >= least_joint)
+    both = pairs.pairwise(acts.join(F.broadcast(named), who), moment, "_slot", F.col("_cell"), named.count(), pairs.add_matches, ["n", "n_match"], test, coded=True)
+    listed = both.where((F.col("n_match") > 0) & (F.col("n") >= least_joint)).select("i", "j", F.col("n").cast("long").alias("n_joint"), F.col("n_match").cast("long").alias("n_match"))
+    a, b = (named.select(F.col("_slot").alias(i), F.col(who).alias(x), F.col("_n").alias(f"n_{x}")) for i, x in (("i", "a"), ("j", "b")))
+    return listed.join(F.broadcast(a), "i").join(F.broadcast(b), "j").select("a", "b", "n_a", "n_b", "n_joint", "n_match", (F.col("n_match") / F.col("n_joint")).alias("share"))
+
+
+def pair_sums(df: DataFrame, moment: list[str], slot: str, value: str, sums: tuple[str, ...] = ("n", "x", "y", "xx", "yy", "xy"), diagonal: bool = False, size: int | None = None) -> DataFrame:
+    """(i, j, <sums>) for i < j (with ``diagonal`` i <= j): sums over the moments that both slots have; pairs are summed as matrices, never listed per moment."""
+    known = df.where(F.col(value).isNotNull())
+    n = size if size is not None else (known.agg(F.max(slot) + 1).first()[0] or 0)
+    return pairs.pairwise(known, moment, slot, F.col(value), n, pairs.add_sums, list(sums), lambda t: t["n"] > 0, diagonal=diagonal)
 
 
 def gram(df: DataFrame, moment: list[str], slot: str, value: str, size: int) -> np.ndarray:
     """Inner products of all slots' values (absent ones are 0), size x size on the driver."""
     out = np.zeros((size, size))
-    for r in pair_sums(df, moment, slot, value).select("i", "j", "xy").collect():
+    for r in pair_sums(df, moment, slot, value, ("n", "xy"), True, size).select("i", "j", "xy").collect():
         out[r.i, r.j] = out[r.j, r.i] = r.xy
     return out
 
 
-def _slots(df: DataFrame, who: str) -> DataFrame:
-    return df.select(who).distinct().withColumn("_slot", F.row_number().over(Window.orderBy(who)) - 1)
-
-
 def joint_correlation(df: DataFrame, moment: str, who: str, value: str, least_joint: int) -> DataFrame:
     """Correlation of two participants over joint moments, from pair sums."""
-    named = cut(_slots(df.where(F.col(value).isNotNull()), who))
-    sums = pair_sums(df.join(named, who), [moment], "_slot", value).where((F.col("i") < F.col("j")) & (F.col("n") >= least_joint))
+    named = cut(pairs.slots(df.where(F.col(value).isNotNull()), who))
+    sums = pair_sums(df.join(named, who), [moment], "_slot", value).where(F.col("n") >= least_joint)
     a, b = named.select(F.col(who).alias("a"), F.col("_slot").alias("i")), named.select(F.col(who).alias("b"), F.col("_slot").alias("j"))
     spread = lambda s, q: F.greatest(F.col("n") * F.col(q) - F.col(s) ** 2, F.lit(0.0))
     corr = (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(spread("x", "xx") * spread("y", "yy"))
@@ -148,12 +116,13 @@ def centred_similarity(df: DataFrame, moment: str, who: str, vec: str, least_joi
     if not joint:
         grid = mean.select(moment, "_d", F.explode(df.agg(F.collect_set(who).alias("w")).scalar()).alias(who), (-F.col("_m")).alias("_z"))
         free = grid.join(free.select(moment, "_d", who, "_v"), [moment, "_d", who], "left").withColumn("_v", F.coalesce("_v", "_z"))
-    named = cut(_slots(free, who))
+    named = cut(pairs.slots(free, who))
     width = df.agg(F.max(F.size(vec))).scalar()
-    sums = pair_sums(free.join(named, who), [moment, "_d"], "_slot", "_v").where("i < j").withColumn("n_joint", F.round(F.col("n") / width).cast("long"))
+    sums = pair_sums(free.join(F.broadcast(named), who), [moment, "_d"], "_slot", "_v", ("n", "xx", "yy", "xy"), size=named.count()).withColumn("n_joint", F.round(F.col("n") / width).cast("long"))
     a, b = named.select(F.col(who).alias("a"), F.col("_slot").alias("i")), named.select(F.col(who).alias("b"), F.col("_slot").alias("j"))
     cosine = F.abs(F.col("xy")) / F.sqrt(F.col("xx") * F.col("yy"))
-    return sums.where(F.col("n_joint") >= least_joint).join(a, "i").join(b, "j").select("a", "b", "n_joint", F.when(F.col("xx") * F.col("yy") > 0, cosine).otherwise(0.0).alias("similarity"))
+    listed = sums.where(F.col("n_joint") >= least_joint).join(F.broadcast(a), "i").join(F.broadcast(b), "j")
+    return listed.select("a", "b", "n_joint", F.when(F.col("xx") * F.col("yy") > 0, cosine).otherwise(0.0).alias("similarity"))
 
 
 def _equal(batches: Iterator[pa.RecordBatch], classes: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -225,15 +194,28 @@ def equalise_mass(df: DataFrame, key: str, value: str, representatives: DataFram
     return shared.unionByName(df.join(reps, key, "left_anti").select(key, value))
 
 
+def _best_senior(totals: pairs.Totals, i0: int, j0: int, same: bool, ties: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """Per junior slot j of a pair of blocks the most moments shared with one slot of better rank."""
+    n = totals["n"]
+    first = np.array([ties.get(j, j) for j in range(j0, j0 + n.shape[1])])
+    most = np.where(np.arange(i0, i0 + n.shape[0])[:, None] < first, n, 0).max(axis=0)
+    j = np.flatnonzero(most)
+    yield pa.RecordBatch.from_arrays([pa.array((j + j0).astype(np.int32)), pa.array(most[j].astype(np.int32))], names=["j", "n"])
+
+
 def overlap_with_seniors(df: DataFrame, moment: str, who: str, choice: str, rank: str) -> DataFrame:
     """The largest share of a participant's own moments in which one higher-ranked participant made the same choice, and (1 - overlap)².
 
     Slots are ordered by rank; a row of the pair sums is a (moment, choice).
+    Blocks of pairs only tell each junior's maximum. Slots that share their
+    rank with an earlier one reach the driver, one number each.
     """
-    named = cut(df.select(who, rank).distinct().withColumn("_slot", F.row_number().over(Window.orderBy(rank, who)) - 1))
-    same = pair_sums(df.join(named.select(who, "_slot"), who).withColumn("_one", F.lit(1.0)), [moment, choice], "_slot", "_one").where("i < j")
-    ranks = lambda slot, to: named.select(F.col("_slot").alias(slot), F.col(rank).alias(to))
-    most = same.join(ranks("i", "_ri"), "i").join(ranks("j", "_rj"), "j").where("_ri < _rj").groupBy(F.col("j").alias("_slot")).agg(F.max("n").alias("_m"))
-    n = df.groupBy(who).agg(F.count("*").alias("n")).join(named.select(who, "_slot"), who)
-    overlap = F.coalesce(F.col("_m"), F.lit(0.0)) / F.col("n")
+    order = F.row_number().over(Window.orderBy(rank, who)) - 1
+    named = cut(df.select(who, rank).distinct().withColumn("_slot", order).withColumn("_first", F.min("_slot").over(Window.partitionBy(rank))))
+    ties = {r[0]: r[1] for r in named.where("_first < _slot").select("_slot", "_first").collect()}
+    chosen = df.join(F.broadcast(named.select(who, "_slot")), who)
+    most = pairs.pairwise(chosen, [moment, choice], "_slot", None, named.count(), pairs.add_sums, ["n"], lambda t: t["n"] > 0, finish=partial(_best_senior, ties=ties), schema="j int, n int")
+    most = most.groupBy(F.col("j").alias("_slot")).agg(F.max("n").alias("_m"))
+    n = df.groupBy(who).agg(F.count("*").alias("n")).join(F.broadcast(named.select(who, "_slot")), who)
+    overlap = F.coalesce(F.col("_m"), F.lit(0)) / F.col("n")
     return n.join(most, "_slot", "left").select(who, "n", overlap.alias("overlap"), F.pow(1 - overlap, 2).alias("uniqueness"))
