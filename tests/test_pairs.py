@@ -3,8 +3,6 @@
 from collections import defaultdict
 
 import numpy as np
-from pyspark.sql import functions as F
-
 from heliograph.operators import similarity
 
 
@@ -26,3 +24,14 @@ def test_seniors_of_five_thousand(spark):
                     shared[other] += 1
         assert got[w] == (len(mine), max(shared.values(), default=0) / len(mine))
     assert len(got) == len(own)
+
+
+def _sparse(spark, n):
+    """Each participant beside the next one in two moments."""
+    rows = [(w + k * 10 * n, w + s, [float((w * 7 + s * 3 + k) % 11), 1.0]) for w in range(0, n - 1, 2) for s in (0, 1) for k in (0, 1)]
+    return spark.createDataFrame(rows, "t long, w long, v array<double>")
+
+
+def test_joint_similarity_of_more_than_4096(spark):
+    got = similarity.centred_similarity(_sparse(spark, 4200), "t", "w", "v").collect()
+    assert len(got) == 2100 and all(r.b == r.a + 1 and r.n_joint == 2 for r in got)
