@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,13 +35,26 @@ def half_precision(vectors: pd.Series) -> pd.Series:
 def packed(rows: DataFrame, group: list[str], hotkey: str, vec: str) -> DataFrame:
     """Per group one blob: JSON list of hotkeys in byte order, a zero byte, float16 row by row."""
 
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.iloc[sorted(range(len(pdf)), key=lambda i: pdf[hotkey].iloc[i].encode())]
-        blob = json.dumps(pdf[hotkey].tolist()).encode() + b"\0" + np.stack([np.asarray(v, dtype="<f2") for v in pdf[vec]]).tobytes()
-        return pd.DataFrame([[*key, blob]], columns=[*group, "embeddings"])
-
-    kinds = ", ".join(f"`{g}` {rows.schema[g].dataType.simpleString()}" for g in group)
-    return rows.groupBy(*group).applyInPandas(pack, f"{kinds}, embeddings binary")
+    listed = rows.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.col(hotkey).alias("h"), F.col(vec).alias("v")))).alias("l"))
+    schema = listed.select(*group).schema.add("embeddings", T.BinaryType())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(group))
+            ends = np.diff(lists.offsets.to_numpy()).cumsum()
+            flat = lists.flatten()
+            names, vectors = flat.field(0).to_pylist(), flat.field(1)
+            size = np.diff(vectors.offsets.to_numpy())
+            values, at = vectors.flatten().to_numpy(zero_copy_only=False).astype("<f2"), np.concatenate(([0], size.cumsum()))
+            blobs, low = [], 0
+            for high in ends.tolist():
+                if (size[low:high] != size[low]).any():
+                    raise ValueError("vectors of one group differ in length")
+                blobs.append(json.dumps(names[low:high]).encode() + b"\0" + values[at[low] : at[high]].tobytes())
+                low = high
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(group)], pa.array(blobs, pa.binary())], names=[*group, "embeddings"])
+
+    return listed.mapInArrow(pack, schema)
 
 
 def save_weights(weights: DataFrame, path: str, block: int) -> None:

@@ -3,7 +3,9 @@
 from collections import defaultdict
 
 import numpy as np
+
 from heliograph.operators import similarity
+from heliograph.sources import sinks
 
 
 def test_seniors_of_five_thousand(spark):
@@ -35,3 +37,15 @@ def _sparse(spark, n):
 def test_joint_similarity_of_more_than_4096(spark):
     got = similarity.centred_similarity(_sparse(spark, 4200), "t", "w", "v").collect()
     assert len(got) == 2100 and all(r.b == r.a + 1 and r.n_joint == 2 for r in got)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packing_needs_no_call_per_group(spark):
+    df = spark.createDataFrame([(k, h, [float(k), 1.5]) for k in range(50) for h in ("b", "a", "ä")], "k long, h string, v array<float>")
+    blobs = sinks.packed(df, ["k"], "h", "v")
+    assert "FlatMapGroupsInPandas" not in _plan(blobs)
+    got = {r.k: bytes(r.embeddings) for r in blobs.collect()}
+    assert got == {k: b'["a", "b", "\\u00e4"]' + b"\0" + np.array([[k, 1.5]] * 3, "<f2").tobytes() for k in range(50)}
