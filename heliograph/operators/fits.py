@@ -275,24 +275,22 @@ def shift_evidence(df: DataFrame, who: str, pos: str, signal: str, labels: list[
     return df.select(who, pos, signal, *labels, *([asset] if asset else [])).groupBy(who).applyInPandas(test, f"{_kinds(df, [who])}, t double, p double")
 
 
-def linked_clusters(pairs: DataFrame, a: str, b: str, similarity: str, component: str, cut: float, most: int = 4096) -> DataFrame:
+def linked_clusters(pairs: DataFrame, a: str, b: str, similarity: str, component: str, cut: float) -> DataFrame:
     """Complete-linkage clusters inside each connected component of similar pairs: component, member, cluster (its smallest member).
 
     Members whose similarity is not listed count as fully dissimilar, so
-    components are independent of each other. Linkage is sequential: a
-    component of more than ``most`` members is refused rather than cut short.
+    components are independent of each other, and ``cut`` is below 1. Linkage
+    is sequential: a component is one task, which holds its listed pairs.
     """
+    if not cut < 1:
+        raise ValueError("members that are not listed must be farther apart than the cut")
 
     def link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         members = np.unique(np.concatenate((pdf[a].to_numpy(), pdf[b].to_numpy())))
-        if len(members) > most:
-            raise ValueError(f"a component of {len(members)} members exceeds {most}")
         i, j = np.searchsorted(members, pdf[a].to_numpy()), np.searchsorted(members, pdf[b].to_numpy())
-        d = np.ones((len(members), len(members)))
-        d[i, j] = d[j, i] = 1 - pdf[similarity].to_numpy(dtype=float)
-        label = solvers.complete_linkage(d, cut)
-        least = {k: members[label == k].min() for k in np.unique(label)}
-        return pd.DataFrame({component: key[0], "member": members, "cluster": [least[k] for k in label]})
+        label = solvers.sparse_linkage(len(members), i, j, 1 - pdf[similarity].to_numpy(dtype=float), cut)
+        # A label is its cluster's smallest member.
+        return pd.DataFrame({component: key[0], "member": members, "cluster": members[label]})
 
     kind = pairs.schema[a].dataType.simpleString()
     return pairs.groupBy(component).applyInPandas(link, f"{_kinds(pairs, [component])}, member {kind}, cluster {kind}")

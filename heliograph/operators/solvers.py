@@ -8,6 +8,8 @@ by bit.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 
@@ -109,6 +111,39 @@ def complete_linkage(distance: np.ndarray, cut: float) -> np.ndarray:
     return label
 
 
+def sparse_linkage(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray, cut: float) -> np.ndarray:
+    """The labels of ``complete_linkage`` where only pairs (i, j) are listed and all others are farther apart than ``cut``.
+
+    Two clusters are listed while every pair between them is, so what is held
+    shrinks with every merger. Ties go to the smallest members, as there.
+    """
+    near: list[dict[int, float]] = [{} for _ in range(n)]
+    for a, b, d in zip(i.tolist(), j.tolist(), distance.tolist(), strict=True):
+        if a != b and d <= cut:
+            near[a][b] = near[b][a] = d
+    heap = [(d, a, b) for a, to in enumerate(near) for b, d in to.items() if a < b]
+    heapq.heapify(heap)
+    label = np.arange(n)
+    while heap:
+        d, a, b = heapq.heappop(heap)
+        if near[a].get(b) != d:
+            continue
+        gone, old = near[b], near[a]
+        merged = {k: max(x, gone[k]) for k, x in old.items() if k in gone}
+        for k in gone:
+            del near[k][b]
+        for k in old:
+            if k != b and k not in merged:
+                del near[k][a]
+        near[a], near[b] = merged, {}
+        for k, x in merged.items():
+            near[k][a] = x
+            if x != old[k]:
+                heapq.heappush(heap, (x, min(a, k), max(a, k)))
+        label[label == b] = a
+    return label
+
+
 def greedy_clusters(similarity: np.ndarray, least: float, priority: np.ndarray) -> np.ndarray:
     """In order of priority every unassigned row takes all unassigned rows at least ``least`` similar; the label is the leader."""
     label = np.full(len(similarity), -1)

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from heliograph.operators import similarity
+from heliograph.operators import fits, similarity, solvers
 from heliograph.sources import sinks
 
 
@@ -39,6 +39,18 @@ def test_joint_similarity_of_more_than_4096(spark):
     assert len(got) == 2100 and all(r.b == r.a + 1 and r.n_joint == 2 for r in got)
 
 
+def test_sparse_linkage_is_complete_linkage(spark):
+    rng = np.random.default_rng(6)
+    for n in (2, 9, 40):
+        d = np.ones((n, n))
+        i, j = np.nonzero(np.triu(rng.random((n, n)) < 0.6, 1))
+        d[i, j] = d[j, i] = rng.integers(1, 9, len(i)) / 8  # many ties
+        assert (solvers.sparse_linkage(n, i, j, d[i, j], 0.8) == solvers.complete_linkage(d, 0.8)).all()
+    chain = spark.range(5000).selectExpr("id AS a", "id + 1 AS b", "0.5D AS s", "0L AS c")
+    got = {r.member: r.cluster for r in fits.linked_clusters(chain, "a", "b", "s", "c", 0.95).collect()}
+    assert got == {m: m // 2 * 2 for m in range(5001)}
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
