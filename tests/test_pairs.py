@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from heliograph.operators import fits, similarity, solvers
 from heliograph.sources import sinks
@@ -55,6 +56,31 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_match_share_across_blocks(spark):
+    rng = np.random.default_rng(1)
+    rows = sorted({(int(m), int(w), None if c == 3 else float(c)) for m, w, c in rng.integers(0, (12, 1100, 4), (6000, 3))}, key=str)
+    df = spark.createDataFrame(rows, "m long, w long, c double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = similarity.match_share(df, ["m"], "w", F.col("c"), 2)
+        # Pairs are neither joined nor grouped.
+        assert "SortMergeJoin" not in _plan(found) and "ShuffledHashJoin" not in _plan(found)
+        got = {(r.a, r.b): (r.n_a, r.n_b, r.n_joint, r.n_match) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    cells = defaultdict(lambda: defaultdict(set))
+    for m, w, c in rows:
+        cells[w][m].add(c)
+    want = {}
+    for a in cells:
+        for b in cells:
+            joint = cells[a].keys() & cells[b].keys() if a < b else ()
+            n = sum(bool((cells[a][m] & cells[b][m]) - {None}) for m in joint)
+            if len(joint) >= 2 and n:
+                want[a, b] = len(cells[a]), len(cells[b]), len(joint), n
+    assert got == want and got
+
+
 def test_packing_needs_no_call_per_group(spark):
     df = spark.createDataFrame([(k, h, [float(k), 1.5]) for k in range(50) for h in ("b", "a", "ä")], "k long, h string, v array<float>")
     blobs = sinks.packed(df, ["k"], "h", "v")
