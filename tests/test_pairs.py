@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from heliograph.operators import fits, similarity, solvers
+from heliograph.operators import builders, fits, similarity, solvers
 from heliograph.sources import sinks
 
 
@@ -81,6 +81,28 @@ def test_match_share_across_blocks(spark):
     assert got == want and got
 
 
+def test_close_pairs_across_blocks(spark):
+    rng = np.random.default_rng(7)
+    v = {(t, w): [float(x) for x in rng.integers(1, 9, 2) / 4] for t in range(5) for w in rng.permutation(700)[:500].tolist()}
+    df = spark.createDataFrame([(t, w, x) for (t, w), x in v.items()], "t long, w long, v array<double>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = builders.close_pairs(df, "t", "w", "v", 0.5, 0.5, 3)
+        assert "SortMergeJoin" not in _plan(found) and "ShuffledHashJoin" not in _plan(found)
+        got = {(r.a, r.b): (r.n_match, r.n_joint) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    x = np.array([[v.get((t, w), [np.nan] * 2) for t in range(5)] for w in range(700)])
+    busy = (~np.isnan(x[:, :, 0])).sum(axis=1) >= 3
+    want = {}
+    for a in np.flatnonzero(busy):
+        d = np.abs(x[a + 1 :] - x[a])
+        joint, match = (~np.isnan(d[:, :, 0])).sum(axis=1), (d < 0.5).all(axis=2).sum(axis=1)
+        for k in np.flatnonzero((joint >= 3) & (match > 0) & (match >= np.ceil(0.5 * joint)) & busy[a + 1 :]):
+            want[int(a), int(a + 1 + k)] = int(match[k]), int(joint[k])
+    assert got == want and got
+
+
 def test_packing_needs_no_call_per_group(spark):
     df = spark.createDataFrame([(k, h, [float(k), 1.5]) for k in range(50) for h in ("b", "a", "ä")], "k long, h string, v array<float>")
     blobs = sinks.packed(df, ["k"], "h", "v")
