@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from heliograph.operators import builders, fits, similarity, solvers
@@ -40,6 +41,21 @@ def test_joint_similarity_of_more_than_4096(spark):
     assert len(got) == 2100 and all(r.b == r.a + 1 and r.n_joint == 2 for r in got)
 
 
+def test_history_similarity_of_more_than_4096(spark):
+    n = 4200
+    rows = [(0, w, [float(w % 5)]) for w in range(n)] + [(1, 7, [3.0])]
+    df = spark.createDataFrame(rows, "t long, w long, v array<double>")
+    got = similarity.centred_similarity(df, "t", "w", "v", joint=False)
+    x = np.zeros((n, 2))
+    for t, w, v in rows:
+        x[w, t] = v[0]
+    x -= x.mean(axis=0)
+    some = {(r.a, r.b): r.similarity for r in got.where("a IN (3, 7) AND b > 4000").collect()}
+    assert len(some) == 2 * 199 and got.agg(F.count("similarity")).first()[0] == n * (n - 1) // 2
+    for (a, b), s in some.items():
+        assert s == pytest.approx(abs(x[a] @ x[b]) / np.sqrt(x[a] @ x[a] * (x[b] @ x[b])), abs=1e-9)
+
+
 def test_sparse_linkage_is_complete_linkage(spark):
     rng = np.random.default_rng(6)
     for n in (2, 9, 40):
