@@ -2,16 +2,16 @@
 
 A participant's walk-forward models need its own rows only, which the scorers
 trim to the tasks' history (W14), so ``applyInArrow`` per participant is
-bounded. A meta fit has all rows of a task and up to some hundred columns; its
-Newton steps need sums only (gradient and Hessian), which every executor forms
-over its own rows, for all replicates of a bootstrap at once: a replicate is
-how often each row counts. What reaches the driver is one Hessian per group
-and replicate, whatever the number of rows.
+bounded. A meta fit of few entries is fitted in one task, with all replicates
+of its bootstrap: a replicate is how often each row counts. One of many rows
+needs sums only (gradient and Hessian) for its Newton steps, which every
+executor forms over its own rows, for as many replicates at once as a worker's
+memory holds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -26,6 +26,8 @@ from heliograph.operators.sequence import numbered
 from heliograph.session import cut
 
 SUMS_SCHEMA = "g string, b int, part binary"
+#: A group whose rows have at most so many pairs of entries is fitted in one task. Bytes of Hessians that are summed at once.
+_PAIRS, _HESSIANS = 1 << 22, 1 << 26
 
 
 def _kinds(df: DataFrame, columns: list[str]) -> str:
@@ -186,16 +188,105 @@ def _added(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"g": [key[0].as_py()], "b": pa.array([key[1].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
 
 
-def logistic(rows: DataFrame, width: dict[str, int], resampling: Resampling, c: float, l1_ratio: float | None = None, penalise_intercept: bool = False, fill: float = 0.0, salt: dict[str, int] | None = None, steps: int = 60, tol: float = 1e-7) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Balanced logistic fits of every group and replicate of a panel: (coefficients, intercepts), one row per replicate with both classes.
+def _newton(b: np.ndarray, held: tuple[float, np.ndarray] | None, part: tuple[float, np.ndarray, np.ndarray], c: float, l1_ratio: float | None, penalise_intercept: bool, tol: float) -> tuple[np.ndarray, tuple[float, np.ndarray], np.ndarray | None]:
+    """The next trial, the best point so far and the solution, once there is one, from loss, gradient and Hessian at ``b``."""
+    k = len(b)
+    ridge = np.full(k, 1.0 if l1_ratio is None else 1 - l1_ratio)
+    ridge[-1] = 1.0 if penalise_intercept else 0.0
+    l1 = np.append(np.full(k - 1, l1_ratio or 0.0), 0.0)
+    value = c * part[0] + 0.5 * ridge @ b**2 + l1 @ np.abs(b)
+    if held is not None and value > held[0] + 1e-10 * abs(held[0]):
+        # Too far: half the step.
+        half = (held[1] + b) / 2
+        return half, held, held[1] if np.abs(half - held[1]).max() < tol else None
+    gradient, hessian = c * part[1] + ridge * b, c * part[2] + np.diag(ridge + 1e-10)
+    new = b - np.linalg.solve(hessian, gradient) if l1_ratio is None else solvers.descend(b, gradient, hessian, l1)
+    return new, (value, b), new if np.abs(new - b).max() < tol * max(1.0, np.abs(b).max()) else None
+
+
+def _fitted(key: tuple, table: pa.Table, sizes: dict, resampling: Resampling, c: float, l1_ratio: float | None, penalise_intercept: bool, fill: float, steps: int, tol: float, summary: Callable[[np.ndarray], np.ndarray] | None) -> pa.Table:
+    """All replicates of one group: coefficients and intercepts, or their summary.
+
+    Entries stay sparse: they are taken less ``fill``, which then counts for
+    all columns at once.
+    """
+    g = key[0].as_py()
+    n, k, salt = sizes.get(g, (0, 0, 0))
+    table = table.sort_by("row").combine_chunks()
+    row, y, w = (table.column(c).to_numpy().astype(float) for c in ("row", "y", "w"))
+    lists = table.column("xs").combine_chunks()
+    many = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten()
+    # Every row ends with a one for the intercept.
+    owner = np.concatenate((np.repeat(np.arange(len(y)), many), np.arange(len(y))))
+    slot = np.concatenate((flat.field("slot").to_numpy(), np.full(len(y), k)))
+    x = np.concatenate((flat.field("x").to_numpy() - fill, np.ones(len(y))))
+    order = np.lexsort((slot, owner))
+    owner, slot, x = owner[order], slot[order], x[order]
+    left_many = np.repeat(np.cumsum(many + 1), many + 1) - np.arange(len(owner))
+    left = np.repeat(np.arange(len(owner)), left_many)
+    right = left + np.arange(len(left)) - np.repeat(np.cumsum(left_many) - left_many, left_many)
+    cell, product, at = slot[left].astype(np.int64) * (k + 1) + slot[right], x[left] * x[right], owner[left]
+    del left, right, left_many
+
+    def part(b: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        score = np.bincount(owner, x * b[slot], len(y)) + fill * b[:-1].sum()
+        p = 1 / (1 + np.exp(-np.clip(score, -500, 500)))
+        loss = weight @ np.logaddexp(0, np.where(y > 0, -score, score))
+        gradient = np.bincount(slot, x * (weight * (p - (y > 0)))[owner], k + 1)
+        half = np.bincount(cell, product * (weight * np.maximum(p * (1 - p), 1e-12))[at], (k + 1) ** 2).reshape(k + 1, k + 1)
+        hessian = half + half.T - np.diag(np.diag(half))
+        if fill:
+            gradient[:-1] += fill * gradient[-1]
+            hessian[:-1] += fill * hessian[-1]
+            hessian[:, :-1] += fill * hessian[:, -1:]
+        return loss, gradient, hessian
+
+    found = []
+    for i in range(resampling.number(n)):
+        often = resampling.counts(row.astype(np.int64), n, i, salt)
+        up, down = often @ (y > 0), often @ (y <= 0)
+        if not (up > 0 and down > 0):
+            continue
+        weight = often * w * np.where(y > 0, (up + down) / (2 * up), (up + down) / (2 * down))
+        b, held, done = np.zeros(k + 1), None, None
+        for _ in range(steps):
+            b, held, done = _newton(b, held, part(b, weight), c, l1_ratio, penalise_intercept, tol)
+            if done is not None:
+                break
+        found.append(held[1] if done is None else done)
+    told = [] if not found else [(np.stack(found) if summary is None else summary(np.stack(found)[:, :-1])).tobytes()]
+    return pa.table({"g": pa.array([g] * len(told), pa.string()), "told": pa.array(told, pa.binary())})
+
+
+def logistic(rows: DataFrame, width: dict[str, int], resampling: Resampling, c: float, l1_ratio: float | None = None, penalise_intercept: bool = False, fill: float = 0.0, salt: dict[str, int] | None = None, steps: int = 60, tol: float = 1e-7, summary: Callable[[np.ndarray], np.ndarray] | None = None) -> dict:
+    """Balanced logistic fits of every group and replicate of a panel: (coefficients, intercepts), one row per replicate with both classes, or the ``summary`` of the coefficients, whose last axis is theirs.
 
     Minimises R(b) + C·Σ w·log-loss, R being ½‖b‖² or the elastic net's
     l1_ratio·‖b‖₁ + ½(1 - l1_ratio)·‖b‖², by damped (proximal) Newton steps.
-    ``rows`` is read once per step and should be cut.
+    ``rows`` should be cut: it is read once for the groups of few entries, and
+    once per step and part of the replicates for all others.
     """
-    counted = {r.g: r.n for r in rows.groupBy("g").agg(F.count("*").alias("n")).collect()}
-    sizes = {g: (counted[g], k, (salt or {}).get(g, 0)) for g, k in width.items() if counted.get(g) and k}
-    trials = {(g, b): np.zeros(k + 1) for g, (n, k, _) in sizes.items() for b in range(resampling.number(n))}
+    m = F.size("xs").cast("long")
+    counted = {r.g: r for r in rows.groupBy("g").agg(F.count("*").alias("n"), F.sum((m + 1) * (m + 2) / 2).alias("pairs")).collect()}
+    sizes = {g: (counted[g].n, k, (salt or {}).get(g, 0)) for g, k in width.items() if g in counted and k}
+    large = [g for g in sizes if counted[g].pairs > _PAIRS]
+    out: dict = {}
+    if len(sizes) > len(large):
+        few = {g: v for g, v in sizes.items() if g not in large}
+        small = rows.where(~F.col("g").isin(*large)) if large else rows
+
+        def fit(key: tuple, table: pa.Table) -> pa.Table:
+            return _fitted(key, table, few, resampling, c, l1_ratio, penalise_intercept, fill, steps, tol, summary)
+
+        for r in small.repartition(min(240, len(sizes)), "g").groupBy("g").applyInArrow(fit, "g string, told binary").collect():
+            told, k = np.frombuffer(r.told), sizes[r.g][1]
+            if summary is None:
+                told = told.reshape(-1, k + 1)
+                out[r.g] = told[:, :-1], told[:, -1]
+            else:
+                out[r.g] = told.reshape(-1, k) if len(told) > k else told
+    trials = {(g, b): np.zeros(sizes[g][1] + 1) for g in large for b in range(resampling.number(sizes[g][0]))}
 
     def sums(at: dict, classes: dict | None) -> dict[tuple[str, int], np.ndarray]:
         if not at:
@@ -205,37 +296,38 @@ def logistic(rows: DataFrame, width: dict[str, int], resampling: Resampling, c:
 
     classes = {k: (sum(v) / (2 * v[0]), sum(v) / (2 * v[1])) for k, v in sums(trials, None).items() if v[0] > 0 and v[1] > 0}
     trials = {k: v for k, v in trials.items() if k in classes}
-    held: dict[tuple[str, int], tuple[float, np.ndarray]] = {}
     done: dict[tuple[str, int], np.ndarray] = {}
-    for _ in range(steps):
-        for key, part in sums(trials, classes).items():
-            b, k = trials[key], len(trials[key])
-            ridge = np.full(k, 1.0 if l1_ratio is None else 1 - l1_ratio)
-            ridge[-1] = 1.0 if penalise_intercept else 0.0
-            l1 = np.append(np.full(k - 1, l1_ratio or 0.0), 0.0)
-            value = c * part[0] + 0.5 * ridge @ b**2 + l1 @ np.abs(b)
-            if key in held and value > held[key][0] + 1e-10 * abs(held[key][0]):
-                # Too far: half the step.
-                trials[key] = (held[key][1] + b) / 2
-                if np.abs(trials[key] - held[key][1]).max() < tol:
-                    done[key] = held[key][1]
-                continue
-            held[key] = (value, b)
-            gradient, hessian = c * part[1 : k + 1] + ridge * b, c * part[k + 1 :].reshape(k, k) + np.diag(ridge + 1e-10)
-            new = b - np.linalg.solve(hessian, gradient) if l1_ratio is None else solvers.descend(b, gradient, hessian, l1)
-            if np.abs(new - b).max() < tol * max(1.0, np.abs(b).max()):
-                done[key] = new
-            trials[key] = new
-        trials = {k: v for k, v in trials.items() if k not in done}
-        if not trials:
-            break
-    done |= {k: held[k][1] for k in trials if k in held}
-    out = {}
-    for g in sizes:
+    for wave in _waves(trials):
+        held: dict[tuple[str, int], tuple[float, np.ndarray]] = {}
+        for _ in range(steps):
+            for key, part in sums(wave, classes).items():
+                k = len(wave[key])
+                wave[key], held[key], solved = _newton(wave[key], held.get(key), (part[0], part[1 : k + 1], part[k + 1 :].reshape(k, k)), c, l1_ratio, penalise_intercept, tol)
+                if solved is not None:
+                    done[key] = solved
+            wave = {k: v for k, v in wave.items() if k not in done}
+            if not wave:
+                break
+        done |= {k: held[k][1] for k in wave if k in held}
+    for g in large:
         found = [done[k] for k in sorted(done) if k[0] == g]
         if found:
-            out[g] = (np.stack(found)[:, :-1], np.stack(found)[:, -1])
-    return out
+            coefs = np.stack(found)
+            out[g] = (coefs[:, :-1], coefs[:, -1]) if summary is None else summary(coefs[:, :-1])
+    return {g: out[g] for g in sizes if g in out}
+
+
+def _waves(trials: dict[tuple[str, int], np.ndarray]) -> Iterator[dict[tuple[str, int], np.ndarray]]:
+    """Parts of the replicates whose Hessians a worker holds at once."""
+    wave, size = {}, 0
+    for key, b in trials.items():
+        if wave and size + 8 * len(b) ** 2 > _HESSIANS:
+            yield wave
+            wave, size = {}, 0
+        wave[key] = b
+        size += 8 * len(b) ** 2
+    if wave:
+        yield wave
 
 
 def _fits_per_group(panel_: DataFrame, group: list[str], pos: str, features: list[str], label: str, resampling: Resampling, c: float, l1_ratio: float | None) -> DataFrame:

@@ -52,9 +52,13 @@ def _importance(members: DataFrame, found: dict[str, np.ndarray], group: str | N
     return keyed.join(told, ["g", "slot"]).select(*([group] if group else []), "hk", "s")
 
 
-def _medians(found: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
-    """A18 of every group's absolute coefficients."""
-    return {g: solvers.median_of_means(np.abs(coefs), min(4, len(coefs))) for g, (coefs, _) in found.items()}
+def _median(coefs: np.ndarray) -> np.ndarray:
+    """A18 of a group's absolute coefficients."""
+    return solvers.median_of_means(np.abs(coefs), min(4, len(coefs)))
+
+
+def _median_and_mean(coefs: np.ndarray) -> np.ndarray:
+    return np.stack((_median(coefs), coefs.mean(axis=0)))
 
 
 def _shares(df: DataFrame, least: float = 0.0) -> DataFrame:
@@ -111,8 +115,8 @@ def walk_forward(rows: DataFrame, chunk: int = 4000, lag: int = 60, window: int
     oos = cut(fits.out_of_sample(active.join(members.select("hk"), "hk", "left_semi"), "hk", "pos", features, "y", listed, balanced=True, weight="w"))
     values = oos.join(members, "hk").select(F.lit("all").alias("g"), F.col("pos").alias("at"), "slot", F.col("z").alias("x"))
     cells = oos.select(F.lit("all").alias("g"), F.col("pos").alias("at"), "y").distinct().withColumn("w", F.lit(scale) * F.exp(F.lit(-step) * (F.lit(length) - F.col("at"))))
-    found = fits.logistic(cut(fits.panel(cells, values)), _widths(members), fits.Resampling(replicates, block), 1.0, 0.5)
-    return _shares(_importance(members, _medians(found)), 1e-6) if found else empty
+    found = fits.logistic(cut(fits.panel(cells, values)), _widths(members), fits.Resampling(replicates, block), 1.0, 0.5, summary=_median)
+    return _shares(_importance(members, found), 1e-6) if found else empty
 
 
 @scorer("xsec_rank")
@@ -155,18 +159,18 @@ def cross_section(rows: DataFrame, chunk: int = 8000, lag: int = 60, top: int =
     at = F.col("pos") * len(assets) + F.create_map(*(F.lit(v) for pair in assets.items() for v in pair))[F.col("asset")]
     train = placed.where("chunk < segment").select(F.col("segment").cast("string").alias("g"), at.alias("at"), "y", "slot", F.col("z").alias("x"))
     rows_ = cut(fits.panel(train.select("g", "at", "y").distinct().withColumn("w", F.lit(1.0)), train.select("g", "at", "slot", "x")))
-    found = fits.logistic(rows_, _widths(members, "segment"), fits.Resampling(replicates, block, 0, seed), 0.5, salt={str(i): 7919 * (i + 1) for i, *_ in usable})
+    found = fits.logistic(rows_, _widths(members, "segment"), fits.Resampling(replicates, block, 0, seed), 0.5, salt={str(i): 7919 * (i + 1) for i, *_ in usable}, summary=_median_and_mean)
     enough = {r.g for r in rows_.groupBy("g").agg(F.count("*").alias("n")).collect() if r.n >= least_rows}
     found = {g: f for g, f in found.items() if g in enough}
     if not found:
         return empty
-    votes = placed.where("chunk = segment").join(_importance(members, {g: f[0].mean(axis=0) for g, f in found.items()}, "segment"), ["segment", "hk"])
+    votes = placed.where("chunk = segment").join(_importance(members, {g: f.reshape(2, -1)[1] for g, f in found.items()}, "segment"), ["segment", "hk"])
     voted = votes.groupBy("segment", "pos", "asset").agg(F.sum(F.col("z") * F.col("s")).alias("vote"))
     spans = F.array(*(F.struct(F.lit(i).cast("long").alias("segment"), F.lit(start).alias("low"), F.lit(end).alias("high")) for i, _, start, end in usable if str(i) in found))
     judged = cells.withColumn("t", F.explode(F.filter(spans, lambda t: (F.col("pos") >= t["low"]) & (F.col("pos") < t["high"])))).select("t.segment", "pos", "asset", "y")
     gains = stats.auc(judged.join(voted, ["segment", "pos", "asset"], "left").withColumn("vote", F.coalesce("vote", F.lit(0.0))), ["segment"], "vote", F.col("y") == 1)
     weight = F.pow(F.lit(0.5), (F.lit(segs[-1][0]) - F.col("segment")) / half_life) * stats.auc_scale(F.col("auc"))
-    total = _importance(members, _medians(found), "segment").join(gains, "segment").groupBy("hk").agg(F.sum(weight * F.col("s")).alias("s"))
+    total = _importance(members, {g: f.reshape(2, -1)[0] for g, f in found.items()}, "segment").join(gains, "segment").groupBy("hk").agg(F.sum(weight * F.col("s")).alias("s"))
     return _shares(total, 0.0)
 
 
@@ -206,10 +210,10 @@ def breakout(samples: DataFrame, gap: int = 1440, least_episodes: int = 2, least
     # One row per resolved event: a few thousand, whatever the readings' number.
     cells = cut(cells.select(F.lit("all").alias("g"), "at", "y", F.col("weight").alias("w"), "source", "trigger_sidx"))
     values = z.join(cells.select("g", "at", "source", "trigger_sidx"), ["source", "trigger_sidx"]).select("g", "at", "slot", F.col("z").alias("x"))
-    found = fits.logistic(cut(fits.panel(cells, values)), _widths(members), fits.Resampling(), c)
+    found = fits.logistic(cut(fits.panel(cells, values)), _widths(members), fits.Resampling(), c, summary=_median)
     if not found:
         return rows.select("hk", F.lit(0.0).alias("s")).limit(0)
-    return _shares(_importance(members, _medians(found)), 1e-6)
+    return _shares(_importance(members, found), 1e-6)
 
 
 @scorer("lbfgs")
@@ -227,19 +231,22 @@ def bucket_votes(rows: DataFrame, classes: int = 5, warm_up: int = 24_000, chunk
     truths = cut(rows.groupBy("pos").agg(F.max("truth").alias("truth")))
     everyone = rows.select("hk").distinct()
 
-    def spans(low: Callable[[int], int], high: Callable[[int], int]) -> Column:
-        listed = F.array(*(F.struct(F.lit(i).alias("segment"), F.lit(low(s)).alias("low"), F.lit(high(e)).alias("high")) for i, s, e in segs))
-        return F.explode(F.filter(listed, lambda t: (F.col("pos") >= t["low"]) & (F.col("pos") < t["high"])))
+    def spans(first: Column, last: Column, low: Callable[[Column], Column], high: Callable[[Column], Column]) -> Column:
+        """A row per segment from ``first`` to ``last``, with its bounds."""
+        first, last = F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.lit(len(segs) - 1)).cast("int")
+        start = lambda i: F.lit(warm_up) + i * chunk
+        return F.explode(F.transform(F.when(first <= last, F.sequence(first, last)), lambda i: F.struct(i.alias("segment"), low(start(i)).alias("low"), high(start(i)).alias("high"))))
 
-    starts = {e: s for _, s, e in segs}
-    own, before = spans(lambda s: s, lambda e: e), spans(lambda s: max(0, s - longest), lambda e: starts[e])
+    at = lambda more: F.floor((F.col("pos") - warm_up + more) / chunk)
+    own = spans(F.when(F.col("pos") >= warm_up, at(0)).otherwise(len(segs)), at(0), lambda s: s, lambda s: F.least(s + chunk, F.lit(length)))
+    before = spans(at(0) + 1, at(longest), lambda s: F.greatest(s - longest, F.lit(0)), lambda s: s)
 
     def lifts(within: Column) -> DataFrame:
         """(segment, hk, ba): mean recall over all classes, absent rows as class 0."""
         place = lambda df: df.withColumn("t", within).withColumn("segment", F.col("t.segment")).drop("t")
         all_ = place(truths).groupBy("segment", "truth").agg(F.count("*").alias("n"))
         hits = place(rows).groupBy("segment", "hk", "truth").agg(F.count("*").alias("sent"), F.count_if(F.col("guess") == F.col("truth")).alias("hit"))
-        recall = all_.join(everyone.select("hk", F.explode(F.array(*(F.lit(i) for i, *_ in segs))).alias("segment")), "segment").join(hits, ["segment", "hk", "truth"], "left")
+        recall = all_.join(everyone.select("hk", F.explode(F.sequence(F.lit(0), F.lit(len(segs) - 1))).alias("segment")), "segment").join(hits, ["segment", "hk", "truth"], "left")
         right = F.coalesce("hit", F.lit(0)) + F.when(F.col("truth") == 0, F.col("n") - F.coalesce("sent", F.lit(0))).otherwise(0)
         return recall.groupBy("segment", "hk").agg((F.sum(right / F.col("n")) / F.lit(float(classes))).alias("ba"))
 
@@ -257,9 +264,9 @@ def bucket_votes(rows: DataFrame, classes: int = 5, warm_up: int = 24_000, chunk
     values = sent.select("segment", "pos", "slot", F.posexplode("p").alias("k", "x")).select(g, F.col("pos").alias("at"), "slot", "x")
     width = {f"{s}|{k}": n for s, n in _widths(members, "segment").items() for k in range(classes)}
     salt = {f"{i}|{k}": 1000 * (i + 1) + k for i, *_ in segs for k in range(classes)}
-    found = fits.logistic(cut(fits.panel(cells, values)), width, fits.Resampling(replicates, block), c, penalise_intercept=True, fill=1.0 / classes, salt=salt)
+    found = fits.logistic(cut(fits.panel(cells, values)), width, fits.Resampling(replicates, block), c, penalise_intercept=True, fill=1.0 / classes, salt=salt, summary=_median)
     squared: dict[str, np.ndarray] = {}
-    for name, value in _medians(found).items():
+    for name, value in found.items():
         squared[name.split("|")[0]] = squared.get(name.split("|")[0], 0.0) + value**2
     peak = {s: v / v.max() for s, v in squared.items() if v.max() > 0}
     meta = _importance(members, peak, "segment").withColumnRenamed("s", "meta")
@@ -291,8 +298,8 @@ def gated_models(rows: DataFrame, least_rows: int = 100, top: int = 25, replicat
     weighed = windows.recent_mass_weights(cells.join(size.select("model"), "model", "left_semi"), "model", "pos", recent, recent_mass)
     values = rows.join(members, "hk").where("x IS NOT NULL").select(F.col("model").alias("g"), F.col("pos").alias("at"), "slot", "x")
     k = members.count()
-    found = fits.logistic(cut(fits.panel(weighed.select(F.col("model").alias("g"), F.col("pos").alias("at"), "y", F.col("weight").alias("w")), values)), {r.model: k for r in size.collect()}, fits.Resampling(replicates, block), c, penalise_intercept=True)
-    each = [v / v.sum() for v in _medians(found).values() if v.sum() > 0]
+    found = fits.logistic(cut(fits.panel(weighed.select(F.col("model").alias("g"), F.col("pos").alias("at"), "y", F.col("weight").alias("w")), values)), {r.model: k for r in size.collect()}, fits.Resampling(replicates, block), c, penalise_intercept=True, summary=_median)
+    each = [v / v.sum() for v in found.values() if v.sum() > 0]
     if not each:
         return rows.select("hk", F.lit(0.0).alias("s")).limit(0)
     return _shares(windows.top_k(_importance(members, {"all": np.mean(each, axis=0)}).where("s > 0"), [], "s", "hk", top).select("hk", "s"))
