@@ -32,3 +32,17 @@ def test_many_small_groups_are_fitted_where_they_are(spark, monkeypatch):
     for g, (coefs, intercepts) in want.items():
         assert got[g][0] == pytest.approx(coefs, abs=1e-6) and got[g][1] == pytest.approx(intercepts, abs=1e-6)
         assert brief[g] == pytest.approx(coefs.mean(axis=0), abs=1e-6)
+
+
+def test_hessians_of_wide_groups_go_in_waves(spark, monkeypatch):
+    rows, how = _panel(spark, 2, 90, 5, 2).cache(), fits.Resampling(4, 20)
+    want = fits.logistic(rows, {"0": 5, "1": 5}, how, 0.3)
+    held, sums = [], fits._newton_sums
+    monkeypatch.setattr(fits, "_PAIRS", 0)
+    monkeypatch.setattr(fits, "_HESSIANS", 3 * 8 * 36)
+    # Evaluated by the driver, which passes the trials of one wave on.
+    monkeypatch.setattr(fits, "partial", lambda f, **o: held.append(len(o["trials"]) if o["classes"] else 0) or (lambda batches: sums(batches, **o)))
+    got = fits.logistic(rows, {"0": 5, "1": 5}, how, 0.3)
+    assert max(held) == 3
+    for g, (coefs, _) in want.items():
+        assert got[g][0] == pytest.approx(coefs, abs=1e-6)
