@@ -1,11 +1,12 @@
 """All pairs of participants, block by block.
 
 Participants get dense slots in the order of their names, and slots form
-blocks. What a block did is packed once, moments in chunks; each pair of
-blocks is one task that goes through the chunks and adds up dense matrices of
-counts or sums. So neither the pairs of a moment nor those of all participants
-are ever shuffled, and a worker holds a few matrices of a block's size,
-whatever the number of participants.
+blocks. What a block did is packed once, moments in chunks, and stored once;
+each pair of blocks is one task that reads both from the shared folder, goes
+through the chunks and adds up dense matrices of counts or sums. So neither
+the pairs of a moment nor those of all participants are ever shuffled, blocks
+aren't copied for each of their partners, and a worker holds a few matrices of
+a block's size, whatever the number of participants.
 """
 
 from __future__ import annotations
@@ -113,12 +114,20 @@ def pairwise(df: DataFrame, moment: list[str], slot: str, value: Column | None,
     entry = F.struct(F.col(slot).cast("int").alias("s"), *([value.alias("v")] if value is not None else []))
     known = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*moment, slot]))
     rows = known.groupBy(*moment).agg(F.collect_list(entry).alias("l")).select("l")
-    packed = cut(rows.mapInArrow(partial(_packed, block=block, coded=coded), _PACKED))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    asked = packed.select("*", other).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.pmod("chunk", F.lit(parts)).cast("int").alias("part"), "chunk", (F.col("block") > F.col("other")).alias("side"), "width", "at", "slot", "v")
-    tasks = min(1024, blocks * (blocks + 1) // 2 * parts)
-    task = F.pmod((F.expr("j * (j + 1L) DIV 2") + F.col("i")) * parts + F.col("part"), F.lit(tasks)).cast("int")
-    placed = asked.repartitionById(tasks, task).sortWithinPartitions("i", "j", "part", "chunk", "side")
+    packed = rows.mapInArrow(partial(_packed, block=block, coded=coded), _PACKED)
+    content = ["width", "at", "slot", "v"]
+    if blocks == 1:
+        # One block meets itself only; its chunks are shared.
+        own = cut(packed).select(F.col("block").alias("i"), F.col("block").alias("j"), F.pmod("chunk", F.lit(parts)).cast("int").alias("part"), "chunk", F.lit(False).alias("side"), *content)
+        placed = own.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "chunk")
+    else:
+        # A partition of the stored blocks is one block. Partitions meet as they are, without an exchange: an equality would make it a join by chunk.
+        stored = cut(packed.repartitionById(blocks, F.col("block")))
+        left, right = (stored.select(*(F.col(c).alias(f"{x}_{c}") for c in stored.columns)) for x in "lr")
+        met = left.join(right.hint("shuffle_replicate_nl"), F.expr("l_block <= r_block AND l_chunk <= r_chunk AND l_chunk >= r_chunk"))
+        sides = F.array(*(F.struct(F.lit(x == "r").alias("side"), *(F.col(f"{x}_{c}").alias(c) for c in content)) for x in "lr"))
+        kept = F.when(F.col("l_block") == F.col("r_block"), F.slice(sides, 2, 1)).otherwise(sides)
+        placed = met.select(F.col("l_block").alias("i"), F.col("r_block").alias("j"), F.lit(0).alias("part"), F.col("l_chunk").alias("chunk"), F.inline(kept))
     shape = schema or "i int, j int, " + ", ".join(f"{c} {'double' if c in ('x', 'y', 'xx', 'yy', 'xy') else 'int'}" for c in names)
     run = partial(_pairs, add=add, names=names, block=block, finish=finish or partial(listed, test=(lambda t: t["n"] > 0) if parts > 1 else test, diagonal=diagonal))
     out = placed.mapInArrow(run, shape)

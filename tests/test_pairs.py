@@ -125,3 +125,14 @@ def test_packing_needs_no_call_per_group(spark):
     assert "FlatMapGroupsInPandas" not in _plan(blobs)
     got = {r.k: bytes(r.embeddings) for r in blobs.collect()}
     assert got == {k: b'["a", "b", "\\u00e4"]' + b"\0" + np.array([[k, 1.5]] * 3, "<f2").tobytes() for k in range(50)}
+
+
+def test_blocks_are_not_copied_for_their_partners(spark):
+    # Each block was shuffled once for every other block.
+    df = spark.createDataFrame([(t, w, float((t * 7 + w) % 13)) for t in range(4) for w in range(1100)], "t long, w long, x double")
+    sums = similarity.pair_sums(df, ["t"], "w", "x", ("n", "xy"), size=1100)
+    assert "CartesianProduct" in _plan(sums) and "Exchange" not in _plan(sums)
+    x = np.array([[(t * 7 + w) % 13 for t in range(4)] for w in range(1100)], float)
+    got = sums.agg(F.count("*").alias("n"), F.sum("n").alias("joint"), F.sum("xy").alias("xy")).first()
+    assert (got.n, got.joint) == (1100 * 1099 // 2, 4 * 1100 * 1099 // 2)
+    assert got.xy == pytest.approx(np.triu(x @ x.T, 1).sum())
