@@ -137,18 +137,23 @@ def cross_section(rows: DataFrame, chunk: int = 8000, lag: int = 60, top: int =
     for i, _, start, _ in segs:
         end = max(0, start - embargo)
         judge[i] = fits.Segment(i, max(0, end - chunk), end, 0, max(0, max(0, end - chunk) - gap))
-    # Rows of all participants: how many there are where, in one pass.
+    # Rows of all participants: how many there are where, a number per class and position of the history.
     cells = cut(rows.groupBy("pos", "asset").agg(F.max("y").alias("y")))
-    inside = lambda low, high: (F.col("pos") >= low) & (F.col("pos") < high)
-    parts = {i: (inside(0, judge[i].fit_end), inside(judge[i].start, judge[i].end), inside(start, end)) for i, _, start, end in segs}
-    counts = cells.agg(*(F.count_if(test & (F.col("y") == v)).alias(f"c{i}_{k}_{v}") for i, tests in parts.items() for k, test in enumerate(tests) for v in (0, 1))).first()
-    usable = [x for x in segs if all(min(n := (counts[f"c{x[0]}_{k}_0"], counts[f"c{x[0]}_{k}_1"])) > 0 and sum(n) >= least_rows for k in range(3))]
+    upto = np.zeros((2, length + 1), dtype=np.int64)
+    for r in cells.groupBy("pos").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")).toLocalIterator():
+        upto[:, r.pos + 1] = r.n0, r.n1
+    upto = upto.cumsum(axis=1)
+    inside = lambda low, high: upto[:, max(low, high)] - upto[:, low]
+    counts = {i: (inside(0, judge[i].fit_end), inside(judge[i].start, judge[i].end), inside(start, end)) for i, _, start, end in segs}
+    usable = [x for x in segs if all(n.min() > 0 and n.sum() >= least_rows for n in counts[x[0]])]
     if not usable:
         return empty
     sent = rows.where("x != 0")
     tried = fits.out_of_sample(sent, "hk", "pos", ["x"], "y", [judge[i] for i, *_ in usable], keep=["asset"], least_distinct=least_distinct)
     aucs = stats.auc(tried, ["segment", "hk"], "z", F.col("y") == 1).where("n1 + n0 >= 20").select("segment", "hk", "auc")
-    every = sent.select("hk").distinct().select("hk", F.explode(F.array(*(F.lit(i).cast("long") for i, *_ in usable))).alias("segment"))
+    spark = rows.sparkSession
+    numbers = spark.createDataFrame([(i,) for i, *_ in usable], "segment long")
+    every = sent.select("hk").distinct().crossJoin(F.broadcast(numbers))
     ranked = windows.top_k(every.join(aucs, ["segment", "hk"], "left").withColumn("auc", F.coalesce("auc", F.lit(0.5))), ["segment"], "auc", "hk", top)
     members = cut(_members(ranked, "segment"))
     # Scores outside the fit, chunk by chunk: those of earlier chunks train a segment's meta fit, those of its own validate it.
@@ -166,8 +171,10 @@ def cross_section(rows: DataFrame, chunk: int = 8000, lag: int = 60, top: int =
         return empty
     votes = placed.where("chunk = segment").join(_importance(members, {g: f.reshape(2, -1)[1] for g, f in found.items()}, "segment"), ["segment", "hk"])
     voted = votes.groupBy("segment", "pos", "asset").agg(F.sum(F.col("z") * F.col("s")).alias("vote"))
-    spans = F.array(*(F.struct(F.lit(i).cast("long").alias("segment"), F.lit(start).alias("low"), F.lit(end).alias("high")) for i, _, start, end in usable if str(i) in found))
-    judged = cells.withColumn("t", F.explode(F.filter(spans, lambda t: (F.col("pos") >= t["low"]) & (F.col("pos") < t["high"])))).select("t.segment", "pos", "asset", "y")
+    # A position is validated by its own segment only.
+    own = F.floor(F.col("pos") / chunk).cast("long")
+    fitted = spark.createDataFrame([(int(g),) for g in found], "segment long")
+    judged = cells.withColumn("segment", own).where(F.col("pos") >= F.col("segment") * chunk + lead).join(F.broadcast(fitted), "segment").select("segment", "pos", "asset", "y")
     gains = stats.auc(judged.join(voted, ["segment", "pos", "asset"], "left").withColumn("vote", F.coalesce("vote", F.lit(0.0))), ["segment"], "vote", F.col("y") == 1)
     weight = F.pow(F.lit(0.5), (F.lit(segs[-1][0]) - F.col("segment")) / half_life) * stats.auc_scale(F.col("auc"))
     total = _importance(members, {g: f.reshape(2, -1)[0] for g, f in found.items()}, "segment").join(gains, "segment").groupBy("hk").agg(F.sum(weight * F.col("s")).alias("s"))

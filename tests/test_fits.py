@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from heliograph.operators import fits
+from heliograph.operators import fits, scorers
 
 
 def _panel(spark, groups, n, k, seed):
@@ -46,3 +46,13 @@ def test_hessians_of_wide_groups_go_in_waves(spark, monkeypatch):
     assert max(held) == 3
     for g, (coefs, _) in want.items():
         assert got[g][0] == pytest.approx(coefs, abs=1e-6)
+
+
+def test_segments_of_a_long_history_are_fitted_where_they_are(spark, monkeypatch):
+    # Each Newton step of all segments and replicates went over all executors.
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, (400, 3))
+    rows = [(f"p{h}", t, f"a{a}", float((2 * y[t, a] - 1) * (h == 0) * 0.5 + rng.normal()), int(y[t, a])) for h in range(4) for t in range(400) for a in range(3)]
+    monkeypatch.setattr(fits, "_newton_sums", _refused)
+    got = {r.hk: r.s for r in scorers.score("xsec_rank", spark.createDataFrame(rows, "hk string, pos long, asset string, x double, y int"), chunk=20, lag=2, least_rows=50, replicates=4, block=10).collect()}
+    assert sum(got.values()) == pytest.approx(1) and max(got, key=got.get) == "p0"
