@@ -136,3 +136,10 @@ def test_blocks_are_not_copied_for_their_partners(spark):
     got = sums.agg(F.count("*").alias("n"), F.sum("n").alias("joint"), F.sum("xy").alias("xy")).first()
     assert (got.n, got.joint) == (1100 * 1099 // 2, 4 * 1100 * 1099 // 2)
     assert got.xy == pytest.approx(np.triu(x @ x.T, 1).sum())
+
+
+def test_blocks_of_close_pairs_are_not_copied(spark):
+    df = spark.createDataFrame([(t, w, [float(w % 40 + 1), 1.0]) for t in range(3) for w in range(600)], "t long, w long, v array<double>")
+    found = builders.close_pairs(df, "t", "w", "v", 0.5, 0.5, 3)
+    assert "CartesianProduct" in _plan(found)
+    assert {(r.n_match, r.n_joint) for r in found.collect()} == {(3, 3)} and found.count() == 40 * 15 * 14 // 2
