@@ -19,6 +19,14 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.least(x, F.lit(high)), F.lit(low))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``F.round``, whose decimal of every value only values near a tie, negative or large ones need."""
+    scale = float(10**digits)
+    steps = x * scale
+    plain = (x >= 0) & (steps < 1e8) & (F.abs(steps - F.floor(steps) - 0.5) > 1e-6)
+    return F.when(plain, F.floor(steps + 0.5) / scale).otherwise(F.round(x, digits))
+
+
 def asset_slice(v: Column, position: Column, width: int) -> Column:
     """The part of asset ``position`` (0-based); a vector of just ``width`` elements is the part itself."""
     part = F.slice(v, position * width + 1, F.lit(width))

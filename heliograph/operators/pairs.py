@@ -91,22 +91,24 @@ def _pairs(batches: Iterator[pa.RecordBatch], add: Callable[[Totals, Side, Side,
         yield from finish(totals, now[0] * block, now[1] * block, now[0] == now[1])
 
 
-def listed(totals: Totals, i0: int, j0: int, same: bool, test: Callable[[Totals], np.ndarray], diagonal: bool = False) -> Iterator[pa.RecordBatch]:
-    """The pairs of a block that ``test`` keeps: i, j and the totals."""
+def listed(totals: Totals, i0: int, j0: int, same: bool, test: Callable[[Totals], np.ndarray], diagonal: bool = False, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> Iterator[pa.RecordBatch]:
+    """The pairs of a block that ``test`` keeps: i, j and the totals, or what ``then`` makes of them."""
     kept = test(totals)
     i, j = np.nonzero(np.triu(kept, 0 if diagonal else 1) if same else kept)
     for k in range(0, len(i), _OUT):
         a, b = i[k : k + _OUT], j[k : k + _OUT]
         columns = [(a + i0).astype(np.int32), (b + j0).astype(np.int32), *(m[a, b] for m in totals.values())]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "j", *totals])
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "j", *totals])
+        yield batch if then is None else then(batch)
 
 
-def pairwise(df: DataFrame, moment: list[str], slot: str, value: Column | None, n: int, add: Callable[[Totals, Side, Side, bool], None], names: list[str], test: Callable[[Totals], np.ndarray], coded: bool = False, diagonal: bool = False, finish: Callable[..., Iterator[pa.RecordBatch]] | None = None, schema: str = "", block: int = BLOCK) -> DataFrame:
+def pairwise(df: DataFrame, moment: list[str], slot: str, value: Column | None, n: int, add: Callable[[Totals, Side, Side, bool], None], names: list[str], test: Callable[[Totals], np.ndarray], coded: bool = False, diagonal: bool = False, finish: Callable[..., Iterator[pa.RecordBatch]] | None = None, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = "", block: int = BLOCK) -> DataFrame:
     """(i, j, totals) of all pairs i < j of ``n`` slots, totals added up by ``add`` over the moments; pairs for which ``test`` fails are left out.
 
     Few participants are one pair of blocks, so its chunks are shared among
     several tasks and their totals are added; ``test`` must hold for a part
-    if it holds for the whole of one part only. ``finish`` replaces the list.
+    if it holds for the whole of one part only. ``finish`` replaces the list;
+    ``then`` makes rows of ``schema`` of a batch of it, whose totals are whole.
     """
     block = min(max(1, n), max(min(512, block), min(block, -(-n // 8))))
     blocks = -(-max(1, n) // block)
@@ -128,10 +130,13 @@ def pairwise(df: DataFrame, moment: list[str], slot: str, value: Column | None,
         sides = F.array(*(F.struct(F.lit(x == "r").alias("side"), *(F.col(f"{x}_{c}").alias(c) for c in content)) for x in "lr"))
         kept = F.when(F.col("l_block") == F.col("r_block"), F.slice(sides, 2, 1)).otherwise(sides)
         placed = met.select(F.col("l_block").alias("i"), F.col("r_block").alias("j"), F.lit(0).alias("part"), F.col("l_chunk").alias("chunk"), F.inline(kept))
-    shape = schema or "i int, j int, " + ", ".join(f"{c} {'double' if c in ('x', 'y', 'xx', 'yy', 'xy') else 'int'}" for c in names)
-    run = partial(_pairs, add=add, names=names, block=block, finish=finish or partial(listed, test=(lambda t: t["n"] > 0) if parts > 1 else test, diagonal=diagonal))
+    shape = schema if schema and parts == 1 else "i int, j int, " + ", ".join(f"{c} {'double' if c in ('x', 'y', 'xx', 'yy', 'xy') else 'int'}" for c in names)
+    run = partial(_pairs, add=add, names=names, block=block, finish=finish or partial(listed, test=(lambda t: t["n"] > 0) if parts > 1 else test, diagonal=diagonal, then=then if parts == 1 else None))
     out = placed.mapInArrow(run, shape)
-    return out if parts == 1 else out.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in names))
+    if parts == 1:
+        return out
+    whole = out.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in names))
+    return whole if then is None else whole.mapInArrow(partial(map, then), schema)
 
 
 def _spread(side: Side, low: int, high: int, block: int, kind: type = np.float32) -> tuple[np.ndarray, slice]:

@@ -100,6 +100,16 @@ def joint_correlation(df: DataFrame, moment: str, who: str, value: str, least_jo
     return sums.join(a, "i").join(b, "j").select("a", "b", F.col("n").cast("long").alias("n_joint"), F.when(F.isnan(corr), None).otherwise(corr).alias("corr"))
 
 
+def _cosines(batch: pa.RecordBatch, names: pa.Array, width: int, least_joint: int) -> pa.RecordBatch:
+    """(a, b, n_joint, similarity) of a batch of pair sums."""
+    joint = np.floor(batch.column("n").to_numpy() / width + 0.5).astype(np.int64)
+    kept = np.flatnonzero(joint >= least_joint)
+    i, j, xx, yy, xy = (batch.column(c).to_numpy()[kept] for c in ("i", "j", "xx", "yy", "xy"))
+    size = xx * yy
+    similarity = np.divide(np.abs(xy), np.sqrt(size), out=np.zeros(len(kept)), where=~(size <= 0))
+    return pa.RecordBatch.from_arrays([names.take(pa.array(i)), names.take(pa.array(j)), pa.array(joint[kept]), pa.array(similarity)], names=["a", "b", "n_joint", "similarity"])
+
+
 def centred_similarity(df: DataFrame, moment: str, who: str, vec: str, least_joint: int = 1, joint: bool = True) -> DataFrame:
     """(a, b, n_joint, similarity): |cosine| of two participants' vectors over all moments and elements, after the mean of the participants (A10) or each one's own mean (``joint``, A11: over the moments both have) is taken out.
 
@@ -117,12 +127,14 @@ def centred_similarity(df: DataFrame, moment: str, who: str, vec: str, least_joi
         grid = mean.select(moment, "_d", F.explode(df.agg(F.collect_set(who).alias("w")).scalar()).alias(who), (-F.col("_m")).alias("_z"))
         free = grid.join(free.select(moment, "_d", who, "_v"), [moment, "_d", who], "left").withColumn("_v", F.coalesce("_v", "_z"))
     named = cut(pairs.slots(free, who))
-    width = df.agg(F.max(F.size(vec))).scalar()
-    sums = pair_sums(free.join(F.broadcast(named), who), [moment, "_d"], "_slot", "_v", ("n", "xx", "yy", "xy"), size=named.count()).withColumn("n_joint", F.round(F.col("n") / width).cast("long"))
-    a, b = named.select(F.col(who).alias("a"), F.col("_slot").alias("i")), named.select(F.col(who).alias("b"), F.col("_slot").alias("j"))
-    cosine = F.abs(F.col("xy")) / F.sqrt(F.col("xx") * F.col("yy"))
-    listed = sums.where(F.col("n_joint") >= least_joint).join(F.broadcast(a), "i").join(F.broadcast(b), "j")
-    return listed.select("a", "b", "n_joint", F.when(F.col("xx") * F.col("yy") > 0, cosine).otherwise(0.0).alias("similarity"))
+    names = named.orderBy("_slot").select(who).toArrow().column(0).combine_chunks()
+    width = df.agg(F.max(F.size(vec))).first()[0] or 1
+    # The tasks that add up a pair of blocks name its pairs, too: joins of all pairs cost as much as their sums.
+    kind = df.schema[who].dataType.simpleString()
+    return pairs.pairwise(
+        free.where("_v IS NOT NULL").join(F.broadcast(named), who), [moment, "_d"], "_slot", F.col("_v"), len(names), pairs.add_sums, ["n", "xx", "yy", "xy"], lambda t: t["n"] > 0,
+        then=partial(_cosines, names=names, width=width, least_joint=least_joint), schema=f"a {kind}, b {kind}, n_joint bigint, similarity double",
+    )
 
 
 def _equal(batches: Iterator[pa.RecordBatch], classes: int, size: int) -> Iterator[pa.RecordBatch]:

@@ -221,7 +221,7 @@ def watermark_windows(spark: SparkSession, d: str) -> DataFrame:
 def joint_vector_similarity(spark: SparkSession, d: str) -> DataFrame:
     """|cosine| of users' daily vectors over joint days, own means taken out."""
     e = _events(spark, d, 24 * HOUR).groupBy("at", "user_id").agg(F.array(F.avg("value"), F.count("*").cast("double")).alias("v"))
-    return similarity.centred_similarity(e, "at", "user_id", "v", 10).select("a", "b", "n_joint", F.round("similarity", 5).alias("similarity"))
+    return similarity.centred_similarity(e, "at", "user_id", "v", 10).select("a", "b", "n_joint", vectors.rounded(F.col("similarity"), 5).alias("similarity"))
 
 
 def history_similarity(spark: SparkSession, d: str) -> DataFrame:

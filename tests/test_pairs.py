@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from heliograph.functions import vectors
 from heliograph.operators import builders, fits, similarity, solvers
 from heliograph.sources import sinks
 
@@ -143,3 +144,52 @@ def test_blocks_of_close_pairs_are_not_copied(spark):
     found = builders.close_pairs(df, "t", "w", "v", 0.5, 0.5, 3)
     assert "CartesianProduct" in _plan(found)
     assert {(r.n_match, r.n_joint) for r in found.collect()} == {(3, 3)} and found.count() == 40 * 15 * 14 // 2
+
+
+def _joined_above(df):
+    """Joins of what pairs of blocks give."""
+    return _plan(df).split("CartesianProduct")[0].count("Join")
+
+
+def _similar(n, seed, joint):
+    """Rows and the brute force of named participants."""
+    rng = np.random.default_rng(seed)
+    rows = [(t, f"p{w:04}", [float(v) for v in rng.integers(0, 5, 2)]) for t in range(6) for w in rng.permutation(n)[: n // 2].tolist()]
+    x, there = np.zeros((n, 6, 2)), np.zeros((n, 6), bool)
+    for t, w, v in rows:
+        x[int(w[1:]), t], there[int(w[1:]), t] = v, True
+    known = np.flatnonzero(there.any(axis=1))
+    x, there = x[known], there[known]
+    if joint:
+        x = np.where(there[:, :, None], x - x.sum(axis=1, keepdims=True) / there.sum(axis=1)[:, None, None], 0)
+    else:
+        x, there = x - x.mean(axis=0), np.ones_like(there)
+    flat, both = x.reshape(len(x), -1), np.repeat(there, 2, axis=1).astype(float)
+    size = ((flat**2) @ both.T) * (both @ (flat**2).T)
+    s = np.divide(np.abs(flat @ flat.T), np.sqrt(size), out=np.zeros_like(size), where=size > 1e-12)
+    n_joint = there.astype(int) @ there.T.astype(int)
+    return rows, {(f"p{known[i]:04}", f"p{known[j]:04}"): (n_joint[i, j], s[i, j]) for i in range(len(x)) for j in range(i + 1, len(x))}
+
+
+def _same_similarities(got, want, least):
+    got = {(r.a, r.b): (r.n_joint, r.similarity) for r in got.collect()}
+    want = {k: v for k, v in want.items() if v[0] >= least}
+    assert got.keys() == want.keys() and want
+    for k, (n, s) in want.items():
+        assert got[k][0] == n and got[k][1] == pytest.approx(s, abs=1e-7)
+
+
+@pytest.mark.parametrize("n", [60, 700])
+def test_pairs_of_joint_similarity_are_named_where_they_are_summed(spark, n):
+    # Every pair was joined twice to get its names.
+    rows, want = _similar(n, 8, True)
+    got = similarity.centred_similarity(spark.createDataFrame(rows, "t long, w string, v array<double>"), "t", "w", "v", 2)
+    assert n == 60 or _joined_above(got) == 0
+    _same_similarities(got, want, 2)
+
+
+def test_rounding_is_that_of_decimals(spark):
+    # Each value was rounded as a decimal.
+    x = [None, float("nan"), float("inf"), -0.123455, 0.0, 1.0, 1e9 + 0.123455, 0.999994999999, *((2 * k + 1) / 2e5 for k in range(500)), *np.random.default_rng(2).random(500).tolist()]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    assert df.where(~vectors.rounded(F.col("x"), 5).eqNullSafe(F.round("x", 5))).count() == 0
