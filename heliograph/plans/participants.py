@@ -227,7 +227,7 @@ def joint_vector_similarity(spark: SparkSession, d: str) -> DataFrame:
 def history_similarity(spark: SparkSession, d: str) -> DataFrame:
     """A10: the same over all days, the participants' mean taken out, absent days as zeros."""
     e = _events(spark, d, 24 * HOUR).groupBy("at", "user_id").agg(F.array(F.avg("value"), F.count("*").cast("double")).alias("v"))
-    return similarity.centred_similarity(e, "at", "user_id", "v", 1, False).select("a", "b", F.round("similarity", 5).alias("similarity"))
+    return similarity.centred_similarity(e, "at", "user_id", "v", 1, False).select("a", "b", vectors.rounded(F.col("similarity"), 5).alias("similarity"))
 
 
 def sigmoid_probabilities(spark: SparkSession, d: str) -> DataFrame:

@@ -188,6 +188,14 @@ def test_pairs_of_joint_similarity_are_named_where_they_are_summed(spark, n):
     _same_similarities(got, want, 2)
 
 
+@pytest.mark.parametrize("n", [60, 700])
+def test_pairs_of_history_similarity_are_named_where_they_are_summed(spark, n):
+    rows, want = _similar(n, 9, False)
+    got = similarity.centred_similarity(spark.createDataFrame(rows, "t long, w string, v array<double>"), "t", "w", "v", joint=False)
+    assert n == 60 or _joined_above(got) == 0
+    _same_similarities(got, want, 1)
+
+
 def test_rounding_is_that_of_decimals(spark):
     # Each value was rounded as a decimal.
     x = [None, float("nan"), float("inf"), -0.123455, 0.0, 1.0, 1e9 + 0.123455, 0.999994999999, *((2 * k + 1) / 2e5 for k in range(500)), *np.random.default_rng(2).random(500).tolist()]
