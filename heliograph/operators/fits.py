@@ -3,7 +3,9 @@
 A participant's walk-forward models need its own rows only, which the scorers
 trim to the tasks' history (W14), so ``applyInArrow`` per participant is
 bounded. A meta fit of few entries is fitted in one task, with all replicates
-of its bootstrap: a replicate is how often each row counts. One of many rows
+of its bootstrap: a replicate is how often each row counts. One of many columns
+is, too, and without its Hessian, which grows with their square: its Newton
+steps are solved by conjugate gradients over the entries. One of many rows
 needs sums only (gradient and Hessian) for its Newton steps, which every
 executor forms over its own rows, for as many replicates at once as a worker's
 memory holds.
@@ -28,6 +30,8 @@ from heliograph.session import cut
 SUMS_SCHEMA = "g string, b int, part binary"
 #: A group whose rows have at most so many pairs of entries is fitted in one task. Bytes of Hessians that are summed at once.
 _PAIRS, _HESSIANS = 1 << 22, 1 << 26
+#: A group of more columns has no Hessian, and is fitted in one task up to so many entries (of any number if its Hessian alone would be too large).
+_DENSE, _ENTRIES = 1024, 1 << 22
 
 
 def _kinds(df: DataFrame, columns: list[str]) -> str:
@@ -188,8 +192,30 @@ def _added(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"g": [key[0].as_py()], "b": pa.array([key[1].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
 
 
-def _newton(b: np.ndarray, held: tuple[float, np.ndarray] | None, part: tuple[float, np.ndarray, np.ndarray], c: float, l1_ratio: float | None, penalise_intercept: bool, tol: float) -> tuple[np.ndarray, tuple[float, np.ndarray], np.ndarray | None]:
-    """The next trial, the best point so far and the solution, once there is one, from loss, gradient and Hessian at ``b``."""
+def _conjugate(product: Callable[[np.ndarray], np.ndarray], diagonal: np.ndarray, right: np.ndarray, tol: float = 1e-6, steps: int = 1000) -> np.ndarray:
+    """x with product(x) = right, by conjugate gradients scaled by the diagonal; what remains is ``tol`` of it."""
+    x, r = np.zeros_like(right), right.copy()
+    z = r / diagonal
+    d, size = z.copy(), r @ z
+    end = tol * tol * size
+    for _ in range(steps):
+        if size <= end:
+            break
+        q = product(d)
+        a = size / (d @ q)
+        x += a * d
+        r -= a * q
+        z = r / diagonal
+        last, size = size, r @ z
+        d = z + size / last * d
+    return x
+
+
+Hessian = np.ndarray | tuple[Callable[[np.ndarray], np.ndarray], np.ndarray]
+
+
+def _newton(b: np.ndarray, held: tuple[float, np.ndarray] | None, part: tuple[float, np.ndarray, Hessian], c: float, l1_ratio: float | None, penalise_intercept: bool, tol: float) -> tuple[np.ndarray, tuple[float, np.ndarray], np.ndarray | None]:
+    """The next trial, the best point so far and the solution, once there is one, from loss, gradient and Hessian (or its product with a vector, and its diagonal) at ``b``."""
     k = len(b)
     ridge = np.full(k, 1.0 if l1_ratio is None else 1 - l1_ratio)
     ridge[-1] = 1.0 if penalise_intercept else 0.0
@@ -199,16 +225,22 @@ def _newton(b: np.ndarray, held: tuple[float, np.ndarray] | None, part: tuple[fl
         # Too far: half the step.
         half = (held[1] + b) / 2
         return half, held, held[1] if np.abs(half - held[1]).max() < tol else None
-    gradient, hessian = c * part[1] + ridge * b, c * part[2] + np.diag(ridge + 1e-10)
-    new = b - np.linalg.solve(hessian, gradient) if l1_ratio is None else solvers.descend(b, gradient, hessian, l1)
+    gradient = c * part[1] + ridge * b
+    if isinstance(part[2], tuple):
+        product, diagonal = part[2]
+        new = b - _conjugate(lambda v: c * product(v) + (ridge + 1e-10) * v, c * diagonal + ridge + 1e-10, gradient)
+    else:
+        hessian = c * part[2] + np.diag(ridge + 1e-10)
+        new = b - np.linalg.solve(hessian, gradient) if l1_ratio is None else solvers.descend(b, gradient, hessian, l1)
     return new, (value, b), new if np.abs(new - b).max() < tol * max(1.0, np.abs(b).max()) else None
 
 
-def _fitted(key: tuple, table: pa.Table, sizes: dict, resampling: Resampling, c: float, l1_ratio: float | None, penalise_intercept: bool, fill: float, steps: int, tol: float, summary: Callable[[np.ndarray], np.ndarray] | None) -> pa.Table:
+def _fitted(key: tuple, table: pa.Table, sizes: dict, wide: set[str], resampling: Resampling, c: float, l1_ratio: float | None, penalise_intercept: bool, fill: float, steps: int, tol: float, summary: Callable[[np.ndarray], np.ndarray] | None) -> pa.Table:
     """All replicates of one group: coefficients and intercepts, or their summary.
 
     Entries stay sparse: they are taken less ``fill``, which then counts for
-    all columns at once.
+    all columns at once. A ``wide`` group needs neither pairs of entries nor
+    the Hessian, and each of its replicates starts from the last one.
     """
     g = key[0].as_py()
     n, k, salt = sizes.get(g, (0, 0, 0))
@@ -223,21 +255,37 @@ def _fitted(key: tuple, table: pa.Table, sizes: dict, resampling: Resampling, c:
     x = np.concatenate((flat.field("x").to_numpy() - fill, np.ones(len(y))))
     order = np.lexsort((slot, owner))
     owner, slot, x = owner[order], slot[order], x[order]
-    left_many = np.repeat(np.cumsum(many + 1), many + 1) - np.arange(len(owner))
-    left = np.repeat(np.arange(len(owner)), left_many)
-    right = left + np.arange(len(left)) - np.repeat(np.cumsum(left_many) - left_many, left_many)
-    cell, product, at = slot[left].astype(np.int64) * (k + 1) + slot[right], x[left] * x[right], owner[left]
-    del left, right, left_many
-
-    def part(b: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        score = np.bincount(owner, x * b[slot], len(y)) + fill * b[:-1].sum()
+    del order
+    if g not in wide:
+        left_many = np.repeat(np.cumsum(many + 1), many + 1) - np.arange(len(owner))
+        left = np.repeat(np.arange(len(owner)), left_many)
+        right = left + np.arange(len(left)) - np.repeat(np.cumsum(left_many) - left_many, left_many)
+        cell, product, at = slot[left].astype(np.int64) * (k + 1) + slot[right], x[left] * x[right], owner[left]
+        del left, right, left_many
+
+    def scores(b: np.ndarray) -> np.ndarray:
+        return np.bincount(owner, x * b[slot], len(y)) + fill * b[:-1].sum()
+
+    def over_columns(u: np.ndarray) -> np.ndarray:
+        """Sum of the rows, each times its ``u``."""
+        sums = np.bincount(slot, x * u[owner], k + 1)
+        if fill:
+            sums[:-1] += fill * sums[-1]
+        return sums
+
+    def part(b: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, Hessian]:
+        score = scores(b)
         p = 1 / (1 + np.exp(-np.clip(score, -500, 500)))
         loss = weight @ np.logaddexp(0, np.where(y > 0, -score, score))
-        gradient = np.bincount(slot, x * (weight * (p - (y > 0)))[owner], k + 1)
-        half = np.bincount(cell, product * (weight * np.maximum(p * (1 - p), 1e-12))[at], (k + 1) ** 2).reshape(k + 1, k + 1)
+        gradient, curve = over_columns(weight * (p - (y > 0))), weight * np.maximum(p * (1 - p), 1e-12)
+        if g in wide:
+            diagonal = np.bincount(slot, x * x * curve[owner], k + 1)
+            if fill:
+                diagonal[:-1] += 2 * fill * np.bincount(slot, x * curve[owner], k + 1)[:-1] + fill**2 * curve.sum()
+            return loss, gradient, (lambda v: over_columns(curve * scores(v)), diagonal)
+        half = np.bincount(cell, product * curve[at], (k + 1) ** 2).reshape(k + 1, k + 1)
         hessian = half + half.T - np.diag(np.diag(half))
         if fill:
-            gradient[:-1] += fill * gradient[-1]
             hessian[:-1] += fill * hessian[-1]
             hessian[:, :-1] += fill * hessian[:, -1:]
         return loss, gradient, hessian
@@ -249,7 +297,7 @@ def _fitted(key: tuple, table: pa.Table, sizes: dict, resampling: Resampling, c:
         if not (up > 0 and down > 0):
             continue
         weight = often * w * np.where(y > 0, (up + down) / (2 * up), (up + down) / (2 * down))
-        b, held, done = np.zeros(k + 1), None, None
+        b, held, done = found[-1] if found and g in wide else np.zeros(k + 1), None, None
         for _ in range(steps):
             b, held, done = _newton(b, held, part(b, weight), c, l1_ratio, penalise_intercept, tol)
             if done is not None:
@@ -268,16 +316,17 @@ def logistic(rows: DataFrame, width: dict[str, int], resampling: Resampling, c:
     once per step and part of the replicates for all others.
     """
     m = F.size("xs").cast("long")
-    counted = {r.g: r for r in rows.groupBy("g").agg(F.count("*").alias("n"), F.sum((m + 1) * (m + 2) / 2).alias("pairs")).collect()}
+    counted = {r.g: r for r in rows.groupBy("g").agg(F.count("*").alias("n"), F.sum((m + 1) * (m + 2) / 2).alias("pairs"), F.sum(m + 1).alias("entries")).collect()}
     sizes = {g: (counted[g].n, k, (salt or {}).get(g, 0)) for g, k in width.items() if g in counted and k}
-    large = [g for g in sizes if counted[g].pairs > _PAIRS]
+    wide = {g for g, (_, k, _) in sizes.items() if l1_ratio is None and k > _DENSE and (counted[g].entries <= _ENTRIES or 8 * (k + 1) ** 2 > _HESSIANS)}
+    large = [g for g in sizes if g not in wide and counted[g].pairs > _PAIRS]
     out: dict = {}
     if len(sizes) > len(large):
         few = {g: v for g, v in sizes.items() if g not in large}
         small = rows.where(~F.col("g").isin(*large)) if large else rows
 
         def fit(key: tuple, table: pa.Table) -> pa.Table:
-            return _fitted(key, table, few, resampling, c, l1_ratio, penalise_intercept, fill, steps, tol, summary)
+            return _fitted(key, table, few, wide, resampling, c, l1_ratio, penalise_intercept, fill, steps, tol, summary)
 
         for r in small.repartition(min(240, len(sizes)), "g").groupBy("g").applyInArrow(fit, "g string, told binary").collect():
             told, k = np.frombuffer(r.told), sizes[r.g][1]

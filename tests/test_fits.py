@@ -34,6 +34,24 @@ def test_many_small_groups_are_fitted_where_they_are(spark, monkeypatch):
         assert brief[g] == pytest.approx(coefs.mean(axis=0), abs=1e-6)
 
 
+@pytest.mark.parametrize("fill", [0.0, 0.2])
+def test_groups_of_many_columns_have_no_hessian(spark, monkeypatch, fill):
+    # It had the square of the columns in numbers.
+    rows, how = _panel(spark, 3, 120, 6, 3).cache(), fits.Resampling(5, 20)
+    want = fits.logistic(rows, dict.fromkeys("012", 6), how, 0.5, fill=fill, penalise_intercept=True)
+    with monkeypatch.context() as m:
+        m.setattr(fits, "_DENSE", 5)
+        m.setattr(fits, "_PAIRS", 0)
+        m.setattr(fits, "_newton_sums", _refused)
+        got = fits.logistic(rows, dict.fromkeys("012", 6), how, 0.5, fill=fill, penalise_intercept=True)
+    for g, (coefs, intercepts) in want.items():
+        assert got[g][0] == pytest.approx(coefs, abs=1e-6) and got[g][1] == pytest.approx(intercepts, abs=1e-6)
+    # Thirty thousand columns: 7 GB.
+    many = spark.createDataFrame([("a", i, i % 2, 1.0, [(i * 100, 1.0 + i % 2), (29_999, 0.5)]) for i in range(300)], rows.schema).coalesce(1)
+    coefs, _ = fits.logistic(many, {"a": 30_000}, fits.Resampling(), 0.5)["a"]
+    assert coefs.shape == (1, 30_000) and np.count_nonzero(coefs) <= 301 and coefs[0, 100] > 0 > coefs[0, 200]
+
+
 def test_hessians_of_wide_groups_go_in_waves(spark, monkeypatch):
     rows, how = _panel(spark, 2, 90, 5, 2).cache(), fits.Resampling(4, 20)
     want = fits.logistic(rows, {"0": 5, "1": 5}, how, 0.3)
