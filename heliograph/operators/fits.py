@@ -75,21 +75,31 @@ def out_of_sample(df: DataFrame, who: str, pos: str, features: list[str], label:
     feature of fewer than ``least_distinct`` values.
     """
     keep, columns = keep or [], [who, pos, *(keep or []), label, *features, *([weight] if weight else [])]
+    told = [who, "segment", pos, *keep, label, "z"]
+    bounds = np.array([(s.start, s.end, s.fit_start, s.fit_end) for s in segments], dtype=np.int64).reshape(-1, 4).T
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([pos, *keep], kind="stable")
         at, x, y = pdf[pos].to_numpy(), pdf[features].to_numpy(dtype=float), pdf[label].to_numpy(dtype=float)
         w = pdf[weight].to_numpy(dtype=float) if weight else np.ones(len(y))
-        out, last = [], None
-        for s in segments:
-            low, high = np.searchsorted(at, [s.start, s.end])
-            a, b = np.searchsorted(at, [s.fit_start, s.fit_end])
-            if high <= low or b - a < least or not 0 < y[a:b].sum() < b - a or (least_distinct and len(np.unique(x[a:b, 0])) < least_distinct):
+        low, high, a, b = (np.searchsorted(at, v) for v in bounds)
+        # A participant has rows in few of many segments: those are found for all at once.
+        up, first = np.append(0, np.cumsum(y)), np.zeros(len(y) + 1, dtype=np.int64)
+        first[np.unique(x[:, 0], return_index=True)[1] + 1] = 1
+        upto = np.cumsum(first)
+        ones = up[b] - up[a]
+        rows, number, z, last = [], [], [], None
+        for k in np.flatnonzero((high > low) & (b - a >= least) & (ones > 0) & (ones < b - a)):
+            i, j = a[k], b[k]
+            if least_distinct and (len(np.unique(x[i:j, 0])) if i else upto[j]) < least_distinct:
                 continue
-            last = solvers.logistic_l2(x[a:b], y[a:b], c, solvers.class_weights(y[a:b], w[a:b]) if balanced else w[a:b], start=last)
-            part = pdf.iloc[low:high]
-            out.append(part[[who, pos, *keep, label]].assign(segment=s.number, z=x[low:high] @ last[0] + last[1]))
-        return pd.concat(out)[[who, "segment", pos, *keep, label, "z"]] if out else pd.DataFrame(columns=[who, "segment", pos, *keep, label, "z"])
+            last = solvers.logistic_l2(x[i:j], y[i:j], c, solvers.class_weights(y[i:j], w[i:j]) if balanced else w[i:j], start=last)
+            rows.append(np.arange(low[k], high[k]))
+            number.append(segments[k].number)
+            z.append(x[low[k] : high[k]] @ last[0] + last[1])
+        if not rows:
+            return pd.DataFrame(columns=told)
+        return pdf.iloc[np.concatenate(rows)].assign(segment=np.repeat(number, [len(r) for r in rows]), z=np.concatenate(z))[told]
 
     more = f", {_kinds(df, keep)}" if keep else ""
     return df.select(*columns).groupBy(who).applyInPandas(run, f"{_kinds(df, [who])}, segment bigint, {_kinds(df, [pos])}{more}, {_kinds(df, [label])}, z double")

@@ -119,6 +119,17 @@ def walk_forward(rows: DataFrame, chunk: int = 4000, lag: int = 60, window: int
     return _shares(_importance(members, found), 1e-6) if found else empty
 
 
+def _candidates(sent: DataFrame, aucs: DataFrame, segments: DataFrame, top: int) -> DataFrame:
+    """(segment, hk, auc): participants with an AUC in a segment and, at 0.5, the first ``top`` names of all others: none of these others can be among the ``top``."""
+    named, known = cut(_members(sent)), cut(aucs.where("auc IS NOT NULL"))
+    listed = known.join(named, "hk").groupBy("segment").agg(F.collect_set("slot").alias("known"))
+    none = F.array().cast("array<int>")
+    given = segments.join(listed, "segment", "left").select("segment", F.coalesce("known", none).alias("known"))
+    last = F.least(F.lit(named.count()), F.size("known") + top) - 1
+    others = F.slice(F.array_sort(F.array_except(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(none), "known")), 1, top)
+    return known.unionByName(given.select("segment", F.explode(others).alias("slot")).join(named, "slot").select("segment", "hk", F.lit(0.5).alias("auc")))
+
+
 @scorer("xsec_rank")
 def cross_section(rows: DataFrame, chunk: int = 8000, lag: int = 60, top: int = 20, half_life: float = 3.0, replicates: int = 20, block: int = 120, least_distinct: int = 0, embargo: int = 0, history: int = 86_400, least_rows: int = 200, seed: int = 42) -> DataFrame:
     """Rows (hk, pos, asset, x, y) pooled over assets. Per segment: selection on the rows before it, columns outside the fit, bootstrapped L2 meta fit, AUC of its votes; importance |coef| · AUC gain, weighted by recency.
@@ -153,9 +164,7 @@ def cross_section(rows: DataFrame, chunk: int = 8000, lag: int = 60, top: int =
     aucs = stats.auc(tried, ["segment", "hk"], "z", F.col("y") == 1).where("n1 + n0 >= 20").select("segment", "hk", "auc")
     spark = rows.sparkSession
     numbers = spark.createDataFrame([(i,) for i, *_ in usable], "segment long")
-    every = sent.select("hk").distinct().crossJoin(F.broadcast(numbers))
-    ranked = windows.top_k(every.join(aucs, ["segment", "hk"], "left").withColumn("auc", F.coalesce("auc", F.lit(0.5))), ["segment"], "auc", "hk", top)
-    members = cut(_members(ranked, "segment"))
+    members = cut(_members(windows.top_k(_candidates(sent, aucs, numbers, top), ["segment"], "auc", "hk", top), "segment"))
     # Scores outside the fit, chunk by chunk: those of earlier chunks train a segment's meta fit, those of its own validate it.
     listed = [fits.Segment(i, start, end, 0, start - embargo) for i, _, start, end in segs]
     base = cut(fits.out_of_sample(sent.join(members.select("hk").distinct(), "hk", "left_semi"), "hk", "pos", ["x"], "y", listed, keep=["asset"]).withColumnRenamed("segment", "chunk"))

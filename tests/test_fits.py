@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from heliograph.operators import fits, scorers
+from heliograph.operators import fits, scorers, solvers, windows
 
 
 def _panel(spark, groups, n, k, seed):
@@ -74,3 +74,35 @@ def test_segments_of_a_long_history_are_fitted_where_they_are(spark, monkeypatch
     monkeypatch.setattr(fits, "_newton_sums", _refused)
     got = {r.hk: r.s for r in scorers.score("xsec_rank", spark.createDataFrame(rows, "hk string, pos long, asset string, x double, y int"), chunk=20, lag=2, least_rows=50, replicates=4, block=10).collect()}
     assert sum(got.values()) == pytest.approx(1) and max(got, key=got.get) == "p0"
+
+
+def test_participants_are_not_crossed_with_segments(spark, monkeypatch):
+    # Every participant was ranked in every segment, whether or not it had rows there.
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 2, (400, 3))
+    rows = [(f"p{h:03}", t, f"a{a}", float((2 * y[t, a] - 1) * (h % 7 == 0) * 0.5 + rng.normal()), int(y[t, a])) for h in range(120) for t in range(h // 2 * 6, h // 2 * 6 + 40) for a in range(3)]
+    ranked, top_k = [], windows.top_k
+    monkeypatch.setattr(windows, "top_k", lambda df, *o: ranked.append(df.cache()) or top_k(df, *o))
+    scorers.score("xsec_rank", spark.createDataFrame(rows, "hk string, pos long, asset string, x double, y int"), chunk=20, lag=2, top=5, least_rows=50, replicates=4, block=10).collect()
+    got = {(r.segment, r.hk): r.auc for r in ranked[0].collect()}
+    segments, names = {s for s, _ in got}, [f"p{h:03}" for h in range(120)]
+    assert len(segments) > 10 and len(got) < len(segments) * 40
+    # Those left out are others, and later in the order of names.
+    for s in segments:
+        others = [h for h in names if got.get((s, h), 0.5) == 0.5]
+        assert all((s, h) in got for h in others[:5])
+
+
+def test_scores_outside_the_fit_by_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = [(h, int(t), float(rng.integers(0, 4 + h)), int(rng.integers(0, 2)), 1.0 + h) for h in range(4) for t in np.flatnonzero(rng.random(300) < 0.2 + 0.2 * h)]
+    segments = [fits.Segment(i, s, s + 25, max(0, s - 150) if i % 2 else 0, s - 3) for i, s in enumerate(range(0, 300, 25))]
+    got = fits.out_of_sample(spark.createDataFrame(rows, "h long, t long, x double, y int, w double"), "h", "t", ["x"], "y", segments, least=15, weight="w", least_distinct=4).collect()
+    want = {}
+    for h in range(4):
+        for s in segments:
+            fit = [r for r in rows if r[0] == h and s.fit_start <= r[1] < s.fit_end]
+            if len(fit) >= 15 and len({r[3] for r in fit}) == 2 and len({r[2] for r in fit}) >= 4:
+                b, a = solvers.logistic_l2(np.array([[r[2]] for r in fit]), np.array([r[3] for r in fit]), 0.5, np.array([r[4] for r in fit]))
+                want |= {(h, s.number, r[1]): r[2] * b[0] + a for r in rows if r[0] == h and s.start <= r[1] < s.end}
+    assert {(r.h, r.segment, r.t): r.z for r in got} == pytest.approx(want, abs=1e-6) and len(want) > 50
