@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.operators import solvers
+from heliograph.operators import linkage, solvers
 from heliograph.operators.sequence import numbered
 from heliograph.session import cut
 
@@ -429,19 +429,11 @@ def shift_evidence(df: DataFrame, who: str, pos: str, signal: str, labels: list[
 def linked_clusters(pairs: DataFrame, a: str, b: str, similarity: str, component: str, cut: float) -> DataFrame:
     """Complete-linkage clusters inside each connected component of similar pairs: component, member, cluster (its smallest member).
 
-    Members whose similarity is not listed count as fully dissimilar, so
-    components are independent of each other, and ``cut`` is below 1. Linkage
-    is sequential: a component is one task, which holds its listed pairs.
+    ``pairs`` lists each pair once; without a column ``component`` a component
+    is named after its smallest member. Members whose similarity is not listed
+    count as fully dissimilar, so components are independent of each other, and
+    ``cut`` is below 1. A component of many pairs is linked in parts.
     """
     if not cut < 1:
         raise ValueError("members that are not listed must be farther apart than the cut")
-
-    def link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        members = np.unique(np.concatenate((pdf[a].to_numpy(), pdf[b].to_numpy())))
-        i, j = np.searchsorted(members, pdf[a].to_numpy()), np.searchsorted(members, pdf[b].to_numpy())
-        label = solvers.sparse_linkage(len(members), i, j, 1 - pdf[similarity].to_numpy(dtype=float), cut)
-        # A label is its cluster's smallest member.
-        return pd.DataFrame({component: key[0], "member": members, "cluster": members[label]})
-
-    kind = pairs.schema[a].dataType.simpleString()
-    return pairs.groupBy(component).applyInPandas(link, f"{_kinds(pairs, [component])}, member {kind}, cluster {kind}")
+    return linkage.clusters(pairs, a, b, similarity, component, cut)

@@ -59,8 +59,8 @@ def cosine_search(df: DataFrame, key: str, vector: str, queries: Column, k: int,
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def match_share(df: DataFrame, moment: list[str], who: str, cell: Column, least_joint: int) -> DataFrame:
-    """For pairs that agree at least once: moments both were active in, moments in which they agree, and the share.
+def match_share(df: DataFrame, moment: list[str], who: str, cell: Column, least_joint: int, least_share: float = 0.0) -> DataFrame:
+    """For pairs that agree at least once (and in ``least_share`` of the moments): moments both were active in, moments in which they agree, and the share.
 
     ``cell`` is the value at the precision that counts as equal. Both counts
     are summed as matrices, block by block; only pairs that agree are listed.
@@ -68,10 +68,12 @@ def match_share(df: DataFrame, moment: list[str], who: str, cell: Column, least_
     acts = df.select(*moment, who, cell.alias("_cell")).distinct()
     counts = df.select(*moment, who).distinct().groupBy(who).agg(F.count("*").alias("_n"))
     named = cut(pairs.slots(df, who).join(counts, who))
-    test = lambda t: (t["n_match"] > 0) & (t["n"] >= least_joint)
+    test = lambda t: (t["n_match"] > 0) & (t["n"] >= least_joint) & (t["n_match"] >= least_share * t["n"] * (1 - 1e-9))
     both = pairs.pairwise(acts.join(F.broadcast(named), who), moment, "_slot", F.col("_cell"), named.count(), pairs.add_matches, ["n", "n_match"], test, coded=True)
     listed = both.where((F.col("n_match") > 0) & (F.col("n") >= least_joint)).select("i", "j", F.col("n").cast("long").alias("n_joint"), F.col("n_match").cast("long").alias("n_match"))
     a, b = (named.select(F.col("_slot").alias(i), F.col(who).alias(x), F.col("_n").alias(f"n_{x}")) for i, x in (("i", "a"), ("j", "b")))
+    if least_share > 0:
+        listed = listed.where(F.col("n_match") / F.col("n_joint") >= least_share)
     return listed.join(F.broadcast(a), "i").join(F.broadcast(b), "j").select("a", "b", "n_a", "n_b", "n_joint", "n_match", (F.col("n_match") / F.col("n_joint")).alias("share"))
 
 

@@ -140,10 +140,52 @@ def sparse_linkage(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray, c
             near[k][a] = x
             if x != old[k]:
                 heapq.heappush(heap, (x, min(a, k), max(a, k)))
-        label[label == b] = a
+        label[b] = a
+    return _resolved(label)
+
+
+def _resolved(label: np.ndarray) -> np.ndarray:
+    while (label[label] != label).any():
+        label = label[label]
     return label
 
 
+def tied_linkage(n: int, i: np.ndarray, j: np.ndarray, upto: int) -> np.ndarray:
+    """Mergers that are certain among pairs i < j of one distance, the least there is, of which those with i <= ``upto`` are listed.
+
+    Pairs go in the order of (i, j). After a merger a pair of clusters is in
+    doubt if one of the pairs between them may be listed elsewhere; its members
+    then merge no more, nor do those whose next pair is with one of them.
+    """
+    near: list[set[int]] = [set() for _ in range(n)]
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        near[a].add(b)
+        near[b].add(a)
+    label, doubt, frozen = np.arange(n), set(), set()
+    pair = lambda x, y: (x, y) if x < y else (y, x)
+    for a in range(min(n, upto + 1)):
+        for b in sorted(k for k in near[a] if k > a):
+            if b not in near[a]:
+                continue
+            if a in frozen or b in frozen or (a, b) in doubt:
+                frozen |= {a, b}
+                continue
+            for k in near[a] - {b}:
+                if k in near[b]:
+                    if pair(b, k) in doubt:
+                        doubt.add(pair(a, k))
+                elif min(b, k) > upto:
+                    doubt.add(pair(a, k))
+                else:
+                    near[a].remove(k)
+                    near[k].remove(a)
+            for k in near[b]:
+                near[k].discard(b)
+            near[b] = set()
+            label[b] = a
+    return _resolved(label)
+
+
 def greedy_clusters(similarity: np.ndarray, least: float, priority: np.ndarray) -> np.ndarray:
     """In order of priority every unassigned row takes all unassigned rows at least ``least`` similar; the label is the leader."""
     label = np.full(len(similarity), -1)

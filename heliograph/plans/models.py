@@ -85,11 +85,8 @@ def circular_shift_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 def linked_cohorts(spark: SparkSession, d: str) -> DataFrame:
     e = read_table(spark, d, "events").withColumn("day", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000))
-    shares = similarity.match_share(e, ["day", "event_type"], "user_id", F.round("value", 1), 2)
-    pairs = shares.where("share >= 0.05").select("a", "b", F.col("share").alias("s"))
-    groups = similarity.components(pairs)
-    inside = pairs.join(groups.select(F.col("member").alias("a"), F.col("representative").alias("component")), "a")
-    return fits.linked_clusters(inside, "a", "b", "s", "component", 0.95)
+    shares = similarity.match_share(e, ["day", "event_type"], "user_id", F.round("value", 1), 2, 0.05)
+    return fits.linked_clusters(shares, "a", "b", "share", "component", 0.95)
 
 
 def score_binary(spark: SparkSession, d: str) -> DataFrame:
